@@ -120,3 +120,96 @@ def relative_age_sql(t: str, now: str = "(SELECT now_ms FROM clock)") -> tuple[s
               f"WHEN {age} < 5184000000 THEN 604800000 ELSE 2592000000 END")
     value = f"CAST(floor(CAST({t} - {now} AS DOUBLE) / CAST({factor} AS DOUBLE) + 0.5) AS BIGINT)"
     return unit, value
+
+
+def raw_claims_cte(per_user: bool = False, name: str = "raw") -> str:
+    """RAW_CLAIM rows shaped as ``sources.testdata.raw_claims_from_events`` / ``per_user_raw_claims``."""
+    if per_user:
+        ip = "'10.0.' || CAST(user_id // 256 AS VARCHAR) || '.' || CAST(user_id % 256 AS VARCHAR)"
+        nm = "event_type"
+    else:
+        ip = ("CASE WHEN user_id % 13 = 0 THEN '' "
+              "WHEN user_id % 17 = 0 THEN 'junk-' || CAST(k AS VARCHAR) "
+              "WHEN k % 2 = 0 THEN '10.' || CAST(k AS VARCHAR) || '.' || CAST(user_id % 50 AS VARCHAR) || '.1' "
+              "WHEN event_id % 4 = 0 THEN printf('2001:db8:%x::%x', k, event_id) "
+              "WHEN event_id % 4 = 1 THEN upper(printf('2001:db8:%x::%x', k, event_id)) "
+              "WHEN event_id % 4 = 2 THEN printf('2001:0db8:%04x::%04x', k, user_id) "
+              "ELSE printf('2001:db8:%x:0:0:0:0:%x', k % 3, event_id) END")
+        nm = ("CASE WHEN user_id % 11 = 0 THEN event_type || ' ' || CAST(user_id % 7 AS VARCHAR) "
+              "ELSE event_type || '-' || CAST(user_id % 7 AS VARCHAR) END")
+    letter = "chr(CAST(65 + k % 25 AS INT))"
+    return f"""{name} AS (
+  SELECT {nm} AS name, {ip} AS original_ip, 64512 + k AS asn,
+         'C' || lpad(CAST(k % 37 AS VARCHAR), 2, '0') AS colo,
+         CASE WHEN k % 9 = 0 THEN '' ELSE {letter} || 'X' END AS country,
+         CASE WHEN k % 3 = 0 THEN '' ELSE 'City' || CAST(k AS VARCHAR) END AS city,
+         '' AS metro,
+         CASE WHEN k % 5 = 0 THEN '' ELSE 'Region' || CAST(k % 4 AS VARCHAR) END AS region_name,
+         CASE WHEN k % 10 = 0 THEN '' ELSE CAST(k % 4 AS VARCHAR) END AS region_code,
+         epoch_us(ts) // 1000 AS time_ms, event_id AS seq
+  FROM (SELECT *, CAST(props->>'$.k' AS BIGINT) AS k FROM events))"""
+
+
+OCTET = "(25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
+HEX = "[0-9a-fA-F]{1,4}"
+
+
+def ipv4_valid_sql(a: str) -> str:
+    return f"regexp_full_match({a}, '{OCTET}(\\.{OCTET}){{3}}')"
+
+
+def ipv6_valid_sql(a: str) -> str:
+    halves = f"string_split({a}, '::')"
+    left = f"(CASE WHEN {halves}[1] = '' THEN 0 ELSE len(string_split({halves}[1], ':')) END)"
+    right = f"(CASE WHEN len({halves}) < 2 OR {halves}[2] = '' THEN 0 ELSE len(string_split({halves}[2], ':')) END)"
+    full = f"regexp_full_match({a}, '{HEX}(:{HEX}){{7}}')"
+    comp = f"(regexp_full_match({a}, '({HEX}(:{HEX})*)?::({HEX}(:{HEX})*)?') AND len({halves}) = 2 AND {left} + {right} <= 7)"
+    return f"({full} OR {comp})"
+
+
+def ipv6_prefix_sql(a: str) -> str:
+    """/48 network text: group i of the expanded address, leading zeros stripped, lower-case."""
+    halves = f"string_split({a}, '::')"
+    lg = f"(CASE WHEN {halves}[1] = '' THEN [] ELSE string_split({halves}[1], ':') END)"
+    rg = f"(CASE WHEN len({halves}) < 2 OR {halves}[2] = '' THEN [] ELSE string_split({halves}[2], ':') END)"
+
+    def group(i: int) -> str:
+        raw = (f"(CASE WHEN {i} <= len({lg}) THEN {lg}[{i}] "
+               f"WHEN len({halves}) = 2 AND {i} > 8 - len({rg}) THEN {rg}[{i} - (8 - len({rg}))] ELSE '0' END)")
+        return f"coalesce(nullif(lower(ltrim({raw}, '0')), ''), '0')"
+
+    g1, g2, g3 = group(1), group(2), group(3)
+    return (f"(CASE WHEN {g3} <> '0' THEN {g1} || ':' || {g2} || ':' || {g3} || '::' "
+            f"WHEN {g2} <> '0' THEN {g1} || ':' || {g2} || '::' "
+            f"WHEN {g1} <> '0' THEN {g1} || '::' ELSE '::' END)")
+
+
+def name_valid_sql(n: str, max_len: int = 40) -> str:
+    return (f"coalesce(length({n}) BETWEEN 1 AND {max_len} "
+            f"AND regexp_full_match({n}, '[a-zA-Z0-9@:.^+!/\\-_\\*]+'), false)")
+
+
+def admission_sql(name_limit: int, ip_limit: int, period_secs: int, per_user: bool = False) -> str:
+    p = period_secs * 1000
+    rip = (f"CASE WHEN {ipv4_valid_sql('original_ip')} THEN original_ip "
+           f"WHEN {ipv6_valid_sql('original_ip')} THEN {ipv6_prefix_sql('original_ip')} END")
+    return with_ctes(
+        raw_claims_cte(per_user),
+        f"""base AS (SELECT *, {rip} AS rip,
+            CASE WHEN NOT {name_valid_sql('name')} THEN 'invalid_name'
+                 WHEN coalesce(original_ip, '') = '' THEN 'missing_address'
+                 WHEN {rip} IS NULL THEN 'bad_address' END AS static FROM raw)""",
+        f"""s1 AS (SELECT *, row_number() OVER (PARTITION BY rip, name, time_ms // {p} ORDER BY time_ms, seq) AS rn1
+            FROM base WHERE static IS NULL)""",
+        f"""s2 AS (SELECT *, row_number() OVER (PARTITION BY rip, time_ms // {p} ORDER BY time_ms, seq) AS rn2
+            FROM s1 WHERE rn1 <= {name_limit})""",
+        """verdicts AS (
+            SELECT seq, static AS verdict FROM base WHERE static IS NOT NULL
+            UNION ALL SELECT seq, 'name_rate_limited' FROM s1 WHERE rn1 > """ + str(name_limit) + """
+            UNION ALL SELECT seq, CASE WHEN rn2 <= """ + str(ip_limit) + """ THEN 'accepted' ELSE 'ip_rate_limited' END FROM s2)""",
+    ) + """SELECT b.seq, CASE WHEN b.static IS NULL THEN b.rip END AS ip, b.name,
+        CASE WHEN length(b.country) > 0 AND length(b.region_code) > 0 THEN b.country || '-' || b.region_code END AS region,
+        nullif(b.country, '') AS country_norm, nullif(b.city, '') AS city_norm, v.verdict,
+        CAST(CASE v.verdict WHEN 'invalid_name' THEN 400 WHEN 'missing_address' THEN 500 WHEN 'bad_address' THEN 500
+             WHEN 'accepted' THEN 200 ELSE 429 END AS INTEGER) AS status
+      FROM base b JOIN verdicts v ON v.seq = b.seq"""

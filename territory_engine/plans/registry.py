@@ -70,3 +70,211 @@ def leaderboards_all(spark, sf_dir):
     """A3: all fifteen rankings in one pass over the state."""
     claims, state = _state(spark, sf_dir)
     return R.leaderboards(state, as_of_latest(claims))
+
+
+# ---------------------------------------------------------------- more rankings ----------
+@register("leaderboards_fifteen_pass", O.base() + O.all_leaderboards_sql())
+def leaderboards_fifteen_pass(spark, sf_dir):
+    """The fifteen rankings as fifteen separate plans (reference shape) for the one-pass check."""
+    claims, state = _state(spark, sf_dir)
+    return R.leaderboards_separate(state, as_of_latest(claims))
+
+
+@register("leaderboard_top10", O.base() + "SELECT * FROM (" + O.all_leaderboards_sql() + ") WHERE rank <= 10")
+def leaderboard_top10(spark, sf_dir):
+    """The first ten rows of every ranking."""
+    claims, state = _state(spark, sf_dir)
+    return R.top_rows(R.leaderboards(state, as_of_latest(claims)), 10)
+
+
+_WINNERS_SQL = "\nUNION ALL\n".join(
+    f"""SELECT territory_type, time_window, territory, name, count, latest FROM (
+      SELECT *, row_number() OVER (PARTITION BY territory_type, time_window, territory
+                                   ORDER BY count DESC, latest DESC, name) AS rn
+      FROM (SELECT '{t}' AS territory_type, '{w}' AS time_window, {t} AS territory, name,
+                   count(*) AS count, max(time_ms) AS latest
+            FROM state WHERE {t} IS NOT NULL AND {O.window_pred('time_ms', w)} GROUP BY 1, 2, 3, 4))
+    WHERE rn = 1"""
+    for t in ("colo", "region", "country") for w in ("hourly", "daily", "weekly", "monthly", "all-time")
+)
+
+
+@register("territory_winners", O.base() + _WINNERS_SQL)
+def territory_winners(spark, sf_dir):
+    """One winner per territory for every type and window (aggregate form, skew-safe)."""
+    claims, state = _state(spark, sf_dir)
+    part = ["territory_type", "time_window"]
+    return R.winners_by_min(R.window_counts(state, as_of_latest(claims)), part).select(
+        "territory_type", "time_window", "territory", "name", "count", "latest")
+
+
+@register("recents_masked", O.base() + """
+  SELECT name, country, region, colo, time_ms,
+         CASE WHEN regexp_full_match(ip, '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}')
+              THEN string_split(ip, '.')[1] || '.x.x.x' ELSE ip END AS ip
+  FROM (SELECT * FROM state WHERE time_ms > (SELECT now_ms FROM clock) - 86400000
+        ORDER BY time_ms DESC, ip LIMIT 100)""")
+def recents_masked(spark, sf_dir):
+    """Q4: last 24 h, newest 100, IPv4 masked to its first octet."""
+    claims, state = _state(spark, sf_dir)
+    return R.recents(state, as_of_latest(claims))
+
+
+@register("public_claims", O.base() + "SELECT name, country, region, colo, time_ms FROM state ORDER BY time_ms DESC")
+def public_claims(spark, sf_dir):
+    """Q5: the public dump of all stored claims, newest first."""
+    return R.public_claims(_state(spark, sf_dir)[1])
+
+
+# ---------------------------------------------------------------- drill-down views -------
+from ..operators import views as V  # noqa: E402
+
+_UNIT, _VALUE = O.relative_age_sql("latest")
+_CONTENDERS_SQL = f"""
+  SELECT territory_type, territory, name, count, latest,
+         CAST(row_number() OVER (PARTITION BY territory_type, territory ORDER BY count DESC, latest DESC, name) AS BIGINT) AS rank,
+         {_UNIT} AS latest_unit, {_VALUE} AS latest_value
+  FROM ({O.contenders_sql('weekly', inclusive=True)})"""
+
+
+@register("territory_contenders", O.base() + _CONTENDERS_SQL)
+def territory_contenders(spark, sf_dir):
+    """A4 + W2 + F4/F5: every territory's contenders (weekly, inclusive), ranked, with ages."""
+    claims, state = _state(spark, sf_dir)
+    return V.contenders(state, "weekly", as_of_latest(claims))
+
+
+@register("territory_view", O.base() + f"""
+  SELECT c.*, t.total_ips FROM ({_CONTENDERS_SQL}) c
+  JOIN (SELECT territory_type, territory, CAST(sum(count) AS BIGINT) AS total_ips
+        FROM ({O.contenders_sql('weekly', inclusive=True)}) GROUP BY 1, 2) t
+  USING (territory_type, territory)""")
+def territory_view(spark, sf_dir):
+    """Q6 for every territory at once: ranked contenders plus the territory's total IPs."""
+    claims, state = _state(spark, sf_dir)
+    return V.territory_view_with_total(V.contenders(state, "weekly", as_of_latest(claims)))
+
+
+@register("user_view", O.base() + f"""
+  SELECT name, territory_type, territory, rank, count AS ips, latest_unit, latest_value
+  FROM ({_CONTENDERS_SQL.replace("'weekly'", "'monthly'")})""".replace(
+    O.window_pred('time_ms', 'weekly', True), O.window_pred('time_ms', 'monthly', True)))
+def user_view(spark, sf_dir):
+    """Q7 for every name at once: its rank, IPs and latest age in each territory (monthly)."""
+    claims, state = _state(spark, sf_dir)
+    return V.user_ranks(V.contenders(state, "monthly", as_of_latest(claims)))
+
+
+@register("user_total_ips", O.base() + f"""
+  SELECT name, CAST(sum(count) AS BIGINT) AS total_ips
+  FROM ({O.contenders_sql('all-time', inclusive=True)}) WHERE territory_type = 'colo' GROUP BY name""")
+def user_total_ips(spark, sf_dir):
+    """A5: a name's total IPs over its facility ranks (all-time)."""
+    claims, state = _state(spark, sf_dir)
+    return V.user_total_ips(V.contenders(state, "all-time", as_of_latest(claims)))
+
+
+@register("relative_age", O.base() + "SELECT ip, time_ms, {u} AS unit, {v} AS value FROM state".format(
+    u=O.relative_age_sql("time_ms")[0], v=O.relative_age_sql("time_ms")[1]))
+def relative_age(spark, sf_dir):
+    """F4 + F5: relative age unit and signed count of every stored claim."""
+    from ..functions.clock import relative_age as rel
+    claims, state = _state(spark, sf_dir)
+    unit, value = rel("time_ms", as_of_latest(claims))
+    return state.select("ip", "time_ms", unit.alias("unit"), value.alias("value"))
+
+
+@register("recent_age", O.base() + """
+  SELECT ip, time_ms,
+    CASE WHEN age < 120000 THEN 'second' WHEN age < 3600000 THEN 'minute' ELSE 'hour' END AS unit,
+    CAST(-(CASE WHEN age < 120000 THEN floor(age / 1000.0 + 0.5)
+              WHEN age < 3600000 THEN floor(age / 1000.0 / 60.0 + 0.5)
+              ELSE floor(age / 1000.0 / 60.0 / 60.0 + 0.5) END) AS BIGINT) AS value
+  FROM (SELECT *, CAST((SELECT now_ms FROM clock) - time_ms AS DOUBLE) AS age FROM state)""")
+def recent_age(spark, sf_dir):
+    """recents age in seconds, minutes or hours."""
+    from ..functions.clock import recent_age as rec
+    claims, state = _state(spark, sf_dir)
+    unit, value = rec("time_ms", as_of_latest(claims))
+    return state.select("ip", "time_ms", unit.alias("unit"), value.alias("value"))
+
+
+@register("territory_type_of_id", O.base() + """
+  SELECT territory, CASE WHEN length(territory) = 2 THEN 'country' WHEN length(territory) = 3 THEN 'colo'
+                         ELSE 'region' END AS territory_type
+  FROM (SELECT colo AS territory FROM state UNION SELECT region FROM state UNION SELECT country FROM state)
+  WHERE territory IS NOT NULL""")
+def territory_type_of_id(spark, sf_dir):
+    """Territory type of every territory id present in the state."""
+    from ..functions.labels import territory_type_of_id as ttype
+    state = _state(spark, sf_dir)[1]
+    ids = (state.select(F.col("colo").alias("territory")).union(state.select("region")).union(state.select("country"))
+           .where(F.col("territory").isNotNull()).distinct())
+    return ids.select("territory", ttype("territory").alias("territory_type"))
+
+
+@register("name_colour", O.base() + """
+  SELECT name,
+    '#' || lpad(upper(hex(list_reduce(list_transform(string_split(name, ''), lambda c: ascii(c)),
+                                      lambda h, c: (h * 31 + c) % 16777216, CAST(0 AS BIGINT)))), 6, '0') AS fill,
+    '#' || lpad(upper(hex(list_reduce(list_transform(string_split(name, ''), lambda c: ascii(c)),
+                                      lambda h, c: (h * 255 + c) % 16777216, CAST(0 AS BIGINT)))), 6, '0') AS stroke
+  FROM (SELECT DISTINCT name FROM state)""")
+def name_colour(spark, sf_dir):
+    """fill and stroke colour of every claimant name."""
+    from ..functions.names import name_colour as colour
+    names = _state(spark, sf_dir)[1].select("name").distinct()
+    return names.select("name", colour("name", 5).alias("fill"), colour("name", 8).alias("stroke"))
+
+
+# ---------------------------------------------------------------- admission --------------
+from ..operators import admission as A  # noqa: E402
+
+_ADMIT_COLS = ["seq", "ip", "name", "region", "country_norm", "city_norm", "verdict", "status"]
+
+
+@register("admission_verdict", O.admission_sql(10, 20, 10))
+def admission_verdict(spark, sf_dir):
+    """Q1: verdict of every raw claim (names, address forms, default limits 10 / 20 per 10 s)."""
+    raw = TD.raw_claims_from_events(TD.read_table(spark, sf_dir, "events"))
+    return A.admit(raw).select(*_ADMIT_COLS)
+
+
+@register("rate_limited", O.admission_sql(1, 2, 86400, per_user=True))
+def rate_limited(spark, sf_dir):
+    """(address, name) limit 1 then address limit 2 per one-day window, one address per user."""
+    raw = TD.per_user_raw_claims(TD.read_table(spark, sf_dir, "events"))
+    return A.admit(raw, name_limit=1, ip_limit=2, period_secs=86400).select(*_ADMIT_COLS)
+
+
+@register("name_validity", f"SELECT page_id, url, {O.name_valid_sql('url')} AS valid FROM pages")
+def name_validity(spark, sf_dir):
+    """Name check over every page URL (length 1..40, allowed characters only)."""
+    from ..functions.names import valid_name
+    pages = TD.read_table(spark, sf_dir, "pages")
+    return pages.select("page_id", "url", valid_name("url").alias("valid"))
+
+
+@register("ipv6_prefix48", O.with_ctes(O.raw_claims_cte()) + f"""
+  SELECT seq, original_ip, {O.ipv6_prefix_sql('original_ip')} AS prefix48
+  FROM raw WHERE {O.ipv6_valid_sql('original_ip')}""")
+def ipv6_prefix48(spark, sf_dir):
+    """/48 network of every IPv6 address text among the raw claims."""
+    from ..functions.addresses import ipv6_prefix48 as p48, is_ipv6
+    raw = TD.raw_claims_from_events(TD.read_table(spark, sf_dir, "events"))
+    return raw.where(is_ipv6("original_ip")).select("seq", "original_ip", p48("original_ip").alias("prefix48"))
+
+
+@register("empty_to_null_region", O.with_ctes(O.raw_claims_cte()) + """
+  SELECT seq, nullif(country, '') AS country, nullif(city, '') AS city, nullif(metro, '') AS metro,
+         nullif(region_name, '') AS region_name,
+         CASE WHEN length(country) > 0 AND length(region_code) > 0 THEN country || '-' || region_code END AS region
+  FROM raw""")
+def empty_to_null_region(spark, sf_dir):
+    """P3 + P4: empty geo fields become null; region code only when country and code are set."""
+    raw = TD.raw_claims_from_events(TD.read_table(spark, sf_dir, "events"))
+    return raw.select(
+        "seq", A.empty_to_null("country").alias("country"), A.empty_to_null("city").alias("city"),
+        A.empty_to_null("metro").alias("metro"), A.empty_to_null("region_name").alias("region_name"),
+        A.region_code("country", "region_code").alias("region"),
+    )

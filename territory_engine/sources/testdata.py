@@ -64,3 +64,56 @@ def load_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_coarse_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coarse_claims_from_events(read_table(spark, sf_dir, "events"))
+
+
+def raw_claims_from_events(events: DataFrame, per_user: bool = False) -> DataFrame:
+    """RAW_CLAIM rows with a mix of valid and invalid names and address forms.
+
+    Address text: IPv4, IPv6 in four spellings (compressed, upper-case, leading zeros, full),
+    empty, or junk; names: valid, or with a space. Empty geo fields where the code says so.
+    """
+    k = F.get_json_object("props", "$.k").cast("long")
+    uid = F.col("user_id")
+    eid = F.col("event_id")
+    ipv4 = F.concat(F.lit("10."), k.cast("string"), F.lit("."), (uid % 50).cast("string"), F.lit(".1"))
+    v6 = (
+        F.when(eid % 4 == 0, F.format_string("2001:db8:%x::%x", k, eid))
+        .when(eid % 4 == 1, F.upper(F.format_string("2001:db8:%x::%x", k, eid)))
+        .when(eid % 4 == 2, F.format_string("2001:0db8:%04x::%04x", k, uid))
+        .otherwise(F.format_string("2001:db8:%x:0:0:0:0:%x", k % 3, eid))
+    )
+    original_ip = (
+        F.when(uid % 13 == 0, F.lit(""))
+        .when(uid % 17 == 0, F.concat(F.lit("junk-"), k.cast("string")))
+        .when(k % 2 == 0, ipv4)
+        .otherwise(v6)
+    )
+    name = F.when(uid % 11 == 0, F.concat(F.col("event_type"), F.lit(" "), (uid % 7).cast("string"))).otherwise(
+        F.concat(F.col("event_type"), F.lit("-"), (uid % 7).cast("string"))
+    )
+    if per_user:
+        original_ip = F.concat(F.lit("10.0."), F.floor(uid / 256).cast("string"), F.lit("."), (uid % 256).cast("string"))
+        name = F.col("event_type")
+    letter = F.char(F.lit(65) + k % 25)
+    return events.select(
+        name.alias("name"),
+        original_ip.alias("original_ip"),
+        (F.lit(64512) + k).cast("long").alias("asn"),
+        F.lit(None).cast("string").alias("as_org"),
+        F.concat(F.lit("C"), F.lpad((k % 37).cast("string"), 2, "0")).alias("colo"),
+        F.when(k % 9 == 0, F.lit("")).otherwise(F.concat(letter, F.lit("X"))).alias("country"),
+        F.when(k % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("City"), k.cast("string"))).alias("city"),
+        F.lit("").alias("metro"),
+        F.when(k % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("Region"), (k % 4).cast("string"))).alias("region_name"),
+        F.when(k % 10 == 0, F.lit("")).otherwise((k % 4).cast("string")).alias("region_code"),
+        F.lit(None).cast("string").alias("postal_code"),
+        F.lit(None).cast("string").alias("continent"),
+        F.lit(None).cast("string").alias("header_country"),
+        epoch_ms_floor(F.col("ts")).alias("time_ms"),
+        eid.cast("long").alias("seq"),
+    )
+
+
+def per_user_raw_claims(events: DataFrame) -> DataFrame:
+    """RAW_CLAIM rows with one IPv4 address per user and the event type as the name."""
+    return raw_claims_from_events(events, per_user=True)
