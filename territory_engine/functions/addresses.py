@@ -22,8 +22,9 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _groups(part: Column) -> Column:
-    return F.when((part.isNull()) | (part == ""), F.array().cast("array<string>")).otherwise(F.split(part, ":"))
+def _written_groups(s: Column) -> Column:
+    """Number of groups written in an IPv6 text (empty pieces around ``::`` not counted)."""
+    return F.size(F.filter(F.split(s, ":"), lambda g: g != ""))
 
 
 def is_ipv4(ip: Column | str) -> Column:
@@ -33,21 +34,20 @@ def is_ipv4(ip: Column | str) -> Column:
 def is_ipv6(ip: Column | str) -> Column:
     """Full form, or one ``::`` standing for at least one zero group (at most seven written)."""
     s = _c(ip)
-    halves = F.split(s, "::")
-    written = F.size(_groups(F.element_at(halves, 1))) + F.size(_groups(F.element_at(halves, 2)))
-    compressed = s.rlike(IPV6_COMPRESSED_REGEX) & (F.size(halves) == 2) & (written <= 7)
+    compressed = s.rlike(IPV6_COMPRESSED_REGEX) & (_written_groups(s) <= 7)
     return F.coalesce(s.rlike(IPV6_FULL_REGEX) | compressed, F.lit(False))
 
 
+def ipv6_expanded(ip: Column | str) -> Column:
+    """Valid IPv6 text with ``::`` written out as zero groups: always eight groups."""
+    s = _c(ip)
+    zeros = F.concat(F.lit(":"), F.repeat(F.lit("0:"), F.lit(8) - _written_groups(s)))
+    return F.regexp_replace(F.regexp_replace(s, "::", zeros), "^:|:$", "")
+
+
 def ipv6_groups(ip: Column | str) -> Column:
     """The eight 16-bit groups of a valid IPv6 text as lower-case hex without leading zeros."""
-    s = _c(ip)
-    halves = F.split(s, "::")
-    left = _groups(F.element_at(halves, 1))
-    right = F.when(F.size(halves) == 2, _groups(F.element_at(halves, 2))).otherwise(F.array().cast("array<string>"))
-    fill = F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right))
-    full = F.when(F.size(halves) == 2, F.concat(left, fill, right)).otherwise(left)
-    return F.transform(full, lambda g: F.lower(F.conv(g, 16, 16)))
+    return F.transform(F.split(ipv6_expanded(ip), ":"), lambda g: F.lower(F.conv(g, 16, 16)))
 
 
 def ipv6_prefix48(ip: Column | str) -> Column:
@@ -55,14 +55,12 @@ def ipv6_prefix48(ip: Column | str) -> Column:
 
     The first three groups are kept and the rest zeroed; the longest zero run then always
     contains the five trailing groups, so it is written as ``::`` after the last non-zero
-    group among the first three.
+    group among the first three. Each step reads the previous one once, so the expression
+    stays small.
     """
-    g = ipv6_groups(ip)
-    g1, g2, g3 = F.element_at(g, 1), F.element_at(g, 2), F.element_at(g, 3)
-    keep = F.when(g3 != "0", 3).when(g2 != "0", 2).when(g1 != "0", 1).otherwise(0)
-    return F.when(keep == 0, F.lit("::")).otherwise(
-        F.concat(F.array_join(F.slice(g, 1, keep), ":"), F.lit("::"))
-    )
+    first3 = F.transform(F.slice(F.split(ipv6_expanded(ip), ":"), 1, 3), lambda g: F.lower(F.conv(g, 16, 16)))
+    kept = F.regexp_replace(F.array_join(first3, ":"), "(:0)+$", "")
+    return F.regexp_replace(F.concat(kept, F.lit("::")), "^0::$", "::")
 
 
 def mask_ip(ip: Column | str) -> Column:

@@ -50,22 +50,24 @@ def recorded_ip(original_ip: Column | str) -> Column:
 
 
 def normalise(raw: DataFrame, name_max_len: int = NAME_MAX_LEN) -> DataFrame:
-    """Static checks and normalisation: adds ``recorded_ip``, the CLAIM columns and a static verdict."""
-    ip = F.coalesce(F.col("original_ip"), F.lit(""))
+    """Static checks and normalisation: adds ``ip`` (recorded address), the normalised geo
+    columns and ``_static``, the verdict of the static checks (null when they pass)."""
+    staged = raw.withColumn("_orig", F.coalesce(F.col("original_ip"), F.lit(""))).withColumn(
+        "ip", recorded_ip("_orig")
+    )
     static = (
         F.when(~valid_name("name", name_max_len), F.lit("invalid_name"))
-        .when(ip == "", F.lit("missing_address"))
-        .when(recorded_ip(ip).isNull(), F.lit("bad_address"))
+        .when(F.col("_orig") == "", F.lit("missing_address"))
+        .when(F.col("ip").isNull(), F.lit("bad_address"))
     )
-    return raw.withColumns({
-        "ip": recorded_ip(ip),
+    return staged.withColumns({
         "country_n": empty_to_null("country"),
         "city_n": empty_to_null("city"),
         "metro_n": empty_to_null("metro"),
         "region_name_n": empty_to_null("region_name"),
         "region": region_code("country", "region_code"),
         "_static": static,
-    })
+    }).drop("_orig")
 
 
 def within_limit(df: DataFrame, keys: Sequence[str], limit: int, period_secs: int, order: Sequence[str]) -> DataFrame:
@@ -94,25 +96,29 @@ def admit(
     keys the anti-joins that mark the claims a limiter refused).
     """
     base = normalise(raw, name_max_len)
-    ok = base.where(F.col("_static").isNull())
     keys = list(order)
+    ok = base.where(F.col("_static").isNull())
     passed1 = within_limit(ok, ["ip", "name"], name_limit, period_secs, order)
-    refused1 = ok.join(passed1.select(*keys), keys, "left_anti").withColumn("_verdict", F.lit("name_rate_limited"))
     passed2 = within_limit(passed1, ["ip"], ip_limit, period_secs, order)
-    refused2 = passed1.join(passed2.select(*keys), keys, "left_anti").withColumn("_verdict", F.lit("ip_rate_limited"))
-    accepted = passed2.withColumn("_verdict", F.lit("accepted"))
-    static = base.where(F.col("_static").isNotNull()).withColumn("_verdict", F.col("_static"))
-    out = static.unionByName(refused1).unionByName(refused2).unionByName(accepted)
+    flags = base.join(passed1.select(*keys, F.lit(True).alias("_p1")), keys, "left").join(
+        passed2.select(*keys, F.lit(True).alias("_p2")), keys, "left"
+    )
+    verdict = (
+        F.when(F.col("_static").isNotNull(), F.col("_static"))
+        .when(F.col("_p1").isNull(), F.lit("name_rate_limited"))
+        .when(F.col("_p2").isNull(), F.lit("ip_rate_limited"))
+        .otherwise(F.lit("accepted"))
+    )
+    out = flags.withColumn("_verdict", verdict)
     http = None
     msg = None
     for code, (h, m) in VERDICTS.items():
         cond = F.col("_verdict") == code
         http = F.when(cond, F.lit(h)) if http is None else http.when(cond, F.lit(h))
         msg = F.when(cond, F.lit(m)) if msg is None else msg.when(cond, F.lit(m))
-    accepted_flag = F.col("_verdict") == "accepted"
     return out.select(
         *[F.col(c) for c in raw.columns],
-        F.when(~F.col("_verdict").isin("invalid_name", "missing_address", "bad_address"), F.col("ip")).alias("ip"),
+        F.when(F.col("_static").isNull(), F.col("ip")).alias("ip"),
         F.col("region").alias("region"),
         F.col("country_n").alias("country_norm"),
         F.col("city_n").alias("city_norm"),
@@ -121,7 +127,7 @@ def admit(
         F.col("_verdict").alias("verdict"),
         http.cast("int").alias("status"),
         msg.alias("error"),
-        accepted_flag.alias("accepted"),
+        (F.col("_verdict") == "accepted").alias("accepted"),
     )
 
 
