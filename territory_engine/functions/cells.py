@@ -24,9 +24,14 @@ class Grid:
 
     width: int = 360
     height: int = 180
-    size: float = 1.0  # degrees per cell side
+    size: float = 1.0  # degrees of longitude per cell
     lon0: float = -180.0
     lat0: float = -90.0
+    lat_size: float | None = None  # degrees of latitude per cell (default: ``size``)
+
+    @property
+    def dlat(self) -> float:
+        return self.size if self.lat_size is None else self.lat_size
 
     # --- ids -------------------------------------------------------------------------------
     def cell(self, col: Column | str, row: Column | str) -> Column:
@@ -42,7 +47,7 @@ class Grid:
     # --- F12: point -> cell ----------------------------------------------------------------
     def cell_of_point(self, lat: Column | str, lon: Column | str) -> Column:
         col = F.floor((_c(lon) - F.lit(self.lon0)) / F.lit(self.size))
-        row = F.least(F.greatest(F.floor((_c(lat) - F.lit(self.lat0)) / F.lit(self.size)), F.lit(0)), F.lit(self.height - 1))
+        row = F.least(F.greatest(F.floor((_c(lat) - F.lit(self.lat0)) / F.lit(self.dlat)), F.lit(0)), F.lit(self.height - 1))
         return self.cell(col, row)
 
     # --- F13: ring-1 neighbours, centre removed --------------------------------------------
@@ -68,8 +73,8 @@ class Grid:
     # --- F14: cell -> closed ring ----------------------------------------------------------
     def polygon(self, cell: Column | str) -> Column:
         x0 = F.lit(self.lon0) + self.col_of(cell).cast("double") * F.lit(self.size)
-        y0 = F.lit(self.lat0) + self.row_of(cell).cast("double") * F.lit(self.size)
-        x1, y1 = x0 + F.lit(self.size), y0 + F.lit(self.size)
+        y0 = F.lit(self.lat0) + self.row_of(cell).cast("double") * F.lit(self.dlat)
+        x1, y1 = x0 + F.lit(self.size), y0 + F.lit(self.dlat)
         pt = lambda x, y: F.struct(x.alias("lon"), y.alias("lat"))
         return F.array(pt(x0, y0), pt(x1, y0), pt(x1, y1), pt(x0, y1), pt(x0, y0))
 

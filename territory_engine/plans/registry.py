@@ -278,3 +278,130 @@ def empty_to_null_region(spark, sf_dir):
         A.empty_to_null("metro").alias("metro"), A.empty_to_null("region_name").alias("region_name"),
         A.region_code("country", "region_code").alias("region"),
     )
+
+
+# ---------------------------------------------------------------- cells and facilities ---
+from ..operators import geo as G  # noqa: E402
+
+_GEO_CTES = O.with_ctes(
+    "land AS (SELECT c_custkey AS land_id, (c_custkey // 90) * 90 + c_custkey % 90 AS cell FROM customer)",
+    "seeds AS (SELECT s_suppkey AS seed_id, ((s_suppkey * 17) % 45) * 90 + (s_suppkey * 37) % 90 AS cell FROM supplier)",
+    """pairs AS (SELECT l.cell, s.seed_id,
+         greatest(least(abs(l.cell % 90 - s.cell % 90), 90 - abs(l.cell % 90 - s.cell % 90)),
+                  abs(l.cell // 90 - s.cell // 90)) AS distance
+       FROM (SELECT DISTINCT cell FROM land) l CROSS JOIN seeds s)""",
+    """nearest AS (SELECT cell, seed_id, distance FROM (
+         SELECT *, row_number() OVER (PARTITION BY cell ORDER BY distance, seed_id) AS rn FROM pairs) WHERE rn = 1)""",
+)
+
+
+def _geo(spark, sf_dir):
+    land = TD.land_cells(TD.read_table(spark, sf_dir, "customer"))
+    seeds = TD.facility_seeds(TD.read_table(spark, sf_dir, "supplier"))
+    return land, seeds, TD.test_grid()
+
+
+@register("nearest_seed", _GEO_CTES + "SELECT * FROM nearest")
+def nearest_seed(spark, sf_dir):
+    """Every land cell's facility by smallest (hop distance, id), expanding-radius tile join."""
+    land, seeds, grid = _geo(spark, sf_dir)
+    return G.nearest_seed(land, seeds, grid)
+
+
+@register("frontier_assign", _GEO_CTES + "SELECT * FROM nearest")
+def frontier_assign(spark, sf_dir):
+    """The flood fill ring by ring from every facility, then cut to land."""
+    land, seeds, grid = _geo(spark, sf_dir)
+    return G.keep_land(G.frontier_assign(seeds, grid, land=land), land)
+
+
+@register("catalogue_gate", _GEO_CTES + """
+  SELECT s.seed_id, s.cell, CAST(coalesce(m.n, 0) AS BIGINT) AS land_matches
+  FROM seeds s LEFT JOIN (SELECT cell, count(*) AS n FROM land GROUP BY cell) m USING (cell)
+  WHERE coalesce(m.n, 0) <> 1""")
+def catalogue_gate(spark, sf_dir):
+    """Facilities whose cell is not exactly one land cell (empty = the gate passes)."""
+    land, seeds, _ = _geo(spark, sf_dir)
+    return G.facility_gate(land, seeds)
+
+
+@register("land_semi", _GEO_CTES + "SELECT seed_id, cell FROM seeds WHERE cell IN (SELECT cell FROM land)")
+def land_semi(spark, sf_dir):
+    """Facilities that sit on a land cell."""
+    land, seeds, _ = _geo(spark, sf_dir)
+    return seeds.join(land.select("cell"), "cell", "left_semi").select("seed_id", "cell")
+
+
+@register("cell_neighbours", _GEO_CTES + """
+  SELECT cell, neighbour FROM (
+    SELECT l.cell, (l.cell // 90 + o.dr) * 90 + ((l.cell % 90 + o.dc + 90) % 90) AS neighbour, l.cell // 90 + o.dr AS r
+    FROM (SELECT DISTINCT cell FROM land) l,
+         (SELECT * FROM (VALUES (-1,-1),(-1,0),(-1,1),(0,-1),(0,1),(1,-1),(1,0),(1,1)) t(dr, dc)) o)
+  WHERE r >= 0 AND r < 180""")
+def cell_neighbours(spark, sf_dir):
+    """ring-1 neighbours of every land cell (longitude wraps, rows clipped)."""
+    land, _, grid = _geo(spark, sf_dir)
+    return land.select("cell").distinct().select("cell", F.explode(grid.neighbours("cell")).alias("neighbour"))
+
+
+@register("cell_of_point", """
+  SELECT c_custkey, lat, lon,
+         CAST(least(greatest(floor((lat + 90.0) / 1.0), 0), 179) * 90
+              + ((CAST(floor((lon + 180.0) / 4.0) AS BIGINT) % 90) + 90) % 90 AS BIGINT) AS cell
+  FROM (SELECT c_custkey, ((CAST(c_custkey AS DOUBLE) * CAST(0.0123 AS DOUBLE)) % CAST(180 AS DOUBLE)) - CAST(90 AS DOUBLE) AS lat,
+               ((c_acctbal * CAST(37 AS DOUBLE)) % CAST(360 AS DOUBLE)) - CAST(180 AS DOUBLE) AS lon FROM customer)""")
+def cell_of_point(spark, sf_dir):
+    """cell of a latitude/longitude point on the test grid."""
+    _, _, grid = _geo(spark, sf_dir)
+    cust = TD.read_table(spark, sf_dir, "customer")
+    pts = cust.select(
+        "c_custkey",
+        ((F.col("c_custkey").cast("double") * F.lit(0.0123)) % F.lit(180.0) - F.lit(90.0)).alias("lat"),
+        ((F.col("c_acctbal") * F.lit(37.0)) % F.lit(360.0) - F.lit(180.0)).alias("lon"),
+    )
+    return pts.select("c_custkey", "lat", "lon", grid.cell_of_point("lat", "lon").alias("cell"))
+
+
+_TERRITORY_BOUNDS = """
+  territory_bounds AS (
+    SELECT seed_id, min(-180.0::DOUBLE + (cell % 90) * 4.0::DOUBLE) AS minx,
+           min(-90.0::DOUBLE + (cell // 90) * 1.0::DOUBLE) AS miny,
+           max(-180.0::DOUBLE + (cell % 90) * 4.0::DOUBLE + 4.0::DOUBLE) AS maxx,
+           max(-90.0::DOUBLE + (cell // 90) * 1.0::DOUBLE + 1.0::DOUBLE) AS maxy
+    FROM nearest GROUP BY seed_id)"""
+
+
+@register("bbox_center", _GEO_CTES.rstrip() + "," + _TERRITORY_BOUNDS + """
+  SELECT seed_id, minx, miny, maxx, maxy, (minx + maxx) / 2.0::DOUBLE AS center_x, (miny + maxy) / 2.0::DOUBLE AS center_y
+  FROM territory_bounds""")
+def bbox_center(spark, sf_dir):
+    """A12 + A13 + F14: bounding box and box centre of every facility's land territory."""
+    land, seeds, grid = _geo(spark, sf_dir)
+    assigned = G.nearest_seed(land, seeds, grid)
+    polys = assigned.select("seed_id", grid.polygon("cell").alias("ring"))
+    return G.bounding_box(polys, "ring", ["seed_id"])
+
+
+@register("antimeridian_filter", _GEO_CTES.rstrip() + "," + _TERRITORY_BOUNDS + """
+  SELECT seed_id FROM territory_bounds WHERE NOT (minx <= -179.0::DOUBLE AND maxx >= 179.0::DOUBLE)""")
+def antimeridian_filter(spark, sf_dir):
+    """Facility territories whose bounds do not reach within 1 degree of both -180 and 180."""
+    from ..functions.cells import crosses_antimeridian
+    land, seeds, grid = _geo(spark, sf_dir)
+    assigned = G.nearest_seed(land, seeds, grid)
+    pts = assigned.select("seed_id", F.explode(grid.polygon("cell")).alias("p"))
+    outline = pts.groupBy("seed_id").agg(F.collect_list("p").alias("ring"))
+    bounds = G.bounding_box(assigned.select("seed_id", grid.polygon("cell").alias("ring")), "ring", ["seed_id"])
+    ring = F.array(F.struct(F.col("minx").alias("lon"), F.col("miny").alias("lat")),
+                   F.struct(F.col("maxx").alias("lon"), F.col("maxy").alias("lat")))
+    del outline
+    return bounds.where(~crosses_antimeridian(ring)).select("seed_id")
+
+
+@register("dissolve_rings")
+def dissolve_rings(spark, sf_dir):
+    """Outline rings of every facility's land territory (checked by area in tests)."""
+    land, seeds, grid = _geo(spark, sf_dir)
+    assigned = G.nearest_seed(land, seeds, grid)
+    rings = G.dissolve(assigned, grid, "seed_id")
+    return rings.select("key", "ring_no", "is_hole", F.to_json("ring").alias("ring"))

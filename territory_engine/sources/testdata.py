@@ -117,3 +117,32 @@ def raw_claims_from_events(events: DataFrame, per_user: bool = False) -> DataFra
 def per_user_raw_claims(events: DataFrame) -> DataFrame:
     """RAW_CLAIM rows with one IPv4 address per user and the event type as the name."""
     return raw_claims_from_events(events, per_user=True)
+
+
+# --------------------------------------------------------------------------- cells ----------
+# The test grid: 90 columns of 4 degrees (wrapping in longitude) by 180 rows of 1 degree.
+GRID_WIDTH = 90
+GRID_HEIGHT = 180
+
+
+def test_grid():
+    from ..functions.cells import Grid
+    return Grid(width=GRID_WIDTH, height=GRID_HEIGHT, size=4.0, lat_size=1.0)
+
+
+def land_cells(customer: DataFrame) -> DataFrame:
+    """Land cells from customers: column ``c_custkey % 90``, row ``c_custkey // 90``."""
+    key = F.col("c_custkey").cast("long")
+    return customer.select(
+        key.alias("land_id"),
+        (F.floor(key / GRID_WIDTH) * GRID_WIDTH + key % GRID_WIDTH).cast("long").alias("cell"),
+    )
+
+
+def facility_seeds(supplier: DataFrame) -> DataFrame:
+    """Facility cells from suppliers: column ``s_suppkey * 37 % 90``, row ``s_suppkey * 17 % 45``."""
+    key = F.col("s_suppkey").cast("long")
+    return supplier.select(
+        key.alias("seed_id"),
+        (((key * 17) % 45) * GRID_WIDTH + (key * 37) % GRID_WIDTH).cast("long").alias("cell"),
+    )
