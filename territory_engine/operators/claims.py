@@ -23,15 +23,16 @@ PAYLOAD = [c for c in CLAIM_COLUMNS if c not in ("ip", "time_ms")]
 def _element(order: Sequence[str]) -> Column:
     """Fold element: the order key first (so ``array_sort`` sorts by it), then the claim."""
     fields = [F.col("time_ms").alias("time_ms")]
-    fields += [F.col(c).cast("long").alias(f"_o{i}") for i, c in enumerate(order) if c != "time_ms"]
+    fields += [F.col(c).alias(f"_o{i}") for i, c in enumerate(order) if c != "time_ms"]
     fields += [F.col(c).alias(c) for c in PAYLOAD]
     return F.struct(*fields)
 
 
-def _seed(order: Sequence[str]) -> Column:
+def _seed(claims: DataFrame, order: Sequence[str]) -> Column:
     """A stored row in the element layout (its order fields other than time are null)."""
+    types = {f.name: f.dataType for f in claims.schema.fields}
     fields = [F.col("time_ms").alias("time_ms")]
-    fields += [F.lit(None).cast("long").alias(f"_o{i}") for i, c in enumerate(order) if c != "time_ms"]
+    fields += [F.lit(None).cast(types[c]).alias(f"_o{i}") for i, c in enumerate(order) if c != "time_ms"]
     fields += [F.col(c).alias(c) for c in PAYLOAD]
     return F.struct(*fields)
 
@@ -66,7 +67,7 @@ def fold_claims(
     claims = valid_claims(claims)
     grouped = claims.groupBy("ip").agg(F.array_sort(F.collect_list(_element(order))).alias("_rows"))
     if state is not None:
-        stored = state.select("ip", _seed(order).alias("_seed"))
+        stored = state.select("ip", _seed(claims, order).alias("_seed"))
         grouped = grouped.join(stored, "ip", "left")
         rows = F.col("_rows")
         init = F.coalesce(F.col("_seed"), F.element_at(rows, 1))

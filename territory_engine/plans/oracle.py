@@ -213,3 +213,31 @@ def admission_sql(name_limit: int, ip_limit: int, period_secs: int, per_user: bo
         CAST(CASE v.verdict WHEN 'invalid_name' THEN 400 WHEN 'missing_address' THEN 500 WHEN 'bad_address' THEN 500
              WHEN 'accepted' THEN 200 ELSE 429 END AS INTEGER) AS status
       FROM base b JOIN verdicts v ON v.seq = b.seq"""
+
+
+def colour_sql(col: str, mult: int) -> str:
+    return ("'#' || lpad(upper(hex(list_reduce(list_transform(string_split(" + col + ", ''), lambda c: ascii(c)), "
+            f"lambda h, c: (h * {mult} + c) % 16777216, CAST(0 AS BIGINT)))), 6, '0')")
+
+
+DIVISIONS_CTES = [
+    """div AS (
+  SELECT 'div-' || CAST(n_nationkey AS VARCHAR) AS id,
+         CASE WHEN n_nationkey % 2 = 0 THEN 'country' ELSE 'region' END AS subtype,
+         substr(n_name, 1, 2) AS country,
+         substr(n_name, 1, 2) || '-' || CAST(n_regionkey AS VARCHAR) AS region,
+         CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE 'Q' || CAST(n_nationkey AS VARCHAR) END AS wikidata,
+         {'primary': n_name, 'common': lower(n_name)} AS names,
+         [{'dataset': 'tpch', 'record_id': CAST(n_nationkey AS VARCHAR)}, {'dataset': 'other', 'record_id': NULL}] AS sources,
+         [[{'division_id': 'reg-' || CAST(r_regionkey AS VARCHAR), 'name': r_name},
+           {'division_id': 'div-' || CAST(n_nationkey AS VARCHAR), 'name': n_name}]] AS hierarchies
+  FROM nation JOIN region ON n_regionkey = r_regionkey)""",
+    """areas AS (
+  SELECT 'area-' || CAST(s_suppkey AS VARCHAR) AS area_id, 'div-' || CAST(s_nationkey AS VARCHAR) AS division_id,
+         ((s_suppkey * 17) % 45) * 90 + (s_suppkey * 37) % 90 AS cell
+  FROM supplier)""",
+]
+
+AREA_BOUNDS = ("-180.0::DOUBLE + (a.cell % 90) * 4.0::DOUBLE AS minx, -90.0::DOUBLE + (a.cell // 90) * 1.0::DOUBLE AS miny, "
+               "-180.0::DOUBLE + (a.cell % 90) * 4.0::DOUBLE + 4.0::DOUBLE AS maxx, "
+               "-90.0::DOUBLE + (a.cell // 90) * 1.0::DOUBLE + 1.0::DOUBLE AS maxy")

@@ -405,3 +405,184 @@ def dissolve_rings(spark, sf_dir):
     assigned = G.nearest_seed(land, seeds, grid)
     rings = G.dissolve(assigned, grid, "seed_id")
     return rings.select("key", "ring_no", "is_hole", F.to_json("ring").alias("ring"))
+
+
+# ---------------------------------------------------------------- batches and snapshots --
+def _split_claims(spark, sf_dir):
+    claims = TD.load_claims(spark, sf_dir)
+    return claims, [claims.where(F.col("seq") % 3 == i) for i in range(3)]
+
+
+_SPLIT_CTES = [O.claims_cte(), *[O.claims_cte(name=f"c{i}", where=f"seq % 3 = {i}") for i in range(3)]]
+_SPLIT_CTES = [_SPLIT_CTES[0]] + [c.replace("FROM events", "FROM events") for c in _SPLIT_CTES[1:]]
+
+
+@register("claims_merge_batches", O.with_ctes(
+    *_SPLIT_CTES,
+    O.fold_cte(source="c0", name="s0"),
+    O.fold_cte(source="c1", name="f1", seed="s0"),
+    "s1 AS (SELECT * FROM f1 UNION ALL SELECT * FROM s0 WHERE ip NOT IN (SELECT ip FROM c1))",
+    O.fold_cte(source="c2", name="f2", seed="s1"),
+    "s2 AS (SELECT * FROM f2 UNION ALL SELECT * FROM s1 WHERE ip NOT IN (SELECT ip FROM c2))",
+) + "SELECT * FROM s2")
+def claims_merge_batches(spark, sf_dir):
+    """U4 + J8: three batches (events split by id mod 3) upserted one after another into the state."""
+    _, parts = _split_claims(spark, sf_dir)
+    state = C.apply_claims(None, parts[0])
+    for p in parts[1:]:
+        state = C.apply_claims(state, p)
+    return state
+
+
+@register("newest_wins_merge", O.with_ctes(
+    *_SPLIT_CTES,
+    O.fold_cte(source="(SELECT * FROM claims WHERE seq % 3 <> 2)", name="old"),
+    O.fold_cte(source="c2", name="new"),
+) + "SELECT * FROM new UNION ALL SELECT * FROM old WHERE ip NOT IN (SELECT ip FROM new)")
+def newest_wins_merge(spark, sf_dir):
+    """J6 + U3: new rows, then old rows whose address they do not replace."""
+    claims, parts = _split_claims(spark, sf_dir)
+    old = C.fold_claims(claims.where(F.col("seq") % 3 != 2))
+    new = C.fold_claims(parts[2])
+    return C.newest_wins_merge(old, new)
+
+
+@register("last_run", O.with_ctes(
+    O.claims_cte(),
+    "lastname AS (SELECT ip, arg_max(name, (time_ms, seq)) AS last_name FROM claims GROUP BY ip)",
+    """cut AS (SELECT c.ip, max((c.time_ms, c.seq)) AS k FROM claims c JOIN lastname l USING (ip)
+               WHERE c.name <> l.last_name GROUP BY c.ip)""",
+) + """SELECT c.* FROM claims c LEFT JOIN cut USING (ip) WHERE cut.k IS NULL OR (c.time_ms, c.seq) > cut.k""")
+def last_run(spark, sf_dir):
+    """Every address's claims after its last name change."""
+    return C.last_run(TD.load_claims(spark, sf_dir))
+
+
+_INCR_CTES = [
+    *_SPLIT_CTES,
+    O.fold_cte(source="(SELECT * FROM claims WHERE seq % 3 <> 2)", name="snap"),
+    O.fold_cte(),
+    O.ASOF_CTE,
+    "newrows AS (SELECT * FROM state WHERE time_ms > (SELECT max(time_ms) FROM snap))",
+    "merged AS (SELECT * FROM newrows UNION ALL SELECT * FROM snap WHERE ip NOT IN (SELECT ip FROM newrows))",
+]
+_INCR_COUNTS = "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS territory_type, '{w}' AS time_window, {t} AS territory, name, count(*) AS count, "
+    f"max(time_ms) AS latest FROM merged WHERE {O.window_pred('time_ms', w)} GROUP BY 1, 2, 3, 4"
+    for t in ("colo", "region", "country") for w in ("hourly", "daily", "weekly", "monthly", "all-time")
+)
+
+
+def _incremental(spark, sf_dir):
+    from ..operators import incremental as I
+    claims = TD.load_claims(spark, sf_dir)
+    snap = C.fold_claims(claims.where(F.col("seq") % 3 != 2))
+    state = C.fold_claims(claims)
+    merged = I.refresh_snapshot(snap, state)
+    return I, merged, as_of_latest(claims)
+
+
+@register("incremental_since", O.with_ctes(*_INCR_CTES) + "SELECT * FROM merged")
+def incremental_since(spark, sf_dir):
+    """T7 / P11 + J6: a snapshot refreshed with the state rows newer than its watermark."""
+    _, merged, _ = _incremental(spark, sf_dir)
+    return merged
+
+
+@register("incremental_counts", O.with_ctes(*_INCR_CTES) + _INCR_COUNTS)
+def incremental_counts(spark, sf_dir):
+    """Per (type, window, territory, name) counts on the refreshed snapshot, null territory kept."""
+    I, merged, as_of = _incremental(spark, sf_dir)
+    return I.incremental_counts(merged, as_of)
+
+
+@register("scores_by_name_list", O.with_ctes(*_INCR_CTES) + f"""
+  SELECT territory_type, time_window, name,
+         string_agg(coalesce(territory, 'null') || ':' || CAST(count AS VARCHAR) || ':' || CAST(latest AS VARCHAR), ','
+                    ORDER BY territory NULLS FIRST, count, latest) AS scores
+  FROM ({_INCR_COUNTS}) GROUP BY 1, 2, 3""")
+def scores_by_name_list(spark, sf_dir):
+    """Per (type, window, name) the list of [territory, count, latest] (as text)."""
+    from ..sinks.publish import score_lists
+    I, merged, as_of = _incremental(spark, sf_dir)
+    lists = score_lists(I.incremental_counts(merged, as_of))
+    text = F.array_join(F.transform("scores", lambda x: F.concat_ws(
+        ":", F.coalesce(x["territory"], F.lit("null")), x["count"].cast("string"), x["latest"].cast("string"))), ",")
+    return lists.select("territory_type", "time_window", "name", text.alias("scores"))
+
+
+# ---------------------------------------------------------------- catalogue and boundaries
+from ..sources import catalogue as CAT  # noqa: E402
+
+
+def _extras_sql() -> str:
+    rows = ", ".join(f"('{c}', '{city}', {lat}::DOUBLE, {lon}::DOUBLE)" for c, city, lat, lon in CAT.EXTRA_FACILITIES)
+    return (f"extras AS (SELECT 'CN' AS country, city, lat, lon, city || ', China' AS name, 'Mainland China' AS region, colo "
+            f"FROM (VALUES {rows}) t(colo, city, lat, lon))")
+
+
+@register("catalogue_override", O.with_ctes(
+    """cat AS (
+      SELECT substr(n_name, 1, 2) AS country, s_name AS city,
+             -90.0::DOUBLE + (((s_suppkey * 17) % 45) + 0.5::DOUBLE) * 1.0::DOUBLE AS lat,
+             -180.0::DOUBLE + (((s_suppkey * 37) % 90) + 0.5::DOUBLE) * 4.0::DOUBLE AS lon,
+             s_name AS name, n_name AS region, 'S' || lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS colo
+      FROM supplier JOIN nation ON s_nationkey = n_nationkey)""",
+    _extras_sql(),
+) + """SELECT *, CAST(least(greatest(floor((lat + 90.0::DOUBLE) / 1.0::DOUBLE), 0), 179) * 90
+                  + ((CAST(floor((lon + 180.0::DOUBLE) / 4.0::DOUBLE) AS BIGINT) % 90) + 90) % 90 AS BIGINT) AS cell
+       FROM (SELECT * FROM cat WHERE name NOT IN (SELECT name FROM extras) UNION ALL SELECT * FROM extras)""")
+def catalogue_override(spark, sf_dir):
+    """S13 + S14 + J3 + U1 + F12: catalogue parsed from code-keyed JSON, overridden by the extras."""
+    text = TD.catalogue_text(TD.read_table(spark, sf_dir, "supplier"), TD.read_table(spark, sf_dir, "nation"))
+    cat = CAT.override_catalogue(CAT.parse_catalogue(text), CAT.extra_facilities(spark))
+    return CAT.facility_cells(cat, TD.test_grid()).drop("distance")
+
+
+def _boundaries(spark, sf_dir, subtype, with_region):
+    from ..operators.boundaries import divisions_with_areas
+    out = divisions_with_areas(TD.divisions_view(spark, sf_dir), subtype, with_region)
+    pts = F.flatten("rings")
+    return out.drop("geometry").withColumns({
+        "minx": F.array_min(F.transform(pts, lambda p: p["lon"])),
+        "miny": F.array_min(F.transform(pts, lambda p: p["lat"])),
+        "maxx": F.array_max(F.transform(pts, lambda p: p["lon"])),
+        "maxy": F.array_max(F.transform(pts, lambda p: p["lat"])),
+    }).drop("rings")
+
+
+@register("division_areas", O.with_ctes(*O.DIVISIONS_CTES) + f"""
+  SELECT d.id, d.subtype, d.country, d.wikidata, d.names.primary AS primary_name,
+         d.sources[1].dataset AS primary_source, a.area_id, {O.AREA_BOUNDS}
+  FROM div d JOIN areas a ON a.division_id = d.id WHERE d.subtype = 'country'""")
+def division_areas(spark, sf_dir):
+    """Q9 (countries): P12 + J1 + F11 + F16 — divisions joined to their areas, WKB decoded."""
+    return _boundaries(spark, sf_dir, "country", False)
+
+
+@register("region_areas", O.with_ctes(*O.DIVISIONS_CTES) + f"""
+  SELECT d.id, d.subtype, d.country, d.region, d.wikidata, d.names.primary AS primary_name,
+         d.sources[1].dataset AS primary_source, d.hierarchies[1][1].name AS country_primary_name,
+         a.area_id, {O.AREA_BOUNDS}
+  FROM div d JOIN areas a ON a.division_id = d.id WHERE d.subtype = 'region'""")
+def region_areas(spark, sf_dir):
+    """Q9 (regions): as countries plus region code and the first hierarchy entry's name."""
+    return _boundaries(spark, sf_dir, "region", True)
+
+
+@register("territory_claimant_map", O.with_ctes(
+    O.claims_cte(), O.fold_cte(), O.ASOF_CTE,
+    _GEO_CTES[len("WITH "):].rstrip(),
+    "board AS (" + O.leaderboard_sql("colo", "weekly") + ")",
+    "winners AS (SELECT unnest(string_split(territories, ',')) AS territory, name AS claimant FROM board)",
+) + f"""SELECT n.cell, n.seed_id, 'C' || lpad(CAST(n.seed_id % 37 AS VARCHAR), 2, '0') AS colo, w.claimant,
+           {O.colour_sql('w.claimant', 31)} AS fill, {O.colour_sql('w.claimant', 255)} AS stroke
+    FROM nearest n JOIN winners w ON w.territory = 'C' || lpad(CAST(n.seed_id % 37 AS VARCHAR), 2, '0')""")
+def territory_claimant_map(spark, sf_dir):
+    """Q8 + J7 + F3: facility-territory features coloured by the weekly facility winner."""
+    from ..operators.maps import territory_map
+    claims, state = _state(spark, sf_dir)
+    board = R.leaderboards(state, as_of_latest(claims))
+    land, seeds, grid = _geo(spark, sf_dir)
+    features = TD.facility_features(G.nearest_seed(land, seeds, grid))
+    return territory_map(features, board, "colo", "weekly").select("cell", "seed_id", "colo", "claimant", "fill", "stroke")

@@ -7,6 +7,7 @@ job work. The same shaping is written once more as DuckDB SQL for the oracle in
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,3 +147,87 @@ def facility_seeds(supplier: DataFrame) -> DataFrame:
         key.alias("seed_id"),
         (((key * 17) % 45) * GRID_WIDTH + (key * 37) % GRID_WIDTH).cast("long").alias("cell"),
     )
+
+
+def divisions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Division rows from ``nation`` (nested names/sources/hierarchies) and area rows from
+    ``supplier`` (WKB polygon of the supplier's facility cell), in one table with ``type``."""
+    from .geojson import polygon_wkb
+
+    nation = read_table(spark, sf_dir, "nation")
+    region = read_table(spark, sf_dir, "region")
+    supplier = read_table(spark, sf_dir, "supplier")
+    nk = F.col("n_nationkey")
+    divisions = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
+        F.lit("division").alias("type"),
+        F.concat(F.lit("div-"), nk.cast("string")).alias("id"),
+        F.when(nk % 2 == 0, F.lit("country")).otherwise(F.lit("region")).alias("subtype"),
+        F.substring("n_name", 1, 2).alias("country"),
+        F.concat(F.substring("n_name", 1, 2), F.lit("-"), F.col("n_regionkey").cast("string")).alias("region"),
+        F.when(nk % 3 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("Q"), nk.cast("string"))).alias("wikidata"),
+        F.struct(F.col("n_name").alias("primary"), F.lower("n_name").alias("common")).alias("names"),
+        F.array(
+            F.struct(F.lit("tpch").alias("dataset"), nk.cast("string").alias("record_id")),
+            F.struct(F.lit("other").alias("dataset"), F.lit(None).cast("string").alias("record_id")),
+        ).alias("sources"),
+        F.array(F.array(
+            F.struct(F.concat(F.lit("reg-"), F.col("r_regionkey").cast("string")).alias("division_id"),
+                     F.col("r_name").alias("name")),
+            F.struct(F.concat(F.lit("div-"), nk.cast("string")).alias("division_id"), F.col("n_name").alias("name")),
+        )).alias("hierarchies"),
+        F.lit(None).cast("string").alias("division_id"),
+        F.lit(None).cast("binary").alias("geometry"),
+    )
+    grid = test_grid()
+
+    @F.pandas_udf("binary")
+    def wkb(x0: pd.Series, y0: pd.Series) -> pd.Series:
+        return pd.Series([
+            polygon_wkb([[(a, b), (a + grid.size, b), (a + grid.size, b + grid.dlat), (a, b + grid.dlat), (a, b)]])
+            for a, b in zip(x0, y0)
+        ])
+
+    seeds = facility_seeds(supplier).join(supplier.select(F.col("s_suppkey").cast("long").alias("seed_id"), "s_nationkey"), "seed_id")
+    x0 = F.lit(grid.lon0) + grid.col_of("cell").cast("double") * F.lit(grid.size)
+    y0 = F.lit(grid.lat0) + grid.row_of("cell").cast("double") * F.lit(grid.dlat)
+    areas = seeds.select(
+        F.lit("division_area").alias("type"),
+        F.concat(F.lit("area-"), F.col("seed_id").cast("string")).alias("id"),
+        F.lit(None).cast("string").alias("subtype"),
+        F.lit(None).cast("string").alias("country"),
+        F.lit(None).cast("string").alias("region"),
+        F.lit(None).cast("string").alias("wikidata"),
+        F.lit(None).cast(divisions.schema["names"].dataType).alias("names"),
+        F.lit(None).cast(divisions.schema["sources"].dataType).alias("sources"),
+        F.lit(None).cast(divisions.schema["hierarchies"].dataType).alias("hierarchies"),
+        F.concat(F.lit("div-"), F.col("s_nationkey").cast("string")).alias("division_id"),
+        wkb(x0, y0).alias("geometry"),
+    )
+    return divisions.unionByName(areas)
+
+
+def catalogue_text(supplier: DataFrame, nation: DataFrame) -> DataFrame:
+    """Facility catalogue objects keyed by code, one object per supplier line (``value``)."""
+    grid = test_grid()
+    seeds = facility_seeds(supplier)
+    s = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select(
+        F.col("s_suppkey").cast("long").alias("seed_id"), "s_name", "n_name")
+    s = s.join(seeds, "seed_id")
+    lon = F.lit(grid.lon0) + (grid.col_of("cell").cast("double") + F.lit(0.5)) * F.lit(grid.size)
+    lat = F.lit(grid.lat0) + (grid.row_of("cell").cast("double") + F.lit(0.5)) * F.lit(grid.dlat)
+    code = F.concat(F.lit("S"), F.lpad(F.col("seed_id").cast("string"), 5, "0"))
+    entry = F.struct(
+        F.col("s_name").alias("city"), lat.alias("lat"), lon.alias("lon"), F.col("s_name").alias("name"),
+        F.col("n_name").alias("region"), F.substring("n_name", 1, 2).alias("cca2"),
+    )
+    return s.select(F.to_json(F.create_map(code, entry)).alias("value"))
+
+
+def facility_features(assigned: DataFrame) -> DataFrame:
+    """Map features: each land cell of a facility territory, labelled with a claim facility code."""
+    grid = test_grid()
+    return assigned.select(
+        "cell", "seed_id",
+        F.concat(F.lit("C"), F.lpad((F.col("seed_id") % 37).cast("string"), 2, "0")).alias("colo"),
+        grid.polygon("cell").alias("ring"),
+    )
