@@ -10,34 +10,47 @@ from ..constants import CLAIM_COLUMNS
 from ..schema import BATCH_FILE
 
 
-def read_batch_files(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
+def _parse(text: DataFrame, mode: str) -> DataFrame:
+    """Parse objects with the fixed schema; ``_obj`` (a hash of the object text) tells apart
+    objects that share a file."""
+    opts = {"mode": mode, "columnNameOfCorruptRecord": "_corrupt_record"}
+    return text.where(F.trim("value") != "").select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.xxhash64("value").alias("_obj"),
+        F.from_json("value", BATCH_FILE, opts).alias("o"),
+    ).select("o.*", "_file", "_obj")
+
+
+def read_batch_files(spark: SparkSession, path: str, mode: str = "PERMISSIVE", lines: bool = False) -> DataFrame:
     """Every batch object under ``path`` with its file path.
 
+    By default each file is one (possibly pretty-printed) object and is read whole; with
+    ``lines`` each line is an object (what ``sinks.publish.claim_envelopes`` writes).
     ``PERMISSIVE`` keeps unreadable objects in ``_corrupt_record`` (split them off with
     ``quarantine``); ``FAILFAST`` stops on the first one, as the reference's loop does.
     """
-    reader = spark.read.schema(BATCH_FILE).option("multiLine", True).option("mode", mode)
-    if mode == "PERMISSIVE":
-        reader = reader.option("columnNameOfCorruptRecord", "_corrupt_record")
-    return reader.json(path).withColumn("_file", F.col("_metadata.file_path"))
+    return _parse(spark.read.text(path, wholetext=not lines), mode)
 
 
 def stream_batch_files(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
-                       clean_source: str | None = None, archive_dir: str | None = None) -> DataFrame:
+                       clean_source: str | None = None, archive_dir: str | None = None,
+                       lines: bool = False) -> DataFrame:
     """The same objects as a file stream; ``clean_source`` = ``archive`` or ``delete``
     removes consumed files after their batch commits (S5)."""
-    reader = spark.readStream.schema(BATCH_FILE).option("multiLine", True).option("mode", "PERMISSIVE")
+    reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if clean_source:
         reader = reader.option("cleanSource", clean_source)
         if archive_dir:
             reader = reader.option("sourceArchiveDir", archive_dir)
-    return reader.json(path).withColumn("_file", F.col("_metadata.file_path"))
+    return _parse(reader.text(path, wholetext=not lines), "PERMISSIVE")
 
 
 def quarantine(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """S3: (readable objects, unreadable objects with their file and raw text)."""
+    """S3: (readable objects, unreadable objects with their file and raw text).
+
+    """
     bad = F.col("_corrupt_record").isNotNull()
     return objects.where(~bad), objects.where(bad).select("_file", "_corrupt_record")
 
@@ -53,9 +66,11 @@ def unwrap(objects: DataFrame) -> DataFrame:
     claims = F.when(F.col("batch").isNotNull(), F.col("batch")).otherwise(bare)
     return (
         objects.where(F.col("_corrupt_record").isNull())
-        .select("_file", F.posexplode(claims).alias("_offset", "c"))
-        .select(*[F.col(f"c.{c}").alias(c) for c in CLAIM_COLUMNS], "_file", F.col("_offset").cast("long").alias("_offset"))
+        .select("_file", "_obj", F.posexplode(claims).alias("_offset", "c"))
+        .select(*[F.col(f"c.{c}").alias(c) for c in CLAIM_COLUMNS], "_file", "_obj",
+                F.col("_offset").cast("long").alias("_offset"))
     )
 
 
-BATCH_ORDER = ("time_ms", "_file", "_offset")
+# Claims with equal times are applied in file, object, then position order.
+BATCH_ORDER = ("time_ms", "_file", "_obj", "_offset")

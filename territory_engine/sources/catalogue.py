@@ -65,7 +65,7 @@ def parse_catalogue(text: DataFrame, col: str = "value") -> DataFrame:
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """S13 from files: whole files as text (a catalogue is one object per file or per line)."""
-    return parse_catalogue(spark.read.option("wholetext", True).text(path))
+    return parse_catalogue(spark.read.text(path, wholetext=True))
 
 
 def extra_facilities(spark: SparkSession) -> DataFrame:

@@ -34,7 +34,7 @@ def _to_rings(coords):
 
 def read_feature_collection(spark: SparkSession, path: str) -> DataFrame:
     """(properties map, polygon rings) per feature of FeatureCollection files."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     fc = text.select(F.from_json("value", _COLLECTION).alias("fc"))
     return fc.select(F.explode("fc.features").alias("f")).select(
         F.col("f.properties").alias("properties"), _to_rings(F.col("f.geometry.coordinates")).alias("rings")
