@@ -49,11 +49,45 @@ def valid_claims(claims: DataFrame) -> DataFrame:
     return claims.where(F.col("ip").isNotNull() & F.col("name").isNotNull() & F.col("time_ms").isNotNull())
 
 
+DEFAULT_HOT_THRESHOLD = 200_000
+
+
 def fold_claims(
     claims: DataFrame,
     state: DataFrame | None = None,
     cooldown_ms: int = COOLDOWN_MS,
     order: Sequence[str] = ("time_ms", "seq"),
+    hot_threshold: int | None = DEFAULT_HOT_THRESHOLD,
+    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+) -> DataFrame:
+    """Fold new claims per address into one row each (see ``fold_small``), skew-aware.
+
+    Addresses with more than ``hot_threshold`` claims are folded by ``hotkeys.hot_fold``,
+    which never gathers an address's history; every other address's list is bounded by the
+    threshold. The per-address counts combine map-side, and the hot set (at most
+    rows / threshold addresses) is broadcast only within the checked bound.
+    """
+    if hot_threshold is None:
+        return fold_small(claims, state, cooldown_ms, order)
+    claims = valid_claims(claims)
+    hot = claims.groupBy("ip").count().where(F.col("count") > hot_threshold).select("ip")
+    if hot.isEmpty():
+        return fold_small(claims, state, cooldown_ms, order)
+    from .hotkeys import hot_fold
+
+    hot_keys = maybe_broadcast(hot, max_broadcast_rows)
+    normal = fold_small(claims.join(hot_keys, "ip", "left_anti"),
+                        None if state is None else state.join(hot_keys, "ip", "left_anti"), cooldown_ms, order)
+    heavy = hot_fold(claims.join(hot_keys, "ip", "left_semi"),
+                     None if state is None else state.join(hot_keys, "ip", "left_semi"), cooldown_ms, order)
+    return normal.unionByName(heavy)
+
+
+def fold_small(
+    claims: DataFrame,
+    state: DataFrame | None = None,
+    cooldown_ms: int = COOLDOWN_MS,
+    order: Sequence[str] = ("time_ms", "seq"),
 ) -> DataFrame:
     """Fold new claims per address into one row each, seeded by the stored row when given.
 
@@ -100,7 +134,7 @@ def apply_claims(
     batch = valid_claims(batch)
     keys = maybe_broadcast(batch.select("ip").distinct(), max_broadcast_rows)
     stored = state.join(keys, "ip", "left_semi")
-    touched = fold_claims(batch, stored, cooldown_ms, order)
+    touched = fold_claims(batch, stored, cooldown_ms, order, max_broadcast_rows=max_broadcast_rows)
     kept = state.join(keys, "ip", "left_anti")
     return kept.select(*CLAIM_COLUMNS).unionByName(touched)
 

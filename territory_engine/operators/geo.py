@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,24 +49,76 @@ def _radii(grid: Grid, n_seeds: int) -> list[int]:
         t *= 2
 
 
+def row_minima(seeds: DataFrame, grid: Grid, seed_cell: str = "cell", seed_id: str = "seed_id") -> DataFrame:
+    """Per facility row ``r``, column ``x`` and radius ``k`` (0..width/2): the smallest facility
+    id in row ``r`` within circular column distance ``k`` of ``x`` -> (r, x, k, min_id).
+
+    Size: (facility rows) x width x (width/2 + 1), fixed by the grid, not by the data. Built
+    from facilities x columns, one min per (r, x, k0), and a running min over ``k`` (windows
+    of at most width/2 + 1 rows).
+    """
+    half = grid.width // 2
+    s = seeds.select(grid.row_of(seed_cell).alias("r"), grid.col_of(seed_cell).alias("xs"), F.col(seed_id).alias("sid"))
+    per_col = s.select("r", "xs", "sid", F.explode(F.sequence(F.lit(0), F.lit(grid.width - 1))).alias("x"))
+    dx = F.abs(F.col("x") - F.col("xs"))
+    exact = per_col.select("r", "x", F.least(dx, F.lit(grid.width) - dx).alias("k"), "sid").groupBy("r", "x", "k").agg(
+        F.min("sid").alias("sid"))
+    rows = s.select("r").distinct()
+    full = rows.select("r", F.explode(F.sequence(F.lit(0), F.lit(grid.width - 1))).alias("x")).select(
+        "r", "x", F.explode(F.sequence(F.lit(0), F.lit(half))).alias("k"))
+    w = Window.partitionBy("r", "x").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return full.join(exact, ["r", "x", "k"], "left").select(
+        "r", "x", "k", F.min("sid").over(w).alias("min_id")
+    ).where(F.col("min_id").isNotNull())
+
+
 def nearest_seed(cells: DataFrame, seeds: DataFrame, grid: Grid, cell: str = "cell", seed_cell: str = "cell",
                  seed_id: str = "seed_id", max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """For each cell, the facility with the smallest (distance, id) -> (cell, seed_id, distance).
 
-    The facility count is taken once: it picks the first radius and bounds the broadcast of
-    the facility tiles (nine copies per facility); above the bound the tile join shuffles.
-    After each radius the resolved cells and the still-open cells are checkpointed (reliable,
-    in the session's checkpoint folder), which keeps each level's plan one level deep.
+    Hop distance on the grid is Chebyshev distance (columns wrap), so it separates by rows:
+    from facility row ``r`` the nearest distance is ``d_r = max(dx_r, |y - r|)`` with ``dx_r``
+    the circular column distance to the row's nearest facility, and every facility of row
+    ``r`` within ``min(d_r, width/2)`` columns is at exactly ``d_r`` -- the smallest id among
+    them is a lookup in ``row_minima``. The answer is ``min over r of (d_r, id_r)``: one join
+    of cells with the facility rows of their column (fan-out bounded by the grid height), one
+    lookup join and one aggregate that combines map-side. No cross join and no iteration.
+    The lookup table's size is fixed by the grid; it is broadcast when that bound allows.
+    """
+    half = grid.width // 2
+    table = row_minima(seeds, grid, seed_cell, seed_id)
+    n_rows_bound = grid.height * grid.width * (half + 1)
+    table_b = F.broadcast(table) if n_rows_bound <= max_broadcast_rows else table
+    nearest_in_row = table.groupBy("r", "x").agg(F.min("k").alias("dx"))
+    nir_b = F.broadcast(nearest_in_row) if grid.height * grid.width <= max_broadcast_rows else nearest_in_row
+    c = cells.select(F.col(cell).alias("cell")).distinct().select(
+        "cell", grid.col_of("cell").alias("x"), grid.row_of("cell").alias("y"))
+    per_row = c.join(nir_b, "x").select(
+        "cell", "x", "r", F.greatest(F.col("dx"), F.abs(F.col("y") - F.col("r"))).alias("d"))
+    per_row = per_row.withColumn("k", F.least(F.col("d"), F.lit(half)))
+    best = per_row.join(table_b, ["r", "x", "k"]).groupBy("cell").agg(
+        F.min(F.struct(F.col("d"), F.col("min_id"))).alias("_b"))
+    return best.select("cell", F.col("_b.min_id").alias("seed_id"), F.col("_b.d").cast("long").alias("distance"))
+
+
+def nearest_seed_tiles(cells: DataFrame, seeds: DataFrame, grid: Grid, cell: str = "cell", seed_cell: str = "cell",
+                       seed_id: str = "seed_id", max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """J10 as an expanding-radius tile join (works for any distance whose balls fit in tiles).
+
+    Each radius left-joins the still-open cells to the facility tiles around them and keeps
+    each cell's best candidate; cells whose best is within the radius are final, the rest are
+    the next radius's input, all in one lazy plan. Cheap when facilities are near every cell;
+    with many equidistant far facilities the large radii approach all pairs, which is why
+    ``nearest_seed`` uses the row decomposition instead.
     """
-    ensure_checkpoint_dir(cells.sparkSession)
     s = seeds.select(F.col(seed_cell).alias("_scell"), F.col(seed_id).alias("seed_id"))
     n_seeds = s.count()
     small = n_seeds * 9 <= max_broadcast_rows
-    remaining = cells.select(F.col(cell).alias("cell")).distinct().checkpoint()
+    remaining = cells.select(F.col(cell).alias("cell")).distinct()
     done: list[DataFrame] = []
     top = max(grid.width, grid.height)
     for t in _radii(grid, n_seeds):
-        tc = _divisor_at_least(grid.width, t)  # tile width: divides the width so tiles wrap cleanly
+        tc = _divisor_at_least(grid.width, t)
         ntc = grid.width // tc
         col_offsets = sorted({o % ntc for o in (-1, 0, 1)})
         row_offsets = [-1, 0, 1] if t < grid.height else [0]
@@ -80,20 +132,18 @@ def nearest_seed(cells: DataFrame, seeds: DataFrame, grid: Grid, cell: str = "ce
         cell_tiles = remaining.select(
             "cell", F.floor(grid.col_of("cell") / tc).alias("_tc"), F.floor(grid.row_of("cell") / tr).alias("_tr"),
         )
-        cand = cell_tiles.join(F.broadcast(seed_tiles) if small else seed_tiles, ["_tc", "_tr"]).select(
+        cand = cell_tiles.join(F.broadcast(seed_tiles) if small else seed_tiles, ["_tc", "_tr"], "left").select(
             "cell", grid.distance("cell", "_scell").alias("d"), "seed_id"
         )
-        best = cand.groupBy("cell").agg(F.min(F.struct("d", "seed_id")).alias("_b")).select(
+        hit = F.when(F.col("d").isNotNull(), F.struct("d", "seed_id"))
+        best = cand.groupBy("cell").agg(F.min(hit).alias("_b")).select(
             "cell", F.col("_b.seed_id").alias("seed_id"), F.col("_b.d").alias("distance")
         )
         if t >= top:
-            done.append(best)
-            break
-        final = best.where(F.col("distance") <= t).checkpoint()
-        done.append(final)
-        remaining = remaining.join(final.select("cell"), "cell", "left_anti").checkpoint()
-        if remaining.isEmpty():
+            done.append(best.where(F.col("distance").isNotNull()))
             break
+        done.append(best.where(F.col("distance") <= t))
+        remaining = best.where(F.col("distance").isNull() | (F.col("distance") > t)).select("cell")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

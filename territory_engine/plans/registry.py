@@ -50,6 +50,13 @@ def claims_fold_coarse(spark, sf_dir):
     return _state(spark, sf_dir, coarse=True)[1]
 
 
+@register("claims_fold_hot_path", O.with_ctes(O.claims_cte(coarse=True), O.fold_cte()) + "SELECT * FROM state")
+def claims_fold_hot_path(spark, sf_dir):
+    """J8 with every key above 50 claims folded by the hot-key path (buckets + pointer jumping)."""
+    claims = TD.load_coarse_claims(spark, sf_dir)
+    return C.fold_claims(claims, hot_threshold=50)
+
+
 @register("claims_fold_long_cooldown",
           O.with_ctes(O.claims_cte(coarse=True), O.fold_cte(cooldown_ms=12 * 3600 * 1000)) + "SELECT * FROM state")
 def claims_fold_long_cooldown(spark, sf_dir):

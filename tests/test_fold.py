@@ -115,3 +115,33 @@ def test_fold_plan_single_shuffle(spark):
     plan = C.fold_claims(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 1
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_hot_path_equals_model(spark, seed):
+    """Force every address onto the hot-key path (threshold 0) and compare with the model."""
+    rng = random.Random(300 + seed)
+    rows = gen_rows(rng, 250, ips=3, names=3)
+    got = as_dict(C.fold_claims(rows_df(spark, rows), hot_threshold=0))
+    assert got == model_dict(fold(rows))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_hot_path_with_stored_rows(spark, seed):
+    rng = random.Random(400 + seed)
+    first, second = gen_rows(rng, 120, ips=4), gen_rows(rng, 160, ips=4, seq0=1000)
+    stored = C.fold_claims(rows_df(spark, first), hot_threshold=None)
+    touched = C.fold_claims(rows_df(spark, second), stored, hot_threshold=0)
+    kept = stored.join(rows_df(spark, second).select("ip"), "ip", "left_anti")
+    got = as_dict(touched.unionByName(kept))
+    assert got == model_dict(fold(second, stored=fold(first)))
+
+
+def test_hot_path_sparse_and_long_runs(spark):
+    """Long same-name runs across many empty buckets, and stored rows in empty buckets."""
+    rows, t, seq = [], 1_000_000_000_000, 0
+    for gap in [10, 500_000, 3_000_000, 899_999, 1, 7_200_000, 900_001, 0, 0, 30_000_000, 5]:
+        t += gap
+        rows.append({"ip": "h", "name": "x" if seq % 5 else "y", "time_ms": t, "seq": seq})
+        seq += 1
+    assert as_dict(C.fold_claims(rows_df(spark, rows), hot_threshold=0)) == model_dict(fold(rows))
