@@ -34,10 +34,18 @@ def territory_counts(state: DataFrame, territory_type: str, window: str, as_of_m
     )
 
 
-def rank_contenders(counts: DataFrame, partition: list[str] | None = None) -> DataFrame:
-    """Position of every contender within its territory (count desc, latest desc, name)."""
+def rank_contenders(counts: DataFrame, partition: list[str] | None = None, spread: bool = False) -> DataFrame:
+    """Position of every contender within its territory (count desc, latest desc, name).
+
+    ``spread=True`` numbers large territories across many tasks (``plans.ranking``) instead of
+    sorting each territory's contenders in one task.
+    """
     keys = (partition or []) + ["territory"]
-    w = Window.partitionBy(*keys).orderBy(F.desc("count"), F.desc("latest"), F.asc("name"))
+    order = [F.desc("count"), F.desc("latest"), F.asc("name")]
+    if spread:
+        from ..plans.ranking import row_number_spread
+        return row_number_spread(counts, keys, order)
+    w = Window.partitionBy(*keys).orderBy(*order)
     return counts.withColumn("rank", F.row_number().over(w).cast("long"))
 
 

@@ -16,13 +16,15 @@ from ..plans.broadcast import maybe_broadcast
 from .rankings import rank_contenders, window_counts
 
 
-def contenders(state: DataFrame, window: str, as_of_ms: Column | int) -> DataFrame:
+def contenders(state: DataFrame, window: str, as_of_ms: Column | int, spread: bool = True) -> DataFrame:
     """A4 + W2 for every territory of every type, one window: the materialised contender table.
 
     (territory_type, territory, name, count, latest, rank, latest_unit, latest_value)
+    The counts combine map-side; ranks are numbered across tasks (``spread``), so a territory
+    with a very large number of contenders is not sorted in one task.
     """
     counts = window_counts(state, as_of_ms, inclusive=True).where(F.col("time_window") == window)
-    ranked = rank_contenders(counts.drop("time_window"), ["territory_type"])
+    ranked = rank_contenders(counts.drop("time_window"), ["territory_type"], spread=spread)
     unit, value = relative_age("latest", as_of_ms)
     return ranked.select(
         "territory_type", "territory", "name", "count", "latest", "rank",

@@ -67,3 +67,14 @@ def test_recents_top_k_plan(spark):
     df = R.recents(state, as_of_latest(claims), 5)
     assert df.count() == 5
     assert "TakeOrderedAndProject" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_spread_rank_equals_window_rank(spark):
+    import random
+    rng = random.Random(5)
+    rows = [("colo", "T" + str(rng.randrange(3)), f"n{i}", rng.randrange(5), rng.randrange(4)) for i in range(400)]
+    df = spark.createDataFrame(rows, "territory_type string, territory string, name string, count bigint, latest bigint")
+    a = R.rank_contenders(df, ["territory_type"], spread=True)
+    b = R.rank_contenders(df, ["territory_type"], spread=False)
+    cols = ["territory_type", "territory", "name", "rank"]
+    assert rows_of(a, *cols) == rows_of(b, *cols)
