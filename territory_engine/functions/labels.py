@@ -18,6 +18,11 @@ def territory_type_of_id(territory_id: Column | str) -> Column:
     return F.when(n == 2, F.lit("country")).when(n == 3, F.lit("colo")).otherwise(F.lit("region"))
 
 
+def territory_type_of_text(territory_id: str) -> str:
+    """P15 for a literal id (same rule as ``territory_type_of_id``)."""
+    return "country" if len(territory_id) == 2 else "colo" if len(territory_id) == 3 else "region"
+
+
 def display_label(territory_type: Column | str, primary_name: Column | str, country_primary_name: Column | str,
                   facility_name: Column | str) -> Column:
     """country ``primary_name``; region ``primary_name, country_primary_name``; facility ``name``."""

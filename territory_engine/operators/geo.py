@@ -360,3 +360,51 @@ def seeded_shuffle(df: DataFrame, key: list[str], seed: int = 42) -> DataFrame:
 
 def cell_area(grid: Grid) -> float:
     return grid.size * grid.dlat
+
+
+# --------------------------------------------------------------------------- cover ----------
+def cover_cells(polygons: DataFrame, grid: Grid, key: str = "id", rings: str = "rings") -> DataFrame:
+    """Cells whose centre lies inside a polygon (even-odd rule, holes included) -> (key, cell).
+
+    A scanline rasteriser instead of testing every cell against every edge: each ring edge
+    yields its crossing longitude on every row of cell centres it spans; the crossings of one
+    (polygon, row) are sorted and paired (inside between the 1st and 2nd, 3rd and 4th, ...),
+    and each pair becomes a run of columns. Work grows with edges x rows spanned plus covered
+    cells. Longitudes are taken as given (no wrap across the antimeridian).
+    """
+    dlat = grid.dlat
+    edges = polygons.select(F.col(key).alias("key"), F.explode(rings).alias("ring")).select(
+        "key", F.explode(F.arrays_zip(
+            F.slice("ring", 1, F.size("ring") - 1).alias("a"), F.slice("ring", 2, F.size("ring")).alias("b"),
+        )).alias("e")
+    ).select("key", F.col("e.a.lon").alias("x1"), F.col("e.a.lat").alias("y1"),
+             F.col("e.b.lon").alias("x2"), F.col("e.b.lat").alias("y2")).where(F.col("y1") != F.col("y2"))
+    # rows whose centre y = lat0 + (r + 0.5) * dlat satisfies min(y1, y2) <= y < max(y1, y2)
+    lo = F.least("y1", "y2")
+    hi = F.greatest("y1", "y2")
+    r0 = F.ceil((lo - F.lit(grid.lat0)) / F.lit(dlat) - F.lit(0.5)).cast("long")
+    r1 = (F.ceil((hi - F.lit(grid.lat0)) / F.lit(dlat) - F.lit(0.5)) - F.lit(1)).cast("long")
+    r0c = F.greatest(r0, F.lit(0))
+    r1c = F.least(r1, F.lit(grid.height - 1))
+    spans = edges.where(r1c >= r0c).select("key", "x1", "y1", "x2", "y2", F.explode(F.sequence(r0c, r1c)).alias("row"))
+    yc = F.lit(grid.lat0) + (F.col("row").cast("double") + F.lit(0.5)) * F.lit(dlat)
+    xc = F.col("x1") + (yc - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    crossings = spans.select("key", "row", xc.alias("x")).groupBy("key", "row").agg(
+        F.array_sort(F.collect_list("x")).alias("xs"))
+    n_pairs = F.floor(F.size("xs") / 2).cast("int")
+    pairs = crossings.select("key", "row", F.explode(F.transform(
+        F.sequence(F.lit(0), n_pairs - 1), lambda i: F.struct(
+            F.element_at("xs", i * 2 + 1).alias("xa"), F.element_at("xs", i * 2 + 2).alias("xb"))
+    )).alias("p")).where(n_pairs > 0)
+    # columns whose centre x = lon0 + (c + 0.5) * size satisfies xa <= x < xb
+    c0 = F.ceil((F.col("p.xa") - F.lit(grid.lon0)) / F.lit(grid.size) - F.lit(0.5)).cast("long")
+    c1 = (F.ceil((F.col("p.xb") - F.lit(grid.lon0)) / F.lit(grid.size) - F.lit(0.5)) - F.lit(1)).cast("long")
+    c0c = F.greatest(c0, F.lit(0))
+    c1c = F.least(c1, F.lit(grid.width - 1))
+    cols = pairs.where(c1c >= c0c).select("key", "row", F.explode(F.sequence(c0c, c1c)).alias("col"))
+    return cols.select(F.col("key").alias(key), grid.cell("col", "row").alias("cell")).distinct()
+
+
+def exclude_pairs(cells: DataFrame, exclusions: DataFrame, keys: list[str]) -> DataFrame:
+    """Drop listed (cell, country)-style pairs; the list is small and broadcast."""
+    return cells.join(F.broadcast(exclusions.select(*keys).distinct()), keys, "left_anti")

@@ -27,6 +27,11 @@ def refresh_snapshot(snapshot: DataFrame, source: DataFrame, key: str = "ip") ->
     return newest_wins_merge(snapshot, newer_than(source, latest), key)
 
 
+def newest_first(snapshot: DataFrame) -> DataFrame:
+    """The snapshot ordered newest first (range-partitioned sort)."""
+    return snapshot.orderBy(F.desc("time_ms"))
+
+
 def incremental_counts(snapshot: DataFrame, as_of_ms: Column | int) -> DataFrame:
     """(territory_type, time_window, territory, name, count, latest), null territories kept."""
     return window_counts(snapshot, as_of_ms, inclusive=False, keep_null_territory=True)

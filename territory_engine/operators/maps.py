@@ -30,3 +30,10 @@ def territory_map(features: DataFrame, board: DataFrame, territory_type: str, wi
         "fill": name_colour("claimant", COLOUR_SHIFT_FILL),
         "stroke": name_colour("claimant", COLOUR_SHIFT_STROKE),
     })
+
+
+def features_for(features: DataFrame, territory_id: str, key_by_type: dict[str, str] | None = None) -> DataFrame:
+    """P16 + P15: the boundary features of one territory id (its type from the id's length)."""
+    from ..functions.labels import territory_type_of_text
+    keys = key_by_type or {"country": "country", "colo": "colo", "region": "region"}
+    return features.where(F.col(keys[territory_type_of_text(territory_id)]) == F.lit(territory_id))

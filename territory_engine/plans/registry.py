@@ -593,3 +593,14 @@ def territory_claimant_map(spark, sf_dir):
     land, seeds, grid = _geo(spark, sf_dir)
     features = TD.facility_features(G.nearest_seed(land, seeds, grid))
     return territory_map(features, board, "colo", "weekly").select("cell", "seed_id", "colo", "claimant", "fill", "stroke")
+
+
+@register("area_cells", O.with_ctes(*O.DIVISIONS_CTES) + """
+  SELECT a.area_id, CAST(a.cell AS BIGINT) AS cell FROM areas a""")
+def area_cells(spark, sf_dir):
+    """Cells whose centre lies inside each division-area polygon (WKB decoded, scanline cover)."""
+    from ..sources.geojson import decode_wkb
+    view = TD.divisions_view(spark, sf_dir)
+    areas = decode_wkb(view.where(F.col("type") == "division_area").select(F.col("id").alias("area_id"), "geometry"),
+                       "geometry")
+    return G.cover_cells(areas, TD.test_grid(), key="area_id")

@@ -108,3 +108,12 @@ def polygon_wkb(rings: list[list[tuple[float, float]]]) -> bytes:
         parts.append(struct.pack("<I", len(ring)))
         parts.append(struct.pack("<%dd" % (2 * len(ring)), *[v for p in ring for v in p]))
     return b"".join(parts)
+
+
+def read_divisions(spark: SparkSession, base: str) -> DataFrame:
+    """Boundary Parquet under hive ``theme=.../type=...`` folders, with each row's file.
+
+    Partition discovery turns the folder names into ``theme`` / ``type`` columns, so filters on
+    them prune folders; nested columns are read as structs and arrays.
+    """
+    return spark.read.option("basePath", base).parquet(base).withColumn("filename", F.col("_metadata.file_path"))

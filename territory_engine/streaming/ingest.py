@@ -68,3 +68,18 @@ def run_stream(spark: SparkSession, input_dir: str, state_dir: str, out_dir: str
     elif interval:
         writer = writer.trigger(processingTime=interval)
     return writer.start()
+
+
+def run_batcher(claims_stream: DataFrame, out_dir: str, checkpoint_dir: str, interval: str = "2 seconds",
+                max_claims: int = 100, worker_id: str = "spark") -> StreamingQuery:
+    """Accepted claims written as envelope objects of at most ``max_claims`` claims,
+    flushed on every trigger (``interval``), one folder per micro-batch (idempotent on replay)."""
+    from ..sinks.publish import claim_envelopes
+
+    def flush(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
+        claim_envelopes(batch, max_claims, worker_id).write.mode("overwrite").text(f"{out_dir}/batch={batch_id}")
+
+    return (claims_stream.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint_dir)
+            .trigger(processingTime=interval).start())

@@ -71,3 +71,33 @@ def test_gate_reports_offenders(spark):
     seeds = spark.createDataFrame([(1, 10), (2, 11), (3, 12)], "seed_id bigint, cell bigint")
     got = sorted((r["seed_id"], r["land_matches"]) for r in G.facility_gate(land, seeds).collect())
     assert got == [(2, 2), (3, 0)]
+
+
+def _inside(px, py, rings):
+    inside = False
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
+            if (y1 > py) != (y2 > py):
+                x = x1 + (py - y1) * (x2 - x1) / (y2 - y1)
+                if px < x:
+                    inside = not inside
+    return inside
+
+
+def test_cover_cells_matches_ray_casting(spark):
+    grid = Grid(width=36, height=18, size=10.0)
+    outer = [(-100.0, -35.0), (60.0, -50.0), (85.0, 40.0), (-20.0, 75.0), (-120.0, 10.0), (-100.0, -35.0)]
+    hole = [(-30.0, -5.0), (10.0, -5.0), (10.0, 25.0), (-30.0, 25.0), (-30.0, -5.0)]
+    tri = [(100.0, 0.0), (170.0, 0.0), (130.0, 60.0), (100.0, 0.0)]
+    polys = {"a": [outer, hole], "b": [tri]}
+    rows = [(k, [[{"lon": x, "lat": y} for x, y in r] for r in rs]) for k, rs in polys.items()]
+    df = spark.createDataFrame(rows, "id string, rings array<array<struct<lon:double,lat:double>>>")
+    got = {(r["id"], r["cell"]) for r in G.cover_cells(df, grid).collect()}
+    expected = set()
+    for k, rs in polys.items():
+        for row in range(grid.height):
+            for col in range(grid.width):
+                cx, cy = -180 + (col + 0.5) * 10, -90 + (row + 0.5) * 10
+                if _inside(cx, cy, rs):
+                    expected.add((k, row * grid.width + col))
+    assert got == expected and len(expected) > 20
