@@ -118,12 +118,13 @@ def window_counts(state: DataFrame, as_of_ms: Column | int, inclusive: bool = Fa
     unpivot = F.inline(F.array(*[
         F.struct(F.lit(t).alias("territory_type"), F.col(t).alias("territory")) for t in TERRITORY_TYPES
     ]))
-    rows = state.select("name", "time_ms", unpivot)
+    # the as-of time is projected once, so a scalar subquery is planned (and run) once
+    rows = state.select("name", "time_ms", unpivot, _c(as_of_ms).alias("_now"))
     if not keep_null_territory:
         rows = rows.where(F.col("territory").isNotNull())
     aggs = []
     for i, (label, _) in enumerate(TIME_WINDOWS):
-        hit = in_window("time_ms", as_of_ms, label, inclusive)
+        hit = in_window("time_ms", F.col("_now"), label, inclusive)
         aggs.append(F.count_if(hit).alias(f"c{i}"))
         aggs.append(F.max(F.when(hit, F.col("time_ms"))).alias(f"l{i}"))
     per_key = rows.groupBy("territory_type", "territory", "name").agg(*aggs)
