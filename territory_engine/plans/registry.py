@@ -604,3 +604,32 @@ def area_cells(spark, sf_dir):
     areas = decode_wkb(view.where(F.col("type") == "division_area").select(F.col("id").alias("area_id"), "geometry"),
                        "geometry")
     return G.cover_cells(areas, TD.test_grid(), key="area_id")
+
+
+@register("dissolve_area", _GEO_CTES + """
+  SELECT CAST(seed_id AS VARCHAR) AS key, count(*) * 4.0::DOUBLE AS area FROM nearest GROUP BY seed_id""")
+def dissolve_area(spark, sf_dir):
+    """A11 check: the signed ring areas of each facility outline sum to its cells' area."""
+    land, seeds, grid = _geo(spark, sf_dir)
+    rings = G.dissolve(G.nearest_seed(land, seeds, grid), grid, "seed_id")
+    return rings.groupBy("key").agg(F.sum(G.ring_area("ring")).alias("area"))
+
+
+@register("public_claim_rows", O.base() + """
+  SELECT '[' || concat_ws(',', coalesce('"' || name || '"', 'null'), coalesce('"' || country || '"', 'null'),
+                          coalesce('"' || region || '"', 'null'), coalesce('"' || colo || '"', 'null'),
+                          CAST(time_ms AS VARCHAR)) || ']' AS row, time_ms
+  FROM state""")
+def public_claim_rows(spark, sf_dir):
+    """The public dump as positional JSON rows (names are validated, so no escaping differs)."""
+    from ..sinks.publish import public_claim_rows as rows
+    return rows(R.public_claims(_state(spark, sf_dir)[1]))
+
+
+@register("leaderboard_document")
+def leaderboard_document(spark, sf_dir):
+    """The nested document of all fifteen rankings plus recents (one row; bounded inputs)."""
+    from ..sinks.publish import leaderboard_document as doc
+    claims, state = _state(spark, sf_dir)
+    as_of = as_of_latest(claims)
+    return doc(R.leaderboards(state, as_of), R.recents(state, as_of))

@@ -32,24 +32,24 @@ def leaderboard_document(board: DataFrame, recents: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("time_window", "rows"))).alias("windows")
     )
     doc = per_type.agg(F.map_from_entries(F.collect_list(F.struct("territory_type", "windows"))).alias("scores"))
-    rec = recents.agg(F.collect_list(F.struct(*recents.columns)).alias("recents"))
-    return doc.crossJoin(F.broadcast(rec)).select(
+    recents_json = recents.select(F.to_json(F.collect_list(F.struct(*recents.columns)))).scalar()
+    return doc.select(
         F.to_json(F.map_concat(
             F.transform_values("scores", lambda k, v: F.to_json(v)),
-            F.create_map(F.lit("recents"), F.to_json("recents")),
+            F.create_map(F.lit("recents"), recents_json),
         )).alias("document")
     )
 
 
+def _json_value(c: Column) -> Column:
+    """JSON text of one scalar (``null`` for null), via ``to_json`` of a one-element array."""
+    return F.coalesce(F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1), F.lit("null"))
+
+
 def public_claim_rows(dump: DataFrame) -> DataFrame:
-    """Positional rows ``[name, country, region, colo, time_ms]`` as JSON text, newest first."""
-    return dump.select(
-        F.to_json(F.array(
-            F.to_json(F.col("name")), F.to_json(F.col("country")), F.to_json(F.col("region")),
-            F.to_json(F.col("colo")), F.col("time_ms").cast("string"),
-        )).alias("row"),
-        "time_ms",
-    )
+    """Positional rows ``[name, country, region, colo, time_ms]`` as JSON text, with ``time_ms``."""
+    parts = [_json_value(F.col(c)) for c in ("name", "country", "region", "colo", "time_ms")]
+    return dump.select(F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]")).alias("row"), "time_ms")
 
 
 def write_public_claims(dump: DataFrame, path: str, query_ts_secs: int | Column) -> None:
