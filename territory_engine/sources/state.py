@@ -54,3 +54,24 @@ def write_state(state: DataFrame, base: str, version: int, partitions: int | Non
 def latest_claim(state: DataFrame) -> DataFrame:
     """The watermark of a snapshot, one row ``latest_claim``."""
     return state.agg(F.max("time_ms").alias("latest_claim"))
+
+
+def legacy_to_claims(rows: DataFrame) -> DataFrame:
+    """Rows of the retired schema (``timestamp`` in seconds, a real number) as claim rows."""
+    return rows.select(
+        "ip", "name", F.lit(None).cast("long").alias("asn"), "colo", "country", "region",
+        F.lit(None).cast("string").alias("metro"), F.lit(None).cast("string").alias("city"),
+        F.round(F.col("timestamp") * F.lit(1000.0)).cast("long").alias("time_ms"),
+    )
+
+
+def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A snapshot document ``{latestClaim, values: [...]}`` -> (claim rows, watermark row in ms).
+
+    The document is read whole and its ``values`` exploded into rows in the same step.
+    """
+    from ..schema import SNAPSHOT
+    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", SNAPSHOT).alias("d"))
+    rows = legacy_to_claims(doc.select(F.explode("d.values").alias("v")).select("v.*"))
+    mark = doc.select(F.round(F.col("d.latestClaim") * F.lit(1000.0)).cast("long").alias("latest_claim"))
+    return rows, mark

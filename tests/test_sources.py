@@ -107,3 +107,16 @@ def test_leaderboard_document(spark):
     hourly = json.loads(doc["colo"])["hourly"]
     assert [r["name"] for r in hourly] == ["a", "b"]
     assert json.loads(doc["recents"])[0]["ip"] == "1.x.x.x"
+
+
+def test_legacy_snapshot(spark, tmpdir_path):
+    doc = {"latestClaim": 1700000000.5, "values": [
+        {"ip": "1.1.1.1", "name": "x", "colo": "LAX", "country": "US", "region": None, "timestamp": 1700000000.5},
+        {"ip": "2.2.2.2", "name": "y", "colo": "SFO", "country": "US", "region": "US-CA", "timestamp": 1699999999.25},
+    ]}
+    p = os.path.join(tmpdir_path, "snap.json")
+    with open(p, "w") as f:
+        json.dump(doc, f)
+    rows, mark = ST.read_snapshot(spark, p)
+    assert sorted((r["ip"], r["time_ms"]) for r in rows.collect()) == [("1.1.1.1", 1700000000500), ("2.2.2.2", 1699999999250)]
+    assert mark.first()["latest_claim"] == 1700000000500
