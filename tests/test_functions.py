@@ -127,3 +127,20 @@ def test_window_cut(spark, label, inclusive, expected):
 def test_territory_type_of_id(spark):
     df = one_col(spark, ["US", "LAX", "US-CA", "X"]).select("v", territory_type_of_id("v").alias("t"))
     assert {r["v"]: r["t"] for r in df.collect()} == {"US": "country", "LAX": "colo", "US-CA": "region", "X": "region"}
+
+
+def test_prefix48_property(spark):
+    """Random IPv6 addresses in several spellings: /48 network equals ``ipaddress``'s."""
+    import random
+    rng = random.Random(11)
+    texts = []
+    for _ in range(300):
+        groups = [rng.choice([0, 0, rng.randrange(1 << 16)]) for _ in range(8)]
+        addr = ipaddress.IPv6Address(":".join(f"{g:x}" for g in groups))
+        style = rng.randrange(3)
+        text = addr.exploded if style == 0 else addr.compressed if style == 1 else addr.compressed.upper()
+        texts.append(text)
+    df = one_col(spark, texts).select("v", A.is_ipv6("v").alias("ok"), A.ipv6_prefix48("v").alias("p"))
+    for r in df.collect():
+        assert r["ok"], r["v"]
+        assert r["p"] == ipaddress.IPv6Network(r["v"] + "/48", strict=False).network_address.compressed, r["v"]
