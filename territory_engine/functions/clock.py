@@ -65,7 +65,10 @@ def round_half_up(x: Column) -> Column:
 
 
 def relative_age(time_ms: Column | str, as_of_ms: Column | int) -> tuple[Column, Column]:
-    """F4 + F5: (unit, signed count) with the count ``round((t - now) / factor)``."""
+    """F4 + F5: (unit, signed count) with the count ``round((t - now) / factor)``.
+
+    ``as_of_ms`` is read several times; pass a column (project a subquery once) or a literal.
+    """
     unit, factor = age_unit(time_ms, as_of_ms)
     value = round_half_up((_c(time_ms) - _c(as_of_ms)).cast("double") / factor.cast("double"))
     return unit, value

@@ -25,7 +25,9 @@ def contenders(state: DataFrame, window: str, as_of_ms: Column | int, spread: bo
     """
     counts = window_counts(state, as_of_ms, inclusive=True).where(F.col("time_window") == window)
     ranked = rank_contenders(counts.drop("time_window"), ["territory_type"], spread=spread)
-    unit, value = relative_age("latest", as_of_ms)
+    # the as-of time is projected once, so a scalar subquery is planned (and run) once
+    ranked = ranked.withColumn("_now", as_of_ms if isinstance(as_of_ms, Column) else F.lit(int(as_of_ms)))
+    unit, value = relative_age("latest", F.col("_now"))
     return ranked.select(
         "territory_type", "territory", "name", "count", "latest", "rank",
         unit.alias("latest_unit"), value.alias("latest_value"),

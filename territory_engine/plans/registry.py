@@ -187,7 +187,8 @@ def relative_age(spark, sf_dir):
     """F4 + F5: relative age unit and signed count of every stored claim."""
     from ..functions.clock import relative_age as rel
     claims, state = _state(spark, sf_dir)
-    unit, value = rel("time_ms", as_of_latest(claims))
+    state = state.withColumn("_now", as_of_latest(claims))
+    unit, value = rel("time_ms", F.col("_now"))
     return state.select("ip", "time_ms", unit.alias("unit"), value.alias("value"))
 
 
@@ -202,7 +203,8 @@ def recent_age(spark, sf_dir):
     """recents age in seconds, minutes or hours."""
     from ..functions.clock import recent_age as rec
     claims, state = _state(spark, sf_dir)
-    unit, value = rec("time_ms", as_of_latest(claims))
+    state = state.withColumn("_now", as_of_latest(claims))
+    unit, value = rec("time_ms", F.col("_now"))
     return state.select("ip", "time_ms", unit.alias("unit"), value.alias("value"))
 
 
