@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import RECENTS_LIMIT, RECENTS_WINDOW_MS, TERRITORY_TYPES, TIME_WINDOWS, WINDOW_SECS
+from ..constants import RECENTS_LIMIT, RECENTS_WINDOW_MS, TERRITORY_TYPES, TIME_WINDOWS
 from ..functions.addresses import mask_ip
-from ..functions.clock import _c, in_window, window_cut
+from ..functions.clock import _c, in_window
 
 
 
@@ -145,7 +145,7 @@ def leaderboards(state: DataFrame, as_of_ms: Column | int) -> DataFrame:
     )
 
 
-def top_rows(board: DataFrame, n: int, partition: list[str] | None = None) -> DataFrame:
+def top_rows(board: DataFrame, n: int) -> DataFrame:
     """First ``n`` rows of each leaderboard by its rank."""
     return board.where(F.col("rank") <= n)
 
@@ -167,7 +167,3 @@ def recents(state: DataFrame, as_of_ms: Column | int, n: int = RECENTS_LIMIT) ->
 def public_claims(state: DataFrame) -> DataFrame:
     """Q5: every stored claim, newest first (O3), in the public dump's columns."""
     return state.select("name", "country", "region", "colo", "time_ms").orderBy(F.desc("time_ms"))
-
-
-def window_cutoffs(as_of_ms: Column | int) -> dict[str, Column | None]:
-    return {label: window_cut(as_of_ms, label) for label in WINDOW_SECS}

@@ -1,8 +1,14 @@
-"""Claims state table (S7, S11): versioned Parquet folders ``<base>/v=<n>``, newest wins.
+"""Claims state table (S7, S11): versioned Parquet folders, newest wins.
 
-Each poll writes a whole new version and never overwrites one, so a failed write leaves the
-previous version readable and a replayed micro-batch rewrites its own version only. Rows are
-hash-partitioned on ``ip`` and sorted by time inside files (min/max skipping for time filters).
+* ``<base>/v=<n>``: a full snapshot written at version ``n``;
+* ``<base>/_delta/v=<n>``: only the rows of the addresses version ``n`` touched.
+
+A poll writes a delta (its size is the batch's, not the state's) and every few polls a full
+snapshot; reading version ``n`` takes the newest full snapshot below it and lays the later
+deltas over it, newest first, with anti-joins on the deltas' (broadcast, size-checked) address
+sets, so the large snapshot is never shuffled. Versions are never overwritten by another
+version's data, so a failed write leaves older versions readable and a replayed micro-batch
+rewrites only its own version. Rows are hash-partitioned on ``ip`` and time-sorted inside files.
 """
 
 from __future__ import annotations
@@ -21,7 +27,8 @@ def _fs(spark: SparkSession, base: str):
 
 
 def versions(spark: SparkSession, base: str) -> list[int]:
-    """Committed versions under ``base`` (folders holding a ``_SUCCESS`` marker), ascending."""
+    """Committed versions under ``base`` (folders holding a ``_SUCCESS`` marker), ascending.
+    For full snapshots pass the state folder, for deltas ``<state>/_delta``."""
     fs, path = _fs(spark, base)
     if not fs.exists(path):
         return []
@@ -35,11 +42,26 @@ def versions(spark: SparkSession, base: str) -> list[int]:
 
 
 def read_state(spark: SparkSession, base: str, before: int | None = None) -> DataFrame:
-    """The newest committed version (or the newest below ``before``); empty CLAIM rows if none."""
-    vs = [v for v in versions(spark, base) if before is None or v < before]
-    if not vs:
-        return spark.createDataFrame([], CLAIM)
-    return spark.read.schema(CLAIM).parquet(f"{base}/v={vs[-1]}")
+    """The state as of the newest committed version (below ``before`` when given).
+
+    The newest full snapshot below ``before`` plus every later delta below ``before``; empty
+    CLAIM rows if there is nothing yet.
+    """
+    from ..operators.claims import newest_wins_merge
+
+    fulls = [v for v in versions(spark, base) if before is None or v < before]
+    start = fulls[-1] if fulls else None
+    deltas = [v for v in versions(spark, f"{base}/_delta")
+              if (before is None or v < before) and (start is None or v > start)]
+    state = spark.read.schema(CLAIM).parquet(f"{base}/v={start}") if start is not None else spark.createDataFrame([], CLAIM)
+    for v in deltas:
+        state = newest_wins_merge(state, spark.read.schema(CLAIM).parquet(f"{base}/_delta/v={v}"))
+    return state
+
+
+def write_delta(touched: DataFrame, base: str, version: int, partitions: int | None = None) -> str:
+    """Write the rows of the addresses one version touched."""
+    return write_state(touched, f"{base}/_delta", version, partitions)
 
 
 def write_state(state: DataFrame, base: str, version: int, partitions: int | None = None) -> str:

@@ -1,7 +1,8 @@
 """The poll cycle as a Structured Streaming job (Q12: T1–T4, T8).
 
-Claim batch files stream in; each micro-batch is unwrapped, upserted into the versioned state
-table, and the rankings, recents and public dump are recomputed from the new state and
+Claim batch files stream in; each micro-batch is unwrapped and upserted into the versioned
+state table (a delta of the touched addresses, a full snapshot every ``compact_every``
+batches), and the rankings, recents and public dump are recomputed from the new state and
 written under the micro-batch id. Trailing windows move with the clock, not with the data, so
 rankings are recomputed from state every batch (no event-time ``window()``, no watermark:
 late claims are settled by the upsert rule against the stored row).
@@ -22,11 +23,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..constants import COOLDOWN_MS
 from ..functions.clock import now_ms
-from ..operators.claims import apply_claims
+from ..operators.claims import apply_claims, fold_claims, valid_claims
+from ..plans.broadcast import maybe_broadcast
 from ..operators.rankings import leaderboards, public_claims, recents
 from ..sinks.publish import write_leaderboards, write_public_claims
 from ..sources.batches import BATCH_ORDER, stream_batch_files, unwrap
-from ..sources.state import read_state, write_state
+from ..sources.state import read_state, write_delta, write_state
 
 
 @dataclass
@@ -36,15 +38,20 @@ class PollJob:
     cooldown_ms: int = COOLDOWN_MS
     clock: str = "wall"  # "wall": rankings relative to now; "data": relative to the latest stored claim
     state_partitions: int | None = None
+    compact_every: int = 10  # a full snapshot every this many batches; deltas in between
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        claims = unwrap(batch)
+        claims = valid_claims(unwrap(batch))
         previous = read_state(spark, self.state_dir, before=batch_id)
-        if previous.isEmpty():
-            previous = None
-        state = apply_claims(previous, claims, self.cooldown_ms, order=BATCH_ORDER)
-        write_state(state, self.state_dir, batch_id, self.state_partitions)
+        if batch_id % self.compact_every == 0 or previous.isEmpty():
+            state = apply_claims(None if previous.isEmpty() else previous, claims, self.cooldown_ms, order=BATCH_ORDER)
+            write_state(state, self.state_dir, batch_id, self.state_partitions)
+        else:
+            keys = maybe_broadcast(claims.select("ip").distinct())
+            stored = previous.join(keys, "ip", "left_semi")
+            touched = fold_claims(claims, stored, self.cooldown_ms, order=BATCH_ORDER)
+            write_delta(touched, self.state_dir, batch_id, self.state_partitions)
         stored = read_state(spark, self.state_dir, before=batch_id + 1)
         as_of = stored.select(F.max("time_ms")).scalar() if self.clock == "data" else now_ms()
         out = f"{self.out_dir}/batch={batch_id}"
@@ -58,9 +65,9 @@ class PollJob:
 def run_stream(spark: SparkSession, input_dir: str, state_dir: str, out_dir: str, checkpoint_dir: str,
                interval: str | None = "60 seconds", available_now: bool = False, clean_source: str | None = None,
                archive_dir: str | None = None, max_files_per_trigger: int | None = None, clock: str = "wall",
-               cooldown_ms: int = COOLDOWN_MS, lines: bool = False) -> StreamingQuery:
+               cooldown_ms: int = COOLDOWN_MS, lines: bool = False, compact_every: int = 10) -> StreamingQuery:
     """Q12: start the poll job. ``available_now`` processes what is there and stops (one pass)."""
-    job = PollJob(state_dir, out_dir, cooldown_ms, clock)
+    job = PollJob(state_dir, out_dir, cooldown_ms, clock, compact_every=compact_every)
     stream = stream_batch_files(spark, input_dir, max_files_per_trigger, clean_source, archive_dir, lines)
     writer = stream.writeStream.foreachBatch(job.process).option("checkpointLocation", checkpoint_dir)
     if available_now:

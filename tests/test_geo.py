@@ -101,3 +101,22 @@ def test_cover_cells_matches_ray_casting(spark):
                 if _inside(cx, cy, rs):
                     expected.add((k, row * grid.width + col))
     assert got == expected and len(expected) > 20
+
+
+def test_hash_tie_break_and_seeded_shuffle(spark):
+    rng = random.Random(9)
+    all_cells = list(range(GRID.width * GRID.height))
+    seeds = [(i + 1, c) for i, c in enumerate(rng.sample(all_cells, 6))]
+    seed_df = spark.createDataFrame(seeds, "seed_id bigint, cell bigint")
+    exact = brute(all_cells, seeds, GRID)
+    hashed = {r["cell"]: (r["seed_id"], r["distance"]) for r in G.frontier_assign(seed_df, GRID, tie="hash").collect()}
+    assert {c: d for c, (_, d) in hashed.items()} == {c: d for c, (_, d) in exact.items()}
+    sdict = dict((sid, c) for sid, c in seeds)
+    for c, (sid, d) in hashed.items():  # every pick is at the nearest distance
+        sc, sr, cc, cr = sdict[sid] % GRID.width, sdict[sid] // GRID.width, c % GRID.width, c // GRID.width
+        dc = abs(cc - sc)
+        assert max(min(dc, GRID.width - dc), abs(cr - sr)) == d
+    df = spark.range(50).withColumnRenamed("id", "k")
+    a = [r["k"] for r in G.seeded_shuffle(df, ["k"], 42).collect()]
+    b = [r["k"] for r in G.seeded_shuffle(df, ["k"], 42).collect()]
+    assert a == b and sorted(a) == list(range(50)) and a != list(range(50))

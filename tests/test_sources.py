@@ -87,6 +87,11 @@ def test_versioned_state(spark, tmpdir_path):
     assert ST.read_state(spark, base).first()["name"] == "y"
     assert ST.read_state(spark, base, before=1).first()["name"] == "x"
     assert ST.read_state(spark, base, before=0).count() == 0
+    ST.write_delta(spark.createDataFrame([claim("2.2.2.2", "z", 3), claim("1.1.1.1", "q", 4)], ST.CLAIM), base, 2, 2)
+    ST.write_delta(spark.createDataFrame([claim("2.2.2.2", "w", 5)], ST.CLAIM), base, 3, 2)
+    got = {r["ip"]: r["name"] for r in ST.read_state(spark, base).collect()}
+    assert got == {"1.1.1.1": "q", "2.2.2.2": "w"}
+    assert {r["ip"]: r["name"] for r in ST.read_state(spark, base, before=3).collect()} == {"1.1.1.1": "q", "2.2.2.2": "z"}
 
 
 def test_claim_envelopes(spark):

@@ -38,9 +38,14 @@ def test_poll_job_equals_batch_fold(spark, tmpdir_path):
                 os.link(os.path.join(d, f), os.path.join(flat, f"{i}-{f}"))
     state_dir, out_dir = os.path.join(tmpdir_path, "state"), os.path.join(tmpdir_path, "out")
     q = ingest.run_stream(spark, flat, state_dir, out_dir, os.path.join(tmpdir_path, "ckpt"),
-                          available_now=True, max_files_per_trigger=1, clock="data", lines=True)
+                          available_now=True, max_files_per_trigger=1, clock="data", lines=True, compact_every=2)
     q.awaitTermination()
-    assert ST.versions(spark, state_dir) == [0, 1, 2]
+    assert ST.versions(spark, state_dir) == [0, 2]                 # full snapshots
+    assert ST.versions(spark, state_dir + "/_delta") == [1]        # touched addresses only
+    delta = spark.read.parquet(state_dir + "/_delta/v=1").count()
+    assert 0 < delta < spark.read.parquet(state_dir + "/v=2").count()
+    assert as_dict(ST.read_state(spark, state_dir, before=2)) == as_dict(
+        C.fold_claims(_time_parts(claims)[0].unionByName(_time_parts(claims)[1])))
     got = as_dict(ST.read_state(spark, state_dir))
     assert got == as_dict(C.fold_claims(claims))
     boards = spark.read.json(os.path.join(out_dir, "batch=2", "leaderboards"))
