@@ -41,6 +41,8 @@ def test_entry_runs(spark):
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     sql = E.oracle_sql().get(name)
     if sql is None:
         assert len(rows) >= 0
