@@ -121,3 +121,17 @@ def stream_admission(stream: DataFrame, name_limit: int = NAME_RATE_LIMIT, ip_li
         outputMode="Append",
         timeMode="None",
     )
+
+
+def admit_stream(raw: DataFrame, name_limit: int = NAME_RATE_LIMIT, ip_limit: int = IP_RATE_LIMIT,
+                 period_secs: int = RATE_PERIOD_SECS) -> DataFrame:
+    """Q1 on a stream: static checks as expressions, then the keyed limiter counters; (seq, verdict)."""
+    from pyspark.sql import functions as F
+
+    from ..operators.admission import normalise
+
+    base = normalise(raw)
+    static = base.where(F.col("_static").isNotNull()).select("seq", F.col("_static").alias("verdict"))
+    counted = stream_admission(base.where(F.col("_static").isNull()).select("ip", "name", "time_ms", "seq"),
+                               name_limit, ip_limit, period_secs)
+    return static.unionByName(counted)

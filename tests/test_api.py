@@ -69,3 +69,22 @@ def test_batcher_stream(spark, tmpdir_path):
     objs = [json.loads(r["value"]) for r in spark.read.text(out).collect()]
     assert all(len(o["batch"]) <= 100 for o in objs)
     assert sum(len(o["batch"]) for o in objs) == claims.count()
+
+
+def test_cli_assign_and_rank(spark, tmpdir_path):
+    from territory_engine.__main__ import main
+    from territory_engine.operators import claims as C
+    from territory_engine.sources import state as ST
+    land = TD.land_cells(TD.read_table(spark, SF_SMALL, "customer"))
+    seeds = TD.facility_seeds(TD.read_table(spark, SF_SMALL, "supplier"))
+    land.write.parquet(os.path.join(tmpdir_path, "land"))
+    seeds.write.parquet(os.path.join(tmpdir_path, "fac"))
+    out = os.path.join(tmpdir_path, "assign")
+    main(["assign", "--land", os.path.join(tmpdir_path, "land"), "--facilities", os.path.join(tmpdir_path, "fac"),
+          "--grid", "90,180,4,1", "--out", out])
+    assert spark.read.parquet(out + "/cells").count() == land.select("cell").distinct().count()
+    assert spark.read.text(out + "/outlines").count() > 0
+    state_dir = os.path.join(tmpdir_path, "state")
+    ST.write_state(C.fold_claims(TD.load_claims(spark, SF_SMALL)), state_dir, 0, 2)
+    main(["rank", "--state", state_dir, "--out", os.path.join(tmpdir_path, "ranks"), "--as-of-ms", "1706659200000"])
+    assert spark.read.json(os.path.join(tmpdir_path, "ranks", "leaderboards")).count() > 0

@@ -83,3 +83,16 @@ def test_stream_admission_equals_batch(spark, tmpdir_path):
     batch = A.admit(raw, name_limit=1, ip_limit=2, period_secs=86400).where(
         F.col("verdict").isin("accepted", "name_rate_limited", "ip_rate_limited"))
     assert got == {r["seq"]: r["verdict"] for r in batch.collect()}
+
+
+def test_admit_stream_equals_batch(spark, tmpdir_path):
+    raw = TD.raw_claims_from_events(TD.read_table(spark, SF_SMALL, "events"))
+    src = os.path.join(tmpdir_path, "raw")
+    raw.coalesce(1).write.parquet(src)
+    out = stateful.admit_stream(spark.readStream.schema(raw.schema).parquet(src), 1, 2, 86400)
+    q = (out.writeStream.format("memory").queryName("adm_all").outputMode("append")
+         .option("checkpointLocation", os.path.join(tmpdir_path, "ck4")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {r["seq"]: r["verdict"] for r in spark.sql("SELECT * FROM adm_all").collect()}
+    batch = {r["seq"]: r["verdict"] for r in A.admit(raw, name_limit=1, ip_limit=2, period_secs=86400).collect()}
+    assert got == batch
