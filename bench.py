@@ -42,7 +42,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = int(os.environ.get("BENCH_REPEAT", "1"))
-    spark = get_spark(f"local[{cpus}]", max(2 * cpus, 8), app="territory-engine-bench")
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(cpus)))
+    spark = get_spark(f"local[{cpus}]", parts, app="territory-engine-bench")
     # warm the session (JVM start, first parquet read) outside the timings
     registry.QUERIES["claims_fold"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     timings: dict[str, float] = {}

@@ -173,16 +173,30 @@ def frontier_assign(seeds: DataFrame, grid: Grid, land: DataFrame | None = None,
     )
     rings = [ring]
     prev = ring.limit(0)
-    land_left = land.select("cell").distinct().join(ring, "cell", "left_anti").checkpoint() if land is not None else None
+    land_cells = land.select("cell").distinct().withColumn("_land", F.lit(True)).checkpoint() if land is not None else None
+
+    # rings and the visited set are bounded by the grid's cell count, a size known up front
+    grid_small = grid.width * grid.height <= DEFAULT_MAX_BROADCAST_ROWS
+
+    def bounded(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if grid_small else df
+
+    def tally(r: DataFrame) -> tuple[int, int]:
+        """(cells in the ring, land cells among them) in one job."""
+        if land_cells is None:
+            return r.count(), 0
+        row = land_cells.join(bounded(r.select("cell")), "cell", "right").agg(
+            F.count(F.lit(1)).alias("n"), F.count("_land").alias("l")).first()
+        return row["n"], row["l"]
+
+    land_left = land_cells.count() - tally(ring)[1] if land_cells is not None else None
     rounds = 0
-    while True:
-        if land_left is not None and land_left.isEmpty():
-            break
+    while land_left is None or land_left > 0:
         if max_rounds is not None and rounds >= max_rounds:
             break
         cand = ring.select(F.explode(grid.neighbours("cell")).alias("cell"), "seed_id", (F.col("distance") + 1).alias("distance"))
         seen = prev.select("cell").unionByName(ring.select("cell"))
-        cand = cand.join(seen, "cell", "left_anti")
+        cand = cand.join(bounded(seen), "cell", "left_anti")
         if tie == "hash":
             key = F.xxhash64(F.lit(salt), F.col("cell"), F.col("seed_id"))
             pick = F.min_by(F.struct("seed_id", "distance"), F.struct(key, F.col("seed_id")))
@@ -191,14 +205,13 @@ def frontier_assign(seeds: DataFrame, grid: Grid, land: DataFrame | None = None,
         new = cand.groupBy("cell").agg(pick.alias("_p")).select(
             "cell", F.col("_p.seed_id").alias("seed_id"), F.col("_p.distance").alias("distance")
         ).checkpoint()
-        if land_left is None and new.isEmpty():
-            break
+        n_new, n_land = tally(new)
+        if n_new == 0:
+            break  # nothing left to reach (land out of reach of every facility, or the grid is full)
         rings.append(new)
         prev, ring = ring, new
         if land_left is not None:
-            land_left = land_left.join(new.select("cell"), "cell", "left_anti").checkpoint()
-            if new.isEmpty() and not land_left.isEmpty():
-                break  # land out of reach of every facility
+            land_left -= n_land
         rounds += 1
     out = rings[0]
     for r in rings[1:]:

@@ -38,6 +38,10 @@ def test_nearest_and_frontier_match_brute_force(spark):
     fill = G.keep_land(G.frontier_assign(seed_df, GRID), land_df)
     got2 = {r["cell"]: (r["seed_id"], r["distance"]) for r in fill.collect()}
     assert got2 == expected
+    fill_land = G.keep_land(G.frontier_assign(seed_df, GRID, land=land_df), land_df)
+    assert {r["cell"]: (r["seed_id"], r["distance"]) for r in fill_land.collect()} == expected
+    tiles = G.nearest_seed_tiles(land_df, seed_df, GRID)
+    assert {r["cell"]: (r["seed_id"], r["distance"]) for r in tiles.collect()} == expected
 
 
 def test_dissolve_area_and_closed_rings(spark):
