@@ -78,8 +78,13 @@ def fold_claims(
     hot_keys = maybe_broadcast(hot, max_broadcast_rows)
     normal = fold_small(claims.join(hot_keys, "ip", "left_anti"),
                         None if state is None else state.join(hot_keys, "ip", "left_anti"), cooldown_ms, order)
-    heavy = hot_fold(claims.join(hot_keys, "ip", "left_semi"),
-                     None if state is None else state.join(hot_keys, "ip", "left_semi"), cooldown_ms, order)
+    hot_claims = claims.join(hot_keys, "ip", "left_semi")
+    hot_order = tuple(order)
+    if len(order) > 2:  # several tie columns: one struct column orders the same way
+        hot_claims = hot_claims.withColumn("_tie", F.struct(*[F.col(c) for c in order[1:]]))
+        hot_order = (order[0], "_tie")
+    heavy = hot_fold(hot_claims, None if state is None else state.join(hot_keys, "ip", "left_semi"),
+                     cooldown_ms, hot_order)
     return normal.unionByName(heavy)
 
 

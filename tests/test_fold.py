@@ -145,3 +145,20 @@ def test_hot_path_sparse_and_long_runs(spark):
         rows.append({"ip": "h", "name": "x" if seq % 5 else "y", "time_ms": t, "seq": seq})
         seq += 1
     assert as_dict(C.fold_claims(rows_df(spark, rows), hot_threshold=0)) == model_dict(fold(rows))
+
+
+def test_hot_path_multi_column_order_and_long_history(spark):
+    """One hot address with a long history, ties broken by two columns (file, offset)."""
+    rng = random.Random(77)
+    rows, t = [], 1_000_000_000_000
+    for i in range(1500):
+        t += rng.choice([0, 0, 1, 450_000, 899_999, 900_001, 2_000_000])
+        rows.append({"ip": "hot", "name": rng.choice(["a", "b"]), "time_ms": t, "seq": i})
+    full = [(r["ip"], r["name"], 1, "C00", "AX", None, None, None, r["time_ms"], f"f{r['seq'] % 3}", r["seq"] // 3)
+            for r in rows]
+    df = spark.createDataFrame(full, SCHEMA.replace("seq bigint", "_file string, _offset bigint"))
+    order = ("time_ms", "_file", "_offset")
+    got = as_dict(C.fold_claims(df, hot_threshold=100, order=order))
+    small = as_dict(C.fold_claims(df, hot_threshold=None, order=order))
+    keyed = [dict(r, seq=(f"f{r['seq'] % 3}", r["seq"] // 3)) for r in rows]
+    assert got == small == model_dict(fold(keyed))
