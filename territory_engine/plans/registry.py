@@ -423,7 +423,6 @@ def _split_claims(spark, sf_dir):
 
 
 _SPLIT_CTES = [O.claims_cte(), *[O.claims_cte(name=f"c{i}", where=f"seq % 3 = {i}") for i in range(3)]]
-_SPLIT_CTES = [_SPLIT_CTES[0]] + [c.replace("FROM events", "FROM events") for c in _SPLIT_CTES[1:]]
 
 
 @register("claims_merge_batches", O.with_ctes(
@@ -435,7 +434,11 @@ _SPLIT_CTES = [_SPLIT_CTES[0]] + [c.replace("FROM events", "FROM events") for c
     "s2 AS (SELECT * FROM f2 UNION ALL SELECT * FROM s1 WHERE ip NOT IN (SELECT ip FROM c2))",
 ) + "SELECT * FROM s2")
 def claims_merge_batches(spark, sf_dir):
-    """U4 + J8: three batches (events split by id mod 3) upserted one after another into the state."""
+    """U4 + J8: all events as three batches upserted one after another into the state.
+
+    Every event lands in exactly one batch (event id mod 3); their times interleave, so the
+    later batches carry late claims that the stored rows must settle.
+    """
     _, parts = _split_claims(spark, sf_dir)
     state = C.apply_claims(None, parts[0])
     for p in parts[1:]:
@@ -449,7 +452,8 @@ def claims_merge_batches(spark, sf_dir):
     O.fold_cte(source="c2", name="new"),
 ) + "SELECT * FROM new UNION ALL SELECT * FROM old WHERE ip NOT IN (SELECT ip FROM new)")
 def newest_wins_merge(spark, sf_dir):
-    """J6 + U3: new rows, then old rows whose address they do not replace."""
+    """J6 + U3: new rows, then old rows whose address they do not replace (all events: the new
+    side folds one of three id-mod-3 batches, the old side the other two)."""
     claims, parts = _split_claims(spark, sf_dir)
     old = C.fold_claims(claims.where(F.col("seq") % 3 != 2))
     new = C.fold_claims(parts[2])
@@ -493,7 +497,8 @@ def _incremental(spark, sf_dir):
 
 @register("incremental_since", O.with_ctes(*_INCR_CTES) + "SELECT * FROM merged")
 def incremental_since(spark, sf_dir):
-    """T7 / P11 + J6: a snapshot refreshed with the state rows newer than its watermark."""
+    """T7 / P11 + J6: a snapshot refreshed with the state rows newer than its watermark (the
+    snapshot folds two of three id-mod-3 batches of all events; the source is the full fold)."""
     _, merged, _ = _incremental(spark, sf_dir)
     return merged
 
