@@ -27,36 +27,36 @@ def epoch_ms_floor(ts_ntz: Column) -> Column:
     return F.floor(micros / F.lit(1000)).cast("long")
 
 
-def _claims(events: DataFrame, ip: Column, name: Column) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("long")
-    letter = F.char(F.lit(65) + k % 25)
-    return events.select(
-        ip.alias("ip"),
-        name.alias("name"),
-        (F.lit(64512) + k).cast("long").alias("asn"),
-        F.concat(F.lit("C"), F.lpad((k % 37).cast("string"), 2, "0")).alias("colo"),
-        F.concat(letter, F.lit("X")).alias("country"),
-        F.when(k % 10 == 0, F.lit(None).cast("string"))
-        .otherwise(F.concat(letter, F.lit("X-"), (k % 4).cast("string")))
-        .alias("region"),
-        F.lit(None).cast("string").alias("metro"),
-        F.lit(None).cast("string").alias("city"),
-        epoch_ms_floor(F.col("ts")).alias("time_ms"),
-        F.col("event_id").cast("long").alias("seq"),
-    )
+_K = "CAST(get_json_object(props, '$.k') AS BIGINT)"
+_LETTER = f"char(65 + {_K} % 25)"
+_CLAIM_EXPRS = [
+    f"64512 + {_K} AS asn",
+    f"concat('C', lpad(CAST({_K} % 37 AS STRING), 2, '0')) AS colo",
+    f"concat({_LETTER}, 'X') AS country",
+    f"CASE WHEN {_K} % 10 = 0 THEN CAST(NULL AS STRING) ELSE concat({_LETTER}, 'X-', CAST({_K} % 4 AS STRING)) END AS region",
+    "CAST(NULL AS STRING) AS metro",
+    "CAST(NULL AS STRING) AS city",
+    # epoch milliseconds of a TIMESTAMP_NTZ, floored, independent of the session time zone
+    "CAST(floor(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) / 1000) AS BIGINT) AS time_ms",
+    "CAST(event_id AS BIGINT) AS seq",
+]
+
+
+def _claims(events: DataFrame, ip: str, name: str) -> DataFrame:
+    """The CLAIM columns from ``events`` (one projection, written as SQL like the adapter spec)."""
+    return events.selectExpr(f"{ip} AS ip", f"{name} AS name", *_CLAIM_EXPRS)
 
 
 def claims_from_events(events: DataFrame) -> DataFrame:
     """events(event_id, ts, user_id, event_type, value, props) -> CLAIM rows plus ``seq``."""
-    k = F.get_json_object("props", "$.k").cast("long")
-    ip = F.concat(F.lit("10."), k.cast("string"), F.lit("."), (F.col("user_id") % 50).cast("string"), F.lit(".1"))
-    name = F.concat(F.col("event_type"), F.lit("-"), (F.col("user_id") % 7).cast("string"))
+    ip = f"concat('10.', CAST({_K} AS STRING), '.', CAST(user_id % 50 AS STRING), '.1')"
+    name = "concat(event_type, '-', CAST(user_id % 7 AS STRING))"
     return _claims(events, ip, name)
 
 
 def coarse_claims_from_events(events: DataFrame) -> DataFrame:
     """Claims keyed by ``user_id`` with ``event_type`` as the name: few keys, long histories."""
-    return _claims(events, F.col("user_id").cast("string"), F.col("event_type"))
+    return _claims(events, "CAST(user_id AS STRING)", "event_type")
 
 
 def load_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,46 +72,37 @@ def raw_claims_from_events(events: DataFrame, per_user: bool = False) -> DataFra
 
     Address text: IPv4, IPv6 in four spellings (compressed, upper-case, leading zeros, full),
     empty, or junk; names: valid, or with a space. Empty geo fields where the code says so.
+    With ``per_user``: one IPv4 address per user and the event type as the name.
     """
-    k = F.get_json_object("props", "$.k").cast("long")
-    uid = F.col("user_id")
-    eid = F.col("event_id")
-    ipv4 = F.concat(F.lit("10."), k.cast("string"), F.lit("."), (uid % 50).cast("string"), F.lit(".1"))
-    v6 = (
-        F.when(eid % 4 == 0, F.format_string("2001:db8:%x::%x", k, eid))
-        .when(eid % 4 == 1, F.upper(F.format_string("2001:db8:%x::%x", k, eid)))
-        .when(eid % 4 == 2, F.format_string("2001:0db8:%04x::%04x", k, uid))
-        .otherwise(F.format_string("2001:db8:%x:0:0:0:0:%x", k % 3, eid))
-    )
-    original_ip = (
-        F.when(uid % 13 == 0, F.lit(""))
-        .when(uid % 17 == 0, F.concat(F.lit("junk-"), k.cast("string")))
-        .when(k % 2 == 0, ipv4)
-        .otherwise(v6)
-    )
-    name = F.when(uid % 11 == 0, F.concat(F.col("event_type"), F.lit(" "), (uid % 7).cast("string"))).otherwise(
-        F.concat(F.col("event_type"), F.lit("-"), (uid % 7).cast("string"))
-    )
     if per_user:
-        original_ip = F.concat(F.lit("10.0."), F.floor(uid / 256).cast("string"), F.lit("."), (uid % 256).cast("string"))
-        name = F.col("event_type")
-    letter = F.char(F.lit(65) + k % 25)
-    return events.select(
-        name.alias("name"),
-        original_ip.alias("original_ip"),
-        (F.lit(64512) + k).cast("long").alias("asn"),
-        F.lit(None).cast("string").alias("as_org"),
-        F.concat(F.lit("C"), F.lpad((k % 37).cast("string"), 2, "0")).alias("colo"),
-        F.when(k % 9 == 0, F.lit("")).otherwise(F.concat(letter, F.lit("X"))).alias("country"),
-        F.when(k % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("City"), k.cast("string"))).alias("city"),
-        F.lit("").alias("metro"),
-        F.when(k % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("Region"), (k % 4).cast("string"))).alias("region_name"),
-        F.when(k % 10 == 0, F.lit("")).otherwise((k % 4).cast("string")).alias("region_code"),
-        F.lit(None).cast("string").alias("postal_code"),
-        F.lit(None).cast("string").alias("continent"),
-        F.lit(None).cast("string").alias("header_country"),
-        epoch_ms_floor(F.col("ts")).alias("time_ms"),
-        eid.cast("long").alias("seq"),
+        ip = "concat('10.0.', CAST(floor(user_id / 256) AS STRING), '.', CAST(user_id % 256 AS STRING))"
+        name = "event_type"
+    else:
+        ip = f"""CASE WHEN user_id % 13 = 0 THEN ''
+            WHEN user_id % 17 = 0 THEN concat('junk-', CAST({_K} AS STRING))
+            WHEN {_K} % 2 = 0 THEN concat('10.', CAST({_K} AS STRING), '.', CAST(user_id % 50 AS STRING), '.1')
+            WHEN event_id % 4 = 0 THEN format_string('2001:db8:%x::%x', {_K}, event_id)
+            WHEN event_id % 4 = 1 THEN upper(format_string('2001:db8:%x::%x', {_K}, event_id))
+            WHEN event_id % 4 = 2 THEN format_string('2001:0db8:%04x::%04x', {_K}, user_id)
+            ELSE format_string('2001:db8:%x:0:0:0:0:%x', {_K} % 3, event_id) END"""
+        name = ("CASE WHEN user_id % 11 = 0 THEN concat(event_type, ' ', CAST(user_id % 7 AS STRING)) "
+                "ELSE concat(event_type, '-', CAST(user_id % 7 AS STRING)) END")
+    return events.selectExpr(
+        f"{name} AS name",
+        f"{ip} AS original_ip",
+        f"64512 + {_K} AS asn",
+        "CAST(NULL AS STRING) AS as_org",
+        f"concat('C', lpad(CAST({_K} % 37 AS STRING), 2, '0')) AS colo",
+        f"CASE WHEN {_K} % 9 = 0 THEN '' ELSE concat({_LETTER}, 'X') END AS country",
+        f"CASE WHEN {_K} % 3 = 0 THEN '' ELSE concat('City', CAST({_K} AS STRING)) END AS city",
+        "'' AS metro",
+        f"CASE WHEN {_K} % 5 = 0 THEN '' ELSE concat('Region', CAST({_K} % 4 AS STRING)) END AS region_name",
+        f"CASE WHEN {_K} % 10 = 0 THEN '' ELSE CAST({_K} % 4 AS STRING) END AS region_code",
+        "CAST(NULL AS STRING) AS postal_code",
+        "CAST(NULL AS STRING) AS continent",
+        "CAST(NULL AS STRING) AS header_country",
+        "CAST(floor(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) / 1000) AS BIGINT) AS time_ms",
+        "CAST(event_id AS BIGINT) AS seq",
     )
 
 
