@@ -5,7 +5,7 @@ not a headline job: its cost is one small job per ring, so it grows with the lar
 on the grid rather than with the data (see README).
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_REPEAT (default 1: best of N runs per query after one warm-up of the session).
+BENCH_REPEAT (default 2: best of N runs per query, after one warm-up of the session).
 Each query is fully executed with the ``noop`` sink (nothing is collected to the driver).
 """
 
@@ -41,7 +41,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "1"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
     parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(cpus)))
     spark = get_spark(f"local[{cpus}]", parts, app="territory-engine-bench")
     # warm the session (JVM start, first parquet read) outside the timings
