@@ -15,10 +15,12 @@ Nearest facility = smallest (hop distance, facility id). Two exact ways to compu
 
 from __future__ import annotations
 
+import itertools
 import math
+import uuid
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -181,15 +183,18 @@ def frontier_assign(seeds: DataFrame, grid: Grid, land: DataFrame | None = None,
     def bounded(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if grid_small else df
 
-    def tally(r: DataFrame) -> tuple[int, int]:
-        """(cells in the ring, land cells among them) in one job."""
-        if land_cells is None:
-            return r.count(), 0
-        row = land_cells.join(bounded(r.select("cell")), "cell", "right").agg(
-            F.count(F.lit(1)).alias("n"), F.count("_land").alias("l")).first()
-        return row["n"], row["l"]
+    serial = itertools.count()
 
-    land_left = land_cells.count() - tally(ring)[1] if land_cells is not None else None
+    def materialise(r: DataFrame) -> tuple[DataFrame, int, int]:
+        """Checkpoint a ring and count its cells and its land cells in the same job (observed)."""
+        obs = Observation(f"ring-{uuid.uuid4().hex}-{next(serial)}")
+        flagged = r.join(bounded(land_cells), "cell", "left") if land_cells is not None else r.withColumn(
+            "_land", F.lit(None).cast("boolean"))
+        ck = flagged.observe(obs, F.count(F.lit(1)).alias("n"), F.count("_land").alias("l")).select(
+            "cell", "seed_id", "distance").checkpoint()
+        return ck, obs.get["n"], obs.get["l"]
+
+    land_left = land_cells.count() - materialise(ring)[2] if land_cells is not None else None
     rounds = 0
     while land_left is None or land_left > 0:
         if max_rounds is not None and rounds >= max_rounds:
@@ -202,10 +207,8 @@ def frontier_assign(seeds: DataFrame, grid: Grid, land: DataFrame | None = None,
             pick = F.min_by(F.struct("seed_id", "distance"), F.struct(key, F.col("seed_id")))
         else:
             pick = F.min(F.struct("seed_id", "distance"))
-        new = cand.groupBy("cell").agg(pick.alias("_p")).select(
-            "cell", F.col("_p.seed_id").alias("seed_id"), F.col("_p.distance").alias("distance")
-        ).checkpoint()
-        n_new, n_land = tally(new)
+        new, n_new, n_land = materialise(cand.groupBy("cell").agg(pick.alias("_p")).select(
+            "cell", F.col("_p.seed_id").alias("seed_id"), F.col("_p.distance").alias("distance")))
         if n_new == 0:
             break  # nothing left to reach (land out of reach of every facility, or the grid is full)
         rings.append(new)
