@@ -88,3 +88,14 @@ def test_cli_assign_and_rank(spark, tmpdir_path):
     ST.write_state(C.fold_claims(TD.load_claims(spark, SF_SMALL)), state_dir, 0, 2)
     main(["rank", "--state", state_dir, "--out", os.path.join(tmpdir_path, "ranks"), "--as-of-ms", "1706659200000"])
     assert spark.read.json(os.path.join(tmpdir_path, "ranks", "leaderboards")).count() > 0
+
+
+def test_cli_boundaries(spark, tmpdir_path):
+    from territory_engine.__main__ import main
+    base = os.path.join(tmpdir_path, "divisions")
+    TD.divisions_view(spark, SF_SMALL).write.partitionBy("type").parquet(base)
+    out = os.path.join(tmpdir_path, "regions")
+    main(["boundaries", "--divisions", base, "--subtype", "region", "--out", out])
+    feats = [json.loads(r["value"]) for r in spark.read.text(out).collect()]
+    assert feats and all(f["type"] == "Feature" and f["geometry"]["type"] == "Polygon" for f in feats)
+    assert "country_primary_name" in feats[0]["properties"]

@@ -119,3 +119,19 @@ def test_poll_job_replay_is_idempotent(spark, tmpdir_path):
     job.process(as_objects(batches[2]), 2)   # replay the last batch
     job.process(as_objects(batches[1]), 1)   # replay an earlier one: rewrites only version 1
     assert as_dict(ST.read_state(spark, job.state_dir)) == first == as_dict(C.fold_claims(claims))
+
+
+def test_end_to_end_admission_to_rankings(spark, tmpdir_path):
+    """Raw requests -> admission -> accepted claims in envelopes -> poll job -> state and rankings."""
+    raw = TD.raw_claims_from_events(TD.read_table(spark, SF_SMALL, "events"))
+    accepted = A.to_claims(A.admit(raw))
+    inbox = os.path.join(tmpdir_path, "inbox")
+    P.write_text(P.claim_envelopes(accepted.repartition(3), 100), "value", inbox)
+    state_dir, out_dir = os.path.join(tmpdir_path, "state"), os.path.join(tmpdir_path, "out")
+    q = ingest.run_stream(spark, inbox, state_dir, out_dir, os.path.join(tmpdir_path, "ck"),
+                          available_now=True, clock="data", lines=True)
+    q.awaitTermination()
+    got = as_dict(ST.read_state(spark, state_dir))
+    expected = as_dict(C.fold_claims(accepted.withColumn("seq", F.lit(0).cast("long")), hot_threshold=None))
+    assert got == expected and len(got) > 0
+    assert spark.read.json(os.path.join(out_dir, "batch=0", "leaderboards")).count() > 0
