@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CLAIM_COLUMNS, COOLDOWN_MS
-from ..plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS, maybe_broadcast
+from ..plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS, maybe_broadcast, row_count_at_most
 
 PAYLOAD = [c for c in CLAIM_COLUMNS if c not in ("ip", "time_ms")]
 
@@ -70,6 +70,8 @@ def fold_claims(
     if hot_threshold is None:
         return fold_small(claims, state, cooldown_ms, order)
     claims = valid_claims(claims)
+    if row_count_at_most(claims, hot_threshold):  # no address can pass the threshold
+        return fold_small(claims, state, cooldown_ms, order)
     hot = claims.groupBy("ip").count().where(F.col("count") > hot_threshold).select("ip")
     if hot.isEmpty():
         return fold_small(claims, state, cooldown_ms, order)
