@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import BATCH_MAX_CLAIMS, CLAIM_COLUMNS
+from ..constants import BATCH_MAX_CLAIMS, CLAIM_COLUMNS, TERRITORY_TYPES
 
 
 def write_leaderboards(board: DataFrame, path: str, fmt: str = "json") -> None:
@@ -31,14 +31,14 @@ def leaderboard_document(board: DataFrame, recents: DataFrame) -> DataFrame:
     per_type = per_window.groupBy("territory_type").agg(
         F.map_from_entries(F.collect_list(F.struct("time_window", "rows"))).alias("windows")
     )
-    doc = per_type.agg(F.map_from_entries(F.collect_list(F.struct("territory_type", "windows"))).alias("scores"))
-    recents_json = recents.select(F.to_json(F.collect_list(F.struct(*recents.columns)))).scalar()
-    return doc.select(
-        F.to_json(F.map_concat(
-            F.transform_values("scores", lambda k, v: F.to_json(v)),
-            F.create_map(F.lit("recents"), recents_json),
-        )).alias("document")
-    )
+    scores = per_type.agg(F.map_from_entries(F.collect_list(F.struct("territory_type", "windows"))).alias("scores"))
+    recents_rows = recents.select(F.collect_list(F.struct(*recents.columns))).scalar()
+    return scores.select(F.to_json(F.struct(
+        *[F.coalesce(F.col("scores")[t], F.create_map().cast("map<string,array<struct<name:string,territories:string,"
+                                                                "ip_count:bigint,latest:bigint,score:bigint>>>")).alias(t)
+          for t in TERRITORY_TYPES],
+        recents_rows.alias("recents"),
+    )).alias("document"))
 
 
 def _json_value(c: Column) -> Column:
