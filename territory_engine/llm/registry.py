@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from territory_engine.llm import simhash, urls
+from territory_engine.llm import packing, simhash, tokenfile, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filters": urls.op4_url_filters,
+    "op6_token_files": tokenfile.op6_token_files,
     "op7_simhash": simhash.op7_simhash,
+    "op8_packing": packing.op8_packing,
 }
 
 ORACLES: dict[str, str] = {
