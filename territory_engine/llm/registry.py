@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from territory_engine.llm import packing, simhash, tokenfile, urls
+from territory_engine.llm import langid, packing, simhash, tokenfile, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": langid.op3_language_id,
     "op4_url_filters": urls.op4_url_filters,
     "op6_token_files": tokenfile.op6_token_files,
     "op7_simhash": simhash.op7_simhash,
