@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from territory_engine.llm import langid, packing, simhash, tokenfile, urls
+from territory_engine.llm import langid, packing, simhash, tokenfile, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": langid.op3_language_id,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_files": tokenfile.op6_token_files,
     "op7_simhash": simhash.op7_simhash,
     "op8_packing": packing.op8_packing,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {
