@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from territory_engine.llm import decontamination, extraction, langid, packing, simhash, tokenfile, toxicity, urls
+from territory_engine.llm import decontamination, extraction, langid, licenses, packing, simhash, tokenfile, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -17,8 +17,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": simhash.op7_simhash,
     "op8_packing": packing.op8_packing,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_license_scan": licenses.op10_license_scan,
 }
 
 ORACLES: dict[str, str] = {
     "op4_url_filters": urls.ORACLE_SQL,
+    "op10_license_scan": licenses.ORACLE_SQL,
 }
