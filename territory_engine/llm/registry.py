@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from territory_engine.llm import decontamination, extraction, langid, licenses, packing, simhash, tokenfile, toxicity, urls
+from territory_engine.llm import decontamination, embeddings, extraction, langid, licenses, packing, simhash, tokenfile, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_html_extraction": extraction.op2_html_extraction,
     "op3_language_id": langid.op3_language_id,
     "op4_url_filters": urls.op4_url_filters,
+    "op5_embedding_dedup": embeddings.op5_embedding_dedup,
     "op6_token_files": tokenfile.op6_token_files,
     "op7_simhash": simhash.op7_simhash,
     "op8_packing": packing.op8_packing,
