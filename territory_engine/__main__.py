@@ -34,6 +34,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--once", action="store_true", help="process what is there and stop")
     p.add_argument("--lines", action="store_true", help="input files hold one object per line")
     p.add_argument("--compact-every", type=int, default=10)
+    p.add_argument("--keep-versions", type=int, help="full snapshots of the state that stay (default: all)")
+    p.add_argument("--fail-fast", action="store_true", help="stop on unusable input instead of setting it aside")
     p.add_argument("--clean-source", choices=["archive", "delete"])
     p.add_argument("--archive-dir")
     r = sub.add_parser("rank")
@@ -56,7 +58,8 @@ def main(argv: list[str] | None = None) -> None:
         from .streaming.ingest import run_stream
         q = run_stream(spark, args.input, args.state, args.out, args.checkpoint, interval=args.interval,
                        available_now=args.once, clean_source=args.clean_source, archive_dir=args.archive_dir,
-                       lines=args.lines, compact_every=args.compact_every)
+                       lines=args.lines, compact_every=args.compact_every, fail_fast=args.fail_fast,
+                       keep_versions=args.keep_versions)
         q.awaitTermination()
     elif args.job == "rank":
         from .functions.clock import now_ms
@@ -69,22 +72,22 @@ def main(argv: list[str] | None = None) -> None:
         recents(state, as_of).write.mode("overwrite").json(f"{args.out}/recents")
         write_public_claims(public_claims(state), f"{args.out}/claims", F.floor(F.unix_millis(F.current_timestamp()) / 1000))
     elif args.job == "assign":
+        from .operators.geo import outline_parts
         from .plans.jobs import assign_cells
         from .sinks.publish import geojson_features, write_text
         grid = _grid(args.grid)
         assigned, outlines, offenders = assign_cells(spark.read.parquet(args.land), spark.read.parquet(args.facilities), grid)
         assigned.write.mode("overwrite").parquet(f"{args.out}/cells")
         offenders.write.mode("overwrite").parquet(f"{args.out}/gate_offenders")
-        polys = outlines.groupBy("key").agg(F.collect_list(F.struct("ring_no", "ring")).alias("rs")).select(
-            F.col("key").alias("seed_id"), F.transform(F.array_sort("rs"), lambda x: x["ring"]).alias("rings"))
-        write_text(geojson_features(polys, "rings", ["seed_id"]), "feature", f"{args.out}/outlines")
+        polys = outline_parts(outlines).withColumnRenamed("key", "seed_id")
+        write_text(geojson_features(polys, "parts", ["seed_id"]), "feature", f"{args.out}/outlines")
     elif args.job == "boundaries":
         from .plans.jobs import boundaries
         from .sinks.publish import geojson_features, write_text
         from .sources.geojson import read_divisions
         out = boundaries(read_divisions(spark, args.divisions), args.subtype)
-        props = [c for c in out.columns if c not in ("geometry", "rings")]
-        write_text(geojson_features(out, "rings", props), "feature", args.out)
+        props = [c for c in out.columns if c not in ("geometry", "parts")]
+        write_text(geojson_features(out, "parts", props), "feature", args.out)
 
 
 if __name__ == "__main__":

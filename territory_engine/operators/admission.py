@@ -1,8 +1,8 @@
 """Claim admission (Q1): validate, normalise and throttle raw claims.
 
 Checks run in order and the first failing one decides the verdict: bad name (400), missing
-address (500), bad address (500), (address, name) rate (429), address rate (429), else
-accepted (200). IPv4 addresses are kept, IPv6 addresses are cut to their /48 network, and the
+address (500), bad address (500), missing time (500: the limiters need one), (address, name)
+rate (429), address rate (429), else accepted (200). IPv4 addresses are kept, IPv6 addresses are cut to their /48 network, and the
 limiters key on that recorded address. The (address, name) limiter is asked first; the address
 limiter only sees the claims the first one let through.
 """
@@ -23,6 +23,7 @@ VERDICTS = {
     "invalid_name": (400, "invalid name provided"),
     "missing_address": (500, "could not get IP address"),
     "bad_address": (500, "could not get IP address"),
+    "missing_time": (500, "could not get time"),
     "name_rate_limited": (429, "name rate limit exceeded"),
     "ip_rate_limited": (429, "IP rate limit exceeded"),
     "accepted": (200, None),
@@ -59,6 +60,7 @@ def normalise(raw: DataFrame, name_max_len: int = NAME_MAX_LEN) -> DataFrame:
         F.when(~valid_name("name", name_max_len), F.lit("invalid_name"))
         .when(F.col("_orig") == "", F.lit("missing_address"))
         .when(F.col("ip").isNull(), F.lit("bad_address"))
+        .when(F.col("time_ms").isNull(), F.lit("missing_time"))
     )
     return staged.withColumns({
         "country_n": empty_to_null("country"),
@@ -70,16 +72,20 @@ def normalise(raw: DataFrame, name_max_len: int = NAME_MAX_LEN) -> DataFrame:
     }).drop("_orig")
 
 
+def slot_of(period_secs: int) -> Column:
+    """Number of the tumbling window a claim falls in."""
+    return F.floor(F.col("time_ms") / F.lit(period_secs * 1000))
+
+
 def within_limit(df: DataFrame, keys: Sequence[str], limit: int, period_secs: int, order: Sequence[str]) -> DataFrame:
     """The first ``limit`` claims per key in each tumbling ``period_secs`` window.
 
-    ``row_number() <= limit`` is planned with a window group limit: every map task keeps at
-    most ``limit`` rows per (key, window) before the shuffle, so a hot key stays small.
+    Rows with the same key and order are one claim delivered more than once: they pass or fail
+    together and count once. The rank is planned with a window group limit: every map task
+    keeps at most ``limit`` claims per (key, window) before the shuffle, so a hot key stays small.
     """
-    period_ms = period_secs * 1000
-    slot = F.floor(F.col("time_ms") / F.lit(period_ms))
-    w = Window.partitionBy(*[F.col(k) for k in keys], slot).orderBy(*[F.col(c) for c in order])
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")
+    w = Window.partitionBy(*[F.col(k) for k in keys], slot_of(period_secs)).orderBy(*[F.col(c) for c in order])
+    return df.withColumn("_rn", F.dense_rank().over(w)).where(F.col("_rn") <= limit).drop("_rn")
 
 
 def admit(
@@ -92,21 +98,21 @@ def admit(
 ) -> DataFrame:
     """Q1: every raw claim with ``verdict``, ``status``, ``error`` and its CLAIM projection.
 
-    ``order`` must identify a claim uniquely (it orders claims inside a limiter window and
-    keys the anti-joins that mark the claims a limiter refused).
+    ``order`` orders the claims inside a limiter window (its other columns may be null, which sorts
+    first). Each limiter leaves one small row per key and window, the order of its last admitted
+    claim; a claim passed if it comes no later, so rows are never joined with rows.
     """
-    base = normalise(raw, name_max_len)
-    keys = list(order)
-    ok = base.where(F.col("_static").isNull())
+    base = normalise(raw, name_max_len).withColumns({
+        "_slot": slot_of(period_secs), "_order": F.struct(*[F.col(c) for c in order])})
+    ok = base.where(F.col("_static").isNull()).select("ip", "name", "_slot", "_order", *order)
     passed1 = within_limit(ok, ["ip", "name"], name_limit, period_secs, order)
-    passed2 = within_limit(passed1, ["ip"], ip_limit, period_secs, order)
-    flags = base.join(passed1.select(*keys, F.lit(True).alias("_p1")), keys, "left").join(
-        passed2.select(*keys, F.lit(True).alias("_p2")), keys, "left"
-    )
+    cut1 = passed1.groupBy("ip", "name", "_slot").agg(F.max("_order").alias("_cut1"))
+    cut2 = within_limit(passed1, ["ip"], ip_limit, period_secs, order).groupBy("ip", "_slot").agg(F.max("_order").alias("_cut2"))
+    flags = base.join(cut1, ["ip", "name", "_slot"], "left").join(cut2, ["ip", "_slot"], "left")
     verdict = (
         F.when(F.col("_static").isNotNull(), F.col("_static"))
-        .when(F.col("_p1").isNull(), F.lit("name_rate_limited"))
-        .when(F.col("_p2").isNull(), F.lit("ip_rate_limited"))
+        .when(F.col("_cut1").isNull() | (F.col("_order") > F.col("_cut1")), F.lit("name_rate_limited"))
+        .when(F.col("_cut2").isNull() | (F.col("_order") > F.col("_cut2")), F.lit("ip_rate_limited"))
         .otherwise(F.lit("accepted"))
     )
     out = flags.withColumn("_verdict", verdict)

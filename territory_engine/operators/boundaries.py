@@ -18,7 +18,7 @@ def divisions_with_areas(view: DataFrame, subtype: str, with_region: bool = Fals
     """P12 + J1 + F11 (+ F16): one row per (division, area) for divisions of ``subtype``.
 
     Columns: id, subtype, country[, region], wikidata, primary_name, primary_source
-    [, country_primary_name], area_id, geometry (WKB) and, with ``decode``, ``rings``.
+    [, country_primary_name], area_id, geometry (WKB) and, with ``decode``, ``parts``.
     """
     has_type = "type" in view.columns
     div = view.where(F.col("type") == "division") if has_type else view

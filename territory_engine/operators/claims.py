@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CLAIM_COLUMNS, COOLDOWN_MS
-from ..plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS, maybe_broadcast, row_count_at_most
+from ..plans.broadcast import measured
 
 PAYLOAD = [c for c in CLAIM_COLUMNS if c not in ("ip", "time_ms")]
 
@@ -49,6 +49,11 @@ def valid_claims(claims: DataFrame) -> DataFrame:
     return claims.where(F.col("ip").isNotNull() & F.col("name").isNotNull() & F.col("time_ms").isNotNull())
 
 
+def unusable_claims(claims: DataFrame) -> DataFrame:
+    """S3: the rows ``valid_claims`` leaves out."""
+    return claims.where(F.col("ip").isNull() | F.col("name").isNull() | F.col("time_ms").isNull())
+
+
 DEFAULT_HOT_THRESHOLD = 200_000
 
 
@@ -58,26 +63,23 @@ def fold_claims(
     cooldown_ms: int = COOLDOWN_MS,
     order: Sequence[str] = ("time_ms", "seq"),
     hot_threshold: int | None = DEFAULT_HOT_THRESHOLD,
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Fold new claims per address into one row each (see ``fold_small``), skew-aware.
 
     Addresses with more than ``hot_threshold`` claims are folded by ``hotkeys.hot_fold``,
     which never gathers an address's history; every other address's list is bounded by the
-    threshold. The per-address counts combine map-side, and the hot set (at most
-    rows / threshold addresses) is broadcast only within the checked bound.
+    threshold. The per-address counts combine map-side; the hot set (at most rows / threshold
+    addresses) is measured, so Spark broadcasts it only below its own threshold.
     """
     if hot_threshold is None:
         return fold_small(claims, state, cooldown_ms, order)
     claims = valid_claims(claims)
-    if row_count_at_most(claims, hot_threshold):  # no address can pass the threshold
-        return fold_small(claims, state, cooldown_ms, order)
     hot = claims.groupBy("ip").count().where(F.col("count") > hot_threshold).select("ip")
     if hot.isEmpty():
         return fold_small(claims, state, cooldown_ms, order)
     from .hotkeys import hot_fold
 
-    hot_keys = maybe_broadcast(hot, max_broadcast_rows)
+    hot_keys = measured(hot)
     normal = fold_small(claims.join(hot_keys, "ip", "left_anti"),
                         None if state is None else state.join(hot_keys, "ip", "left_anti"), cooldown_ms, order)
     hot_claims = claims.join(hot_keys, "ip", "left_semi")
@@ -107,20 +109,12 @@ def fold_small(
     """
     claims = valid_claims(claims)
     grouped = claims.groupBy("ip").agg(F.array_sort(F.collect_list(_element(order))).alias("_rows"))
-    if state is not None:
-        stored = state.select("ip", _seed(claims, order).alias("_seed"))
-        grouped = grouped.join(stored, "ip", "left")
-        rows = F.col("_rows")
-        init = F.coalesce(F.col("_seed"), F.element_at(rows, 1))
-        rest = F.when(F.col("_seed").isNull(), F.slice(rows, 2, F.size(rows))).otherwise(rows)
+    seed = _seed(claims, order).alias("_seed")
+    if state is None:
+        grouped = grouped.withColumn("_seed", F.lit(None).cast(claims.select(seed).schema["_seed"].dataType))
     else:
-        rows = F.col("_rows")
-        init = F.element_at(rows, 1)
-        rest = F.slice(rows, 2, F.size(rows))
-    folded = F.aggregate(rest, init, lambda acc, x: F.when(accepts(acc, x, cooldown_ms), x).otherwise(acc))
-    return grouped.select("ip", folded.alias("_s")).select(
-        "ip", *[F.col(f"_s.{c}").alias(c) for c in PAYLOAD], F.col("_s.time_ms").alias("time_ms")
-    ).select(*CLAIM_COLUMNS)
+        grouped = grouped.join(state.select("ip", seed), "ip", "left")
+    return _folded(grouped, cooldown_ms)
 
 
 def apply_claims(
@@ -128,29 +122,46 @@ def apply_claims(
     batch: DataFrame,
     cooldown_ms: int = COOLDOWN_MS,
     order: Sequence[str] = ("time_ms", "seq"),
-    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+    hot_threshold: int | None = DEFAULT_HOT_THRESHOLD,
 ) -> DataFrame:
     """Upsert a batch into the state table and return the whole new state.
 
-    Only the batch's addresses are touched. When the batch's address set is within the
-    broadcast bound, the state is filtered and anti-joined map-side against it, so the (much
-    larger) state is never shuffled; otherwise both sides shuffle on ``ip``.
+    One pass: the batch's claims, grouped by address, meet the state in a full outer join;
+    addresses without new claims keep their row. State and batch are each read once, so upserts can
+    follow each other in one plan. Addresses with more than ``hot_threshold`` claims in the batch
+    take the hot path.
     """
     if state is None:
-        return fold_claims(batch, None, cooldown_ms, order)
+        return fold_claims(batch, None, cooldown_ms, order, hot_threshold)
     batch = valid_claims(batch)
-    keys = maybe_broadcast(batch.select("ip").distinct(), max_broadcast_rows)
-    stored = state.join(keys, "ip", "left_semi")
-    touched = fold_claims(batch, stored, cooldown_ms, order, max_broadcast_rows=max_broadcast_rows)
-    kept = state.join(keys, "ip", "left_anti")
-    return kept.select(*CLAIM_COLUMNS).unionByName(touched)
+    hot = None if hot_threshold is None else batch.groupBy("ip").count().where(F.col("count") > hot_threshold).select("ip")
+    if hot is None or hot.isEmpty():
+        return _upsert(state, batch, cooldown_ms, order)
+    keys = measured(hot)
+    heavy = fold_claims(batch.join(keys, "ip", "left_semi"), state.join(keys, "ip", "left_semi"), cooldown_ms, order, hot_threshold)
+    rest = _upsert(state.join(keys, "ip", "left_anti"), batch.join(keys, "ip", "left_anti"), cooldown_ms, order)
+    return rest.unionByName(heavy)
+
+
+def _upsert(state: DataFrame, batch: DataFrame, cooldown_ms: int, order: Sequence[str]) -> DataFrame:
+    grouped = batch.groupBy("ip").agg(F.array_sort(F.collect_list(_element(order))).alias("_rows"))
+    return _folded(state.select("ip", _seed(batch, order).alias("_seed")).join(grouped, "ip", "full_outer"), cooldown_ms)
+
+
+def _folded(grouped: DataFrame, cooldown_ms: int) -> DataFrame:
+    """CLAIM rows from (ip, _seed, _rows): the ordered claims applied to the stored row, if any."""
+    rows = F.coalesce(F.col("_rows"), F.array().cast(grouped.schema["_rows"].dataType))
+    init = F.coalesce(F.col("_seed"), F.get(rows, F.lit(0)))
+    rest = F.when(F.col("_seed").isNull(), F.slice(rows, 2, F.size(rows))).otherwise(rows)
+    folded = F.aggregate(rest, init, lambda acc, x: F.when(accepts(acc, x, cooldown_ms), x).otherwise(acc))
+    return grouped.select("ip", folded.alias("_s")).select(
+        "ip", *[F.col(f"_s.{c}").alias(c) for c in PAYLOAD], F.col("_s.time_ms").alias("time_ms")
+    ).select(*CLAIM_COLUMNS)
 
 
-def newest_wins_merge(old: DataFrame, new: DataFrame, key: str = "ip",
-                      max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+def newest_wins_merge(old: DataFrame, new: DataFrame, key: str = "ip") -> DataFrame:
     """Every new row, then the old rows whose key is not among the new ones."""
-    keys = maybe_broadcast(new.select(key).distinct(), max_broadcast_rows)
-    return new.unionByName(old.join(keys, key, "left_anti"))
+    return new.unionByName(old.join(new.select(key), key, "left_anti"))
 
 
 def last_run(claims: DataFrame, order: Sequence[str] = ("time_ms", "seq")) -> DataFrame:

@@ -153,7 +153,7 @@ def nearest_seed_tiles(cells: DataFrame, seeds: DataFrame, grid: Grid, cell: str
 
 
 def frontier_assign(seeds: DataFrame, grid: Grid, land: DataFrame | None = None, seed_cell: str = "cell",
-                    seed_id: str = "seed_id", tie: str = "id", salt: int = 42, max_rounds: int | None = None) -> DataFrame:
+                    seed_id: str = "seed_id", tie: str = "id", salt: int = 42) -> DataFrame:
     """The flood fill: grow every facility one ring per round until no cell is left.
 
     Each round explodes the ring-1 neighbours of the last ring (F13), drops cells of the last
@@ -163,7 +163,8 @@ def frontier_assign(seeds: DataFrame, grid: Grid, land: DataFrame | None = None,
     Every ring is checkpointed to the session's checkpoint folder, so lineage stays one round
     deep and a lost executor recomputes one round at most. With ``land`` the fill stops once
     every land cell is labelled (the labels of land cells are final by then).
-    Returns (cell, seed_id, distance) for every cell reached.
+    Returns (cell, seed_id, distance) for every cell reached; land that no facility reaches (cells off
+    the grid, or no facility at all) is returned with a null facility and distance.
     """
     spark = seeds.sparkSession
     ensure_checkpoint_dir(spark)
@@ -195,10 +196,7 @@ def frontier_assign(seeds: DataFrame, grid: Grid, land: DataFrame | None = None,
         return ck, obs.get["n"], obs.get["l"]
 
     land_left = land_cells.count() - materialise(ring)[2] if land_cells is not None else None
-    rounds = 0
     while land_left is None or land_left > 0:
-        if max_rounds is not None and rounds >= max_rounds:
-            break
         cand = ring.select(F.explode(grid.neighbours("cell")).alias("cell"), "seed_id", (F.col("distance") + 1).alias("distance"))
         seen = prev.select("cell").unionByName(ring.select("cell"))
         cand = cand.join(bounded(seen), "cell", "left_anti")
@@ -215,10 +213,13 @@ def frontier_assign(seeds: DataFrame, grid: Grid, land: DataFrame | None = None,
         prev, ring = ring, new
         if land_left is not None:
             land_left -= n_land
-        rounds += 1
     out = rings[0]
     for r in rings[1:]:
         out = out.unionByName(r)
+    if land_left:
+        missed = land_cells.select("cell").join(out.select("cell"), "cell", "left_anti")
+        out = out.unionByName(missed.select("cell", F.lit(None).cast(out.schema["seed_id"].dataType).alias("seed_id"),
+                                            F.lit(None).cast("long").alias("distance")))
     return out
 
 
@@ -252,6 +253,7 @@ RING_SCHEMA = T.StructType([
     T.StructField("key", T.StringType()),
     T.StructField("ring_no", T.IntegerType()),
     T.StructField("is_hole", T.BooleanType()),
+    T.StructField("part", T.IntegerType()),
     T.StructField("xs", T.ArrayType(T.LongType())),
     T.StructField("ys", T.ArrayType(T.LongType())),
 ])
@@ -325,11 +327,39 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
         area2 = sum(xs[i] * ys[i + 1] - xs[i + 1] * ys[i] for i in range(len(xs) - 1))
         rows.append((key, ring_no, area2 < 0, xs, ys))
         ring_no += 1
-    return pd.DataFrame(rows, columns=["key", "ring_no", "is_hole", "xs", "ys"])
+    return pd.DataFrame([(k, no, hole, _part_of(rows, no), xs, ys) for k, no, hole, xs, ys in rows],
+                        columns=["key", "ring_no", "is_hole", "part", "xs", "ys"])
+
+
+def _part_of(rows: list[tuple], no: int) -> int:
+    """Number of the outer ring a ring belongs to: itself, or the smallest one around the hole."""
+    _, _, hole, xs, ys = rows[no]
+    if not hole:
+        return no
+    low = min(range(len(xs) - 1), key=lambda i: (ys[i], xs[i]))
+    px, py = xs[low] + 0.5, ys[low] + 0.5  # inside the hole: its lowest, leftmost corner
+    around = []
+    for _, other, is_hole, ox, oy in rows:
+        if is_hole:
+            continue
+        # rays to the left meet vertical unit edges only
+        crossed = sum(1 for i in range(len(ox) - 1) if ox[i] == ox[i + 1] and ox[i] < px and min(oy[i], oy[i + 1]) < py < max(oy[i], oy[i + 1]))
+        if crossed % 2:
+            around.append((abs(sum(ox[i] * oy[i + 1] - ox[i + 1] * oy[i] for i in range(len(ox) - 1))), other))
+    return min(around)[1]
+
+
+def outline_parts(rings: DataFrame) -> DataFrame:
+    """(key, parts): each key's outline as parts, an outer ring followed by its holes."""
+    by_part = rings.groupBy("key", "part").agg(F.array_sort(F.collect_list(F.struct("is_hole", "ring_no", "ring"))).alias("rs"))
+    return by_part.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("part", "rs"))).alias("ps")).select(
+        "key", F.transform("ps", lambda p: F.transform(p["rs"], lambda r: r["ring"])).alias("parts"))
 
 
 def dissolve(cells: DataFrame, grid: Grid, key: str = "seed_id") -> DataFrame:
-    """Outline rings of each key's cells -> (key, ring_no, is_hole, ring array<struct<lon,lat>>).
+    """Outline rings of each key's cells -> (key, ring_no, is_hole, part, ring array<struct<lon,lat>>).
+
+    ``part`` is the number of the outer ring a hole lies in (an outer ring's own number).
 
     Only the outline edges reach the grouped pandas step, one group per key; interior edges
     are cancelled by the aggregation before it.
@@ -341,7 +371,7 @@ def dissolve(cells: DataFrame, grid: Grid, key: str = "seed_id") -> DataFrame:
         (F.lit(grid.lon0) + p["x"].cast("double") * F.lit(grid.size)).alias("lon"),
         (F.lit(grid.lat0) + p["y"].cast("double") * F.lit(lat_size)).alias("lat"),
     ))
-    return rings.select("key", "ring_no", "is_hole", ring.alias("ring"))
+    return rings.select("key", "ring_no", "is_hole", "part", ring.alias("ring"))
 
 
 def ring_area(ring: Column | str) -> Column:
@@ -379,8 +409,9 @@ def cell_area(grid: Grid) -> float:
 
 
 # --------------------------------------------------------------------------- cover ----------
-def cover_cells(polygons: DataFrame, grid: Grid, key: str = "id", rings: str = "rings") -> DataFrame:
-    """Cells whose centre lies inside a polygon (even-odd rule, holes included) -> (key, cell).
+def cover_cells(polygons: DataFrame, grid: Grid, key: str = "id", parts: str = "parts") -> DataFrame:
+    """Cells whose centre lies inside a geometry of any number of parts (even-odd rule over all
+    its rings, so holes are out) -> (key, cell).
 
     A scanline rasteriser instead of testing every cell against every edge: each ring edge
     yields its crossing longitude on every row of cell centres it spans; the crossings of one
@@ -389,7 +420,7 @@ def cover_cells(polygons: DataFrame, grid: Grid, key: str = "id", rings: str = "
     cells. Longitudes are taken as given (no wrap across the antimeridian).
     """
     dlat = grid.dlat
-    edges = polygons.select(F.col(key).alias("key"), F.explode(rings).alias("ring")).select(
+    edges = polygons.select(F.col(key).alias("key"), F.explode(F.flatten(parts)).alias("ring")).select(
         "key", F.explode(F.arrays_zip(
             F.slice("ring", 1, F.size("ring") - 1).alias("a"), F.slice("ring", 2, F.size("ring")).alias("b"),
         )).alias("e")
@@ -422,5 +453,5 @@ def cover_cells(polygons: DataFrame, grid: Grid, key: str = "id", rings: str = "
 
 
 def exclude_pairs(cells: DataFrame, exclusions: DataFrame, keys: list[str]) -> DataFrame:
-    """Drop listed (cell, country)-style pairs; the list is small and broadcast."""
-    return cells.join(F.broadcast(exclusions.select(*keys).distinct()), keys, "left_anti")
+    """Drop listed (cell, country)-style pairs; Spark broadcasts the list if it is small."""
+    return cells.join(exclusions.select(*keys), keys, "left_anti")

@@ -64,11 +64,14 @@ def hot_fold(claims: DataFrame, seeds: DataFrame | None = None, cooldown_ms: int
     ensure_checkpoint_dir(spark)
     tie = order[1]
     C = cooldown_ms
+    # claims of one time and tie are ordered by what they say, as in the plain fold, and repeats
+    # are one node: (ip, t, o) then identifies a claim
+    claims = claims.select("ip", "time_ms", *PAYLOAD, F.struct(F.col(tie), *[F.col(c) for c in PAYLOAD]).alias("_o")).distinct()
+    tie = "_o"
     rows = claims.select(
         "ip", F.col("time_ms").alias("t"), F.col(tie).alias("o"), "name",
         F.floor(F.col("time_ms") / F.lit(C)).cast("long").alias("b"),
     )
-    # rows with equal (ip, t, o) would be one node; the tie column makes them unique per ip
     pos = _pos()
 
     # ---- within-bucket run structure: next row with a different name (ND_in) ---------------
@@ -132,8 +135,10 @@ def hot_fold(claims: DataFrame, seeds: DataFrame | None = None, cooldown_ms: int
     g_in = asof_next(data_b, src.select("ip", "b", F.col("t").alias("_pt"), "_pid"), ["ip", "b"], "g")
     a = src.join(g_in, "_pid", "left")
     bucket_first = bsum.select("ip", F.col("b").alias("_t"), F.lit(0).cast("long").alias("_o"), F.col("r1").alias("_nr1"))
-    nb_first = asof_next(bucket_first, src.select("ip", F.col("b").alias("_pt"), "_pid"), ["ip"], "_nr1")
-    a = a.join(nb_first, "_pid", "left").withColumn("g", F.coalesce(F.col("g"), F.col("_nr1"))).drop("_nr1")
+    # probed once per (ip, bucket): the window per address holds bucket rows, never claims
+    buckets = src.select("ip", "b").distinct().select("ip", F.col("b").alias("_pt"), F.struct("ip", "b").alias("_pid"))
+    nb_first = asof_next(bucket_first, buckets, ["ip"], "_nr1").select("_pid.ip", "_pid.b", "_nr1")
+    a = a.join(nb_first, ["ip", "b"], "left").withColumn("g", F.coalesce(F.col("g"), F.col("_nr1"))).drop("_nr1")
     g_info = nd_in.select("ip", F.struct(F.col("t"), F.col("o")).alias("g"), F.col("name").alias("g_name"),
                           F.col("b").alias("g_b"), "nd_in")
     a = a.join(g_info, ["ip", "g"], "left")
@@ -148,10 +153,11 @@ def hot_fold(claims: DataFrame, seeds: DataFrame | None = None, cooldown_ms: int
     b_in = asof_next(data_n, pb, ["ip", "name", "b"], "same_next")
     ns = rows.groupBy("ip", "name", "b").agg(F.min(pos).alias("same_next"))
     ns_data = ns.select("ip", "name", F.col("b").alias("_t"), F.lit(0).cast("long").alias("_o"), "same_next")
-    b_cross = asof_next(ns_data, src.select("ip", "name", (F.col("b") + 1).alias("_pt"), "_pid"), ["ip", "name"],
-                        "same_next")
-    same = src.select("_pid").join(b_in, "_pid", "left").join(
-        b_cross.withColumnRenamed("same_next", "same_later"), "_pid", "left").select(
+    name_buckets = src.select("ip", "name", "b").distinct().select(
+        "ip", "name", (F.col("b") + 1).alias("_pt"), F.struct("ip", "name", "b").alias("_pid"))
+    b_cross = asof_next(ns_data, name_buckets, ["ip", "name"], "same_next").select(
+        "_pid.ip", "_pid.name", "_pid.b", F.col("same_next").alias("same_later"))
+    same = src.select("_pid", "ip", "name", "b").join(b_in, "_pid", "left").join(b_cross, ["ip", "name", "b"], "left").select(
         "_pid", F.coalesce("same_next", "same_later").alias("same_next"))
 
     nxt = src.join(a, "_pid", "left").join(same, "_pid", "left").select(

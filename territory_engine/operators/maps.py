@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import COLOUR_SHIFT_FILL, COLOUR_SHIFT_STROKE
 from ..functions.names import name_colour
-from ..plans.broadcast import maybe_broadcast
+from ..plans.broadcast import measured
 
 
 def winners_by_territory(board: DataFrame, territory_type: str, window: str) -> DataFrame:
@@ -25,7 +25,7 @@ def territory_map(features: DataFrame, board: DataFrame, territory_type: str, wi
     territory; it is broadcast when within the checked bound.
     """
     k = key or territory_type
-    winners = maybe_broadcast(winners_by_territory(board, territory_type, window))
+    winners = measured(winners_by_territory(board, territory_type, window))
     return features.join(winners, features[k] == winners["territory"]).drop("territory").withColumns({
         "fill": name_colour("claimant", COLOUR_SHIFT_FILL),
         "stroke": name_colour("claimant", COLOUR_SHIFT_STROKE),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import relative_age
 from ..functions.labels import territory_type_of_id
-from ..plans.broadcast import maybe_broadcast
+from ..plans.broadcast import measured
 from .rankings import rank_contenders, window_counts
 
 
@@ -82,5 +82,5 @@ def territory_view_with_total(contender_table: DataFrame) -> DataFrame:
 
     The totals have one row per territory, so they are joined by broadcast when within bound.
     """
-    totals = maybe_broadcast(territory_totals(contender_table))
+    totals = measured(territory_totals(contender_table))
     return contender_table.join(totals, ["territory_type", "territory"])

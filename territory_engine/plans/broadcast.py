@@ -1,28 +1,20 @@
-"""Broadcast only behind a proven size bound."""
+"""Small join sides: let Spark decide on a broadcast from measured sizes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark import StorageLevel
 
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 
 
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
+def measured(df: DataFrame) -> DataFrame:
+    """Cache ``df`` on the executors and count it (a partial count per task, nothing gathered).
 
-    ``limit(max_rows + 1).count()`` stops reading once the bound is passed, so the check is
-    cheap even when the answer is no.
+    The cached relation has exact sizes in bytes, so Spark itself broadcasts it in a later join if,
+    and only if, it is below ``spark.sql.autoBroadcastJoinThreshold``, and the rows are not
+    computed a second time.
     """
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS, known_small: bool = False) -> DataFrame:
-    """Hint a broadcast when the row bound holds; otherwise leave the join to shuffle.
-
-    ``known_small`` is for sides whose size is fixed by construction (a one-row aggregate,
-    a fixed label table), where no check is needed.
-    """
-    if known_small or row_count_at_most(df, max_rows):
-        return F.broadcast(df)
-    return df
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept.count()
+    return kept

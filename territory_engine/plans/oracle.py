@@ -189,30 +189,33 @@ def name_valid_sql(n: str, max_len: int = 40) -> str:
             f"AND regexp_full_match({n}, '[a-zA-Z0-9@:.^+!/\\-_\\*]+'), false)")
 
 
-def admission_sql(name_limit: int, ip_limit: int, period_secs: int, per_user: bool = False) -> str:
+def admission_sql(name_limit: int, ip_limit: int, period_secs: int, per_user: bool = False, source: str = "raw",
+                  extra: tuple[str, ...] = ()) -> str:
     p = period_secs * 1000
     rip = (f"CASE WHEN {ipv4_valid_sql('original_ip')} THEN original_ip "
            f"WHEN {ipv6_valid_sql('original_ip')} THEN {ipv6_prefix_sql('original_ip')} END")
     return with_ctes(
         raw_claims_cte(per_user),
+        *extra,
         f"""base AS (SELECT *, {rip} AS rip,
             CASE WHEN NOT {name_valid_sql('name')} THEN 'invalid_name'
                  WHEN coalesce(original_ip, '') = '' THEN 'missing_address'
-                 WHEN {rip} IS NULL THEN 'bad_address' END AS static FROM raw)""",
-        f"""s1 AS (SELECT *, row_number() OVER (PARTITION BY rip, name, time_ms // {p} ORDER BY time_ms, seq) AS rn1
+                 WHEN {rip} IS NULL THEN 'bad_address'
+                 WHEN time_ms IS NULL THEN 'missing_time' END AS static FROM {source})""",
+        f"""s1 AS (SELECT *, dense_rank() OVER (PARTITION BY rip, name, time_ms // {p} ORDER BY time_ms, seq) AS rn1
             FROM base WHERE static IS NULL)""",
-        f"""s2 AS (SELECT *, row_number() OVER (PARTITION BY rip, time_ms // {p} ORDER BY time_ms, seq) AS rn2
+        f"""s2 AS (SELECT *, dense_rank() OVER (PARTITION BY rip, time_ms // {p} ORDER BY time_ms, seq) AS rn2
             FROM s1 WHERE rn1 <= {name_limit})""",
         """verdicts AS (
-            SELECT seq, static AS verdict FROM base WHERE static IS NOT NULL
-            UNION ALL SELECT seq, 'name_rate_limited' FROM s1 WHERE rn1 > """ + str(name_limit) + """
-            UNION ALL SELECT seq, CASE WHEN rn2 <= """ + str(ip_limit) + """ THEN 'accepted' ELSE 'ip_rate_limited' END FROM s2)""",
+            SELECT DISTINCT seq, time_ms, static AS verdict FROM base WHERE static IS NOT NULL
+            UNION SELECT seq, time_ms, 'name_rate_limited' FROM s1 WHERE rn1 > """ + str(name_limit) + """
+            UNION SELECT seq, time_ms, CASE WHEN rn2 <= """ + str(ip_limit) + """ THEN 'accepted' ELSE 'ip_rate_limited' END FROM s2)""",
     ) + """SELECT b.seq, CASE WHEN b.static IS NULL THEN b.rip END AS ip, b.name,
         CASE WHEN length(b.country) > 0 AND length(b.region_code) > 0 THEN b.country || '-' || b.region_code END AS region,
         nullif(b.country, '') AS country_norm, nullif(b.city, '') AS city_norm, v.verdict,
         CAST(CASE v.verdict WHEN 'invalid_name' THEN 400 WHEN 'missing_address' THEN 500 WHEN 'bad_address' THEN 500
-             WHEN 'accepted' THEN 200 ELSE 429 END AS INTEGER) AS status
-      FROM base b JOIN verdicts v ON v.seq = b.seq"""
+             WHEN 'missing_time' THEN 500 WHEN 'accepted' THEN 200 ELSE 429 END AS INTEGER) AS status
+      FROM base b JOIN verdicts v ON v.seq = b.seq AND v.time_ms IS NOT DISTINCT FROM b.time_ms"""
 
 
 def colour_sql(col: str, mult: int) -> str:
@@ -234,10 +237,20 @@ DIVISIONS_CTES = [
   FROM nation JOIN region ON n_regionkey = r_regionkey)""",
     """areas AS (
   SELECT 'area-' || CAST(s_suppkey AS VARCHAR) AS area_id, 'div-' || CAST(s_nationkey AS VARCHAR) AS division_id,
-         ((s_suppkey * 17) % 45) * 90 + (s_suppkey * 37) % 90 AS cell
+         s_suppkey % 4 AS kind, least((s_suppkey * 37) % 90, 86) AS c, (s_suppkey * 17) % 45 AS r
   FROM supplier)""",
 ]
 
-AREA_BOUNDS = ("-180.0::DOUBLE + (a.cell % 90) * 4.0::DOUBLE AS minx, -90.0::DOUBLE + (a.cell // 90) * 1.0::DOUBLE AS miny, "
-               "-180.0::DOUBLE + (a.cell % 90) * 4.0::DOUBLE + 4.0::DOUBLE AS maxx, "
-               "-90.0::DOUBLE + (a.cell // 90) * 1.0::DOUBLE + 1.0::DOUBLE AS maxy")
+_WIDE = "CASE a.kind WHEN 0 THEN 1.0::DOUBLE WHEN 3 THEN 3.7::DOUBLE ELSE 3.0::DOUBLE END"
+_HIGH = "CASE a.kind WHEN 2 THEN 3.0::DOUBLE WHEN 3 THEN 3.7::DOUBLE ELSE 1.0::DOUBLE END"
+AREA_BOUNDS = (f"-180.0::DOUBLE + a.c * 4.0::DOUBLE AS minx, -90.0::DOUBLE + a.r * 1.0::DOUBLE AS miny, "
+               f"-180.0::DOUBLE + a.c * 4.0::DOUBLE + ({_WIDE}) * 4.0::DOUBLE AS maxx, "
+               f"-90.0::DOUBLE + a.r * 1.0::DOUBLE + ({_HIGH}) * 1.0::DOUBLE AS maxy")
+
+# the cells of each shape, told by a test of every cell near it
+AREA_CELLS = """SELECT a.area_id, CAST((a.r + j) * 90 + a.c + i AS BIGINT) AS cell
+  FROM areas a, (SELECT i, j FROM range(4) t(i), range(4) u(j))
+  WHERE CASE a.kind WHEN 0 THEN i = 0 AND j = 0
+                    WHEN 1 THEN j = 0 AND i IN (0, 2)
+                    WHEN 2 THEN i < 3 AND j < 3 AND NOT (i = 1 AND j = 1)
+                    ELSE (i + 0.5) / 3.7 + (j + 0.5) / 3.7 < 1 END"""

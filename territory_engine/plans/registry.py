@@ -57,6 +57,27 @@ def claims_fold_hot_path(spark, sf_dir):
     return C.fold_claims(claims, hot_threshold=50)
 
 
+@register("claims_fold_hot_path_repeats", O.with_ctes(O.claims_cte(coarse=True), O.fold_cte()) + "SELECT * FROM state")
+def claims_fold_hot_path_repeats(spark, sf_dir):
+    """J8 by the hot-key path with every claim delivered twice: the same state as once."""
+    claims = TD.load_coarse_claims(spark, sf_dir)
+    return C.fold_claims(claims.unionAll(claims), hot_threshold=50)
+
+
+@register("batch_files_round_trip", O.base() + "SELECT * FROM state")
+def batch_files_round_trip(spark, sf_dir):
+    """S6 + S1 + S2 + J8: all events packed into envelope files, read back with the defaults (many
+    objects a file) and folded in time order."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sinks.publish import claim_envelopes, write_text
+    from ..sources.batches import BATCH_ORDER, quarantine, read_batch_files, unwrap
+    path = f"{ensure_checkpoint_dir(spark)}/envelopes-{uuid.uuid4().hex}"
+    write_text(claim_envelopes(TD.load_claims(spark, sf_dir)), "value", path)
+    return C.fold_claims(unwrap(quarantine(read_batch_files(spark, path))[0]), order=BATCH_ORDER)
+
+
 @register("claims_fold_long_cooldown",
           O.with_ctes(O.claims_cte(coarse=True), O.fold_cte(cooldown_ms=12 * 3600 * 1000)) + "SELECT * FROM state")
 def claims_fold_long_cooldown(spark, sf_dir):
@@ -249,6 +270,27 @@ def admission_verdict(spark, sf_dir):
     return A.admit(raw).select(*_ADMIT_COLS)
 
 
+_REPEATED = """repeated AS (
+  SELECT * FROM raw UNION ALL SELECT * FROM raw WHERE seq % 5 = 0
+  UNION ALL SELECT * REPLACE (CAST(NULL AS BIGINT) AS time_ms) FROM raw WHERE seq % 7 = 0)"""
+
+
+@register("admission_repeats", O.admission_sql(10, 20, 10, source="repeated", extra=(_REPEATED,)))
+def admission_repeats(spark, sf_dir):
+    """Q1 with some claims delivered twice and some without a time."""
+    raw = TD.raw_claims_from_events(TD.read_table(spark, sf_dir, "events"))
+    untimed = raw.where(F.col("seq") % 7 == 0).withColumn("time_ms", F.lit(None).cast("long"))
+    return A.admit(raw.unionAll(raw.where(F.col("seq") % 5 == 0)).unionAll(untimed)).select(*_ADMIT_COLS)
+
+
+@register("admitted_claims", "SELECT ip, name, asn, colo, country_norm AS country, region, metro_norm AS metro, city_norm AS city, time_ms FROM ("
+          + O.admission_sql(10, 20, 10).replace("SELECT b.seq,", "SELECT b.seq, b.asn, b.colo, b.time_ms, nullif(b.metro, '') AS metro_norm,")
+          + ") WHERE verdict = 'accepted'")
+def admitted_claims(spark, sf_dir):
+    """The accepted claims as the nine columns of the state."""
+    return A.to_claims(A.admit(TD.raw_claims_from_events(TD.read_table(spark, sf_dir, "events"))))
+
+
 @register("rate_limited", O.admission_sql(1, 2, 86400, per_user=True))
 def rate_limited(spark, sf_dir):
     """(address, name) limit 1 then address limit 2 per one-day window, one address per user."""
@@ -293,7 +335,7 @@ def empty_to_null_region(spark, sf_dir):
 from ..operators import geo as G  # noqa: E402
 
 _GEO_CTES = O.with_ctes(
-    "land AS (SELECT c_custkey AS land_id, (c_custkey // 90) * 90 + c_custkey % 90 AS cell FROM customer)",
+    "land AS (SELECT c_custkey AS land_id, (c_custkey // 90 % 180) * 90 + c_custkey % 90 AS cell FROM customer)",
     "seeds AS (SELECT s_suppkey AS seed_id, ((s_suppkey * 17) % 45) * 90 + (s_suppkey * 37) % 90 AS cell FROM supplier)",
     """pairs AS (SELECT l.cell, s.seed_id,
          greatest(least(abs(l.cell % 90 - s.cell % 90), 90 - abs(l.cell % 90 - s.cell % 90)),
@@ -312,7 +354,7 @@ def _geo(spark, sf_dir):
 
 @register("nearest_seed", _GEO_CTES + "SELECT * FROM nearest")
 def nearest_seed(spark, sf_dir):
-    """Every land cell's facility by smallest (hop distance, id), expanding-radius tile join."""
+    """Every land cell's facility by smallest (hop distance, id), by row decomposition."""
     land, seeds, grid = _geo(spark, sf_dir)
     return G.nearest_seed(land, seeds, grid)
 
@@ -398,22 +440,34 @@ def antimeridian_filter(spark, sf_dir):
     from ..functions.cells import crosses_antimeridian
     land, seeds, grid = _geo(spark, sf_dir)
     assigned = G.nearest_seed(land, seeds, grid)
-    pts = assigned.select("seed_id", F.explode(grid.polygon("cell")).alias("p"))
-    outline = pts.groupBy("seed_id").agg(F.collect_list("p").alias("ring"))
-    bounds = G.bounding_box(assigned.select("seed_id", grid.polygon("cell").alias("ring")), "ring", ["seed_id"])
-    ring = F.array(F.struct(F.col("minx").alias("lon"), F.col("miny").alias("lat")),
-                   F.struct(F.col("maxx").alias("lon"), F.col("maxy").alias("lat")))
-    del outline
-    return bounds.where(~crosses_antimeridian(ring)).select("seed_id")
-
-
-@register("dissolve_rings")
+    crossing = (G.outline_parts(G.dissolve(assigned, grid, "seed_id"))
+                .where(crosses_antimeridian(F.flatten(F.flatten("parts")))).select(F.col("key").cast("long").alias("seed_id")))
+    return assigned.select("seed_id").distinct().join(crossing, "seed_id", "left_anti")
+
+
+@register("dissolve_rings", _GEO_CTES.rstrip() + """,
+  own AS (SELECT seed_id, cell, cell % 90 AS x, cell // 90 AS y FROM nearest),
+  right_of AS (SELECT a.seed_id, a.x, a.y FROM own a JOIN own b ON a.seed_id = b.seed_id AND b.x = a.x + 1 AND b.y = a.y),
+  above AS (SELECT a.seed_id, a.x, a.y FROM own a JOIN own b ON a.seed_id = b.seed_id AND b.x = a.x AND b.y = a.y + 1),
+  squares AS (SELECT r.seed_id FROM right_of r JOIN right_of t ON r.seed_id = t.seed_id AND t.x = r.x AND t.y = r.y + 1
+              JOIN above u ON r.seed_id = u.seed_id AND u.x = r.x AND u.y = r.y
+              JOIN above v ON r.seed_id = v.seed_id AND v.x = r.x + 1 AND v.y = r.y)
+  SELECT CAST(seed_id AS VARCHAR) AS key, count(*) * 4.0::DOUBLE AS area,
+         CAST(4 * count(*) - 2 * coalesce(any_value(pairs), 0) AS BIGINT) AS edges,
+         CAST(count(*) - coalesce(any_value(pairs), 0) + coalesce(any_value(n4), 0) AS BIGINT) AS parts_less_holes
+  FROM own
+  LEFT JOIN (SELECT seed_id, count(*) AS pairs FROM (SELECT seed_id FROM right_of UNION ALL SELECT seed_id FROM above)
+             GROUP BY 1) USING (seed_id)
+  LEFT JOIN (SELECT seed_id, count(*) AS n4 FROM squares GROUP BY 1) USING (seed_id)
+  GROUP BY seed_id""")
 def dissolve_rings(spark, sf_dir):
-    """Outline rings of every facility's land territory (checked by area in tests)."""
+    """The outline of every facility's land territory, summed up by its shape: signed area,
+    number of unit edges, and outer rings less holes (the Euler number of the cell set)."""
     land, seeds, grid = _geo(spark, sf_dir)
-    assigned = G.nearest_seed(land, seeds, grid)
-    rings = G.dissolve(assigned, grid, "seed_id")
-    return rings.select("key", "ring_no", "is_hole", F.to_json("ring").alias("ring"))
+    rings = G.dissolve(G.nearest_seed(land, seeds, grid), grid, "seed_id")
+    return rings.groupBy("key").agg(
+        F.sum(G.ring_area("ring")).alias("area"), F.sum(F.size("ring") - 1).cast("long").alias("edges"),
+        F.sum(F.when(F.col("is_hole"), -1).otherwise(1)).cast("long").alias("parts_less_holes"))
 
 
 # ---------------------------------------------------------------- batches and snapshots --
@@ -556,13 +610,13 @@ def catalogue_override(spark, sf_dir):
 def _boundaries(spark, sf_dir, subtype, with_region):
     from ..operators.boundaries import divisions_with_areas
     out = divisions_with_areas(TD.divisions_view(spark, sf_dir), subtype, with_region)
-    pts = F.flatten("rings")
+    pts = F.flatten(F.flatten("parts"))
     return out.drop("geometry").withColumns({
         "minx": F.array_min(F.transform(pts, lambda p: p["lon"])),
         "miny": F.array_min(F.transform(pts, lambda p: p["lat"])),
         "maxx": F.array_max(F.transform(pts, lambda p: p["lon"])),
         "maxy": F.array_max(F.transform(pts, lambda p: p["lat"])),
-    }).drop("rings")
+    }).drop("parts")
 
 
 @register("division_areas", O.with_ctes(*O.DIVISIONS_CTES) + f"""
@@ -602,10 +656,10 @@ def territory_claimant_map(spark, sf_dir):
     return territory_map(features, board, "colo", "weekly").select("cell", "seed_id", "colo", "claimant", "fill", "stroke")
 
 
-@register("area_cells", O.with_ctes(*O.DIVISIONS_CTES) + """
-  SELECT a.area_id, CAST(a.cell AS BIGINT) AS cell FROM areas a""")
+@register("area_cells", O.with_ctes(*O.DIVISIONS_CTES) + O.AREA_CELLS)
 def area_cells(spark, sf_dir):
-    """Cells whose centre lies inside each division-area polygon (WKB decoded, scanline cover)."""
+    """Cells whose centre lies inside each division area (WKB with several parts, holes and
+    slanted edges decoded, scanline cover)."""
     from ..sources.geojson import decode_wkb
     view = TD.divisions_view(spark, sf_dir)
     areas = decode_wkb(view.where(F.col("type") == "division_area").select(F.col("id").alias("area_id"), "geometry"),
@@ -613,6 +667,48 @@ def area_cells(spark, sf_dir):
     return G.cover_cells(areas, TD.test_grid(), key="area_id")
 
 
+@register("exclude_pairs", O.with_ctes(
+    *[c for c in [_GEO_CTES[len("WITH "):].rstrip()]],
+    "listed AS (SELECT cell, seed_id % 3 AS group_no FROM seeds)",
+) + "SELECT land_id, cell, group_no FROM (SELECT land_id, cell, land_id % 3 AS group_no FROM land) l "
+    "WHERE NOT EXISTS (SELECT 1 FROM listed x WHERE x.cell = l.cell AND x.group_no = l.group_no)")
+def exclude_pairs(spark, sf_dir):
+    """Land cells without the listed (cell, group) pairs."""
+    land, seeds, _ = _geo(spark, sf_dir)
+    listed = seeds.select("cell", (F.col("seed_id") % 3).alias("group_no"))
+    return G.exclude_pairs(land.withColumn("group_no", F.col("land_id") % 3), listed, ["cell", "group_no"]).select(
+        "land_id", "cell", "group_no")
+
+
+@register("features_of_territory", _GEO_CTES + """
+  SELECT cell, seed_id, 'C' || lpad(CAST(seed_id % 37 AS VARCHAR), 2, '0') AS colo FROM nearest WHERE seed_id % 37 = 3""")
+def features_of_territory(spark, sf_dir):
+    """P16 + P15: the boundary features of one territory, found by its id."""
+    from ..operators.maps import features_for
+    land, seeds, grid = _geo(spark, sf_dir)
+    return features_for(TD.facility_features(G.nearest_seed(land, seeds, grid)), "C03").select("cell", "seed_id", "colo")
+
+
+@register("display_labels", """
+  SELECT n_nationkey, kind AS territory_type,
+         CASE kind WHEN 'country' THEN n_name WHEN 'region' THEN n_name || ', ' || r_name ELSE lower(n_name) END AS label,
+         CASE WHEN n_nationkey % 3 <> 0 THEN 'https://www.wikidata.org/wiki/Q' || n_nationkey END AS link
+  FROM (SELECT *, CASE n_nationkey % 3 WHEN 0 THEN 'country' WHEN 1 THEN 'region' ELSE 'colo' END AS kind
+        FROM nation JOIN region ON n_regionkey = r_regionkey)""")
+def display_labels(spark, sf_dir):
+    """label and knowledge-base link of every territory, by its type."""
+    from ..functions.labels import display_label, wikidata_link
+    nation, region = TD.read_table(spark, sf_dir, "nation"), TD.read_table(spark, sf_dir, "region")
+    key = F.col("n_nationkey")
+    kind = F.when(key % 3 == 0, "country").when(key % 3 == 1, "region").otherwise("colo")
+    rows = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
+        "n_nationkey", kind.alias("territory_type"), "n_name", "r_name",
+        F.when(key % 3 != 0, F.concat(F.lit("Q"), key.cast("string"))).alias("wikidata"))
+    return rows.select("n_nationkey", "territory_type",
+                       display_label("territory_type", "n_name", "r_name", F.lower("n_name")).alias("label"),
+                       wikidata_link("wikidata").alias("link"))
+
+
 @register("dissolve_area", _GEO_CTES + """
   SELECT CAST(seed_id AS VARCHAR) AS key, count(*) * 4.0::DOUBLE AS area FROM nearest GROUP BY seed_id""")
 def dissolve_area(spark, sf_dir):

@@ -97,3 +97,4 @@ FACILITY = T.StructType(
 POINT = T.StructType([T.StructField("lon", T.DoubleType(), False), T.StructField("lat", T.DoubleType(), False)])
 RING = T.ArrayType(POINT)
 POLYGON = T.ArrayType(RING)  # outer ring first, then holes
+MULTIPOLYGON = T.ArrayType(POLYGON)  # parts of a geometry; a plain polygon has one

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -37,8 +38,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only where the session has none.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is; a private
-    temporary folder is made only when nothing is configured (local tests).
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is. A private
+    temporary folder is made only when nothing is configured and the master is ``local``; with any
+    other master its files would be on one machine only, so that is an error.
     """
     try:
         sc = spark.sparkContext
@@ -49,6 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="te-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

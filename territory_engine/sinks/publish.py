@@ -103,13 +103,30 @@ def claim_envelopes(claims: DataFrame, max_claims: int = BATCH_MAX_CLAIMS, worke
 
 
 def geojson_features(df: DataFrame, geometry: str, properties: list[str]) -> DataFrame:
-    """One GeoJSON Feature per row (``geometry`` is ``array<array<struct<lon,lat>>>``)."""
-    coords = F.transform(F.col(geometry), lambda ring: F.transform(ring, lambda p: F.array(p["lon"], p["lat"])))
-    return df.select(F.to_json(F.struct(
-        F.lit("Feature").alias("type"),
-        F.struct(*[F.col(c) for c in properties]).alias("properties"),
-        F.struct(F.lit("Polygon").alias("type"), coords.alias("coordinates")).alias("geometry"),
-    )).alias("feature"))
+    """One GeoJSON Feature per row; ``geometry`` is an array of parts, each an outer ring and its
+    holes (``array<array<array<struct<lon,lat>>>>``). One part is a Polygon, any other number a
+    MultiPolygon, a null geometry stays null."""
+    coords = F.transform(F.col(geometry), lambda part: F.transform(part, lambda ring: F.transform(
+        ring, lambda p: F.array(p["lon"], p["lat"]))))
+
+    def feature(kind: str, coordinates: Column) -> Column:
+        return F.to_json(F.struct(
+            F.lit("Feature").alias("type"),
+            F.struct(*[F.col(c) for c in properties]).alias("properties"),
+            F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates")).alias("geometry"),
+        ))
+
+    none = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*[F.col(c) for c in properties]).alias("properties")))
+    return df.select(F.when(F.col(geometry).isNull(), none)
+                     .when(F.size(geometry) == 1, feature("Polygon", F.get(coords, F.lit(0))))
+                     .otherwise(feature("MultiPolygon", coords)).alias("feature"))
+
+
+def write_score_lists(counts: DataFrame, path: str, now_ms: Column | int) -> None:
+    """Score lists as JSON files in one folder per (type, window), each row with ``now``."""
+    now = now_ms if isinstance(now_ms, Column) else F.lit(int(now_ms))
+    (score_lists(counts).withColumn("now", now.cast("long"))
+     .write.mode("overwrite").partitionBy("territory_type", "time_window").json(path))
 
 
 def write_text(df: DataFrame, col: str, path: str) -> None:

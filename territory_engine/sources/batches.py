@@ -1,40 +1,70 @@
-"""Claim batch files (S1–S4, U4): one JSON object per file, an envelope ``{batch, workerTimestamp,
+"""Claim batch files (S1–S4, U4): JSON objects, each an envelope ``{batch, workerTimestamp,
 workerId}`` or a bare claim at top level. Read with an explicit schema, in parallel by file."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import CLAIM_COLUMNS
 from ..schema import BATCH_FILE
 
 
-def _parse(text: DataFrame, mode: str) -> DataFrame:
-    """Parse objects with the fixed schema; ``_obj`` (a hash of the object text) tells apart
-    objects that share a file."""
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_INNERMOST = r"[\{\[][^\{\}\[\]]*+[\}\]]"
+_NESTING = 8  # levels of objects and arrays an object may have (an envelope has three)
+# a line break between two root values: inside a JSON value a brace is never followed by a brace
+_BETWEEN = r"(?<=\})\s*[\r\n]\s*(?=\{)"
+
+
+def _one_value(text: Column) -> Column:
+    """Is the text exactly one JSON value? Strings and then the innermost brackets are replaced
+    by a digit until one digit is left; anything before, after or between values shows."""
+    rest = F.regexp_replace(text, _STRING, "0")
+    for _ in range(_NESTING):
+        rest = F.regexp_replace(rest, _INNERMOST, "0")
+    return rest.rlike(r"^\s*0\s*$")
+
+
+def _parse(text: DataFrame, mode: str, lines: bool) -> DataFrame:
+    """Parse objects with the fixed schema; ``_obj`` tells apart objects that share a file (their
+    position, or for line-wise reading a hash of the line).
+
+    A whole file may hold any number of objects, each starting on a line of its own. What is
+    not exactly one value (trailing text, two values on a line, an unfinished object) is
+    unreadable as a whole, so no part of it is lost.
+    """
+    files = text.where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("_file"), "value")
+    if lines:
+        pieces = files.select("_file", F.xxhash64("value").alias("_obj"), F.col("value").alias("_text"))
+    else:
+        pieces = files.select("_file", F.posexplode(F.split("value", _BETWEEN)).alias("_obj", "_text")).withColumn(
+            "_obj", F.col("_obj").cast("long"))
+    whole = _one_value(F.col("_text"))
+    unreadable = F.lit("{") if mode == "PERMISSIVE" else F.raise_error(F.concat(F.lit("unreadable object in "), F.col("_file"))).cast("string")
     opts = {"mode": mode, "columnNameOfCorruptRecord": "_corrupt_record"}
-    return text.where(F.trim("value") != "").select(
-        F.col("_metadata.file_path").alias("_file"),
-        F.xxhash64("value").alias("_obj"),
-        F.from_json("value", BATCH_FILE, opts).alias("o"),
-    ).select("o.*", "_file", "_obj")
+    parsed = pieces.select("_file", "_obj", "_text", whole.alias("_whole"),
+                           F.from_json(F.when(whole, F.col("_text")).otherwise(unreadable), BATCH_FILE, opts).alias("o"))
+    fields = [f.name for f in BATCH_FILE.fields if f.name != "_corrupt_record"]
+    return parsed.select(*[F.col(f"o.{f}").alias(f) for f in fields],
+                         F.when(F.col("_whole"), F.col("o._corrupt_record")).otherwise(F.col("_text")).alias("_corrupt_record"),
+                         "_file", "_obj")
 
 
 def read_batch_files(spark: SparkSession, path: str, mode: str = "PERMISSIVE", lines: bool = False) -> DataFrame:
     """Every batch object under ``path`` with its file path.
 
-    By default each file is one (possibly pretty-printed) object and is read whole; with
-    ``lines`` each line is an object (what ``sinks.publish.claim_envelopes`` writes).
-    ``PERMISSIVE`` keeps unreadable objects in ``_corrupt_record`` (split them off with
-    ``quarantine``); ``FAILFAST`` stops on the first one, as the reference's loop does.
+    By default a file is read whole and may hold one (possibly pretty-printed) object or many,
+    one after the other (what ``sinks.publish.claim_envelopes`` writes); with ``lines`` each line
+    is an object and large files are read in splits. ``PERMISSIVE`` keeps unreadable objects in
+    ``_corrupt_record`` (split them off with ``quarantine``); ``FAILFAST`` stops on the first one.
     """
-    return _parse(spark.read.text(path, wholetext=not lines), mode)
+    return _parse(spark.read.text(path, wholetext=not lines), mode, lines)
 
 
 def stream_batch_files(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
                        clean_source: str | None = None, archive_dir: str | None = None,
-                       lines: bool = False) -> DataFrame:
+                       lines: bool = False, mode: str = "PERMISSIVE") -> DataFrame:
     """The same objects as a file stream; ``clean_source`` = ``archive`` or ``delete``
     removes consumed files after their batch commits (S5)."""
     reader = spark.readStream
@@ -44,13 +74,11 @@ def stream_batch_files(spark: SparkSession, path: str, max_files_per_trigger: in
         reader = reader.option("cleanSource", clean_source)
         if archive_dir:
             reader = reader.option("sourceArchiveDir", archive_dir)
-    return _parse(reader.text(path, wholetext=not lines), "PERMISSIVE")
+    return _parse(reader.text(path, wholetext=not lines), mode, lines)
 
 
 def quarantine(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """S3: (readable objects, unreadable objects with their file and raw text).
-
-    """
+    """S3: (readable objects, unreadable objects with their file and raw text)."""
     bad = F.col("_corrupt_record").isNotNull()
     return objects.where(~bad), objects.where(bad).select("_file", "_corrupt_record")
 

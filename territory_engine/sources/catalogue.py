@@ -82,10 +82,10 @@ def extra_facilities(spark: SparkSession) -> DataFrame:
 def override_catalogue(catalogue: DataFrame, extra: DataFrame) -> DataFrame:
     """J3 + U1: drop catalogue rows whose name an extra row carries, then append the extras.
 
-    Rows with a null name are kept (an anti join never matches null), and the extra side is a
-    fixed, small table, so it is broadcast.
+    Rows with a null name are kept (an anti join never matches null). The extra side comes from the
+    caller, so whether it is broadcast is left to Spark.
     """
-    names = F.broadcast(extra.select("name").where(F.col("name").isNotNull()).distinct())
+    names = extra.select("name").where(F.col("name").isNotNull())
     return catalogue.select(*CATALOGUE_COLUMNS).join(names, "name", "left_anti").select(*CATALOGUE_COLUMNS).unionByName(
         extra.select(*CATALOGUE_COLUMNS)
     )

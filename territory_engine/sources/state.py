@@ -5,8 +5,8 @@
 
 A poll writes a delta (its size is the batch's, not the state's) and every few polls a full
 snapshot; reading version ``n`` takes the newest full snapshot below it and lays the later
-deltas over it, newest first, with anti-joins on the deltas' (broadcast, size-checked) address
-sets, so the large snapshot is never shuffled. Versions are never overwritten by another
+deltas over it, newest first, with anti-joins on the deltas' addresses (broadcast by Spark when
+their files are below its threshold, so the large snapshot is then not shuffled). Versions are never overwritten by another
 version's data, so a failed write leaves older versions readable and a replayed micro-batch
 rewrites only its own version. Rows are hash-partitioned on ``ip`` and time-sorted inside files.
 """
@@ -73,6 +73,30 @@ def write_state(state: DataFrame, base: str, version: int, partitions: int | Non
     return out
 
 
+def expire_versions(spark: SparkSession, base: str, keep: int) -> list[int]:
+    """S7 retention: remove full snapshots older than the newest ``keep`` and the deltas below the
+    oldest snapshot that stays (they lie under it already). Returns the versions removed.
+
+    The snapshot a reader starts from and every delta over it always stay.
+    """
+    if keep < 1:
+        raise ValueError("at least one snapshot must stay")
+    fulls = versions(spark, base)
+    if len(fulls) <= keep:
+        return []
+    oldest = fulls[-keep]
+    fs, _ = _fs(spark, base)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    removed = []
+    for v in [x for x in fulls if x < oldest]:
+        fs.delete(path(f"{base}/v={v}"), True)
+        removed.append(v)
+    for v in [x for x in versions(spark, f"{base}/_delta") if x < oldest]:
+        fs.delete(path(f"{base}/_delta/v={v}"), True)
+        removed.append(v)
+    return sorted(removed)
+
+
 def latest_claim(state: DataFrame) -> DataFrame:
     """The watermark of a snapshot, one row ``latest_claim``."""
     return state.agg(F.max("time_ms").alias("latest_claim"))

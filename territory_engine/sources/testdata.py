@@ -123,12 +123,11 @@ def test_grid():
 
 
 def land_cells(customer: DataFrame) -> DataFrame:
-    """Land cells from customers: column ``c_custkey % 90``, row ``c_custkey // 90``."""
+    """Land cells from customers: column ``c_custkey % 90``, row ``c_custkey // 90``, folded onto the
+    grid's rows (beyond 16,200 customers several share a cell)."""
     key = F.col("c_custkey").cast("long")
-    return customer.select(
-        key.alias("land_id"),
-        (F.floor(key / GRID_WIDTH) * GRID_WIDTH + key % GRID_WIDTH).cast("long").alias("cell"),
-    )
+    row = F.floor(key / GRID_WIDTH) % GRID_HEIGHT
+    return customer.select(key.alias("land_id"), (row * GRID_WIDTH + key % GRID_WIDTH).cast("long").alias("cell"))
 
 
 def facility_seeds(supplier: DataFrame) -> DataFrame:
@@ -142,8 +141,9 @@ def facility_seeds(supplier: DataFrame) -> DataFrame:
 
 def divisions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Division rows from ``nation`` (nested names/sources/hierarchies) and area rows from
-    ``supplier`` (WKB polygon of the supplier's facility cell), in one table with ``type``."""
-    from .geojson import polygon_wkb
+    ``supplier``, in one table with ``type``. An area lies at the supplier's facility cell and is,
+    by key mod 4: the cell, two separate cells, a square with a hole, or a triangle (WKB)."""
+    from .geojson import multipolygon_wkb, polygon_wkb
 
     nation = read_table(spark, sf_dir, "nation")
     region = read_table(spark, sf_dir, "region")
@@ -172,14 +172,26 @@ def divisions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = test_grid()
 
     @F.pandas_udf("binary")
-    def wkb(x0: pd.Series, y0: pd.Series) -> pd.Series:
-        return pd.Series([
-            polygon_wkb([[(a, b), (a + grid.size, b), (a + grid.size, b + grid.dlat), (a, b + grid.dlat), (a, b)]])
-            for a, b in zip(x0, y0)
-        ])
+    def wkb(x0: pd.Series, y0: pd.Series, kind: pd.Series) -> pd.Series:
+        w, h = grid.size, grid.dlat
+
+        def box(a: float, b: float, n: int) -> list[tuple[float, float]]:
+            return [(a, b), (a + n * w, b), (a + n * w, b + n * h), (a, b + n * h), (a, b)]
+
+        def geometry(a: float, b: float, k: int) -> bytes:
+            if k == 1:  # two parts
+                return multipolygon_wkb([[box(a, b, 1)], [box(a + 2 * w, b, 1)]])
+            if k == 2:  # a hole
+                return polygon_wkb([box(a, b, 3), box(a + w, b + h, 1)[::-1]])
+            if k == 3:  # a triangle
+                return polygon_wkb([[(a, b), (a + 3.7 * w, b), (a, b + 3.7 * h), (a, b)]])
+            return polygon_wkb([box(a, b, 1)])
+
+        return pd.Series([geometry(a, b, k) for a, b, k in zip(x0, y0, kind)])
 
     seeds = facility_seeds(supplier).join(supplier.select(F.col("s_suppkey").cast("long").alias("seed_id"), "s_nationkey"), "seed_id")
-    x0 = F.lit(grid.lon0) + grid.col_of("cell").cast("double") * F.lit(grid.size)
+    # the widest shapes take four columns
+    x0 = F.lit(grid.lon0) + F.least(grid.col_of("cell"), F.lit(GRID_WIDTH - 4)).cast("double") * F.lit(grid.size)
     y0 = F.lit(grid.lat0) + grid.row_of("cell").cast("double") * F.lit(grid.dlat)
     areas = seeds.select(
         F.lit("division_area").alias("type"),
@@ -192,7 +204,7 @@ def divisions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast(divisions.schema["sources"].dataType).alias("sources"),
         F.lit(None).cast(divisions.schema["hierarchies"].dataType).alias("hierarchies"),
         F.concat(F.lit("div-"), F.col("s_nationkey").cast("string")).alias("division_id"),
-        wkb(x0, y0).alias("geometry"),
+        wkb(x0, y0, F.col("seed_id") % 4).alias("geometry"),
     )
     return divisions.unionByName(areas)
 

@@ -23,12 +23,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..constants import COOLDOWN_MS
 from ..functions.clock import now_ms
-from ..operators.claims import apply_claims, fold_claims, valid_claims
-from ..plans.broadcast import maybe_broadcast
+from ..operators.claims import apply_claims, fold_claims, unusable_claims, valid_claims
+from ..plans.broadcast import measured
 from ..operators.rankings import leaderboards, public_claims, recents
 from ..sinks.publish import write_leaderboards, write_public_claims
-from ..sources.batches import BATCH_ORDER, stream_batch_files, unwrap
-from ..sources.state import read_state, write_delta, write_state
+from ..sources.batches import BATCH_ORDER, quarantine, stream_batch_files, unwrap
+from ..sources.state import expire_versions, read_state, write_delta, write_state
 
 
 @dataclass
@@ -39,35 +39,59 @@ class PollJob:
     clock: str = "wall"  # "wall": rankings relative to now; "data": relative to the latest stored claim
     state_partitions: int | None = None
     compact_every: int = 10  # a full snapshot every this many batches; deltas in between
+    keep_versions: int | None = None  # full snapshots (and the deltas over them) that stay; None: all
+
+    fail_fast: bool = False  # stop on input that cannot be used instead of setting it aside
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        claims = valid_claims(unwrap(batch))
-        previous = read_state(spark, self.state_dir, before=batch_id)
-        if batch_id % self.compact_every == 0 or previous.isEmpty():
-            state = apply_claims(None if previous.isEmpty() else previous, claims, self.cooldown_ms, order=BATCH_ORDER)
-            write_state(state, self.state_dir, batch_id, self.state_partitions)
-        else:
-            keys = maybe_broadcast(claims.select("ip").distinct())
-            stored = previous.join(keys, "ip", "left_semi")
-            touched = fold_claims(claims, stored, self.cooldown_ms, order=BATCH_ORDER)
-            write_delta(touched, self.state_dir, batch_id, self.state_partitions)
-        stored = read_state(spark, self.state_dir, before=batch_id + 1)
-        as_of = stored.select(F.max("time_ms")).scalar() if self.clock == "data" else now_ms()
-        out = f"{self.out_dir}/batch={batch_id}"
-        write_leaderboards(leaderboards(stored, as_of), f"{out}/leaderboards")
-        recents(stored, as_of).write.mode("overwrite").json(f"{out}/recents")
-        if not claims.isEmpty():  # the dump is published only when new claims arrived
-            write_public_claims(public_claims(stored), f"{out}/claims",
-                                F.floor(F.unix_millis(F.current_timestamp()) / 1000))
+        batch.persist()  # read once; every action below starts from it
+        try:
+            self._set_aside(batch, batch_id)
+            claims = valid_claims(unwrap(batch))
+            previous = read_state(spark, self.state_dir, before=batch_id)
+            if batch_id % self.compact_every == 0 or previous.isEmpty():
+                state = apply_claims(None if previous.isEmpty() else previous, claims, self.cooldown_ms, order=BATCH_ORDER)
+                write_state(state, self.state_dir, batch_id, self.state_partitions)
+            else:
+                keys = measured(claims.select("ip").distinct())  # small: the state is filtered map-side
+                stored = previous.join(keys, "ip", "left_semi")
+                touched = fold_claims(claims, stored, self.cooldown_ms, order=BATCH_ORDER)
+                write_delta(touched, self.state_dir, batch_id, self.state_partitions)
+                keys.unpersist()
+            stored = read_state(spark, self.state_dir, before=batch_id + 1)
+            as_of = stored.select(F.max("time_ms")).scalar() if self.clock == "data" else now_ms()
+            out = f"{self.out_dir}/batch={batch_id}"
+            write_leaderboards(leaderboards(stored, as_of), f"{out}/leaderboards")
+            recents(stored, as_of).write.mode("overwrite").json(f"{out}/recents")
+            if not claims.isEmpty():  # the dump is published only when new claims arrived
+                write_public_claims(public_claims(stored), f"{out}/claims",
+                                    F.floor(F.unix_millis(F.current_timestamp()) / 1000))
+            if self.keep_versions:
+                expire_versions(spark, self.state_dir, self.keep_versions)
+        finally:
+            batch.unpersist()
+
+    def _set_aside(self, batch: DataFrame, batch_id: int) -> None:
+        """S3: what the fold cannot use goes to ``<out>/quarantine/batch=<n>``: objects that cannot
+        be read, and claims without an address, a name or a time."""
+        found = {"objects": quarantine(batch)[1], "claims": unusable_claims(unwrap(batch))}
+        for kind, rows in found.items():
+            if rows.isEmpty():
+                continue
+            if self.fail_fast:
+                raise ValueError(f"micro-batch {batch_id} has unusable {kind}")
+            rows.write.mode("overwrite").json(f"{self.out_dir}/quarantine/batch={batch_id}/{kind}")
 
 
 def run_stream(spark: SparkSession, input_dir: str, state_dir: str, out_dir: str, checkpoint_dir: str,
                interval: str | None = "60 seconds", available_now: bool = False, clean_source: str | None = None,
                archive_dir: str | None = None, max_files_per_trigger: int | None = None, clock: str = "wall",
-               cooldown_ms: int = COOLDOWN_MS, lines: bool = False, compact_every: int = 10) -> StreamingQuery:
+               cooldown_ms: int = COOLDOWN_MS, lines: bool = False, compact_every: int = 10, fail_fast: bool = False,
+               keep_versions: int | None = None) -> StreamingQuery:
     """Q12: start the poll job. ``available_now`` processes what is there and stops (one pass)."""
-    job = PollJob(state_dir, out_dir, cooldown_ms, clock, compact_every=compact_every)
+    job = PollJob(state_dir, out_dir, cooldown_ms, clock, compact_every=compact_every, fail_fast=fail_fast,
+                  keep_versions=keep_versions)
     stream = stream_batch_files(spark, input_dir, max_files_per_trigger, clean_source, archive_dir, lines)
     writer = stream.writeStream.foreachBatch(job.process).option("checkpointLocation", checkpoint_dir)
     if available_now:

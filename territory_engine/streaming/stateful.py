@@ -5,8 +5,11 @@ expires and applies each micro-batch's claims to it in order: the same rule as t
 fold, one key at a time, with the state in the (RocksDB) state store. It emits the address's
 row whenever the stored claim changed.
 
-``AdmissionCounter`` keeps the two rate-limit counters per address (per name, and in total)
-for the current period in one value per address.
+``AdmissionCounter`` keeps the two rate-limit counters per address (per name, and in total) for
+each period in a map state that expires.
+
+A processor sorts the rows of one key in one micro-batch, so what a task holds is bounded by the
+micro-batch (``maxFilesPerTrigger``), never by an address's history.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from ..constants import CLAIM_COLUMNS, COOLDOWN_MS, IP_RATE_LIMIT, NAME_RATE_LIM
 
 STATE_DDL = "name string, asn bigint, colo string, country string, region string, metro string, city string, time_ms bigint"
 OUTPUT_DDL = "ip string, " + STATE_DDL
+LIMITER_TTL_MS = 3_600_000  # processing time that a limiter period's counters outlive their last change
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -69,42 +73,46 @@ def stateful_fold(stream: DataFrame, cooldown_ms: int = COOLDOWN_MS, order: tupl
 
 
 class AdmissionCounter(StatefulProcessor):
-    """T5: per address, claims admitted in the current period — by name (first limit) and in
-    total (second limit, only over claims the first one let through).
+    """T5: per address and period, claims admitted — by name (first limit) and in total (second
+    limit, only over claims the first one let through).
 
-    One value per address holds the current period and its counters; it is read and written
-    once per micro-batch, and a new period starts the counters afresh.
+    Every period has counters of its own in a map state, so a late claim counts in its period and
+    leaves newer ones alone. Counters expire ``ttl_ms`` of processing time after their last change:
+    an address that stops claiming leaves no state behind, and a claim later than that starts its
+    period afresh. A claim delivered more than once in a micro-batch counts once.
     """
 
     def __init__(self, name_limit: int = NAME_RATE_LIMIT, ip_limit: int = IP_RATE_LIMIT,
-                 period_secs: int = RATE_PERIOD_SECS, order: tuple[str, ...] = ("time_ms", "seq")):
+                 period_secs: int = RATE_PERIOD_SECS, order: tuple[str, ...] = ("time_ms", "seq"), ttl_ms: int = LIMITER_TTL_MS):
         self.name_limit, self.ip_limit = name_limit, ip_limit
         self.period_ms = period_secs * 1000
         self.order = list(order)
+        self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counters = handle.getValueState("counters", "slot bigint, total int, by_name map<string, int>")
+        self.counters = handle.getMapState("counters", "slot bigint", "total int, by_name map<string, int>", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
-        slot, total, by_name = self.counters.get() if self.counters.exists() else (None, 0, {})
-        by_name = dict(by_name or {})
-        out = []
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")  # one address's micro-batch
+        slots: dict[int, list] = {}
+        out, last, verdict = [], None, ""
         for seq, name, t in batch[["seq", "name", "time_ms"]].itertuples(index=False, name=None):
-            s = int(t) // self.period_ms
-            if s != slot:
-                slot, total, by_name = s, 0, {}
-            n = by_name.get(name, 0)
-            if n >= self.name_limit:
-                out.append((seq, "name_rate_limited"))
-                continue
-            by_name[name] = n + 1
-            if total >= self.ip_limit:
-                out.append((seq, "ip_rate_limited"))
-                continue
-            total += 1
-            out.append((seq, "accepted"))
-        self.counters.update((slot, total, by_name))
+            slot = int(t) // self.period_ms
+            if slot not in slots:
+                total, by_name = self.counters.getValue((slot,)) if self.counters.containsKey((slot,)) else (0, {})
+                slots[slot] = [total, dict(by_name or {})]
+            if (seq, name, t) != last:
+                counts = slots[slot]
+                if counts[1].get(name, 0) >= self.name_limit:
+                    verdict = "name_rate_limited"
+                else:
+                    counts[1][name] = counts[1].get(name, 0) + 1
+                    verdict = "ip_rate_limited" if counts[0] >= self.ip_limit else "accepted"
+                    counts[0] += verdict == "accepted"
+                last = (seq, name, t)
+            out.append((seq, verdict))
+        for slot, (total, by_name) in slots.items():
+            self.counters.updateValue((slot,), (total, by_name))
         yield pd.DataFrame(out, columns=["seq", "verdict"])
 
     def close(self) -> None:
@@ -112,14 +120,14 @@ class AdmissionCounter(StatefulProcessor):
 
 
 def stream_admission(stream: DataFrame, name_limit: int = NAME_RATE_LIMIT, ip_limit: int = IP_RATE_LIMIT,
-                     period_secs: int = RATE_PERIOD_SECS) -> DataFrame:
+                     period_secs: int = RATE_PERIOD_SECS, ttl_ms: int = LIMITER_TTL_MS) -> DataFrame:
     """T5: limiter verdicts for a stream of claims that passed the static checks (``ip``, ``name``,
     ``time_ms``, ``seq``); rows are (seq, verdict)."""
     return stream.groupBy("ip").transformWithStateInPandas(
-        statefulProcessor=AdmissionCounter(name_limit, ip_limit, period_secs),
+        statefulProcessor=AdmissionCounter(name_limit, ip_limit, period_secs, ttl_ms=ttl_ms),
         outputStructType="seq bigint, verdict string",
         outputMode="Append",
-        timeMode="None",
+        timeMode="ProcessingTime",
     )
 
 

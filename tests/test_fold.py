@@ -162,3 +162,24 @@ def test_hot_path_multi_column_order_and_long_history(spark):
     small = as_dict(C.fold_claims(df, hot_threshold=None, order=order))
     keyed = [dict(r, seq=(f"f{r['seq'] % 3}", r["seq"] // 3)) for r in rows]
     assert got == small == model_dict(fold(keyed))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_hot_path_with_repeated_claims(spark, seed):
+    """Claims delivered more than once, ties included: one row per address, as in the plain fold."""
+    rng = random.Random(500 + seed)
+    rows = gen_rows(rng, 120, ips=3, names=3)
+    rows += [dict(r) for r in rng.sample(rows, 60)] + [dict(r, name="other") for r in rng.sample(rows, 20)]
+    df = rows_df(spark, rows)
+    hot, plain = C.fold_claims(df, hot_threshold=0), C.fold_claims(df, hot_threshold=None)
+    assert hot.count() == hot.select("ip").distinct().count()
+    assert as_dict(hot) == as_dict(plain)
+
+
+def test_upsert_with_hot_addresses(spark):
+    rng = random.Random(9)
+    first, second = gen_rows(rng, 80, ips=4), gen_rows(rng, 120, ips=4, seq0=1000)
+    second += [dict(r, ip="ip0", seq=r["seq"] + 5000) for r in second[:60]]
+    state = C.fold_claims(rows_df(spark, first), hot_threshold=None)
+    got = C.apply_claims(state, rows_df(spark, second), hot_threshold=50)
+    assert as_dict(got) == model_dict(fold(second, stored=fold(first)))

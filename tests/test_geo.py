@@ -95,7 +95,7 @@ def test_cover_cells_matches_ray_casting(spark):
     tri = [(100.0, 0.0), (170.0, 0.0), (130.0, 60.0), (100.0, 0.0)]
     polys = {"a": [outer, hole], "b": [tri]}
     rows = [(k, [[{"lon": x, "lat": y} for x, y in r] for r in rs]) for k, rs in polys.items()]
-    df = spark.createDataFrame(rows, "id string, rings array<array<struct<lon:double,lat:double>>>")
+    df = spark.createDataFrame(rows, "id string, parts array<array<array<struct<lon:double,lat:double>>>>")
     got = {(r["id"], r["cell"]) for r in G.cover_cells(df, grid).collect()}
     expected = set()
     for k, rs in polys.items():

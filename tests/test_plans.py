@@ -17,17 +17,34 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_upsert_does_not_shuffle_the_state(spark):
+def test_upsert_reads_state_and_batch_once(spark, tmpdir_path):
     claims = TD.load_claims(spark, SF_SMALL)
-    folded = C.fold_claims(claims)
-    state = spark.createDataFrame(folded.collect(), folded.schema)  # a stored table, as in the poll job
-    batch = claims.where(F.col("seq") % 3 == 2)
+    paths = [f"{tmpdir_path}/{n}" for n in ("state", "batch")]
+    C.fold_claims(claims).write.parquet(paths[0])
+    claims.where(F.col("seq") % 3 == 2).write.parquet(paths[1])
+    state, batch = [spark.read.parquet(x) for x in paths]
     p = plan(C.apply_claims(state, batch))
-    # the state meets the batch's key set only in broadcast joins: a semi-join keeps the stored
-    # rows of the batch's addresses, an anti-join keeps the untouched rows, both map-side; any
-    # later shuffle carries batch-sized data only
-    assert re.search(r"BroadcastHashJoin \[ip#\d+\], \[ip#\d+\], LeftSemi", p)
-    assert re.search(r"BroadcastHashJoin \[ip#\d+\], \[ip#\d+\], LeftAnti", p)
+    assert p.count("FileScan") == 2  # one pass: neither side is scanned or computed a second time
+    assert p.count("Exchange hashpartitioning") <= 2 and "SinglePartition" not in p
+
+
+def test_small_keys_filter_the_state_map_side(spark, tmpdir_path):
+    """What the poll job does for a delta: the measured key set is broadcast by Spark itself."""
+    from territory_engine.plans.broadcast import measured
+    claims = TD.load_claims(spark, SF_SMALL)
+    C.fold_claims(claims).write.parquet(f"{tmpdir_path}/state")
+    keys = measured(claims.where(F.col("seq") % 3 == 2).select("ip").distinct())
+    p = plan(spark.read.parquet(f"{tmpdir_path}/state").join(keys, "ip", "left_semi"))
+    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
+
+
+def test_hot_path_has_no_window_over_an_addresss_claims(spark):
+    """Windows of the hot path are keyed by (address, bucket) or hold bucket rows only."""
+    import inspect
+
+    from territory_engine.operators import hotkeys
+    source = inspect.getsource(hotkeys.hot_fold)
+    assert 'asof_next(bucket_first, buckets, ["ip"]' in source and 'asof_next(ns_data, name_buckets, ["ip", "name"]' in source
 
 
 def test_limiters_use_group_limits(spark):

@@ -52,25 +52,117 @@ def test_catalogue_parse_and_override(spark):
     assert out.count() == 1 + len(CAT.EXTRA_FACILITIES)
 
 
-def test_wkb_polygon_and_multipolygon(spark):
+def test_batch_files_with_many_objects(spark, tmpdir_path):
+    """Any number of objects in a file; whatever is not exactly one value is set aside whole."""
+    d = os.path.join(tmpdir_path, "many")
+    os.makedirs(d)
+    env = lambda *t: {"batch": [claim(f"9.9.9.{x}", "n", x) for x in t], "workerId": "w"}
+    with open(os.path.join(d, "lines.json"), "w") as f:
+        f.write("\n".join(json.dumps(env(x, x + 1)) for x in (1, 3, 5)) + "\n")
+    with open(os.path.join(d, "pretty.json"), "w") as f:
+        f.write("\n\n".join(json.dumps(env(x), indent=1) for x in (7, 8)))
+    with open(os.path.join(d, "tricky.json"), "w") as f:  # braces and quotes inside strings
+        f.write(json.dumps(claim("9.9.9.9", 'a}{"\\', 9)))
+    with open(os.path.join(d, "trailing.json"), "w") as f:
+        f.write(json.dumps(env(100)) + " and more")
+    with open(os.path.join(d, "same_line.json"), "w") as f:
+        f.write(json.dumps(env(101)) + json.dumps(env(102)))
+    with open(os.path.join(d, "cut.json"), "w") as f:
+        f.write(json.dumps(env(10)) + "\n" + json.dumps(env(103))[:-5])
+    open(os.path.join(d, "empty.json"), "w").close()
+    good, bad = B.quarantine(B.read_batch_files(spark, d))
+    assert sorted(r["time_ms"] for r in B.unwrap(good).collect()) == list(range(1, 11))
+    assert sorted(os.path.basename(r["_file"]) for r in bad.collect()) == ["cut.json", "same_line.json", "trailing.json"]
+    import pytest
+    with pytest.raises(Exception, match="unreadable object"):
+        B.read_batch_files(spark, d, mode="FAILFAST").collect()
+
+
+def test_wkb_parts_dimensions_and_flags(spark):
     import struct
     outer = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]
     hole = [(1.0, 1.0), (1.0, 2.0), (2.0, 2.0), (2.0, 1.0), (1.0, 1.0)]
-    poly = GJ.polygon_wkb([outer, hole])
-    multi = struct.pack("<BII", 1, 6, 2) + GJ.polygon_wkb([outer]) + GJ.polygon_wkb([hole])
-    df = spark.createDataFrame([(1, bytearray(poly)), (2, bytearray(multi))], "id int, g binary")
-    got = {r["id"]: r["rings"] for r in GJ.decode_wkb(df, "g").collect()}
-    assert [len(x) for x in got[1]] == [5, 5] and [len(x) for x in got[2]] == [5, 5]
-    assert (got[1][1][1]["lon"], got[1][1][1]["lat"]) == (1.0, 2.0)
+    far = [(9.0, 9.0), (9.5, 9.0), (9.5, 9.5), (9.0, 9.0)]
+
+    def dims(code, extra, order="<"):  # one polygon with extra coordinates per point
+        body = struct.pack(order + "BII" if order == "<" else ">BII", 1 if order == "<" else 0, code, 1)
+        return body + struct.pack(order + "I", len(outer)) + b"".join(struct.pack(order + f"{2 + extra}d", *p, *[7.0] * extra) for p in outer)
+
+    srid = struct.pack("<BIII", 1, 0x20000003, 4326, 1) + struct.pack("<I", 5) + b"".join(struct.pack("<2d", *p) for p in outer)
+    cases = {1: GJ.polygon_wkb([outer, hole]), 2: GJ.multipolygon_wkb([[outer, hole], [far]]), 3: dims(1003, 1), 4: dims(0x80000003, 1),
+             5: dims(3003, 2), 6: srid, 7: dims(3, 0, ">"), 8: None}
+    df = spark.createDataFrame([(k, None if v is None else bytearray(v)) for k, v in cases.items()], "id int, g binary")
+    got = {r["id"]: r["parts"] for r in GJ.decode_wkb(df, "g").collect()}
+    shape = lambda parts: [[len(r) for r in p] for p in parts]
+    assert shape(got[1]) == [[5, 5]] and shape(got[2]) == [[5, 5], [4]] and got[8] is None
+    assert (got[1][0][1][1]["lon"], got[1][0][1][1]["lat"]) == (1.0, 2.0) and got[2][1][0][1]["lon"] == 9.5
+    for k in (3, 4, 5, 6, 7):
+        assert [(p["lon"], p["lat"]) for p in got[k][0][0]] == outer
+    import pytest
+    with pytest.raises(ValueError):
+        GJ.wkb_parts(struct.pack("<BI", 1, 1) + struct.pack("<2d", 0, 0))
+
+
+def test_multipolygon_round_trip_keeps_parts_and_holes(spark, tmpdir_path):
+    sq = lambda x, n: [{"lon": x + a * n, "lat": b * n} for a, b in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0))]
+    parts = [[sq(0.0, 3.0), list(reversed(sq(1.0, 1.0)))], [sq(10.0, 1.0)]]
+    df = spark.createDataFrame([("two", parts), ("one", parts[1:]), ("none", None)],
+                               "k string, parts array<array<array<struct<lon:double,lat:double>>>>")
+    out = os.path.join(tmpdir_path, "multi")
+    P.write_text(P.geojson_features(df, "parts", ["k"]), "feature", out)
+    text = {json.loads(r["value"])["properties"]["k"]: json.loads(r["value"]) for r in spark.read.text(out).collect()}
+    assert text["two"]["geometry"]["type"] == "MultiPolygon" and text["one"]["geometry"]["type"] == "Polygon"
+    assert "geometry" not in text["none"]
+    back = {r["properties"]["k"]: r["parts"] for r in GJ.read_feature_lines(spark, out).collect()}
+    assert [[len(r) for r in p] for p in back["two"]] == [[5, 5], [5]] and len(back["one"]) == 1 and back["none"] is None
+
+
+def test_outline_parts_put_holes_under_their_outer_ring(spark):
+    from territory_engine.functions.cells import Grid
+    from territory_engine.operators import geo as G
+    grid = Grid(width=20, height=20, size=1.0)
+    ring = [(x, y) for x in range(5) for y in range(5) if not (1 <= x <= 3 and 1 <= y <= 3)]  # an island inside a hole
+    cells = [(1, y * 20 + x) for x, y in ring + [(2, 2)] + [(10, 10)]]
+    df = spark.createDataFrame(cells, "seed_id long, cell long")
+    parts = G.outline_parts(G.dissolve(df, grid)).first()["parts"]
+    assert sorted(len(p) for p in parts) == [1, 1, 2]
+    holed = next(p for p in parts if len(p) == 2)
+    assert {(q["lon"], q["lat"]) for q in holed[0]} >= {(-180.0, -90.0), (-175.0, -85.0)}
+
+
+def test_score_lists_are_written_by_type_and_window(spark, tmpdir_path):
+    counts = spark.createDataFrame([("colo", "weekly", "LAX", "a", 2, 5), ("colo", "weekly", None, "a", 1, 3), ("country", "daily", "US", "b", 1, 9)],
+                                   "territory_type string, time_window string, territory string, name string, count long, latest long")
+    out = os.path.join(tmpdir_path, "scores")
+    P.write_score_lists(counts, out, 77)
+    assert sorted(os.listdir(out))[-2:] == ["territory_type=colo", "territory_type=country"]
+    rows = spark.read.json(out).collect()
+    assert {(r["territory_type"], r["time_window"], r["name"], len(r["scores"]), r["now"]) for r in rows} == {
+        ("colo", "weekly", "a", 2, 77), ("country", "daily", "b", 1, 77)}
+
+
+def test_old_state_versions_expire(spark, tmpdir_path):
+    base = os.path.join(tmpdir_path, "st")
+    rows = spark.createDataFrame([("1.1.1.1", "x", 1, None, None, None, None, None, 5)],
+                                 "ip string, name string, asn long, colo string, country string, region string, metro string, city string, time_ms long")
+    for v in (0, 3, 6):
+        ST.write_state(rows, base, v)
+    for v in (1, 2, 4, 5, 7):
+        ST.write_delta(rows, base, v)
+    before = {r["ip"] for r in ST.read_state(spark, base).collect()}
+    assert ST.expire_versions(spark, base, 2) == [0, 1, 2]
+    assert ST.versions(spark, base) == [3, 6] and ST.versions(spark, base + "/_delta") == [4, 5, 7]
+    assert {r["ip"] for r in ST.read_state(spark, base).collect()} == before
+    assert ST.expire_versions(spark, base, 2) == []
 
 
 def test_geojson_round_trip(spark, tmpdir_path):
     ring = [{"lon": 0.0, "lat": 0.0}, {"lon": 1.0, "lat": 0.0}, {"lon": 1.0, "lat": 1.0}, {"lon": 0.0, "lat": 0.0}]
-    df = spark.createDataFrame([("LAX", [ring])], "colo string, rings array<array<struct<lon:double,lat:double>>>")
+    df = spark.createDataFrame([("LAX", [[ring]])], "colo string, parts array<array<array<struct<lon:double,lat:double>>>>")
     out = os.path.join(tmpdir_path, "geo")
-    P.write_text(P.geojson_features(df, "rings", ["colo"]), "feature", out)
+    P.write_text(P.geojson_features(df, "parts", ["colo"]), "feature", out)
     back = GJ.read_feature_lines(spark, out).first()
-    assert back["properties"]["colo"] == "LAX" and back["rings"][0][2]["lat"] == 1.0
+    assert back["properties"]["colo"] == "LAX" and back["parts"][0][0][2]["lat"] == 1.0
     fc = {"type": "FeatureCollection", "features": [json.loads(spark.read.text(out).first()["value"])]}
     p = os.path.join(tmpdir_path, "fc.geojson")
     with open(p, "w") as f:

@@ -38,7 +38,7 @@ def test_poll_job_equals_batch_fold(spark, tmpdir_path):
                 os.link(os.path.join(d, f), os.path.join(flat, f"{i}-{f}"))
     state_dir, out_dir = os.path.join(tmpdir_path, "state"), os.path.join(tmpdir_path, "out")
     q = ingest.run_stream(spark, flat, state_dir, out_dir, os.path.join(tmpdir_path, "ckpt"),
-                          available_now=True, max_files_per_trigger=1, clock="data", lines=True, compact_every=2)
+                          available_now=True, max_files_per_trigger=1, clock="data", compact_every=2)
     q.awaitTermination()
     assert ST.versions(spark, state_dir) == [0, 2]                 # full snapshots
     assert ST.versions(spark, state_dir + "/_delta") == [1]        # touched addresses only
@@ -129,9 +129,57 @@ def test_end_to_end_admission_to_rankings(spark, tmpdir_path):
     P.write_text(P.claim_envelopes(accepted.repartition(3), 100), "value", inbox)
     state_dir, out_dir = os.path.join(tmpdir_path, "state"), os.path.join(tmpdir_path, "out")
     q = ingest.run_stream(spark, inbox, state_dir, out_dir, os.path.join(tmpdir_path, "ck"),
-                          available_now=True, clock="data", lines=True)
+                          available_now=True, clock="data")
     q.awaitTermination()
     got = as_dict(ST.read_state(spark, state_dir))
     expected = as_dict(C.fold_claims(accepted.withColumn("seq", F.lit(0).cast("long")), hot_threshold=None))
     assert got == expected and len(got) > 0
     assert spark.read.json(os.path.join(out_dir, "batch=0", "leaderboards")).count() > 0
+
+
+def test_batcher_and_poll_with_defaults_lose_nothing(spark, tmpdir_path):
+    """The engine's own two jobs joined with defaults: claims in = claims out; what cannot be used
+    is set aside, and consumed files are removed only after that."""
+    claims = TD.load_claims(spark, SF_SMALL).drop("seq")
+    src, inbox = os.path.join(tmpdir_path, "src"), os.path.join(tmpdir_path, "inbox")
+    claims.coalesce(2).write.parquet(src)
+    stream = spark.readStream.schema(claims.schema).parquet(src)
+    q = ingest.run_batcher(stream, inbox, os.path.join(tmpdir_path, "ckb"), interval="0 seconds")
+    q.processAllAvailable()
+    q.stop()
+    with open(os.path.join(inbox, "broken.json"), "w") as f:
+        f.write('{"batch": [{"ip": "1.2.3.4"')
+    with open(os.path.join(inbox, "nameless.json"), "w") as f:
+        f.write('{"ip": "1.2.3.4", "time_ms": 5}')
+    state_dir, out_dir = os.path.join(tmpdir_path, "state"), os.path.join(tmpdir_path, "out")
+    from territory_engine.sources.batches import quarantine, read_batch_files, unwrap
+    read = unwrap(quarantine(read_batch_files(spark, [inbox + "/batch=*", inbox + "/nameless.json"]))[0])
+    assert read.count() == claims.count() + 1
+    run = lambda ck, **kw: ingest.run_stream(spark, inbox + "/*", state_dir, out_dir, os.path.join(tmpdir_path, ck),
+                                             available_now=True, clock="data", **kw)
+    run("ck", archive_dir=os.path.join(tmpdir_path, "done"), clean_source="archive").awaitTermination()
+    expected = C.fold_claims(claims.withColumn("seq", F.lit(0).cast("long")), hot_threshold=None)
+    assert as_dict(ST.read_state(spark, state_dir)).keys() == as_dict(expected).keys()
+    aside = spark.read.json(out_dir + "/quarantine/batch=0/objects").collect()
+    assert len(aside) == 1 and aside[0]["_corrupt_record"].startswith('{"batch"')
+    assert spark.read.json(out_dir + "/quarantine/batch=0/claims").count() == 1
+    import pytest
+    with pytest.raises(Exception, match="unusable objects"):
+        run("ck-strict", fail_fast=True).awaitTermination()
+
+
+def test_limiter_counts_every_period_apart(spark, tmpdir_path):
+    """A late claim of an older period neither resets the newer one nor escapes its own limit; periods
+    that arrive out of order give the batch verdicts."""
+    rows = [(0, 25_000), (1, 26_000), (2, 5_000), (3, 27_000), (4, 28_000), (5, 6_000), (6, 7_000)]
+    src = os.path.join(tmpdir_path, "late")
+    for i, (seq, t) in enumerate(rows):
+        df = spark.createDataFrame([("1.1.1.1", f"n{seq}", t, seq)], "ip string, name string, time_ms long, seq long")
+        df.coalesce(1).write.parquet(os.path.join(src, f"p={i}"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(src, "p=*"))
+    q = (stateful.stream_admission(stream, 10, 2, 10).writeStream.format("memory").queryName("late").outputMode("append")
+         .option("checkpointLocation", os.path.join(tmpdir_path, "ckl")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {r["seq"]: r["verdict"] for r in spark.sql("SELECT * FROM late").collect()}
+    assert got == {0: "accepted", 1: "accepted", 2: "accepted", 3: "ip_rate_limited", 4: "ip_rate_limited", 5: "accepted",
+                   6: "ip_rate_limited"}
