@@ -2,7 +2,8 @@
 
 The ring-by-ring flood fill (``frontier_assign``) is the alternative to ``nearest_seed`` and is
 not a headline job: its cost is one small job per ring, so it grows with the largest distance
-on the grid rather than with the data (see README).
+on the grid rather than with the data (see README). ``leaderboards_fifteen_pass`` is the test form
+of ``leaderboards_all`` and is not timed either.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
 BENCH_REPEAT (default 2: best of N runs per query, after one warm-up of the session).
@@ -25,10 +26,10 @@ HEADLINE = [
     "claims_fold",                 # Q2: full cooldown fold of every claim
     "claims_fold_coarse",          # Q2 on few keys with long histories
     "leaderboards_all",            # Q3: fifteen rankings in one pass
-    "leaderboards_fifteen_pass",   # Q3: the same as fifteen separate plans
     "recents_masked",              # Q4
     "territory_view",              # Q6 for every territory
     "user_view",                   # Q7 for every name
+    "territory_page",              # Q6 for one territory
     "admission_verdict",           # Q1
     "claims_merge_batches",        # U4 + J8: three incremental upserts
     "incremental_counts",          # Q11

@@ -8,6 +8,8 @@ name's won territories into a leaderboard row (A2), ordered by score, ip_count,
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,13 +110,16 @@ def leaderboards_separate(state: DataFrame, as_of_ms: Column | int) -> DataFrame
 
 
 def window_counts(state: DataFrame, as_of_ms: Column | int, inclusive: bool = False,
-                  keep_null_territory: bool = False) -> DataFrame:
+                  keep_null_territory: bool = False, windows: Sequence[str] | None = None) -> DataFrame:
     """A3 core: one scan -> (territory_type, time_window, territory, name, count, latest).
 
     Territory columns are unpivoted with ``inline``; each window is a conditional count and
     max in the same aggregate (it combines map-side), then windows are unpivoted and zero
-    counts dropped. ``keep_null_territory`` keeps null territories (the older scorer, A8).
+    counts dropped. ``keep_null_territory`` keeps null territories (the older scorer, A8);
+    ``windows`` computes some windows only. A filter on the territory columns of ``state`` reaches
+    its scan.
     """
+    labels = [label for label, _ in TIME_WINDOWS if windows is None or label in windows]
     unpivot = F.inline(F.array(*[
         F.struct(F.lit(t).alias("territory_type"), F.col(t).alias("territory")) for t in TERRITORY_TYPES
     ]))
@@ -123,16 +128,16 @@ def window_counts(state: DataFrame, as_of_ms: Column | int, inclusive: bool = Fa
     if not keep_null_territory:
         rows = rows.where(F.col("territory").isNotNull())
     aggs = []
-    for i, (label, _) in enumerate(TIME_WINDOWS):
+    for i, label in enumerate(labels):
         hit = in_window("time_ms", F.col("_now"), label, inclusive)
         aggs.append(F.count_if(hit).alias(f"c{i}"))
         aggs.append(F.max(F.when(hit, F.col("time_ms"))).alias(f"l{i}"))
     per_key = rows.groupBy("territory_type", "territory", "name").agg(*aggs)
-    windows = F.inline(F.array(*[
+    unpivoted = F.inline(F.array(*[
         F.struct(F.lit(label).alias("time_window"), F.col(f"c{i}").alias("count"), F.col(f"l{i}").alias("latest"))
-        for i, (label, _) in enumerate(TIME_WINDOWS)
+        for i, label in enumerate(labels)
     ]))
-    return per_key.select("territory_type", "territory", "name", windows).where(F.col("count") > 0)
+    return per_key.select("territory_type", "territory", "name", unpivoted).where(F.col("count") > 0)
 
 
 def leaderboards(state: DataFrame, as_of_ms: Column | int) -> DataFrame:

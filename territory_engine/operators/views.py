@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import TERRITORY_TYPES
 from ..functions.clock import relative_age
-from ..functions.labels import territory_type_of_id
+from ..functions.labels import territory_type_of_text
 from ..plans.broadcast import measured
 from .rankings import rank_contenders, window_counts
 
@@ -21,9 +22,13 @@ def contenders(state: DataFrame, window: str, as_of_ms: Column | int, spread: bo
 
     (territory_type, territory, name, count, latest, rank, latest_unit, latest_value)
     The counts combine map-side; ranks are numbered across tasks (``spread``), so a territory
-    with a very large number of contenders is not sorted in one task.
+    with a very large number of contenders is not sorted in one task. For the page of one
+    territory or one name use ``territory_view`` and ``user_view``, which read only its part.
     """
-    counts = window_counts(state, as_of_ms, inclusive=True).where(F.col("time_window") == window)
+    return _ranked(window_counts(state, as_of_ms, inclusive=True, windows=[window]), as_of_ms, spread)
+
+
+def _ranked(counts: DataFrame, as_of_ms: Column | int, spread: bool) -> DataFrame:
     ranked = rank_contenders(counts.drop("time_window"), ["territory_type"], spread=spread)
     # the as-of time is projected once, so a scalar subquery is planned (and run) once
     ranked = ranked.withColumn("_now", as_of_ms if isinstance(as_of_ms, Column) else F.lit(int(as_of_ms)))
@@ -34,15 +39,17 @@ def contenders(state: DataFrame, window: str, as_of_ms: Column | int, spread: bo
     )
 
 
-def territory_view(state: DataFrame, territory_id: str | Column, window: str, as_of_ms: Column | int) -> DataFrame:
+def territory_view(state: DataFrame, territory_id: str, window: str, as_of_ms: Column | int) -> DataFrame:
     """Q6: the contenders of one territory; its type comes from the id's length.
 
-    An unknown territory gives an empty result (P19).
+    The id is compared with one column of the state, so the filter reaches the scan, and no job runs
+    while the plan is built. An unknown territory gives an empty result (P19).
     """
-    tid = F.lit(territory_id) if isinstance(territory_id, str) else territory_id
-    return contenders(state, window, as_of_ms).where(
-        (F.col("territory") == tid) & (F.col("territory_type") == territory_type_of_id(tid))
-    ).orderBy(F.desc("count"), F.desc("latest"), F.asc("name"))
+    kind = territory_type_of_text(territory_id)
+    own = state.where(F.col(kind) == F.lit(territory_id)).withColumns(
+        {t: F.lit(None).cast("string") for t in TERRITORY_TYPES if t != kind})
+    return _ranked(window_counts(own, as_of_ms, inclusive=True, windows=[window]), as_of_ms, spread=False).orderBy(
+        F.desc("count"), F.desc("latest"), F.asc("name"))
 
 
 def territory_totals(contender_table: DataFrame) -> DataFrame:
@@ -59,10 +66,17 @@ def user_ranks(contender_table: DataFrame) -> DataFrame:
 
 
 def user_view(state: DataFrame, name: str | Column, window: str, as_of_ms: Column | int) -> DataFrame:
-    """Q7: one name's ranks, worst rank first, then more IPs, then territory."""
+    """Q7: one name's ranks, worst rank first, then more IPs, then territory.
+
+    The territories the name holds claims in are found first (the name filter reaches the scan); only
+    claims of those territories are counted and ranked.
+    """
     n = F.lit(name) if isinstance(name, str) else name
+    held = F.explode(F.array(*[F.struct(F.lit(t).alias("territory_type"), F.col(t).alias("territory")) for t in TERRITORY_TYPES]))
+    own = state.where(F.col("name") == n).select(held.alias("h")).select("h.*").where("territory is not null").distinct()
+    counts = window_counts(state, as_of_ms, inclusive=True, windows=[window]).join(own, ["territory_type", "territory"], "left_semi")
     return (
-        user_ranks(contenders(state, window, as_of_ms))
+        user_ranks(_ranked(counts, as_of_ms, spread=False))
         .where(F.col("name") == n)
         .orderBy(F.desc("rank"), F.desc("ips"), F.asc("territory"))
     )
@@ -80,7 +94,7 @@ def user_total_ips(contender_table: DataFrame) -> DataFrame:
 def territory_view_with_total(contender_table: DataFrame) -> DataFrame:
     """Q6 for all territories at once: contenders plus the territory's total.
 
-    The totals have one row per territory, so they are joined by broadcast when within bound.
+    The totals have one row per territory, so Spark joins them by broadcast if they are small.
     """
     totals = measured(territory_totals(contender_table))
     return contender_table.join(totals, ["territory_type", "territory"])

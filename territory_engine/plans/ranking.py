@@ -34,3 +34,22 @@ def row_number_spread(df: DataFrame, keys: Sequence[str], order: Sequence[Column
     offsets = counts.select("_pid", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     return local.join(offsets, ["_pid", *keys]).withColumn(out, (F.col("_ln") + F.col("_off")).cast("long")).drop(
         "_pid", "_ln", "_off")
+
+
+def position_spread(df: DataFrame, column: str, out: str = "position") -> DataFrame:
+    """``df`` plus ``out`` = 1-based position of each row in the whole table, largest ``column`` first
+    (rows with equal values share the first position of their run; a null has none).
+
+    Values are counted map-side, range-partitioned, summed inside their partitions and shifted by the
+    counts of earlier partitions, so no task sees the whole table.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    tagged = counts.repartitionByRange(n, F.desc(column)).withColumn("_pid", F.spark_partition_id()).checkpoint()
+    earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # over one row per partition
+    shift = tagged.groupBy("_pid").agg(F.sum("_n").alias("_t")).select("_pid", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_off"))
+    above = Window.partitionBy("_pid").orderBy(F.desc(column)).rowsBetween(Window.unboundedPreceding, -1)
+    placed = tagged.withColumn("_in", F.coalesce(F.sum("_n").over(above), F.lit(0))).join(shift, "_pid").select(
+        column, (F.col("_in") + F.col("_off") + 1).cast("long").alias(out))
+    return df.join(placed, column, "left")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import COOLDOWN_MS
@@ -193,6 +193,37 @@ def user_view(spark, sf_dir):
     return V.user_ranks(V.contenders(state, "monthly", as_of_latest(claims)))
 
 
+@register("territory_page", O.base() + f"""
+  SELECT * FROM ({_CONTENDERS_SQL}) WHERE territory_type = 'colo' AND territory = 'C05'""")
+def territory_page(spark, sf_dir):
+    """Q6 for one territory: its filter reaches the scan, its rank is the explicit position."""
+    claims, state = _state(spark, sf_dir)
+    return V.territory_view(state, "C05", "weekly", as_of_latest(claims))
+
+
+@register("user_page", O.base() + f"""
+  SELECT name, territory_type, territory, rank, count AS ips, latest_unit, latest_value,
+         CAST(row_number() OVER (ORDER BY rank DESC, count DESC, territory, territory_type) AS BIGINT) AS position
+  FROM ({_CONTENDERS_SQL.replace("'weekly'", "'monthly'")}) WHERE name = 'click-3'""".replace(
+    O.window_pred('time_ms', 'weekly', True), O.window_pred('time_ms', 'monthly', True)))
+def user_page(spark, sf_dir):
+    """Q7 + O5 for one name: its ranks, worst first, with their position in that order."""
+    claims, state = _state(spark, sf_dir)
+    page = V.user_view(state, "click-3", "monthly", as_of_latest(claims))
+    order = Window.partitionBy("name").orderBy(F.desc("rank"), F.desc("ips"), F.asc("territory"), F.asc("territory_type"))
+    return page.withColumn("position", F.row_number().over(order).cast("long"))
+
+
+@register("dump_positions", O.base() + """
+  SELECT name, country, region, colo, time_ms, CAST(rank() OVER (ORDER BY time_ms DESC) AS BIGINT) AS position FROM state""")
+def dump_positions(spark, sf_dir):
+    """O3 + O9: each row's position in the public dump, newest first, numbered in the written order."""
+    from ..operators.incremental import newest_first
+    from ..plans.ranking import position_spread
+    dump = R.public_claims(newest_first(_state(spark, sf_dir)[1]))
+    return position_spread(dump, "time_ms").select("name", "country", "region", "colo", "time_ms", "position")
+
+
 @register("user_total_ips", O.base() + f"""
   SELECT name, CAST(sum(count) AS BIGINT) AS total_ips
   FROM ({O.contenders_sql('all-time', inclusive=True)}) WHERE territory_type = 'colo' GROUP BY name""")

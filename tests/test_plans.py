@@ -60,3 +60,21 @@ def test_as_of_subquery_planned_once(spark):
     for df in (R.leaderboards(state, as_of), V.contenders(state, "weekly", as_of, spread=False)):
         df.write.format("noop").mode("overwrite").save()
         assert len(set(re.findall(r"Subquery subquery#(\d+)", plan(df)))) <= 2
+
+
+def test_one_territory_page_filters_in_the_scan(spark, tmpdir_path):
+    """The id filter reaches the scan, below the first exchange, and building the plan runs no job."""
+    C.fold_claims(TD.load_claims(spark, SF_SMALL)).write.parquet(f"{tmpdir_path}/state")
+    state = spark.read.parquet(f"{tmpdir_path}/state")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("page", "page")
+    page = V.territory_view(state, "C05", "weekly", 1_800_000_000_000)
+    user = V.user_view(state, "click-3", "weekly", 1_800_000_000_000)
+    assert not tracker.getJobIdsForGroup("page")
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert "EqualTo(colo,C05)" in plan(page) and "EqualTo(name,click-3)" in plan(user)
+    everything = V.contenders(state, "weekly", 1_800_000_000_000, spread=False)
+    want = everything.where("territory = 'C05' and territory_type = 'colo'").collect()
+    assert sorted(map(str, page.collect())) == sorted(map(str, want))
+    assert V.territory_view(state, "nowhere", "weekly", 1).count() == 0
+    assert sorted(map(str, user.collect())) == sorted(map(str, V.user_ranks(everything).where("name = 'click-3'").collect()))
