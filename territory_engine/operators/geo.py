@@ -3,11 +3,8 @@ flood fill, the data-quality gate and the dissolve of cells into facility outlin
 
 Nearest facility = smallest (hop distance, facility id). Two exact ways to compute it:
 
-* ``nearest_seed`` — an expanding-radius spatial join. At radius ``t`` cells are grouped in
-  tiles at least ``t`` wide and each facility is copied to the 3 x 3 tiles around its own, so a
-  cell meets every facility within distance ``t``. A cell whose best candidate is within ``t``
-  is final; the others go on to the next, doubled radius. No cross join: each cell only meets
-  the facilities of its own neighbourhood.
+* ``nearest_seed`` — a distance transform along rows and columns, then the smallest id on the
+  border of the square around each cell from a table of power-of-two runs. No cross join, no iteration.
 * ``frontier_assign`` — the reference's flood fill, one ring of neighbours per round, each new
   cell taken by the smallest facility id among the cells that reach it. On an unobstructed
   grid both give the same labels.
@@ -16,11 +13,11 @@ Nearest facility = smallest (hop distance, facility id). Two exact ways to compu
 from __future__ import annotations
 
 import itertools
-import math
 import uuid
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,127 +26,114 @@ from ..plans.broadcast import DEFAULT_MAX_BROADCAST_ROWS
 from ..session import ensure_checkpoint_dir
 
 
-def _divisor_at_least(n: int, t: int) -> int:
-    for d in range(max(1, t), n + 1):
-        if n % d == 0:
-            return d
-    return n
+def row_distances(seeds: DataFrame, grid: Grid, seed_cell: str = "cell") -> DataFrame:
+    """(r, x, f): for every facility row and column, the circular distance to the row's nearest facility.
 
+    One group per facility row, which holds at most the grid's columns; the table is at most the grid.
+    """
+    width = grid.width
+
+    def sweep(rows: pd.DataFrame) -> pd.DataFrame:
+        at = np.unique(rows["x"].to_numpy())
+        around = np.concatenate([[at[-1] - width], at, [at[0] + width]])
+        x = np.arange(width)
+        after = np.searchsorted(around, x)
+        f = np.minimum(around[after] - x, x - around[after - 1])
+        return pd.DataFrame({"r": rows["r"].iloc[0], "x": x, "f": f})
 
-def _radii(grid: Grid, n_seeds: int) -> list[int]:
-    """Doubling radii, starting near the typical distance to the nearest of ``n_seeds``."""
-    top = max(grid.width, grid.height)
-    typical = math.sqrt(grid.width * grid.height / max(n_seeds, 1)) / 2.0
-    t = 1
-    while t * 2 <= typical:
-        t *= 2
-    out = []
-    while True:
-        out.append(t)
-        if t >= top:
-            return out
-        t *= 2
+    return seeds.select(grid.row_of(seed_cell).alias("r"), grid.col_of(seed_cell).alias("x")).distinct().groupBy("r").applyInPandas(
+        sweep, "r long, x long, f long")
 
 
-def row_minima(seeds: DataFrame, grid: Grid, seed_cell: str = "cell", seed_id: str = "seed_id") -> DataFrame:
-    """Per facility row ``r``, column ``x`` and radius ``k`` (0..width/2): the smallest facility
-    id in row ``r`` within circular column distance ``k`` of ``x`` -> (r, x, k, min_id).
+def _column_distances(cells: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """Nearest-facility distance of one column's cells from the rows' distances in that column.
 
-    Size: (facility rows) x width x (width/2 + 1), fixed by the grid, not by the data. Built
-    from facilities x columns, one min per (r, x, k0), and a running min over ``k`` (windows
-    of at most width/2 + 1 rows).
+    The distance of row ``y`` is the smallest ``k`` with a facility row within ``k`` whose distance
+    is at most ``k``; it is found by bisection over minima of windows of rows (a sparse table).
     """
-    half = grid.width // 2
-    s = seeds.select(grid.row_of(seed_cell).alias("r"), grid.col_of(seed_cell).alias("xs"), F.col(seed_id).alias("sid"))
-    per_col = s.select("r", "xs", "sid", F.explode(F.sequence(F.lit(0), F.lit(grid.width - 1))).alias("x"))
-    dx = F.abs(F.col("x") - F.col("xs"))
-    exact = per_col.select("r", "x", F.least(dx, F.lit(grid.width) - dx).alias("k"), "sid").groupBy("r", "x", "k").agg(
-        F.min("sid").alias("sid"))
-    rows = s.select("r").distinct()
-    full = rows.select("r", F.explode(F.sequence(F.lit(0), F.lit(grid.width - 1))).alias("x")).select(
-        "r", "x", F.explode(F.sequence(F.lit(0), F.lit(half))).alias("k"))
-    w = Window.partitionBy("r", "x").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return full.join(exact, ["r", "x", "k"], "left").select(
-        "r", "x", "k", F.min("sid").over(w).alias("min_id")
-    ).where(F.col("min_id").isNotNull())
+    if not len(cells) or not len(rows):
+        return pd.DataFrame({"cell": [], "d": []})
+    y = cells["y"].to_numpy()
+    low, high = int(min(y.min(), rows["r"].min())), int(max(y.max(), rows["r"].max()))
+    far = 1 << 40
+    f = np.full(high - low + 1, far, dtype=np.int64)
+    f[rows["r"].to_numpy() - low] = rows["f"].to_numpy()
+    table = [f]
+    while 2 * (1 << (len(table) - 1)) <= len(f):
+        step = 1 << (len(table) - 1)
+        table.append(np.minimum(table[-1][:-step], table[-1][step:]))
+    at = y - low
+    lo, hi = np.zeros(len(y), dtype=np.int64), np.full(len(y), len(f) + int(rows["f"].max()), dtype=np.int64)
+    while (lo < hi).any():
+        k = (lo + hi) // 2
+        first, last = np.maximum(at - k, 0), np.minimum(at + k, len(f) - 1)
+        level = np.floor(np.log2(last - first + 1)).astype(np.int64)
+        best = np.empty(len(y), dtype=np.int64)
+        for p in np.unique(level):
+            own = level == p
+            best[own] = np.minimum(table[p][first[own]], table[p][last[own] - (1 << int(p)) + 1])
+        found = best <= k
+        hi, lo = np.where(found, k, hi), np.where(found, lo, k + 1)
+    return pd.DataFrame({"cell": cells["cell"].to_numpy(), "d": lo})
+
+
+def line_minima(seeds: DataFrame, grid: Grid, seed_cell: str = "cell", seed_id: str = "seed_id") -> DataFrame:
+    """(axis, line, p, at, id): the smallest facility id in the 2^p cells from ``at`` on of a grid row
+    (axis ``r``, wrapping) or column (axis ``c``, which may start below the grid).
+
+    One group per line, which holds at most its cells; a level is the minimum of two shifted copies of
+    the level before. The table has at most twice the grid's cells for each of log2(grid) levels.
+    """
+    col, row = grid.col_of(seed_cell), grid.row_of(seed_cell)
+    lines = F.explode(F.array(*[F.struct(F.lit(axis).alias("axis"), line.alias("line"), at.alias("at"))
+                                for axis, line, at in (("r", row, col), ("c", col, row))]))
+    width, longest = grid.width, max(grid.width, grid.height)
+
+    def runs(rows: pd.DataFrame) -> pd.DataFrame:
+        wraps = rows["axis"].iloc[0] == "r"
+        ids, code = np.unique(rows["id"].to_numpy(), return_inverse=True)
+        at = rows["at"].to_numpy()
+        pad = 0 if wraps else 2 * longest
+        low = np.full(width if wraps else pad + int(at.max()) + 1, len(ids), dtype=np.int64)
+        np.minimum.at(low, at + pad, code)
+        out, span, p = [], 1, 0
+        while True:
+            some = np.flatnonzero(low < len(ids))
+            out.append(pd.DataFrame({"p": p, "at": some - pad, "id": ids[low[some]]}))
+            if span > longest:
+                break
+            ahead = np.roll(low, -span) if wraps else np.append(low[span:], np.full(min(span, len(low)), len(ids)))
+            low, span, p = np.minimum(low, ahead), 2 * span, p + 1
+        return pd.concat(out).assign(axis=rows["axis"].iloc[0], line=rows["line"].iloc[0])[["axis", "line", "p", "at", "id"]]
+
+    kind = seeds.schema[seed_id].dataType.simpleString()
+    return seeds.select(lines.alias("l"), F.col(seed_id).alias("id")).select("l.*", "id").distinct().groupBy("axis", "line").applyInPandas(
+        runs, f"axis string, line long, p int, at long, id {kind}")
 
 
 def nearest_seed(cells: DataFrame, seeds: DataFrame, grid: Grid, cell: str = "cell", seed_cell: str = "cell",
-                 seed_id: str = "seed_id", max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                 seed_id: str = "seed_id") -> DataFrame:
     """For each cell, the facility with the smallest (distance, id) -> (cell, seed_id, distance).
 
-    Hop distance on the grid is Chebyshev distance (columns wrap), so it separates by rows:
-    from facility row ``r`` the nearest distance is ``d_r = max(dx_r, |y - r|)`` with ``dx_r``
-    the circular column distance to the row's nearest facility, and every facility of row
-    ``r`` within ``min(d_r, width/2)`` columns is at exactly ``d_r`` -- the smallest id among
-    them is a lookup in ``row_minima``. The answer is ``min over r of (d_r, id_r)``: one join
-    of cells with the facility rows of their column (fan-out bounded by the grid height), one
-    lookup join and one aggregate that combines map-side. No cross join and no iteration.
-    The lookup table's size is fixed by the grid; it is broadcast when that bound allows.
+    Hop distance on the grid is Chebyshev distance (columns wrap). A distance transform first
+    along rows, then along columns gives every cell's distance ``d``; no facility is nearer, so
+    those at ``d`` lie on the border of the square around the cell, and the smallest id on each of its
+    four sides is the smaller of two overlapping runs of a power-of-two length. All tables are at
+    most the grid times its logarithm; no cell meets the facilities one by one.
     """
-    half = grid.width // 2
-    table = row_minima(seeds, grid, seed_cell, seed_id)
-    n_rows_bound = grid.height * grid.width * (half + 1)
-    table_b = F.broadcast(table) if n_rows_bound <= max_broadcast_rows else table
-    nearest_in_row = table.groupBy("r", "x").agg(F.min("k").alias("dx"))
-    nir_b = F.broadcast(nearest_in_row) if grid.height * grid.width <= max_broadcast_rows else nearest_in_row
-    c = cells.select(F.col(cell).alias("cell")).distinct().select(
-        "cell", grid.col_of("cell").alias("x"), grid.row_of("cell").alias("y"))
-    per_row = c.join(nir_b, "x").select(
-        "cell", "x", "r", F.greatest(F.col("dx"), F.abs(F.col("y") - F.col("r"))).alias("d"))
-    per_row = per_row.withColumn("k", F.least(F.col("d"), F.lit(half)))
-    best = per_row.join(table_b, ["r", "x", "k"]).groupBy("cell").agg(
-        F.min(F.struct(F.col("d"), F.col("min_id"))).alias("_b"))
-    return best.select("cell", F.col("_b.min_id").alias("seed_id"), F.col("_b.d").cast("long").alias("distance"))
-
-
-def nearest_seed_tiles(cells: DataFrame, seeds: DataFrame, grid: Grid, cell: str = "cell", seed_cell: str = "cell",
-                       seed_id: str = "seed_id", max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """J10 as an expanding-radius tile join (works for any distance whose balls fit in tiles).
-
-    Each radius left-joins the still-open cells to the facility tiles around them and keeps
-    each cell's best candidate; cells whose best is within the radius are final, the rest are
-    the next radius's input, all in one lazy plan. Cheap when facilities are near every cell;
-    with many equidistant far facilities the large radii approach all pairs, which is why
-    ``nearest_seed`` uses the row decomposition instead.
-    """
-    s = seeds.select(F.col(seed_cell).alias("_scell"), F.col(seed_id).alias("seed_id"))
-    n_seeds = s.count()
-    small = n_seeds * 9 <= max_broadcast_rows
-    remaining = cells.select(F.col(cell).alias("cell")).distinct()
-    done: list[DataFrame] = []
-    top = max(grid.width, grid.height)
-    for t in _radii(grid, n_seeds):
-        tc = _divisor_at_least(grid.width, t)
-        ntc = grid.width // tc
-        col_offsets = sorted({o % ntc for o in (-1, 0, 1)})
-        row_offsets = [-1, 0, 1] if t < grid.height else [0]
-        tr = t if t < grid.height else grid.height
-        reps = F.array(*[F.struct(F.lit(a).alias("dc"), F.lit(b).alias("dr")) for a in col_offsets for b in row_offsets])
-        seed_tiles = s.select("_scell", "seed_id", F.inline(reps)).select(
-            "_scell", "seed_id",
-            F.pmod(F.floor(grid.col_of("_scell") / tc) + F.col("dc"), F.lit(ntc)).alias("_tc"),
-            (F.floor(grid.row_of("_scell") / tr) + F.col("dr")).alias("_tr"),
-        )
-        cell_tiles = remaining.select(
-            "cell", F.floor(grid.col_of("cell") / tc).alias("_tc"), F.floor(grid.row_of("cell") / tr).alias("_tr"),
-        )
-        cand = cell_tiles.join(F.broadcast(seed_tiles) if small else seed_tiles, ["_tc", "_tr"], "left").select(
-            "cell", grid.distance("cell", "_scell").alias("d"), "seed_id"
-        )
-        hit = F.when(F.col("d").isNotNull(), F.struct("d", "seed_id"))
-        best = cand.groupBy("cell").agg(F.min(hit).alias("_b")).select(
-            "cell", F.col("_b.seed_id").alias("seed_id"), F.col("_b.d").alias("distance")
-        )
-        if t >= top:
-            done.append(best.where(F.col("distance").isNotNull()))
-            break
-        done.append(best.where(F.col("distance") <= t))
-        remaining = best.where(F.col("distance").isNull() | (F.col("distance") > t)).select("cell")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    c = cells.select(F.col(cell).alias("cell")).distinct().select("cell", grid.col_of("cell").alias("x"), grid.row_of("cell").alias("y"))
+    distance = c.groupBy("x").cogroup(row_distances(seeds, grid, seed_cell).groupBy("x")).applyInPandas(
+        _column_distances, "cell long, d long")
+    p = F.floor(F.log2((2 * F.col("d") + 1).cast("double"))).cast("int")
+    placed = distance.select("cell", "d", p.alias("p"), grid.col_of("cell").alias("x"), grid.row_of("cell").alias("y"))
+    d, x, y = F.col("d"), F.col("x"), F.col("y")
+    back = d - F.pow(F.lit(2.0), F.col("p")).cast("long") + 1  # from the middle to where the second run starts
+    wrap = lambda q: F.pmod(q, F.lit(grid.width))
+    runs = [F.struct(F.lit("r").alias("axis"), (y + side).alias("line"), wrap(x + start).alias("at")) for side in (-d, d) for start in (-d, back)]
+    runs += [F.struct(F.lit("c").alias("axis"), wrap(x + side).alias("line"), (y + start).alias("at")) for side in (-d, d) for start in (-d, back)]
+    asked = placed.select("cell", "d", "p", F.explode(F.array(*runs)).alias("q")).select("cell", "d", "p", "q.axis", "q.line", "q.at")
+    return asked.join(line_minima(seeds, grid, seed_cell, seed_id), ["axis", "line", "at", "p"]).groupBy("cell").agg(
+        F.min("id").alias("seed_id"), F.min("d").cast("long").alias("distance"))
 
 
 def frontier_assign(seeds: DataFrame, grid: Grid, land: DataFrame | None = None, seed_cell: str = "cell",

@@ -40,8 +40,20 @@ def test_nearest_and_frontier_match_brute_force(spark):
     assert got2 == expected
     fill_land = G.keep_land(G.frontier_assign(seed_df, GRID, land=land_df), land_df)
     assert {r["cell"]: (r["seed_id"], r["distance"]) for r in fill_land.collect()} == expected
-    tiles = G.nearest_seed_tiles(land_df, seed_df, GRID)
-    assert {r["cell"]: (r["seed_id"], r["distance"]) for r in tiles.collect()} == expected
+
+
+def test_nearest_on_a_fine_grid(spark):
+    """0.25 degrees: few facilities far apart, many in one row, ties, repeated cells, cells off the grid."""
+    grid = Grid(width=1440, height=720, size=0.25)
+    rng = random.Random(11)
+    cells = [rng.randrange(grid.width * grid.height) for _ in range(400)] + [0, grid.width - 1, 725 * grid.width + 3]
+    for seeds in ([(9, 5)], [(i, rng.randrange(grid.width * grid.height)) for i in range(40)],
+                  [(50 - i, 300 * grid.width + 36 * i) for i in range(40)] + [(3, 300 * grid.width + 36)]):
+        got = {r["cell"]: (r["seed_id"], r["distance"]) for r in G.nearest_seed(
+            spark.createDataFrame([(c,) for c in cells + cells[:9]], "cell bigint"), spark.createDataFrame(seeds, "seed_id bigint, cell bigint"), grid).collect()}
+        assert got == brute(cells, seeds, grid)
+    none = spark.createDataFrame([], "seed_id bigint, cell bigint")
+    assert G.nearest_seed(spark.createDataFrame([(1,)], "cell bigint"), none, grid).count() == 0
 
 
 def test_dissolve_area_and_closed_rings(spark):
