@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+from llm_fixtures import docs_of  # noqa: F401
 from territory_engine.llm import decontamination as D
 
 

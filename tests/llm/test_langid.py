@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from conftest import SF_CHECK
+from llm_fixtures import docs_of  # noqa: F401
 from territory_engine.llm import langid as L
 
 

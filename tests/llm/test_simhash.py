@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from llm_fixtures import docs_of  # noqa: F401
 from territory_engine.llm import simhash as S
 from territory_engine.llm.common import local_roots
 from territory_engine.llm.components import components

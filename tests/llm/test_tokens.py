@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from llm_fixtures import docs_of  # noqa: F401
 from territory_engine.llm import packing as P
 from territory_engine.llm import tokenfile as TF
 from territory_engine.llm import tokens as T
