@@ -149,7 +149,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPA
         end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             for doc_id, raw in zip(b["id"].astype(object).where(b["id"].notna(), None),
-                                   encoder(tokenizer_path).portions(list(b["text"])), strict=True):
+                                   encoder(tokenizer_path).encode_all(b["text"]), strict=True):
                 doc = (None if doc_id is None else int(doc_id), raw + end)
                 n = len(doc[1]) // 4
                 whole = n // capacity * capacity

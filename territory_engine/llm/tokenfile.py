@@ -57,7 +57,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, width: i
 
     def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"ids": [serialize(i, end_id, width) for i in encoder(tokenizer_path).portions(list(b["text"]))]})
+            yield pd.DataFrame({"ids": [serialize(i, end_id, width) for i in encoder(tokenizer_path).encode_all(b["text"])]})
 
     sampled = docs.filter(chosen).select(F.col(text_col).alias("text")).limit(SAMPLE_DOCS)
     samples, size = [], 0
@@ -106,7 +106,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
         for b in batches:
             for doc_id, raw in zip(b["id"].astype(object).where(b["id"].notna(), None),
-                                   encoder(tokenizer_path).portions(list(b["text"])), strict=True):
+                                   encoder(tokenizer_path).encode_all(b["text"]), strict=True):
                 frame = packer.compress(serialize(raw, end_id, width))
                 ids.append(None if doc_id is None else int(doc_id))
                 counts.append(len(raw) // 4 + 1)

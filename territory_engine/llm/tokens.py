@@ -3,58 +3,78 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import regex
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
-# Fixed value: the pre-token pattern of the byte-level vocabularies.
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct pre-tokens whose ids a worker keeps, and the longest one that is kept.
-KEPT, KEPT_CHARS = 400_000, 48
-#: Characters of the texts that are encoded together.
-PORTION = 4_000_000
+# The pre-token pattern of the byte-level vocabularies,
+#   's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
+# written out for the characters of Latin texts, where its classes are short ranges.
+_LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_SPACE = r" \t\n\r\x0b\x0c"
+LATIN_PRE_TOKEN = (rf" ?[{_LETTER}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{_SPACE}{_LETTER}0-9]+"
+                   rf"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: A character for which that does not hold (other letters, spaces, digits and marks).
+NOT_LATIN = "[^\x00-\x1b\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]"
+#: Distinct pre-tokens whose ids a worker keeps (twice: newer and older ones), and the longest kept.
+KEPT, KEPT_CHARS = 250_000, 48
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The character by which the vocabulary writes each byte of UTF-8, as the library maps it."""
+    level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    points = [*range(0x800), *range(0x800, 0xD800, 0x800), *range(0xE000, 0x10000, 0x800), *range(0x10000, 0x110000, 0x10000)]
+    return {b: c for p in points for b, c in zip(chr(p).encode(), level.pre_tokenize_str(chr(p))[0][0], strict=True)}
+
+
+class _Known(dict):
+    """Ids of pre-tokens, encoded by the library's model when first met."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__()
+        self.tokenize, self.alphabet = tokenizer.model.tokenize, byte_alphabet()
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            found = self.tokenize(word.encode().decode("latin-1").translate(self.alphabet))
+            ids = np.array([t.id for t in found], dtype="<u4").tobytes()
+        if len(word) <= KEPT_CHARS:
+            self[word] = ids
+        return ids
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers, without special tokens.
 
-    A byte-level BPE merges inside pre-tokens only, so each distinct pre-token is encoded once by
-    the library and its ids are kept; strings of special tokens are ordinary text.
+    A byte-level BPE merges inside pre-tokens only, so in Latin texts each distinct pre-token is
+    encoded once and its ids are kept; texts with other characters are encoded whole by the
+    library. Strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(PRE_TOKEN).findall
-        self.kept: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """One byte string per text; null texts are empty."""
-        words = [self.split(t) if t else [] for t in texts]
-        new = list(set().union(*words).difference(self.kept))
-        ids = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        if len(self.kept) + len(new) > KEPT:
-            self.kept = {w: self.kept[w] for w in set().union(*words).intersection(self.kept)}
-        known = self.kept
-        known.update((w, np.asarray(e.ids, dtype="<u4").tobytes()) for w, e in zip(new, ids, strict=True))
-        out = [b"".join([known[w] for w in ws]) for ws in words]
-        for w in new:
-            if len(w) > KEPT_CHARS:
-                del known[w]
+        self.known = _Known(self.tokenizer)
+        self.words, self.not_latin = re.compile(LATIN_PRE_TOKEN).findall, re.compile(NOT_LATIN).search
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of one text; a null text has none."""
+        if not text:
+            return b""
+        if self.not_latin(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        out = b"".join(map(self.known.__getitem__, self.words(text)))
+        if len(self.known) > KEPT:
+            self.known.older = dict(self.known)
+            self.known.clear()
         return out
 
-    def portions(self, texts: list[str | None]) -> Iterator[bytes]:
-        """As encode, a bounded number of characters at a time."""
-        held, size = [], 0
-        for t in texts:
-            held.append(t)
-            size += len(t) if t else 0
-            if size >= PORTION:
-                yield from self.encode(held)
-                held, size = [], 0
-        yield from self.encode(held)
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        return map(self.encode, texts)
 
 
 @functools.cache
