@@ -4,7 +4,9 @@ Words of test and training texts become 64-bit hashes. A mask of ones and zeros,
 position, hashes the words under its ones and ignores those under its zeros, so a seed survives
 substitutions at the ignored positions. Test and training seeds are joined on the hash; around
 each hit the two texts are compared along the hit's diagonal, and the longest stretch in which at
-least IDENTITY of the words agree is an overlap if it is long enough.
+least IDENTITY of the words agree is an overlap if it is long enough. An overlap is found if the words
+under one mask agree somewhere in it: substitutions may fall on any positions that leave one such
+place, and items of fewer words than a mask are looked for as a whole.
 
 Training seeds are far more than test seeds, so they pass a Bloom filter of the test seeds while
 the text is read; the filter has a bounded size and only spares work: the join decides. Only the
@@ -33,7 +35,7 @@ AROUND = 32
 #: Bits of the filter for each test seed, and at most (32 MB).
 FILTER_BITS, FILTER_MOST, FILTER_PROBES = 32, 1 << 28, 4
 CHUNK_BITS = 1 << 16
-KEPT = 500_000
+KEPT = 150_000
 
 WORD = re.compile(r"\w+")
 ODD = np.random.default_rng(2024).integers(1 << 62, dtype=np.uint64, size=64) * np.uint64(2) + np.uint64(1)
@@ -85,17 +87,17 @@ def longest_agreement(same: np.ndarray) -> tuple[int, int]:
     if not same.any():
         return 0, 0
     total = np.concatenate([[0.0], np.cumsum(same - IDENTITY)]) + 1e-9 * np.arange(len(same) + 1)
-    start_low = np.minimum.accumulate(total)
-    end_high = np.maximum.accumulate(total[::-1])[::-1]
+    start = np.where(np.append(same, False), total, np.inf)  # a stretch may start or end only at agreement
+    end = np.where(np.append(False, same), total, -np.inf)
+    start_low = np.minimum.accumulate(start)
+    end_high = np.maximum.accumulate(end[::-1])[::-1]
     best, i = (0, 0), 0
     for j in range(len(total)):  # the widest i < j with start_low[i] <= end_high[j]
         while i < j and start_low[i] > end_high[j]:
             i += 1
         if j - i > best[1] - best[0]:
             best = (i, j)
-    s, e = best
-    inside = np.flatnonzero(same[s:e])
-    return (s + int(inside[0]), s + int(inside[-1]) + 1) if len(inside) else (0, 0)
+    return best
 
 
 def test_items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:

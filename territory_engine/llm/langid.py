@@ -36,6 +36,8 @@ SAMPLE_DOCS = 200
 CHECKED = 256
 #: Bytes of a segment; segments that advance together.
 SEGMENT, TOGETHER = 1024, 4096
+#: Languages whose sampling shares (a few bytes each) are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 10_000
 UNKNOWN = "und"
 #: Above so many phrases a byte in the best language, a text is in none that was learned.
 STRANGE = 0.6
@@ -129,14 +131,15 @@ class CrossParser:
         joined = np.frombuffer(b"".join(pieces[i].ljust(width, b"\0") for i in order), dtype=np.uint8)
         symbols = self.symbol[joined].reshape(len(pieces), width).T.copy()
         active = np.searchsorted(-size[order], -np.arange(width), side="left")
-        state = np.repeat(np.array(self.roots, dtype=np.int64)[:, None], len(pieces), axis=1)
-        count = np.ones(state.shape, dtype=np.int64)
+        roots = np.array(self.roots, dtype=np.int64)[:, None]
+        state = np.repeat(roots, len(pieces), axis=1)
+        count = np.zeros(state.shape, dtype=np.int64)
         for j in range(width):
             n = active[j]
             c = symbols[j, :n]
             to = self.next.take(state[:, :n] * self.width + c)
             ends = to < 0
-            count[:, :n] += ends
+            count[:, :n] += ends | (state[:, :n] == roots)  # a phrase begins; a foreign byte is one of its own
             state[:, :n] = np.where(ends, self.restart.take(c, axis=1), to)
         back = np.empty_like(count)
         back[:, order] = count
@@ -157,7 +160,7 @@ class CrossParser:
                              "score": score, "phrases_per_byte": np.where(known, phrases[order[0], at], 0.0)})
 
 
-@functools.cache
+@functools.lru_cache(maxsize=1)
 def parser(samples: tuple[tuple[str, bytes], ...]) -> CrossParser:
     """The worker's automata."""
     return CrossParser(samples)
@@ -176,7 +179,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
         return ()
     shares = docs.sparkSession.createDataFrame(
         [(lang, int(min(1.0, SAMPLE_DOCS / n) * (1 << 30))) for lang, n in counts.items()], "lang string, share long")
-    picked = (own.join(shares, "lang").withColumn("h", F.xxhash64("text")).filter(F.pmod("h", F.lit(1 << 30)) <= F.col("share"))
+    picked = (own.join(F.broadcast(shares) if len(counts) <= MOST_BROADCAST else shares, "lang").withColumn("h", F.xxhash64("text")).filter(F.pmod("h", F.lit(1 << 30)) <= F.col("share"))
               .groupBy("lang", "h").agg(F.min("text").alias("text")))
     taken: dict[str, list[bytes]] = {}
     for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["h"])):
@@ -224,7 +227,7 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, bytes], ...], text_col:
     def classify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             if samples:
-                yield parser(samples).classify(list(s))
+                yield pd.concat([parser(samples).classify(list(s.iloc[i:i + 512])) for i in range(0, max(1, len(s)), 512)], ignore_index=True)
             else:
                 yield pd.DataFrame({"lang_pred": [UNKNOWN] * len(s), "score": 0.0, "phrases_per_byte": 0.0})
 

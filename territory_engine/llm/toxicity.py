@@ -34,16 +34,19 @@ from territory_engine.llm.simhash import fingerprint
 #: Documents of each class in the sample at most, and the longest that is taken.
 SAMPLE = {1: 1500, 0: 2500}
 SAMPLE_DOC_CHARS = 20_000
-#: A word marks toxic tokens at so many times its rate in clean documents, if that is no chance:
-#: the log-likelihood ratio of its document counts (twice the logarithm) is at least this.
-LEAST_RATIO, LEAST_EVIDENCE = 12.0, 30.0
+#: A word marks toxic tokens at so many times its rate in clean documents, if that is no chance: the
+#: log-likelihood ratio of its document counts (twice the logarithm) is at least that of one chance
+#: find among all words tested, and this more.
+LEAST_RATIO, EVIDENCE_MARGIN = 12.0, 2.0
+#: Documents that a tested word is in at least.
+TESTED_DOCS = 3
 #: Bits between fingerprints of sampled documents that count as one.
 COPY_BITS = 8
 WINDOW, DIMENSIONS, EPOCHS, RATE, RIDGE = 10, 1 << 18, 4, 0.5, 1e-4
 #: A document is toxic from this score on, a token from this marginal on.
 THRESHOLD, TOKEN_THRESHOLD = 0.7, 0.5
 #: Distinct words whose emission a worker keeps.
-KEPT = 500_000
+KEPT = 150_000
 
 WORD = re.compile(r"\w+")
 RESULT = "score double, predicted int, spans array<struct<start: int, end: int, p: double>>"
@@ -168,7 +171,9 @@ def fit(toxic: list[str], clean: list[str], seed: int = 7) -> Field | None:
     for texts, counter in ((toxic, in_toxic), (clean, in_clean)):
         for t in texts:
             counter.update({m for w in set(WORD.findall(t)) for m in marks(w)})
-    odd = {m for m, n in in_toxic.items() if _evidence(n, len(toxic), in_clean[m], len(clean)) >= LEAST_EVIDENCE
+    tested = sum(n + in_clean[m] >= TESTED_DOCS for m, n in in_toxic.items())
+    least = 2 * np.log(max(1, tested)) + EVIDENCE_MARGIN
+    odd = {m for m, n in in_toxic.items() if n + in_clean[m] >= TESTED_DOCS and _evidence(n, len(toxic), in_clean[m], len(clean)) >= least
            and n / len(toxic) >= LEAST_RATIO * in_clean[m] / len(clean)}
     if not odd:
         return None
@@ -261,7 +266,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chance = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     # about SAMPLE ids a class, so the list of ids is small whatever the size of the tables
     ids = own.filter(chance < F.when(F.col("label") == 1, share[1]).otherwise(share[0])).collect()
-    chosen = spark.createDataFrame([(r["id"], r["label"]) for r in ids], "id long, label int")
+    chosen = F.broadcast(spark.createDataFrame([(r["id"], r["label"]) for r in ids], "id long, label int"))
     rows = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
             .filter(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_DOC_CHARS))
             .join(chosen, "id").groupBy("label", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text")).collect())
@@ -286,8 +291,7 @@ def score(docs: DataFrame, model: Field | None, text_col: str = "text") -> DataF
     def tag(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = pickle.loads(packed.value)
         for s in batches:
-            for i in range(0, len(s), 1024):
-                yield own.score([None if t is None else t for t in s.iloc[i:i + 1024]])
+            yield pd.concat([own.score(list(s.iloc[i:i + 512])) for i in range(0, max(1, len(s)), 512)], ignore_index=True)
 
     found = docs.select(*kept, tag(F.col(f"`{text_col}`")).alias("__found"))
     return found.select(*kept, *[F.col(f"__found.{c}").alias(c) for c in added])
