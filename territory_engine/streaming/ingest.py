@@ -75,7 +75,8 @@ class PollJob:
     def _set_aside(self, batch: DataFrame, batch_id: int) -> None:
         """S3: what the fold cannot use goes to ``<out>/quarantine/batch=<n>``: objects that cannot
         be read, and claims without an address, a name or a time."""
-        found = {"objects": quarantine(batch)[1], "claims": unusable_claims(unwrap(batch))}
+        unread = quarantine(batch)[1].withColumnsRenamed({"_file": "file", "_corrupt_record": "text"})
+        found = {"objects": unread, "claims": unusable_claims(unwrap(batch))}
         for kind, rows in found.items():
             if rows.isEmpty():
                 continue

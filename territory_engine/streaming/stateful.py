@@ -122,7 +122,11 @@ class AdmissionCounter(StatefulProcessor):
 def stream_admission(stream: DataFrame, name_limit: int = NAME_RATE_LIMIT, ip_limit: int = IP_RATE_LIMIT,
                      period_secs: int = RATE_PERIOD_SECS, ttl_ms: int = LIMITER_TTL_MS) -> DataFrame:
     """T5: limiter verdicts for a stream of claims that passed the static checks (``ip``, ``name``,
-    ``time_ms``, ``seq``); rows are (seq, verdict)."""
+    ``time_ms``, ``seq``); rows are (seq, verdict).
+
+    As its state expires by processing time, Spark goes on with empty micro-batches: with an
+    ``availableNow`` trigger set ``spark.sql.streaming.noDataMicroBatches.enabled`` to false.
+    """
     return stream.groupBy("ip").transformWithStateInPandas(
         statefulProcessor=AdmissionCounter(name_limit, ip_limit, period_secs, ttl_ms=ttl_ms),
         outputStructType="seq bigint, verdict string",

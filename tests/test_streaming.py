@@ -161,7 +161,7 @@ def test_batcher_and_poll_with_defaults_lose_nothing(spark, tmpdir_path):
     expected = C.fold_claims(claims.withColumn("seq", F.lit(0).cast("long")), hot_threshold=None)
     assert as_dict(ST.read_state(spark, state_dir)).keys() == as_dict(expected).keys()
     aside = spark.read.json(out_dir + "/quarantine/batch=0/objects").collect()
-    assert len(aside) == 1 and aside[0]["_corrupt_record"].startswith('{"batch"')
+    assert len(aside) == 1 and aside[0]["text"].startswith('{"batch"')
     assert spark.read.json(out_dir + "/quarantine/batch=0/claims").count() == 1
     import pytest
     with pytest.raises(Exception, match="unusable objects"):
