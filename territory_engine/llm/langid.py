@@ -10,8 +10,8 @@ any script has at most 256 symbols. A text is parsed whole, in segments of SEGME
 a phrase; the segments of many texts advance together through the automata of all languages as
 numpy arrays.
 
-The labelled sample is bounded by SAMPLE_BYTES a language, out of documents of at most
-SAMPLE_DOC_CHARS characters; it is the only thing that is gathered.
+The labelled sample is bounded by SAMPLE_BYTES a language, out of the first SAMPLE_DOC_CHARS
+characters of documents; it is the only thing that is gathered.
 """
 
 from __future__ import annotations
@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 
 from territory_engine.llm.common import fold_of, table
 
-#: Labelled text of one language at most, and the longest document that is taken for it.
+#: Labelled text of one language at most, and the most that is taken of one document (from its first letter on).
 SAMPLE_BYTES, SAMPLE_DOC_CHARS = 40_000, 20_000
-#: Documents of one language that are looked at for the sample (about; chosen by a hash).
+#: Distinct texts of one language that are looked at for the sample (about; chosen by a hash).
 SAMPLE_DOCS = 200
+#: Sampled texts that a task remembers, to hand on one of many copies.
+REMEMBERED = 100_000
 #: Bytes of the parts of labelled text that are checked against their label.
 CHECKED = 256
 #: Bytes of a segment; segments that advance together.
@@ -169,17 +171,33 @@ def parser(samples: tuple[tuple[str, bytes], ...]) -> CrossParser:
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[tuple[str, bytes], ...]:
     """Bounded labelled text of each language, as (language, normal text), in order of the language.
 
-    Documents are chosen by a hash of their text, equal texts count once. Rows with a null text or
-    language are left out; a language without a letter in its sample is not learned.
+    Texts are chosen by a hash, at a share of the language's distinct texts, so copies change
+    nothing. Rows with a null text or language or without a letter are left out; of long texts the
+    first SAMPLE_DOC_CHARS characters from the first letter on are taken. Every language with a
+    labelled letter is learned.
     """
     own = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(
-        F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_DOC_CHARS))
-    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}  # one row a language
+        F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
+    counts = {r["lang"]: r["count"] for r in own.select("lang", "h").distinct().groupBy("lang").count().collect()}  # one row a language
     if not counts:
         return ()
     shares = docs.sparkSession.createDataFrame(
         [(lang, int(min(1.0, SAMPLE_DOCS / n) * (1 << 30))) for lang, n in counts.items()], "lang string, share long")
-    picked = (own.join(F.broadcast(shares) if len(counts) <= MOST_BROADCAST else shares, "lang").withColumn("h", F.xxhash64("text")).filter(F.pmod("h", F.lit(1 << 30)) <= F.col("share"))
+    part = F.when(F.length("text") > SAMPLE_DOC_CHARS, F.substring(F.regexp_replace("text", r"\A\P{L}++", ""), 1, SAMPLE_DOC_CHARS)).otherwise(F.col("text"))
+
+    def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple[str, int]] = set()
+        for b in batches:
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            new = []
+            for key in zip(b["lang"], b["h"], strict=True):
+                new.append(key not in seen)
+                seen.add(key)
+            yield b[np.array(new, dtype=bool)]
+
+    picked = (own.join(F.broadcast(shares) if len(counts) <= MOST_BROADCAST else shares, "lang").filter(F.pmod("h", F.lit(1 << 30)) <= F.col("share"))
+              .select("lang", "h", part.alias("text")).mapInPandas(once, "lang string, h long, text string")
               .groupBy("lang", "h").agg(F.min("text").alias("text")))
     taken: dict[str, list[bytes]] = {}
     for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["h"])):

@@ -54,6 +54,16 @@ def test_learning_needs_text_and_label(spark, docs_of):
     assert [x for x, _ in L.learn(docs_of([(1, "only this one"), (1, "only this one")]))] == ["en"]
 
 
+def test_copies_long_and_letterless_texts_leave_no_language_out(spark, docs_of):
+    copies = [(i, f"kopie nummer {'abcde'[i % 5]} van de tekst", "nl") for i in range(4000)]
+    long = [(i, "12 " * L.SAMPLE_DOC_CHARS + "der lange text " * 2000 + "abcdefgh"[i % 8], "de") for i in range(8)]
+    digits = [(i, str(i), "fi") for i in range(4000)] + [(1, "ainoa kirjain", "fi")]
+    samples = dict(L.learn(docs_of(copies + long + digits)))
+    assert sorted(samples) == ["de", "fi", "nl"]
+    assert all(f"nummer {c} van".encode() in samples["nl"] for c in "abcde")  # as a table of the five texts alone
+    assert samples["de"].startswith(b"der lange text") and samples["fi"] == b"ainoa kirjain"
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
     samples = L.learn(L.training_rows(docs))
