@@ -11,10 +11,13 @@
 5. In each shard a greedy beam search runs from the medoid for every member; around what lies in
    range it goes on expanding until nothing in range is unexpanded.
 6. What was found is verified by its cosine in double precision. A pair that shares several shards
-   counts in the smallest of them. Only counts and a spanning forest leave a task.
+   counts in the smallest of them, where such vectors are compared exactly, so that it is not lost
+   if only another shard's search finds it. Only counts and a spanning forest leave a task.
 7. An audit compares the links of a hash sample of vectors with brute force over all vectors in
-   blocks; if recall falls short, the margin is doubled and the search repeated. At half the chord
-   of the threshold the shards cover every pair.
+   blocks, until enough of the sample have a link; if recall falls short, the margin is doubled and
+   the search repeated. At half the chord of the threshold the shards cover every pair. If recall
+   falls short there too, or if the audit sees too few links to judge by, these shards are compared
+   exactly.
 """
 
 from __future__ import annotations
@@ -39,8 +42,10 @@ DENSE = 0.8
 MARGIN = 0.03
 #: Out-edges, near and random candidates, pruning factor, beam width, queries that advance together.
 DEGREE, NEAR, RANDOM, ALPHA, BEAM, TOGETHER = 24, 48, 16, 1.2, 32, 256
-#: Vectors of the audit about, and the recall it asks for.
-AUDITED, RECALL = 256, 0.95
+#: Vectors of a block of the audit about, vectors with a link that it has to see, and the recall it asks for.
+AUDITED, LINKED, RECALL = 1024, 200, 0.95
+#: Vectors the audit looks at before it gives up seeing so many: a number, or a share of all if that is more.
+AUDITED_MOST, AUDITED_SHARE = 8192, 0.02
 
 
 def usable(vector: Column) -> Column:
@@ -232,6 +237,14 @@ def range_search(x: np.ndarray, edges: np.ndarray, threshold: float) -> tuple[np
     return np.concatenate(out_q), np.concatenate(out_f)
 
 
+def close_pairs(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (smaller, larger position) with cosine of about the threshold at least."""
+    out = [np.nonzero(x[s:s + 512] @ x.T >= threshold - 1e-6) for s in range(0, len(x), 512)]
+    a = np.concatenate([np.zeros(0, dtype=np.int64), *(i + 512 * k for k, (i, _) in enumerate(out))])
+    b = np.concatenate([np.zeros(0, dtype=np.int64), *(j for _, j in out)])
+    return a[a < b], b[a < b]
+
+
 def verified(v: pd.Series, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     """Whether the cosine of each pair, in double precision, reaches the threshold."""
     x = np.stack([np.asarray(y, dtype=np.float64) for y in v])
@@ -270,11 +283,13 @@ def settled(rows: pd.DataFrame, a: np.ndarray, b: np.ndarray, threshold: float)
 FOUND = "rep long, links long, root long"
 
 
-def find_links(reps: DataFrame, margin: float, threshold: float, shard: int = SHARD) -> DataFrame:
-    """(rep, links, root): numbers of linked vectors and spanning links, by shard."""
+def find_links(reps: DataFrame, margin: float, threshold: float, shard: int = SHARD, exact: bool = False) -> DataFrame:
+    """(rep, links, root): numbers of linked vectors and spanning links, by shard; ``exact`` compares without a graph."""
     members = shards(reps, margin, shard)
     lists = members.groupBy("rep").agg(F.collect_set("cell").alias("cells"))  # the shards of one vector
     full = written(members.join(lists, "rep").join(reps.select("rep", "copies"), "rep"), "embed-members")
+    if exact:
+        full = full.withColumn("dense", F.lit(True))
     sparse = full.filter("not dense")
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
@@ -294,7 +309,11 @@ def find_links(reps: DataFrame, margin: float, threshold: float, shard: int = SH
             e = np.asarray(e, dtype=np.int64)
             at = np.minimum(np.searchsorted(rep, e), len(rep) - 1)
             edges.append(at[rep[at] == e])  # neighbours in other shards only are searched there
-        a, b = range_search(directions(rows["v"]), padded(edges), threshold)
+        x = directions(rows["v"])
+        a, b = range_search(x, padded(edges), threshold)
+        shared = np.flatnonzero(rows["cells"].map(len) > 1)
+        more_a, more_b = close_pairs(x[shared], threshold)
+        a, b = np.concatenate([a, shared[more_a]]), np.concatenate([b, shared[more_b]])
         return settled(rows, a, b, threshold)
 
     searched = sparse.join(united, "rep").select("rep", "cell", "v", "cells", "copies", "edges").groupBy("cell").applyInPandas(search, FOUND)
@@ -323,13 +342,28 @@ def find_links(reps: DataFrame, margin: float, threshold: float, shard: int = SH
     return written(searched.unionAll(compared), "embed-found")
 
 
-def audit(reps: DataFrame, found: DataFrame, threshold: float, audited: int = AUDITED) -> float:
-    """Share of the true links of a hash sample of representatives that were found."""
+def true_links(reps: DataFrame, threshold: float, audited: int = AUDITED, most: int = AUDITED_MOST) -> tuple[DataFrame, bool]:
+    """(rep, n) of a hash sample of representatives with their true links, and whether it is enough to judge by.
+
+    The sample grows by about ``audited`` until LINKED of it have a link, or to all representatives:
+    either is enough. A sample of more than ``most`` and AUDITED_SHARE of all is not made larger.
+    """
     total = reps.count()
-    share = min(1 << 30, int(audited * (1 << 30) / max(1, total)) + 1)
-    sample = reps.filter(F.pmod(F.xxhash64("rep", F.lit("audit")), F.lit(1 << 30)) < share).select("rep", "label", "v").collect()  # about ``audited`` rows
-    if not sample:
-        return 1.0
+    step, most = max(1, int(audited * (1 << 30) / max(1, total)) + 1), max(most, AUDITED_SHARE * total)
+    place = F.pmod(F.xxhash64("rep", F.lit("audit")), F.lit(1 << 30))
+    out, asked_all, linked, at = reps.select("rep", F.lit(0).cast("long").alias("n")).limit(0), 0, 0, 0
+    while at < 1 << 30 and linked < LINKED and asked_all < most:
+        sample = reps.filter((place >= at) & (place < at + step)).select("rep", "label", "v").collect()  # about ``audited`` rows
+        at, asked_all = at + step, asked_all + len(sample)
+        if sample:
+            some = written(true_links_of(reps, sample, threshold), "embed-true")
+            linked += some.filter("n > 0").count()
+            out = out.unionAll(some)
+    return out, at >= 1 << 30 or linked >= LINKED
+
+
+def true_links_of(reps: DataFrame, sample: list, threshold: float) -> DataFrame:
+    """(rep, n): links of the sampled representatives, by brute force over all."""
     groups: dict[tuple, tuple] = {}
     for r in sample:
         groups.setdefault((r["label"], len(r["v"])), ([], []))
@@ -342,10 +376,18 @@ def audit(reps: DataFrame, found: DataFrame, threshold: float, audited: int = AU
             for k, rows in b.groupby([b["label"], b["v"].map(len)]):
                 if k in asked:
                     ids, q = asked[k]
-                    near = (q @ directions(rows["v"]).T >= threshold) & (ids[:, None] != rows["rep"].to_numpy()[None, :])
-                    yield pd.DataFrame({"rep": ids, "n": near @ rows["copies"].to_numpy()})
+                    n = np.zeros(len(ids), dtype=np.int64)
+                    for s in range(0, len(rows), 2048):
+                        part = rows.iloc[s:s + 2048]
+                        near = (q @ directions(part["v"]).T >= threshold) & (ids[:, None] != part["rep"].to_numpy()[None, :])
+                        n += near @ part["copies"].to_numpy()
+                    yield pd.DataFrame({"rep": ids, "n": n})
 
-    true = reps.select("rep", "label", "v", "copies").mapInPandas(exact, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
+    return reps.select("rep", "label", "v", "copies").mapInPandas(exact, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
+
+
+def audit(true: DataFrame, found: DataFrame) -> float:
+    """Share of the true links of the sample that were found."""
     got = found.groupBy("rep").agg(F.sum("links").alias("links"))
     row = true.join(got, "rep", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("links", F.lit(0))))).first()
     return 1.0 if not row[0] else row[1] / row[0]
@@ -367,11 +409,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
         F.first("v").alias("v"), F.count("*").alias("copies"), F.min("id").alias("least_id")), "embed-reps")
     exact_cover = math.sqrt(2 - 2 * threshold) / 2
     margin = min(MARGIN, exact_cover)
-    while True:
+    true, enough = true_links(reps, threshold)
+    while enough:
         found = find_links(reps, margin, threshold, shard)
-        if margin >= exact_cover or audit(reps, found, threshold) >= RECALL:
+        if audit(true, found) >= RECALL:
             break
+        enough = margin < exact_cover
         margin = min(2 * margin, exact_cover)
+    if not enough:
+        found = find_links(reps, exact_cover, threshold, shard, exact=True)
     roots = components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")), "embed")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     own = (reps.select("rep", "copies", "least_id").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")

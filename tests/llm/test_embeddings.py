@@ -77,3 +77,24 @@ def test_graph_search_reaches_what_brute_force_finds():
     s = x @ x.T >= E.THRESHOLD
     np.fill_diagonal(s, False)
     assert len(a) >= 0.98 * s.sum() and s[a, b].mean() > 0.99
+
+
+def test_a_search_that_misses_is_not_accepted(spark, monkeypatch):
+    """Even at the last margin: shards are compared exactly if the graph search finds too little."""
+
+    def nothing(x, edges, threshold):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    rows = [(i, [float(c) for c in v], 1) for i, v in enumerate(made(6))]
+    monkeypatch.setattr(E, "range_search", nothing)
+    out = E.near_duplicates(spark.createDataFrame(rows, SCHEMA), shard=96).collect()
+    assert {r["id"]: r["n_links"] for r in out} == dict(enumerate(brute(rows)[0].tolist()))
+
+
+def test_the_audit_grows_until_it_has_seen_links(spark):
+    x = np.random.default_rng(4).normal(size=(300, 24)).astype(np.float32)
+    reps = spark.createDataFrame([(i, 1, [float(c) for c in v], 1) for i, v in enumerate(x)], "rep long, label int, v array<float>, copies long")
+    true, enough = E.true_links(reps, E.THRESHOLD, audited=20, most=60)
+    assert not enough and 60 <= true.count() < 150
+    true, enough = E.true_links(reps, E.THRESHOLD, audited=100)
+    assert enough and true.count() == 300 and true.filter("n > 0").count() == 0
