@@ -5,8 +5,10 @@ position, hashes the words under its ones and ignores those under its zeros, so
 substitutions at the ignored positions. Test and training seeds are joined on the hash; around
 each hit the two texts are compared along the hit's diagonal, and the longest stretch in which at
 least IDENTITY of the words agree is an overlap if it is long enough. An overlap is found if the words
-under one mask agree somewhere in it: substitutions may fall on any positions that leave one such
-place, and items of fewer words than a mask are looked for as a whole.
+under one mask agree somewhere in it. The masks of a test item are chosen by its length so that
+substitutions, as many as IDENTITY allows, leave one such place wherever they fall; items of fewer
+than LEAST_ITEM words allow none and are looked for as a whole. In scripts that put no spaces
+between words each character is a word.
 
 Training seeds are far more than test seeds, so they pass a Bloom filter of the test seeds while
 the text is read; the filter has a bounded size and only spares work: the join decides. Only the
@@ -26,9 +28,11 @@ from pyspark.sql import functions as F
 
 from territory_engine.llm.common import table, written
 
-#: Masks over word positions; ones are hashed, zeros ignored.
-MASKS = ("1110111", "110100111", "1100101011")
-#: Share of agreeing words in an overlap, its words at least, and the words of a test item at least.
+#: Masks over word positions; ones are hashed, zeros ignored. The last three find what the first leave.
+MASKS = ("1110111", "110100111", "1100101011", "11111001", "10011111", "1111010001")
+#: Masks of items of fewer words than the number.
+SHORT_MASKS = ((8, ("1111", "10111", "11011", "11101")), (12, ("11111", "110111", "111011", "11010011")))
+#: Share of agreeing words in an overlap, its words at least, and the words of an item that need not agree as a whole.
 IDENTITY, LEAST_OVERLAP, LEAST_ITEM = 0.8, 12, 5
 #: Words around seeds that are compared; seeds closer than this share a neighbourhood.
 AROUND = 32
@@ -37,10 +41,19 @@ FILTER_BITS, FILTER_MOST, FILTER_PROBES = 32, 1 << 28, 4
 CHUNK_BITS = 1 << 16
 KEPT = 150_000
 
-WORD = re.compile(r"\w+")
+# Thai, Lao, Burmese, Khmer, Tai Lue, Tai Tham, kana, Chinese characters.
+UNSPACED = ("\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u1980-\u19ff\u1a20-\u1aaf\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff"
+            "\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff")
+WORD = re.compile(rf"[^\W{UNSPACED}]+|(?=\w)[{UNSPACED}]")
+SPACED_WORD, WITHOUT_SPACES = re.compile(r"\w+"), re.compile(f"[{UNSPACED}]")
 ODD = np.random.default_rng(2024).integers(1 << 62, dtype=np.uint64, size=64) * np.uint64(2) + np.uint64(1)
 
 
+def words_of(text: str) -> list[str]:
+    """As ``WORD.findall``, faster where no character is a word of its own."""
+    return (SPACED_WORD if text.isascii() or not WITHOUT_SPACES.search(text) else WORD).findall(text)
+
+
 class Words:
     """64-bit hashes of lower-cased words; each distinct word is hashed once and kept."""
 
@@ -48,7 +61,7 @@ class Words:
         self.kept: dict[str, int] = {}
 
     def hashes(self, texts: list[str | None]) -> list[np.ndarray]:
-        words = [WORD.findall(t.lower()) if t else [] for t in texts]
+        words = [words_of(t.lower()) if t else [] for t in texts]
         new = set().union(*words).difference(self.kept) if words else set()
         if len(self.kept) + len(new) > KEPT:
             self.kept.clear()
@@ -72,9 +85,11 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def masks_for(length: int) -> list[str]:
-    """The masks of a test item: all that fit, or one over the whole of a shorter item."""
-    return [m for m in MASKS if len(m) <= length] or ["1" * length]
+def masks_for(length: int) -> tuple[str, ...]:
+    """The masks of a test item: one over the whole of an item of fewer than LEAST_ITEM words."""
+    if length < LEAST_ITEM:
+        return ("1" * length,)
+    return next((masks for below, masks in SHORT_MASKS if length < below), MASKS)
 
 
 def probes(h: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -101,9 +116,9 @@ def longest_agreement(same: np.ndarray) -> tuple[int, int]:
 
 
 def test_items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(item, words, seeds) of the distinct test texts; equal word sequences keep the smallest id.
+    """(item, words, seeds, masks) of the distinct test texts; equal word sequences keep the smallest id.
 
-    Items of fewer than LEAST_ITEM words cannot be told from chance and are left out.
+    Items without a word are left out.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,16 +126,16 @@ def test_items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for b in batches:
             rows = []
             for i, w in zip(b["item"].astype(object).where(b["item"].notna(), None), own.hashes(list(b["text"])), strict=True):
-                if len(w) < LEAST_ITEM:
+                if not len(w):
                     continue
-                found = [(int(h), pos) for m in masks_for(len(w)) for pos, h in enumerate(seeds(w, m).view(np.int64))]
-                rows.append((i, w.view(np.int64).tolist(), [{"seed": h, "at": p} for h, p in found],
-                             [len(w)] if len(w) < len(MASKS[0]) else []))
-            yield pd.DataFrame(rows, columns=["item", "words", "seeds", "whole"]).astype({"item": "Int64"})
+                masks = masks_for(len(w))
+                found = [(int(h), pos) for m in masks for pos, h in enumerate(seeds(w, m).view(np.int64))]
+                rows.append((i, w.view(np.int64).tolist(), [{"seed": h, "at": p} for h, p in found], list(masks)))
+            yield pd.DataFrame(rows, columns=["item", "words", "seeds", "masks"]).astype({"item": "Int64"})
 
     rows = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).mapInPandas(
-        read, "item long, words array<long>, seeds array<struct<seed: long, at: int>>, whole array<int>")
-    return (rows.groupBy("words").agg(F.min("item").alias("item"), F.first("seeds").alias("seeds"), F.first("whole").alias("whole")))
+        read, "item long, words array<long>, seeds array<struct<seed: long, at: int>>, masks array<string>")
+    return (rows.groupBy("words").agg(F.min("item").alias("item"), F.first("seeds").alias("seeds"), F.first("masks").alias("masks")))
 
 
 def bloom(distinct_seeds: DataFrame, count: int) -> tuple[int, np.ndarray]:
@@ -159,15 +174,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """
     spark = docs.sparkSession
     items = written(test_items(benchmark, item_col, item_text_col), "decon-items")
-    test = items.select("item", F.explode("seeds").alias("s")).select("item", F.col("s.seed").alias("seed"), F.col("s.at").alias("item_at"))
+    test = items.select("item", (F.size("words") < LEAST_ITEM).alias("whole"), F.explode("seeds").alias("s")).select(
+        "item", "whole", F.col("s.seed").alias("seed"), F.col("s.at").alias("item_at"))
     distinct = test.select("seed").distinct()
     bits, table_bits = bloom(distinct, distinct.count())
-    whole = sorted(r[0] for r in items.select(F.explode("whole")).distinct().collect())  # lengths below the first mask's
+    masks = sorted(r[0] for r in items.select(F.explode("masks")).distinct().collect())  # of all lengths, fewer than 20
     filter_bits = spark.sparkContext.broadcast(table_bits)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Words()
-        masks = list(MASKS) + ["1" * n for n in whole]
         known = filter_bits.value
         for b in batches:
             for s in range(0, len(b), 512):
@@ -209,8 +224,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     read = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("t1"),
                        F.xxhash64(F.lit(1), text).alias("t2")).filter("text is not null")
     near = written(read.mapInPandas(scan, NEIGHBOURHOOD).withColumn("place", F.xxhash64("id", F.isnull("id"), "t1", "t2", "first")), "decon-near")
+    diagonal = F.col("at") - F.col("item_at")  # an item that agrees as a whole does so best where it comes first
     hits = (near.select("place", F.explode("seeds").alias("s")).select("place", F.col("s.seed").alias("seed"), F.col("s.at").alias("at"))
-            .join(test, "seed").select("place", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct())
+            .join(test, "seed").groupBy("place", "item", F.when(~F.col("whole"), diagonal).alias("each"))
+            .agg(F.min(diagonal).alias("diagonal")).drop("each"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

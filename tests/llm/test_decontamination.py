@@ -1,5 +1,6 @@
 """Spaced seeds against a full comparison of every document with every item."""
 
+import itertools
 import random
 
 import numpy as np
@@ -82,3 +83,38 @@ def test_empty_tables(spark, docs_of):
     assert D.overlaps(docs_of([]), bench).count() == 0
     assert D.overlaps(docs_of([(1, "alpha beta gamma delta epsilon zeta")]), bench.limit(0)).count() == 0
     assert D.decontaminate(docs_of([(1, "a"), (None, None)]), bench.limit(0)).count() == 2
+
+
+def agreeing(n):
+    """Words of an item of ``n`` that agree, for all stretches and substitutions that count as an overlap."""
+    for length in range(min(D.LEAST_OVERLAP, int(np.ceil(D.IDENTITY * n))), n + 1):
+        for gone in itertools.combinations(range(1, length - 1), int((1 - D.IDENTITY) * length + 1e-9)):
+            yield set(range(length)) - set(gone)
+
+
+def test_masks_leave_no_substitutions_out():
+    for n in range(1, 23):
+        ones = [{i for i, c in enumerate(m) if c == "1"} for m in D.masks_for(n)]
+        assert all(any({i + k for i in m} <= same for m in ones for k in range(n)) for same in agreeing(n)), n
+
+
+def test_short_items_and_scripts_without_spaces(spark, docs_of):
+    items = [" ".join(f"item{n}x{i}" for i in range(n)) for n in range(1, 13)] + ["今日は天気がいいから公園を散歩しましょう", "ภาษาไทยไม่มีช่องว่างระหว่างคำ"]
+    texts = []
+    for n, item in enumerate(items, 1):
+        words = D.words_of(item)
+        for k, same in enumerate(list(agreeing(len(words)))[:60]):
+            texts.append(" ".join(w if i in same else f"other{i}" for i, w in enumerate(words)) if n < 13 or k else "前文。" + item + "。後文")
+    texts += ["item2x0 item2x1 " * 400, "item4x0 item4x1 item4x2", "今日は"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["id"], r["item"]): r["n_words"] for r in D.overlaps(docs_of(list(enumerate(texts))), bench).collect()}
+    want = {(d, i): brute_any(t, x) for d, t in enumerate(texts) for i, x in enumerate(items) if brute_any(t, x)}
+    assert got == want and {i for _, i in got} == set(range(len(items)))
+
+
+def brute_any(doc, item):
+    """As ``brute``, with items of any length: the shortest agree as a whole."""
+    a, b = D.WORD.findall(doc), D.WORD.findall(item)
+    if len(b) < D.LEAST_ITEM:
+        return len(b) if any(a[i:i + len(b)] == b for i in range(len(a))) else 0
+    return brute(doc, item)
