@@ -13,7 +13,7 @@ import re
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)",
     re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|\Z)", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")  # values are read over, not searched
 SPACE = re.compile(r"\s+")
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -39,15 +39,19 @@ ASIDE_NAMES = frozenset(
     " disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo"
     " promotion recommended related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar"
     " topbar trending widget widgets".split())
+# A class that begins or ends so tells of a part elsewhere or of a state: has-sidebar, no-sidebar, comments-open.
+STATE_FIRST = frozenset("has have no not with without hide show enable disable".split())
+STATE_LAST = frozenset("open opened closed enabled disabled on off allowed visible".split())
 #: Levels of the tree; what is nested deeper joins the deepest level.
 DEPTH = 100
 
 
 class Element:
-    __slots__ = ("tag", "name", "aside", "parent", "children", "depth", "shape", "runs", "chars")
+    __slots__ = ("tag", "name", "aside", "named", "parent", "children", "depth", "shape", "runs", "chars")
 
-    def __init__(self, tag: str, name: str = "", aside: bool = False, parent: Element | None = None):
+    def __init__(self, tag: str, name: str = "", aside: bool = False, parent: Element | None = None, named: bool = False):
         self.tag, self.name, self.aside, self.parent = tag, name, aside, parent
+        self.named = named  # aside by its class or id alone
         self.children: list[Element | str] = []
         self.depth = parent.depth + 1 if parent else 0
 
@@ -57,25 +61,28 @@ def clean(text: str) -> str:
     return SPACE.sub(" ", html.unescape(text) if "&" in text else text).strip()
 
 
-def attributes(raw: str) -> tuple[str, bool, bool]:
-    """Name of an element (class and id words), whether these mark it as aside, and whether it is hidden."""
+def attributes(raw: str) -> tuple[str, bool, bool, bool]:
+    """Name of an element (class and id words), whether this and whether its role marks it as aside, and whether it is hidden."""
     if "=" not in raw and "hidden" not in raw.lower():
-        return "", False, False
+        return "", False, False, False
     words: list[str] = []
-    aside = hidden = False
+    named = aside = hidden = False
     for key, *values in ATTRIBUTE.findall(raw):
         value, key = "".join(values), key.lower()
         if key in ("class", "id"):
-            words += [w.lower() for w in TOKEN.findall(value)]
+            for token in value.split():
+                own = [w.lower() for w in TOKEN.findall(token)]
+                words += own
+                named |= bool(own) and own[0] not in STATE_FIRST and own[-1] not in STATE_LAST and not ASIDE_NAMES.isdisjoint(own)
         elif key == "role":
             aside |= value.strip().lower() in ASIDE_ROLES
         elif key == "hidden":
             hidden = True
         elif key == "aria-hidden":
             hidden |= value.strip().lower() == "true"
-        else:
+        elif key == "style":
             hidden |= bool(re.search(r"display\s*:\s*none", value, re.I))
-    return ".".join(words), aside or not ASIDE_NAMES.isdisjoint(words), hidden
+    return ".".join(words), named, aside, hidden
 
 
 def parse(page: str | None) -> Element:
@@ -135,7 +142,7 @@ def parse(page: str | None) -> Element:
             elif tag == "br":
                 text.append(" ")
             continue
-        name, aside, hidden = attributes(raw) if raw else ("", False, False)
+        name, named, aside, hidden = attributes(raw) if raw else ("", False, False, False)
         if tag in RAW:
             closed = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = closed.end() if closed else len(page)
@@ -159,7 +166,8 @@ def parse(page: str | None) -> Element:
         flush()
         if tag in ("html", "body"):
             continue
-        new = Element(tag, name, aside or tag in ASIDE_TAGS, here)
+        aside |= tag in ASIDE_TAGS
+        new = Element(tag, name, aside or named, here, named and not aside)
         stack.append((tag, here))
         if here.depth < DEPTH:
             here.children.append(new)
@@ -193,9 +201,31 @@ def shaped(e: Element) -> Shape:
             runs.append((s, [c]))
     e.runs = runs
     e.shape = (f"{e.tag}.{e.name}" if e.name else e.tag, tuple(s for s, _ in runs))
+    if e.parent is None:
+        _keep_main(e)
     return e.shape
 
 
+def _keep_main(root: Element) -> None:
+    """An element that is aside by its name alone is not if it holds most of the page's text and a main or article."""
+    todo = [root]
+    while todo:
+        e = todo.pop()
+        if e.aside and e.named and _holds_main(e):
+            e.aside = e.named = False
+        todo += [c for c in e.children if isinstance(c, Element) and 2 * c.chars > root.chars]
+
+
+def _holds_main(e: Element) -> bool:
+    todo = [e]
+    while todo:
+        x = todo.pop()
+        if x.tag in ("article", "main"):
+            return True
+        todo += [c for c in x.children if isinstance(c, Element) and not c.aside]
+    return False
+
+
 def nodes(root: Element) -> list[tuple[int, list]]:
     """The nodes of the root's shape in preorder: position of the parent, the elements or texts of the run."""
     out: list[tuple[int, list]] = []

@@ -196,14 +196,14 @@ def content_slot(ref: dict, varying: dict[int, int]) -> int:
     return here
 
 
-def blocks(e: Element) -> list[str]:
-    """Text runs below an element in page order, without asides."""
+def blocks(e: Element, by_name: bool = True) -> list[str]:
+    """Text runs below an element in page order, without asides (if not ``by_name``, with those that only their name marks)."""
     out: list[str] = []
     for c in e.children:
         if isinstance(c, str):
             out.append(c)
-        elif not _is_aside(c):
-            out += blocks(c)
+        elif not _is_aside(c) or c.named and not by_name:
+            out += blocks(c, by_name)
     return out
 
 
@@ -234,7 +234,7 @@ def main_text(page: str | None, references: list[dict]) -> tuple[str, bool]:
                 found = [b for m in members for b in (blocks(own_article(m)) if isinstance(m, Element) and m.tag != "article" else blocks(m))]
                 if found:
                     return "\n\n".join(found), True
-    return "\n\n".join(blocks(own_article(root))), False
+    return "\n\n".join(blocks(own_article(root)) or blocks(root, by_name=False)), False
 
 
 # -- jobs ----------------------------------------------------------------------------------------

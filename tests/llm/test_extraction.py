@@ -27,6 +27,14 @@ def test_reader_on_awkward_markup():
     assert len(texts("<article>" + "<p>word</p>" * 20000 + "</article>")) == 20000
 
 
+def test_attributes_are_read_as_names_and_values():
+    for c in ("layout has-sidebar", "no-sidebar", "post comments-open", "content-sidebar-wrap"):
+        assert texts(f"<div class='{c}'><article><p>text</p></article></div>") == ["text"], c
+        assert texts(f"<main class='{c}'>text</main><div class='cookie-bar'>no</div>") == ["text"], c
+    assert texts("<p title='a hidden gem'>a</p><p data-hidden='false'>b</p><p><a href=/hidden/falls>c</a></p><p hidden>no</p>") == ["a", "b", "c"]
+    assert texts("<div class=widget><p>all of the page</p></div><footer>no</footer>") == ["all of the page"]
+
+
 def random_shape(rng, depth=3):
     kids = [random_shape(rng, depth - 1) for _ in range(rng.randint(0, 3))] if depth else []
     return (rng.choice("ab"), tuple(kids))
