@@ -7,7 +7,7 @@ on all pages, and so belong to the template, and how much varying text each node
 wrapper's content slot is the smallest container with most of the varying text, outside parts that
 their markup names as menu, footer, advert and the like. A page's main text is what stands at the slot when the
 page is aligned with the wrapper. Pages that no wrapper fits, and hosts whose pages do not vary,
-fall back to the page's own markup: its article or main element, or the body without those parts.
+fall back to the page's own markup: its article and main elements, or the body without those parts.
 
 References are chosen by a hash (REFERENCES a host), counts are added up in the tasks before they
 are shuffled, and pages themselves are only shuffled if the wrappers are too large to broadcast
@@ -207,18 +207,17 @@ def blocks(e: Element, by_name: bool = True) -> list[str]:
     return out
 
 
-def own_article(root: Element) -> Element:
-    """The page's own idea of its main part: the longest article or main element, else all of it."""
-    best, best_chars, todo = root, 0, [root]
+def own_articles(root: Element) -> list[str]:
+    """Text runs of the page's own idea of its main part: all article and main elements that are no asides, else all of it."""
+    out: list[str] = []
+    todo = [root]
     while todo:
         e = todo.pop()
         if e.tag in ("article", "main"):
-            chars = sum(map(len, blocks(e)))
-            if chars > best_chars:
-                best, best_chars = e, chars
+            out += blocks(e)
             continue
         todo += [c for c in reversed(e.children) if isinstance(c, Element) and not _is_aside(c)]
-    return best
+    return out or blocks(root)
 
 
 def main_text(page: str | None, references: list[dict]) -> tuple[str, bool]:
@@ -231,10 +230,10 @@ def main_text(page: str | None, references: list[dict]) -> tuple[str, bool]:
             j = dict(alignment(r["shape"], shape)).get(r["slot"])
             if j is not None:
                 members = nodes(root)[j][1]
-                found = [b for m in members for b in (blocks(own_article(m)) if isinstance(m, Element) and m.tag != "article" else blocks(m))]
+                found = [b for m in members for b in blocks(m)]
                 if found:
                     return "\n\n".join(found), True
-    return "\n\n".join(blocks(own_article(root)) or blocks(root, by_name=False)), False
+    return "\n\n".join(own_articles(root) or blocks(root, by_name=False)), False
 
 
 # -- jobs ----------------------------------------------------------------------------------------

@@ -35,6 +35,15 @@ def test_attributes_are_read_as_names_and_values():
     assert texts("<div class=widget><p>all of the page</p></div><footer>no</footer>") == ["all of the page"]
 
 
+def test_all_parts_of_a_main_text_are_kept():
+    parts = "<div><article><p>part one</p></article><aside>no</aside><article><p>the longer part two</p></article><main>three</main></div>"
+    assert texts("<div class=menu>no</div>" + parts) == ["part one", "the longer part two", "three"]
+    page = "<div class=menu>no</div><div><h1>heading</h1><p>lead</p>" + parts + "</div>"
+    ref = X.reference(page)
+    slot = next(i for i, n in enumerate(ref["nodes"]) if n[0] == 0 and n[2] == "div" and not n[3])
+    assert X.main_text(page, [{"shape": ref["shape"], "slot": slot}]) == ("heading\n\nlead\n\npart one\n\nthe longer part two\n\nthree", True)
+
+
 def random_shape(rng, depth=3):
     kids = [random_shape(rng, depth - 1) for _ in range(rng.randint(0, 3))] if depth else []
     return (rng.choice("ab"), tuple(kids))
