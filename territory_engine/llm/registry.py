@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from territory_engine.llm import decontamination, embeddings, extraction, langid, licenses, packing, simhash, tokenfile, toxicity, urls
+from territory_engine.llm import decontamination, embeddings, extraction, langid, licenses, packing, resampling, simhash, tokenfile, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -19,9 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packing.op8_packing,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_importance_resampling": resampling.op11_importance_resampling,
 }
 
 ORACLES: dict[str, str] = {
     "op4_url_filters": urls.ORACLE_SQL,
     "op10_license_scan": licenses.ORACLE_SQL,
+    "op11_importance_resampling": resampling.ORACLE_SQL,
 }
