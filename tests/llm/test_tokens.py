@@ -1,5 +1,6 @@
 """Token ids, token files and packing against the library itself."""
 
+import functools
 import random
 import re
 import zlib
@@ -17,26 +18,48 @@ from territory_engine.llm import tokens as T
 from territory_engine.llm.common import shared_path
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-TEXTS = ["", None, " ", "Hello world's", "a" * 200, "Été à l'école\n\n  x1 22", "<|endoftext|> is text", "日本語 と emoji 🙂", "x\x1cy\x85z\xa0w", "½ ² ٣",
+TEXTS = ["", None, " ", "Hello world's", "a" * 200, "Été à l'école\n\n  x1 22", "<|endoftext|> is a token", "日本語 と emoji 🙂", "x\x1cy\x85z\xa0w", "½ ² ٣",
          "word " * 6000, "“quoted” – dash", "tab\t\tend  "]
 
 
+@functools.cache
+def library():
+    return Tokenizer.from_file(PATH)
+
+
 def plain(text):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return library().encode(text or "", add_special_tokens=False).ids
+
+
+SPECIAL = ["a<|endoftext|>b", "<|endoftext|>", " x <|endoftext|> 日本", "<|endoftext|", "<|endoftext|>" * 3]
 
 
-def test_ids_equal_the_library():
-    e, t = T.encoder(PATH), Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
+@pytest.mark.parametrize("as_text", [False, True])
+def test_ids_equal_the_library(as_text):
+    e, t = T.encoder(PATH, as_text), Tokenizer.from_file(PATH)
+    if as_text:  # the library's default otherwise
+        t.encode_special_tokens = True
     rng = random.Random(4)
     outside = re.compile(T.NOT_LATIN).search
     latin = [chr(i) for i in [*range(0x250), *range(0x2010, 0x2060), *range(0x20A0, 0x20C0)] if not outside(chr(i))]
-    cases = [t_ for t_ in TEXTS if t_] + [f"a{c}b {c}  {c}{c} 1{c}'s\n{c}" for c in latin]
+    cases = SPECIAL + [t_ for t_ in TEXTS if t_] + [f"a{c}b {c}  {c}{c} 1{c}'s\n{c}" for c in latin]
     cases += ["".join(rng.choices(latin + [" "] * 60 + list("aeiou'sstrl019\n") * 6, k=rng.randint(0, 40))) for _ in range(1500)]
-    for c, want in zip(cases, t.encode_batch(cases, add_special_tokens=False)):
-        assert np.frombuffer(e.encode(c), "<u4").tolist() == want.ids, repr(c)
+    mixed = latin + ["汉", "я", "é", "　", "\x85", "\x1c", "²", "٣", "🙂", "'re", "'ll", " '"] * 4 + [" ", "a", "'s"] * 30
+    cases += ["".join(rng.choices(mixed, k=rng.randint(0, 40))) for _ in range(1500)]
+    wanted = [w.ids for w in t.encode_batch(cases, add_special_tokens=False)]
+    for c, got, want in zip(cases, e.encode_all(cases), wanted, strict=True):  # texts encoded together
+        assert np.frombuffer(got, "<u4").tolist() == want, repr(c)
+    for c, want in list(zip(cases, wanted, strict=True))[:100]:
+        assert np.frombuffer(e.encode(c), "<u4").tolist() == want, repr(c)
+
+
+def test_long_texts_are_encoded_in_pieces(monkeypatch):
+    rng = random.Random(6)
+    monkeypatch.setattr(T, "PORTION", 20)
+    e = T.Encoder(PATH)
+    for alphabet in (["ab", " ", "  ", "\n", "é", "'s", "1"], ["汉字", " ", "ab", "\u3000", "'s"]):
+        texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(300)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode_all(texts)] == [plain(x) for x in texts]
 
 
 def test_kept_words_are_renewed(monkeypatch):
