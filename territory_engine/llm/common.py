@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,12 @@ def fold_of(id_col: Column, n: int) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(n))
 
 
+def nullable_longs(values: Iterable[int | None]) -> pd.arrays.IntegerArray:
+    """Long integers and nulls as a pandas array, without the detour through doubles."""
+    values = list(values)
+    return pd.arrays.IntegerArray(np.array([0 if v is None else v for v in values], dtype=np.int64), np.array([v is None for v in values], dtype=bool))
+
+
 def local_roots(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
     """Smallest index of the connected component of each of ``n`` nodes, given links a-b.
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from territory_engine.llm.common import table
+from territory_engine.llm.common import nullable_longs, table
 from territory_engine.llm.tokens import encoder
 
 #: Ids in a sequence at most; sequences of a group; ids of a sequence that a group plans with.
@@ -142,15 +142,16 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPA
                 sequence += 1
 
         def frame() -> pd.DataFrame:
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+            columns = zip(*rows, strict=True) if rows else [[]] * 7
+            names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
+            out = pd.DataFrame({n: nullable_longs(c) if n == "doc_id" else list(c) for n, c in zip(names, columns, strict=True)})
             rows.clear()
-            return out.astype({"doc_id": "Int64"})
+            return out
 
         end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
-            for doc_id, raw in zip(b["id"].astype(object).where(b["id"].notna(), None),
-                                   encoder(tokenizer_path).encode_all(b["text"]), strict=True):
-                doc = (None if doc_id is None else int(doc_id), raw + end)
+            for doc_id, known, raw in zip(b["id"].tolist(), b["known"], encoder(tokenizer_path).encode_all(b["text"]), strict=True):
+                doc = (doc_id if known else None, raw + end)
                 n = len(doc[1]) // 4
                 whole = n // capacity * capacity
                 place([[(doc, i, capacity)] for i in range(0, whole, capacity)])
@@ -177,7 +178,10 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPA
         place(powers_of_two(held))
         yield frame()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(task, PIECE)
+    # null ids travel as a flag, as pandas would turn long integers with nulls into doubles
+    doc_id = F.col(id_col).cast("long")
+    return docs.select(F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNotNull().alias("known"), F.col(text_col).alias("text")).mapInPandas(
+        task, PIECE)
 
 
 # -- query ---------------------------------------------------------------------------------------

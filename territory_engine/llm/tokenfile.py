@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from territory_engine.llm.common import shared_path, table
+from territory_engine.llm.common import nullable_longs, shared_path, table, written
 from territory_engine.llm.tokens import encoder
 
 VERSION = 1
@@ -88,13 +88,18 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     spark.createDataFrame([(digest, bytearray(dictionary), width, VERSION)], "hash string, bytes binary, width int, version int") \
         .coalesce(1).write.parquet(f"{path}/dictionary")
 
+    def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+        for b in batches:
+            arrays = [serialize(i, end_id, width) for i in encoder(tokenizer_path).encode_all(b["text"])]
+            yield b[["id", "known", "tie"]].assign(n_tokens=[len(a) // width for a in arrays], frame=[packer.compress(a) for a in arrays])
+
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
-        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         ids_before, number = 0, 0
         ids: list[int | None] = []
         counts: list[int] = []
-        frames: list[bytes] = []
+        held: list[bytes] = []
         size = 0
 
         def block() -> pd.DataFrame:
@@ -102,27 +107,30 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             return pd.DataFrame([{
                 "dictionary_hash": digest, "part": part, "block": number, "ids_before": ids_before,
                 "least_id": min(known, default=None), "largest_id": max(known, default=None), "doc_ids": ids, "n_tokens": counts,
-                "frame_ends": np.cumsum([len(f) for f in frames]).tolist(), "payload": b"".join(frames)}])
+                "frame_ends": np.cumsum([len(f) for f in held]).tolist(), "payload": b"".join(held)}])
 
         for b in batches:
-            for doc_id, raw in zip(b["id"].astype(object).where(b["id"].notna(), None),
-                                   encoder(tokenizer_path).encode_all(b["text"]), strict=True):
-                frame = packer.compress(serialize(raw, end_id, width))
-                ids.append(None if doc_id is None else int(doc_id))
-                counts.append(len(raw) // 4 + 1)
-                frames.append(frame)
+            for doc_id, known, n, frame in zip(b["id"].tolist(), b["known"], b["n_tokens"].tolist(), b["frame"], strict=True):
+                ids.append(doc_id if known else None)
+                counts.append(n)
+                held.append(frame)
                 size += len(frame)
                 if len(ids) >= BLOCK_DOCS or size >= BLOCK_BYTES:
                     yield block()
                     ids_before, number, size = ids_before + sum(counts), number + 1, 0
-                    ids, counts, frames = [], [], []
+                    ids, counts, held = [], [], []
         if ids:
             yield block()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    order = ["id", F.xxhash64("text")]
+    # texts are encoded where they lie; only frames are written, ordered and moved. Null ids travel as a
+    # flag, as pandas would turn long integers with nulls into doubles.
+    doc_id = F.col(id_col).cast("long")
+    encoded = written(docs.select(F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNotNull().alias("known"), F.col(text_col).alias("text"),
+                                  F.xxhash64(F.col(text_col)).alias("tie"))
+                      .mapInPandas(frames, "id long, known boolean, tie long, n_tokens long, frame binary"), "frames")
+    order = ["known", "id", "tie"]
     # frames are compressed already
-    (rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(blocks, BLOCK)
+    (encoded.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(blocks, BLOCK)
      .write.option("compression", "none").parquet(f"{path}/blocks"))
 
 
@@ -160,13 +168,16 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
                     raise ValueError(f"{path}: block {x.part}/{x.block} needs dictionary {x.dictionary_hash}")
                 starts = before[x.part] + x.ids_before + np.cumsum(x.n_tokens) - x.n_tokens
                 at = np.append(0, x.frame_ends[:-1])
-                out = [(None if pd.isna(i) else int(i), int(s), int(n),
+                doc_ids = [i if k else None for i, k in zip(x.doc_ids.tolist(), x.known, strict=True)]
+                out = [(i, int(s), int(n),
                         np.frombuffer(reader.decompress(x.payload[a:e]), dtype=f"<u{width}").astype("<u4").tobytes())
-                       for i, s, n, a, e in zip(x.doc_ids, starts, x.n_tokens, at, x.frame_ends, strict=True)
+                       for i, s, n, a, e in zip(doc_ids, starts, x.n_tokens, at, x.frame_ends, strict=True)
                        if wanted is None or i in wanted]
                 if out:
-                    yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids"]).astype({"doc_id": "Int64"})
+                    ids, *rest = zip(*out, strict=True)
+                    yield pd.DataFrame({"doc_id": nullable_longs(ids), **{n: list(c) for n, c in zip(("start", "n_tokens", "ids"), rest, strict=True)}})
 
+    stored = stored.withColumns({"known": F.transform("doc_ids", F.isnotnull), "doc_ids": F.transform("doc_ids", lambda i: F.coalesce(i, F.lit(0)))})
     return stored.mapInPandas(documents, "doc_id long, start long, n_tokens long, ids binary")
 
 

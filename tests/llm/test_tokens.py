@@ -165,3 +165,13 @@ def test_packing_nothing(spark, docs_of):
     assert P.pack(docs_of([]), PATH, 1).count() == 0
     only = P.pack(docs_of([(1, None), (2, "")]).coalesce(1), PATH, 1).collect()
     assert sorted((p["doc_id"], p["length"], zlib.crc32(p["ids"])) for p in only) == [(i, 1, zlib.crc32(b"\1\0\0\0")) for i in (1, 2)]
+
+
+def test_large_ids_beside_null_ids(spark, docs_of):
+    big = (1 << 63) - 1
+    docs = docs_of([(big, "a"), (None, "b c"), (big - 1, None), (-big, "d")])
+    path = shared_path(spark, "test-files")
+    TF.write_token_files(docs, path, PATH, end_id=0)
+    read = TF.read_token_files(spark, path).orderBy("start").collect()
+    assert [r["doc_id"] for r in read] == [None, -big, big - 1, big]
+    assert {r["doc_id"] for r in P.pack(docs.coalesce(1), PATH, 1).collect()} == {None, -big, big - 1, big}
