@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from territory_engine.llm import decontamination, embeddings, extraction, langid, licenses, packing, quality, resampling, simhash, tokenfile, toxicity, urls
+from territory_engine.llm import alignment, decontamination, embeddings, extraction, langid, licenses, packing, quality, resampling, simhash, tokenfile, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": licenses.op10_license_scan,
     "op11_importance_resampling": resampling.op11_importance_resampling,
     "op12_quality": quality.op12_quality,
+    "op13_cross_tokenizer": alignment.op13_cross_tokenizer,
 }
 
 ORACLES: dict[str, str] = {
