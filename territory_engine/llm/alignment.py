@@ -41,7 +41,7 @@ BUCKET, FAN, PART = 24_000, 16, 4_000_000
 #: A pair's cell, by a hash that no level of the minimal hash uses; buckets are runs of cells.
 CELLS, CELL_SEED = 1 << 16, 1 << 20
 #: Tokens of one side aligned at a time, and pairs that a task gathers before it emits them.
-PORTION, GATHERED = 1 << 19, 2_000_000
+PORTION, GATHERED = 1 << 16, 1_000_000
 #: Characters of a text that B encodes at a time, cut before a single space where pieces never join.
 CUT_CHARS = 1 << 19
 CUT = re.compile(r"(?<=[^ ▁]) (?=[^ ▁])")
@@ -80,6 +80,7 @@ class Sides:
     def __post_init__(self):
         self.a_length, self.b_length = (np.array([len(t) for t in side], dtype=np.int64) for side in (self.a, self.b))
         most = max(len(self.a), len(self.b))
+        self.kind = "<u2" if most <= 1 << 16 else "<u4"  # of packed ids
         self.digits = np.zeros((most, len(str(most))), dtype=np.uint8)
         self.n_digits = np.array([len(str(i)) for i in range(most)])
         for i in range(most):
@@ -110,7 +111,7 @@ def b_ids(text: str, model: sentencepiece.SentencePieceProcessor) -> list[int]:
 
 
 def encoded(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """(row, id, known, a, b) of (id, known, text): packed unsigned 32-bit ids; empty if the bytes are not those of the text."""
+    """(row, id, known, a, b) of (id, known, text): packed unsigned ids; empty if the bytes are not those of the text."""
 
     def both(texts: list[str | None], s: Sides) -> Iterator[tuple[bytes, bytes]]:
         model, join = piece_model(b_path), b"".join
@@ -119,15 +120,15 @@ def encoded(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 yield b"", b""
                 continue
             b = b_ids(text, model)
-            want = b" " + text.encode()
-            same = want == join(map(s.b.__getitem__, b)) and want == join(map(s.a.__getitem__, np.frombuffer(a, dtype="<u4").tolist()))
-            yield (a, np.array(b, dtype="<u4").tobytes()) if same else (b"", b"")
+            want, a = b" " + text.encode(), np.frombuffer(a, dtype="<u4")
+            same = want == join(map(s.b.__getitem__, b)) and want == join(map(s.a.__getitem__, a.tolist()))
+            yield (a.astype(s.kind).tobytes(), np.array(b, dtype=s.kind).tobytes()) if same else (b"", b"")
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         row, s = TaskContext.get().partitionId() << 33, sides(a_path, b_path)
         for batch in batches:
-            for i in range(0, len(batch), 1000):
-                part = batch.iloc[i:i + 1000]
+            for i in range(0, len(batch), 250):
+                part = batch.iloc[i:i + 250]
                 a, b = zip(*both(part["text"].tolist(), s), strict=True)
                 yield pd.DataFrame({"row": np.arange(row, row + len(part)), "id": part["id"].to_numpy(), "known": part["known"].to_numpy(),
                                     "a": list(a), "b": list(b)})
@@ -187,7 +188,7 @@ def written_groups(x: Aligned, s: Sides) -> tuple[bytes, np.ndarray]:
 def pieces(docs: Iterable[tuple[bytes, bytes]], s: Sides) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool, bool]]:
     """(index, a, b, first, last) of each document with tokens; long ones are cut at shared token ends."""
     for i, (raw_a, raw_b) in enumerate(docs):
-        a, b = np.frombuffer(raw_a, dtype="<u4"), np.frombuffer(raw_b, dtype="<u4")
+        a, b = np.frombuffer(raw_a, dtype=s.kind), np.frombuffer(raw_b, dtype=s.kind)
         if len(a) <= PORTION:
             if len(a):
                 yield i, a, b, True, True

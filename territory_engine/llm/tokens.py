@@ -21,7 +21,7 @@ NOT_LATIN = "[^\x00-\x1b\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞
 #: Where a pre-token begins in any script: a single space between two characters that are none.
 SAFE_CUT = r"(?<=\S) (?=\S)"
 #: Words whose ids a worker keeps, bytes of these words, and characters that are encoded at a time.
-KEPT, KEPT_BYTES, PORTION = 600_000, 24 << 20, 1 << 21
+KEPT, KEPT_BYTES, PORTION = 400_000, 16 << 20, 1 << 20
 _OTHER, _LETTER, _DIGIT, _SPACE, _BLANK = range(5)
 
 

@@ -101,8 +101,8 @@ def test_long_documents_in_pieces():
     s = A.sides(*PATHS)
     text = "the unhappiness of internationalisation, 12345 été " * 40
     t = Tokenizer.from_file(PATHS[0])
-    doc = (np.array(t.encode(" " + text, add_special_tokens=False).ids, dtype="<u4").tobytes(),
-           np.array(A.piece_model(PATHS[1]).encode(text), dtype="<u4").tobytes())
+    doc = (np.array(t.encode(" " + text, add_special_tokens=False).ids, dtype=s.kind).tobytes(),
+           np.array(A.piece_model(PATHS[1]).encode(text), dtype=s.kind).tobytes())
     whole = [x for *_, x, _ in A.portions([doc, doc], s)][0]
     keep, A.PORTION = A.PORTION, 50
     try:
