@@ -78,6 +78,25 @@ def batch_files_round_trip(spark, sf_dir):
     return C.fold_claims(unwrap(quarantine(read_batch_files(spark, path))[0]), order=BATCH_ORDER)
 
 
+@register("batch_files_deep_keys", O.base() + "SELECT * FROM state")
+def batch_files_deep_keys(spark, sf_dir):
+    """S1 + S3: the same files, each object with unknown keys nested a hundred levels deep and brackets in a
+    string, and an unfinished copy of each object beside it: the copies are set aside, every claim is read."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sinks.publish import claim_envelopes, write_text
+    from ..sources.batches import BATCH_ORDER, quarantine, read_batch_files, unwrap
+    path = f"{ensure_checkpoint_dir(spark)}/envelopes-{uuid.uuid4().hex}"
+    deep = F.lit('{"note": "]}{[ \\\\" \\\\\\\\", "deep": ' + '[{"a": ' * 50 + "0" + "}]" * 50 + ", ")
+    objects = claim_envelopes(TD.load_claims(spark, sf_dir)).select(F.regexp_replace("value", r"^\{", deep).alias("value"))
+    torn = objects.select(F.expr("substring(value, 1, length(value) - 2)").alias("value"))
+    write_text(objects, "value", f"{path}/whole")
+    write_text(torn, "value", f"{path}/torn")
+    good, bad = quarantine(read_batch_files(spark, f"{path}/*"))
+    return C.fold_claims(unwrap(good), order=BATCH_ORDER)
+
+
 @register("claims_fold_long_cooldown",
           O.with_ctes(O.claims_cte(coarse=True), O.fold_cte(cooldown_ms=12 * 3600 * 1000)) + "SELECT * FROM state")
 def claims_fold_long_cooldown(spark, sf_dir):

@@ -12,18 +12,21 @@ from ..schema import BATCH_FILE
 
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _INNERMOST = r"[\{\[][^\{\}\[\]]*+[\}\]]"
-_NESTING = 8  # levels of objects and arrays an object may have (an envelope has three)
 # a line break between two root values: inside a JSON value a brace is never followed by a brace
 _BETWEEN = r"(?<=\})\s*[\r\n]\s*(?=\{)"
 
 
 def _one_value(text: Column) -> Column:
-    """Is the text exactly one JSON value? Strings and then the innermost brackets are replaced
-    by a digit until one digit is left; anything before, after or between values shows."""
+    """Is the text exactly one JSON value, nested to any depth? Strings are replaced by a digit, then the
+    innermost brackets, once for each opening bracket there is; anything before, after or between
+    values shows. After as many rounds as the value is deep a single digit is left, so that the
+    other rounds cost nothing.
+    """
     rest = F.regexp_replace(text, _STRING, "0")
-    for _ in range(_NESTING):
-        rest = F.regexp_replace(rest, _INNERMOST, "0")
-    return rest.rlike(r"^\s*0\s*$")
+    opening = F.length(rest) - F.length(F.translate(rest, "{[", ""))
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(opening, F.lit(1))), rest,
+                         lambda left, _: F.when(F.length(left) == 1, left).otherwise(F.regexp_replace(left, _INNERMOST, "0")))
+    return folded.rlike(r"^\s*0\s*$")
 
 
 def _parse(text: DataFrame, mode: str, lines: bool) -> DataFrame:

@@ -105,16 +105,18 @@ def test_cover_cells_matches_ray_casting(spark):
     outer = [(-100.0, -35.0), (60.0, -50.0), (85.0, 40.0), (-20.0, 75.0), (-120.0, 10.0), (-100.0, -35.0)]
     hole = [(-30.0, -5.0), (10.0, -5.0), (10.0, 25.0), (-30.0, 25.0), (-30.0, -5.0)]
     tri = [(100.0, 0.0), (170.0, 0.0), (130.0, 60.0), (100.0, 0.0)]
-    polys = {"a": [outer, hole], "b": [tri]}
-    rows = [(k, [[{"lon": x, "lat": y} for x, y in r] for r in rs]) for k, rs in polys.items()]
+    far = [(100.0, -60.0), (170.0, -60.0), (170.0, -20.0), (100.0, -20.0), (100.0, -60.0)]
+    far_hole = [(120.0, -50.0), (150.0, -50.0), (150.0, -30.0), (120.0, -30.0), (120.0, -50.0)]
+    polys = {"a": [[outer, hole]], "b": [[tri]], "two parts": [[tri], [far, far_hole]]}
+    rows = [(k, [[[{"lon": x, "lat": y} for x, y in r] for r in part] for part in parts]) for k, parts in polys.items()]
     df = spark.createDataFrame(rows, "id string, parts array<array<array<struct<lon:double,lat:double>>>>")
     got = {(r["id"], r["cell"]) for r in G.cover_cells(df, grid).collect()}
     expected = set()
-    for k, rs in polys.items():
+    for k, parts in polys.items():
         for row in range(grid.height):
             for col in range(grid.width):
                 cx, cy = -180 + (col + 0.5) * 10, -90 + (row + 0.5) * 10
-                if _inside(cx, cy, rs):
+                if any(_inside(cx, cy, rings) for rings in parts):
                     expected.add((k, row * grid.width + col))
     assert got == expected and len(expected) > 20
 

@@ -44,8 +44,8 @@ def test_query_matches_oracle(spark, con, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     sql = E.oracle_sql().get(name)
-    if sql is None:
-        assert len(rows) >= 0
+    if sql is None:  # at least: a second run gives the same rows, and there are some
+        assert len(rows) > 0 and len(rows) == len(E.queries()[name](spark, SF_SMALL).collect())
         return
     res = con.execute(sql)
     ocols = [d[0] for d in res.description]

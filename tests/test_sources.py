@@ -217,3 +217,18 @@ def test_legacy_snapshot(spark, tmpdir_path):
     rows, mark = ST.read_snapshot(spark, p)
     assert sorted((r["ip"], r["time_ms"]) for r in rows.collect()) == [("1.1.1.1", 1700000000500), ("2.2.2.2", 1699999999250)]
     assert mark.first()["latest_claim"] == 1700000000500
+
+
+def test_objects_of_any_depth_are_read(spark, tmpdir_path):
+    """Unknown keys may nest as deep as they like; what is not exactly one value stays unreadable."""
+    claim = '{"ip": "1.2.3.4", "name": "n", "time_ms": 5, "x": %s}'
+    deep = "[{\"k}\": " * 60 + "1" + "}]" * 60
+    good = [claim % deep, claim % ("[" * 300 + "]" * 300), claim % '{"a": "}{ \\\\ \\" ]["}', "{}"]
+    bad = [claim % deep + " x", claim % deep[:-1], claim % ("[" * 40 + "}" * 40), (claim % deep)[:-1], "x" + claim % deep, claim % deep + ", 1"]
+    for i, text in enumerate(good + bad):
+        with open(os.path.join(tmpdir_path, f"{i:02}.json"), "w") as f:
+            f.write(text)
+    ok, aside = B.quarantine(B.read_batch_files(spark, tmpdir_path))
+    assert sorted(r["_file"][-7:-5] for r in ok.collect()) == ["00", "01", "02", "03"]
+    assert B.unwrap(ok).where("ip is not null").count() == 3
+    assert sorted(r["_corrupt_record"] for r in aside.collect()) == sorted(bad)
