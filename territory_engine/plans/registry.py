@@ -97,6 +97,25 @@ def batch_files_deep_keys(spark, sf_dir):
     return C.fold_claims(unwrap(good), order=BATCH_ORDER)
 
 
+@register("stream_fold_from_state", O.base() + "SELECT * FROM state")
+def stream_fold_from_state(spark, sf_dir):
+    """T2 + S7: the earlier half of the claims as a stored state version, the later half streamed into the keyed
+    state store that starts from it."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.state import read_state, write_state
+    from ..streaming.stateful import fold_stream_from, use_rocksdb
+    use_rocksdb(spark)
+    path = f"{ensure_checkpoint_dir(spark)}/keyed-{uuid.uuid4().hex}"
+    claims = TD.load_claims(spark, sf_dir)
+    middle = claims.select(F.percentile_approx("time_ms", 0.5)).scalar()
+    write_state(C.fold_claims(claims.where(F.col("time_ms") < middle)), f"{path}/state", 0)
+    claims.where(F.col("time_ms") >= middle).write.parquet(f"{path}/claims")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in claims.schema.fields)
+    return fold_stream_from(spark, read_state(spark, f"{path}/state"), f"{path}/claims", schema, f"{path}/checkpoint", f"{path}/out")
+
+
 @register("claims_fold_long_cooldown",
           O.with_ctes(O.claims_cte(coarse=True), O.fold_cte(cooldown_ms=12 * 3600 * 1000)) + "SELECT * FROM state")
 def claims_fold_long_cooldown(spark, sf_dir):

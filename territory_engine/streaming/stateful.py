@@ -42,6 +42,13 @@ class CooldownProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.stored = handle.getValueState("stored", STATE_DDL)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """The stored claim of an address before the stream starts (of several rows the latest)."""
+        known = initialState.dropna(subset=["name", "time_ms"]).sort_values("time_ms", kind="stable")
+        if len(known):
+            rec = known[CLAIM_COLUMNS[1:]].astype(object).iloc[-1]
+            self.stored.update(tuple(None if pd.isna(v) else v for v in rec))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
         cur = self.stored.get() if self.stored.exists() else None
@@ -62,16 +69,50 @@ class CooldownProcessor(StatefulProcessor):
         pass
 
 
-def stateful_fold(stream: DataFrame, cooldown_ms: int = COOLDOWN_MS, order: tuple[str, ...] = ("time_ms", "seq")) -> DataFrame:
-    """Updated (ip, stored claim) rows per micro-batch; ``outputMode("update")`` sinks keep the latest."""
+def stateful_fold(stream: DataFrame, cooldown_ms: int = COOLDOWN_MS, order: tuple[str, ...] = ("time_ms", "seq"),
+                  state: DataFrame | None = None) -> DataFrame:
+    """Updated (ip, stored claim) rows per micro-batch; ``outputMode("update")`` sinks keep the latest.
+
+    ``state`` holds the stored claims before the stream (``read_state`` of a version): they are loaded
+    into the state store by the first micro-batch and are not emitted. Late claims are settled against them
+    as ``apply_claims`` would. A restart from a checkpoint uses the state in there instead.
+    """
+    seeded = None if state is None else state.select(*CLAIM_COLUMNS).groupBy("ip")
     return stream.groupBy("ip").transformWithStateInPandas(
         statefulProcessor=CooldownProcessor(cooldown_ms, order),
         outputStructType=OUTPUT_DDL,
         outputMode="Update",
         timeMode="None",
+        initialState=seeded,
     )
 
 
+def fold_stream_from(spark: SparkSession, state: DataFrame, path: str, schema: str, checkpoint_dir: str, out_dir: str,
+                     cooldown_ms: int = COOLDOWN_MS, order: tuple[str, ...] = ("time_ms", "seq"),
+                     max_files_per_trigger: int | None = None) -> DataFrame:
+    """T2 as a job: stream the claim files under ``path`` into ``state`` until there are no more; the whole new state.
+
+    Changed rows are written under ``out_dir``, one folder a micro-batch, so a repeated micro-batch writes
+    the same files again.
+    """
+    from pyspark.sql import functions as F
+
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+
+    (stateful_fold(reader.parquet(path), cooldown_ms, order, state).writeStream.foreachBatch(keep).outputMode("update")
+     .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start().awaitTermination())
+    changed = spark.read.schema(f"{OUTPUT_DDL}, batch int").parquet(out_dir)
+    newest = changed.groupBy("ip").agg(F.max_by(F.struct(*CLAIM_COLUMNS[1:]), "batch").alias("row")).select("ip", "row.*")
+    from ..operators.claims import newest_wins_merge
+
+    return newest_wins_merge(state.select(*CLAIM_COLUMNS), newest.select(*CLAIM_COLUMNS))
+
+
 class AdmissionCounter(StatefulProcessor):
     """T5: per address and period, claims admitted — by name (first limit) and in total (second
     limit, only over claims the first one let through).

@@ -183,3 +183,36 @@ def test_limiter_counts_every_period_apart(spark, tmpdir_path):
     got = {r["seq"]: r["verdict"] for r in spark.sql("SELECT * FROM late").collect()}
     assert got == {0: "accepted", 1: "accepted", 2: "accepted", 3: "ip_rate_limited", 4: "ip_rate_limited", 5: "accepted",
                    6: "ip_rate_limited"}
+
+
+def test_stream_from_a_given_state_equals_apply_claims(spark, tmpdir_path):
+    """A stream seeded with a state version goes on as the batch upsert would, late claims and names without
+    places included; addresses without new claims keep their row."""
+    claims = TD.load_claims(spark, SF_SMALL)
+    first, second, third = _time_parts(claims)
+    state_dir = os.path.join(tmpdir_path, "state")
+    ST.write_state(C.fold_claims(second), state_dir, 0)
+    state = ST.read_state(spark, state_dir)
+    src = os.path.join(tmpdir_path, "src")
+    for i, part in enumerate([first, third]):  # the first part is late
+        part.coalesce(1).write.parquet(os.path.join(src, f"p={i}"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in claims.schema.fields)
+    got = stateful.fold_stream_from(spark, state, os.path.join(src, "p=*"), schema, os.path.join(tmpdir_path, "ck"),
+                                    os.path.join(tmpdir_path, "out"), max_files_per_trigger=1)
+    want = C.apply_claims(C.apply_claims(state, first), third)
+    rows = lambda df: sorted(map(repr, (tuple(r) for r in df.select(*C.CLAIM_COLUMNS).collect())))
+    assert rows(got) == rows(want)
+    changed = spark.read.parquet(os.path.join(tmpdir_path, "out")).count()
+    assert 0 < changed <= first.count() + third.count()
+
+
+def test_stored_claim_holds_back_a_repeat(spark, tmpdir_path):
+    """The cooldown runs from the stored claim of the given state."""
+    ddl = "ip string, name string, asn long, colo string, country string, region string, metro string, city string, time_ms long"
+    row = lambda ip, name, t: (ip, name, None, None, "c", None, None, None, t)
+    state = spark.createDataFrame([row("a", "x", 1_000_000), row("b", "x", 1_000_000), row("c", "x", 1_000_000), row("d", "x", 1_000_000)], ddl)
+    new = [("a", "x", 1_000_000 + 900_000), ("b", "x", 1_000_001 + 900_000), ("c", "y", 1_000_000), ("d", "y", 1_000_001), ("e", "z", 5)]
+    src = os.path.join(tmpdir_path, "src")
+    spark.createDataFrame([(*row(*n), i) for i, n in enumerate(new)], ddl + ", seq long").coalesce(1).write.parquet(src)
+    got = stateful.fold_stream_from(spark, state, src, ddl + ", seq long", os.path.join(tmpdir_path, "ck"), os.path.join(tmpdir_path, "out"))
+    assert as_dict(got) == {"a": ("x", 1_000_000), "b": ("x", 1_900_001), "c": ("x", 1_000_000), "d": ("y", 1_000_001), "e": ("z", 5)}
