@@ -102,6 +102,17 @@ def claim_envelopes(claims: DataFrame, max_claims: int = BATCH_MAX_CLAIMS, worke
     )
 
 
+def object_envelopes(rows: DataFrame, worker_id: str = "spark") -> DataFrame:
+    """Rows of ``streaming.stateful.batched_claims`` as one JSON envelope an object (of bounded size)."""
+    packed = rows.groupBy("shard", "object").agg(
+        F.sort_array(F.collect_list(F.struct("position", F.struct(*CLAIM_COLUMNS).alias("c")))).alias("items"), F.min("time_ms").alias("_t"))
+    return packed.select(F.to_json(F.struct(
+        F.transform("items", lambda x: x["c"]).alias("batch"),
+        F.col("_t").alias("workerTimestamp"),
+        F.concat(F.lit(f"{worker_id}-"), F.col("shard")).alias("workerId"),
+    )).alias("value"))
+
+
 def geojson_features(df: DataFrame, geometry: str, properties: list[str]) -> DataFrame:
     """One GeoJSON Feature per row; ``geometry`` is an array of parts, each an outer ring and its
     holes (``array<array<array<struct<lon,lat>>>>``). One part is a Polygon, any other number a

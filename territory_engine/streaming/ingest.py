@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..constants import COOLDOWN_MS
+from ..constants import BATCH_INTERVAL_MS, BATCH_MAX_CLAIMS, COOLDOWN_MS
 from ..functions.clock import now_ms
 from ..operators.claims import apply_claims, fold_claims, unusable_claims, valid_claims
 from ..plans.broadcast import measured
@@ -115,3 +115,22 @@ def run_batcher(claims_stream: DataFrame, out_dir: str, checkpoint_dir: str, int
 
     return (claims_stream.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint_dir)
             .trigger(processingTime=interval).start())
+
+
+def run_size_or_time_batcher(claims_stream: DataFrame, out_dir: str, checkpoint_dir: str, max_claims: int = BATCH_MAX_CLAIMS,
+                             interval_ms: int = BATCH_INTERVAL_MS, shards: int = 8, trigger: str = "500 milliseconds",
+                             worker_id: str = "spark") -> StreamingQuery:
+    """Accepted claims written as envelope objects of exactly ``max_claims`` claims as soon as a shard has
+    that many, and of fewer once the oldest of them has waited ``interval_ms`` (noticed at the next trigger).
+
+    Claims that wait live in the state store, so none is lost or doubled by a restart; each micro-batch writes one
+    folder, the same files when it is repeated.
+    """
+    from ..sinks.publish import object_envelopes
+    from .stateful import batched_claims
+
+    def flush(batch: DataFrame, batch_id: int) -> None:
+        object_envelopes(batch, worker_id).write.mode("overwrite").text(f"{out_dir}/batch={batch_id}")
+
+    return (batched_claims(claims_stream, max_claims, interval_ms, shards).writeStream.foreachBatch(flush).outputMode("append")
+            .option("checkpointLocation", checkpoint_dir).trigger(processingTime=trigger).start())

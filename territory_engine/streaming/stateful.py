@@ -5,6 +5,9 @@ expires and applies each micro-batch's claims to it in order: the same rule as t
 fold, one key at a time, with the state in the (RocksDB) state store. It emits the address's
 row whenever the stored claim changed.
 
+``ClaimBatcher`` keeps the claims of an object that is not full yet in a list state, with a timer that
+flushes them.
+
 ``AdmissionCounter`` keeps the two rate-limit counters per address (per name, and in total) for
 each period in a map state that expires.
 
@@ -20,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..constants import CLAIM_COLUMNS, COOLDOWN_MS, IP_RATE_LIMIT, NAME_RATE_LIMIT, RATE_PERIOD_SECS
+from ..constants import BATCH_INTERVAL_MS, BATCH_MAX_CLAIMS, CLAIM_COLUMNS, COOLDOWN_MS, IP_RATE_LIMIT, NAME_RATE_LIMIT, RATE_PERIOD_SECS
 
 STATE_DDL = "name string, asn bigint, colo string, country string, region string, metro string, city string, time_ms bigint"
 OUTPUT_DDL = "ip string, " + STATE_DDL
@@ -113,6 +116,81 @@ def fold_stream_from(spark: SparkSession, state: DataFrame, path: str, schema: s
     return newest_wins_merge(state.select(*CLAIM_COLUMNS), newest.select(*CLAIM_COLUMNS))
 
 
+BATCHED_DDL = "shard int, object bigint, position int, " + OUTPUT_DDL
+
+
+class ClaimBatcher(StatefulProcessor):
+    """Claims of one shard gathered into objects of exactly ``max_claims``; what does not fill one is
+    held over triggers until it does, or until its first claim has waited ``interval_ms``.
+
+    State of a shard: less than ``max_claims`` claims and the number of its next object, so an object's
+    name is the same when a micro-batch is repeated.
+    """
+
+    def __init__(self, max_claims: int = BATCH_MAX_CLAIMS, interval_ms: int = BATCH_INTERVAL_MS):
+        self.max_claims, self.interval_ms = max_claims, interval_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", OUTPUT_DDL)
+        self.next = handle.getValueState("next", "object bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        claims = list(self.held.get()) if self.held.exists() else []
+        waiting = len(claims)
+        for r in rows:
+            r = r[CLAIM_COLUMNS].astype(object)
+            claims += list(r.where(r.notna(), None).itertuples(index=False, name=None))
+        full = len(claims) // self.max_claims * self.max_claims
+        if full:
+            yield self._objects(key, claims[:full])
+        if full or not waiting:  # the oldest claim that waits is a new one
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            if len(claims) > full:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.interval_ms)
+        if len(claims) > full:
+            self.held.put([tuple(c) for c in claims[full:]])
+        elif self.held.exists():
+            self.held.clear()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.held.exists():
+            yield self._objects(key, list(self.held.get()))
+            self.held.clear()
+
+    def _objects(self, key, claims: list[tuple]) -> pd.DataFrame:
+        first = self.next.get()[0] if self.next.exists() else 0
+        self.next.update((first + -(-len(claims) // self.max_claims),))
+        columns = dict(zip(CLAIM_COLUMNS, map(list, zip(*claims, strict=True)), strict=True))
+        for c in ("asn", "time_ms"):
+            columns[c] = pd.array(columns[c], dtype="Int64")
+        n = range(len(claims))
+        return pd.DataFrame({"shard": [key[0]] * len(claims), "object": [first + i // self.max_claims for i in n],
+                             "position": [i % self.max_claims for i in n], **columns})
+
+    def close(self) -> None:
+        pass
+
+
+def batched_claims(stream: DataFrame, max_claims: int = BATCH_MAX_CLAIMS, interval_ms: int = BATCH_INTERVAL_MS, shards: int = 8) -> DataFrame:
+    """The claims of a stream with the object and the position in it that each belongs to.
+
+    Claims are dealt to shards by a hash of the whole claim, so a busy address fills no shard alone.
+    As the timers run on processing time, Spark goes on with empty micro-batches while claims wait
+    (``spark.sql.streaming.noDataMicroBatches.enabled``, on by default).
+    """
+    from pyspark.sql import functions as F
+
+    dealt = stream.select(F.pmod(F.xxhash64(*CLAIM_COLUMNS), F.lit(shards)).cast("int").alias("shard"), *CLAIM_COLUMNS)
+    return dealt.groupBy("shard").transformWithStateInPandas(
+        statefulProcessor=ClaimBatcher(max_claims, interval_ms),
+        outputStructType=BATCHED_DDL,
+        outputMode="Append",
+        timeMode="ProcessingTime",
+    )
+
+
 class AdmissionCounter(StatefulProcessor):
     """T5: per address and period, claims admitted — by name (first limit) and in total (second
     limit, only over claims the first one let through).

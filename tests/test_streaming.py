@@ -216,3 +216,58 @@ def test_stored_claim_holds_back_a_repeat(spark, tmpdir_path):
     spark.createDataFrame([(*row(*n), i) for i, n in enumerate(new)], ddl + ", seq long").coalesce(1).write.parquet(src)
     got = stateful.fold_stream_from(spark, state, src, ddl + ", seq long", os.path.join(tmpdir_path, "ck"), os.path.join(tmpdir_path, "out"))
     assert as_dict(got) == {"a": ("x", 1_000_000), "b": ("x", 1_900_001), "c": ("x", 1_000_000), "d": ("y", 1_000_001), "e": ("z", 5)}
+
+
+def test_objects_are_flushed_by_size_or_time(spark, tmpdir_path):
+    """Objects of exactly 100 under load; what is left goes out once it has waited; a restart neither loses nor
+    doubles the claims that wait."""
+    import json
+    import time
+
+    ddl = "ip string, name string, asn long, colo string, country string, region string, metro string, city string, time_ms long"
+    src, out, ck = (os.path.join(tmpdir_path, d) for d in ("src", "out", "ck"))
+    seen = [0]
+
+    def arrive(n):
+        rows = [(f"10.0.0.{i}", "n", None if i % 2 else 1 << 40, "c", None, "r", None, None, 1000 + i) for i in range(seen[0], seen[0] + n)]
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(src)
+        seen[0] += n
+
+    def objects():
+        if not os.path.exists(out):
+            return []
+        return [json.loads(r["value"]) for r in spark.read.schema("value string").text(out).collect()]
+
+    def wait(condition, seconds=40):
+        end = time.time() + seconds
+        while not condition() and time.time() < end:
+            time.sleep(0.3)
+        assert condition()
+
+    def start(interval_ms):
+        return ingest.run_size_or_time_batcher(spark.readStream.schema(ddl).parquet(src), out, ck, 100, interval_ms, shards=1,
+                                               trigger="200 milliseconds")
+
+    was = spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    try:
+        arrive(250)
+        q = start(interval_ms=3_600_000)
+        wait(lambda: sum(len(o["batch"]) for o in objects()) >= 200)
+        arrive(30)  # micro-batches without data go on, so the query is never idle: count what it has read
+        wait(lambda: sum(p["numInputRows"] for p in q.recentProgress) == 280)
+        assert [len(o["batch"]) for o in objects()] == [100, 100]  # 80 wait
+        q.stop()
+        arrive(45)
+        q = start(interval_ms=1500)
+        wait(lambda: len(objects()) == 3)
+        first_seen = time.time()
+        wait(lambda: len(objects()) == 4)  # the 25 that are left, by the timer
+        assert time.time() - first_seen < 20
+        q.stop()
+    finally:
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", was)
+    assert sorted(len(o["batch"]) for o in objects()) == [25, 100, 100, 100]
+    claims = [c for o in objects() for c in o["batch"]]
+    assert sorted(c["time_ms"] for c in claims) == [1000 + i for i in range(325)]
+    assert {c.get("asn") for c in claims} == {None, 1 << 40}
