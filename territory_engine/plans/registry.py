@@ -139,6 +139,25 @@ def leaderboards_all(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- more rankings ----------
+@register("leaderboards_windowed", O.base() + O.all_leaderboards_sql())
+def leaderboards_windowed(spark, sf_dir):
+    """T4: the same fifteen rankings kept up over four polls in time order, the second part late; the last poll moves the
+    clock on to the latest claim, so claims leave their windows on the way."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..streaming.windows import WindowedRankings
+    path = f"{ensure_checkpoint_dir(spark)}/windows-{uuid.uuid4().hex}"
+    claims = TD.load_claims(spark, sf_dir)
+    cuts = claims.select(F.percentile_approx("time_ms", [0.25, 0.5, 0.9, 1.0])).scalar()
+    low, early, late, last = claims.select(cuts).first()[0]
+    job = WindowedRankings(spark, path, buckets=8, slot_ms=5 * 86_400_000)
+    t = F.col("time_ms")
+    for version, (part, as_of) in enumerate([(t <= low, low), ((t > early) & (t <= late), late), ((t > low) & (t <= early), late), (t > late, last)]):
+        board = job.poll(claims.where(part), version, as_of)
+    return board
+
+
 @register("leaderboards_fifteen_pass", O.base() + O.all_leaderboards_sql())
 def leaderboards_fifteen_pass(spark, sf_dir):
     """The fifteen rankings as fifteen separate plans (reference shape) for the one-pass check."""

@@ -97,6 +97,18 @@ def expire_versions(spark: SparkSession, base: str, keep: int) -> list[int]:
     return sorted(removed)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly in a folder."""
+    fs, folder = _fs(spark, path)
+    return sorted(st.getPath().getName() for st in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder and what is in it."""
+    fs, folder = _fs(spark, path)
+    fs.delete(folder, True)
+
+
 def latest_claim(state: DataFrame) -> DataFrame:
     """The watermark of a snapshot, one row ``latest_claim``."""
     return state.agg(F.max("time_ms").alias("latest_claim"))
