@@ -126,8 +126,21 @@ def legacy_to_claims(rows: DataFrame) -> DataFrame:
 def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A snapshot document ``{latestClaim, values: [...]}`` -> (claim rows, watermark row in ms).
 
-    The document is read whole and its ``values`` exploded into rows in the same step.
+    The document may be of any size: it is read in splits (``sources.documents``), its ``values`` are cut into
+    rows by many tasks, and no task or row holds the document.
     """
+    from ..schema import SNAPSHOT_ROW
+    from .documents import array_elements
+    elements, around = array_elements(spark, path)
+    rows = legacy_to_claims(elements.select(F.from_json("element", SNAPSHOT_ROW).alias("v")).where("v is not null").select("v.*"))
+    number = F.regexp_extract("text", r'"latestClaim"\s*:\s*([-+0-9.eE]+)', 1)
+    mark = around.agg(F.max(F.when(number != "", number.cast("double"))).alias("t")).select(
+        F.round(F.col("t") * F.lit(1000.0)).cast("long").alias("latest_claim"))
+    return rows, mark
+
+
+def read_snapshot_whole(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """S11 for small documents: each is one row, parsed as a whole and exploded."""
     from ..schema import SNAPSHOT
     doc = spark.read.text(path, wholetext=True).select(F.from_json("value", SNAPSHOT).alias("d"))
     rows = legacy_to_claims(doc.select(F.explode("d.values").alias("v")).select("v.*"))

@@ -2,7 +2,9 @@
 
 import json
 import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from territory_engine.sinks import publish as P
@@ -232,3 +234,32 @@ def test_objects_of_any_depth_are_read(spark, tmpdir_path):
     assert sorted(r["_file"][-7:-5] for r in ok.collect()) == ["00", "01", "02", "03"]
     assert B.unwrap(ok).where("ip is not null").count() == 3
     assert sorted(r["_corrupt_record"] for r in aside.collect()) == sorted(bad)
+
+
+@pytest.mark.parametrize("split_bytes", [64, 333, 1 << 20])
+def test_large_snapshots_are_read_in_splits(spark, tmpdir_path, split_bytes):
+    """A one-line document cut into many small splits gives the rows of the document read whole."""
+    import json
+    rng = random.Random(split_bytes)
+    texts = ["plain", "br{ace", "cl}ose", 'quo"te', "back\\\\", "[", "]}", "é", "", None, '\\"}', "a},{b"]
+    values = [{"ip": f"1.1.{i // 250}.{i % 250}", "name": rng.choice(texts), "colo": rng.choice(texts), "country": "c", "region": None,
+               "timestamp": i + 0.25, **({"extra": {"deep": [{"x": "}"}, []]}} if i % 7 == 0 else {})} for i in range(400)]
+    docs = {"a.json": json.dumps({"latestClaim": 12.5, "values": values}), "b.json": json.dumps({"values": values[:1], "latestClaim": 3.0}, indent=2),
+            "c.json": json.dumps({"latestClaim": 1.5, "values": []}) + "\n", "d.json": json.dumps({"meta": {"a": 1}, "values": values[5:9], "z": 1}),
+            "e.json": ""}
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for name, text in docs.items():
+        path = os.path.join(tmpdir_path, name)
+        with open(path, "w") as f:
+            f.write(text)
+        want, want_mark = ST.read_snapshot_whole(spark, path)
+        want, want_mark = sorted(map(repr, want.collect())), [r for r in want_mark.collect() if r[0] is not None]
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split_bytes))
+        try:
+            rows, mark = ST.read_snapshot(spark, path)
+            assert sorted(map(repr, rows.collect())) == want
+            assert [r for r in mark.collect() if r[0] is not None] == want_mark
+            if name == "a.json" and split_bytes < 1000:
+                assert spark.read.option("lineSep", "}").text(path).rdd.getNumPartitions() > 20
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", was)
