@@ -15,6 +15,10 @@ _H = r"[0-9a-fA-F]{1,4}"
 IPV6_FULL_REGEX = rf"^{_H}(:{_H}){{7}}\z"
 IPV6_COMPRESSED_REGEX = rf"^({_H}(:{_H})*)?::({_H}(:{_H})*)?\z"
 
+# An IPv6 text whose last two groups are written as a dotted quad (without leading zeros).
+_TAIL = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+MIXED_REGEX = rf"^([0-9a-fA-F:]*:){_TAIL}\.{_TAIL}\.{_TAIL}\.{_TAIL}\z"
+
 _MASK_REGEX = IPV4_MASK_PATTERN.replace(r"\d", "[0-9]")[:-1] + r"\z"
 
 
@@ -27,20 +31,29 @@ def _written_groups(s: Column) -> Column:
     return F.size(F.filter(F.split(s, ":"), lambda g: g != ""))
 
 
+def hex_tail(ip: Column | str) -> Column:
+    """IPv6 text in mixed notation (``::ffff:1.2.3.4``) with the dotted quad as two groups; other text as it is."""
+    s = _c(ip)
+    octet = [F.regexp_extract(s, MIXED_REGEX, i).try_cast("int") for i in range(2, 6)]
+    group = [F.lower(F.hex(octet[i] * 256 + octet[i + 1])) for i in (0, 2)]
+    return F.when(s.rlike(MIXED_REGEX), F.concat(F.regexp_extract(s, MIXED_REGEX, 1), group[0], F.lit(":"), group[1])).otherwise(s)
+
+
 def is_ipv4(ip: Column | str) -> Column:
     return F.coalesce(_c(ip).rlike(IPV4_REGEX), F.lit(False))
 
 
 def is_ipv6(ip: Column | str) -> Column:
-    """Full form, or one ``::`` standing for at least one zero group (at most seven written)."""
-    s = _c(ip)
+    """Full form, or one ``::`` standing for at least one zero group (at most seven written); the last two
+    groups may be written as a dotted quad."""
+    s = hex_tail(ip)
     compressed = s.rlike(IPV6_COMPRESSED_REGEX) & (_written_groups(s) <= 7)
     return F.coalesce(s.rlike(IPV6_FULL_REGEX) | compressed, F.lit(False))
 
 
 def ipv6_expanded(ip: Column | str) -> Column:
     """Valid IPv6 text with ``::`` written out as zero groups: always eight groups."""
-    s = _c(ip)
+    s = hex_tail(ip)
     zeros = F.concat(F.lit(":"), F.repeat(F.lit("0:"), F.lit(8) - _written_groups(s)))
     return F.regexp_replace(F.regexp_replace(s, "::", zeros), "^:|:$", "")
 

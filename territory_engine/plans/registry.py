@@ -116,6 +116,24 @@ def stream_fold_from_state(spark, sf_dir):
     return fold_stream_from(spark, read_state(spark, f"{path}/state"), f"{path}/claims", schema, f"{path}/checkpoint", f"{path}/out")
 
 
+@register("snapshot_in_splits", O.base() + """
+  SELECT ip, name, NULL::BIGINT AS asn, colo, country, region, NULL::VARCHAR AS metro, NULL::VARCHAR AS city, time_ms FROM state""")
+def snapshot_in_splits(spark, sf_dir):
+    """The folded state written as one-line snapshot documents of about ten thousand rows and read back in splits."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sinks.publish import write_text
+    from ..sources.state import read_snapshot
+    _, state = _state(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    row = F.struct("ip", "name", "colo", "country", "region", (F.col("time_ms") / F.lit(1000.0)).alias("timestamp"))
+    documents = F.greatest(F.ceil(state.select(F.count("*") / 10_000).scalar()), F.lit(1))
+    document = F.to_json(F.struct(F.max(F.col("time_ms") / F.lit(1000.0)).alias("latestClaim"), F.collect_list(row).alias("values")))
+    write_text(state.groupBy(F.pmod(F.xxhash64("ip"), documents).alias("d")).agg(document.alias("value")), "value", path)
+    return read_snapshot(spark, path)[0]
+
+
 @register("claims_fold_long_cooldown",
           O.with_ctes(O.claims_cte(coarse=True), O.fold_cte(cooldown_ms=12 * 3600 * 1000)) + "SELECT * FROM state")
 def claims_fold_long_cooldown(spark, sf_dir):
@@ -404,6 +422,20 @@ def ipv6_prefix48(spark, sf_dir):
     return raw.where(is_ipv6("original_ip")).select("seq", "original_ip", p48("original_ip").alias("prefix48"))
 
 
+@register("ipv6_mixed_notation", O.with_ctes(O.raw_claims_cte()) + f"""
+  SELECT seq, true AS valid, {O.ipv6_prefix_sql('original_ip')} AS prefix48
+  FROM raw WHERE {O.ipv6_valid_sql('original_ip')}""")
+def ipv6_mixed_notation(spark, sf_dir):
+    """F2 + P5: the same addresses with their last two groups written as a dotted quad give the same networks."""
+    from ..functions.addresses import ipv6_groups, is_ipv6
+    from ..functions.addresses import ipv6_prefix48 as p48
+    raw = TD.raw_claims_from_events(TD.read_table(spark, sf_dir, "events")).where(is_ipv6("original_ip"))
+    groups = ipv6_groups("original_ip")
+    quad = F.transform(F.slice(groups, 7, 2), lambda g: F.concat_ws(".", F.floor(F.conv(g, 16, 10).cast("int") / 256), F.conv(g, 16, 10).cast("int") % 256))
+    mixed = raw.select("seq", F.concat(F.array_join(F.slice(groups, 1, 6), ":"), F.lit(":"), F.array_join(quad, ".")).alias("ip"))
+    return mixed.select("seq", is_ipv6("ip").alias("valid"), p48("ip").alias("prefix48"))
+
+
 @register("empty_to_null_region", O.with_ctes(O.raw_claims_cte()) + """
   SELECT seq, nullif(country, '') AS country, nullif(city, '') AS city, nullif(metro, '') AS metro,
          nullif(region_name, '') AS region_name,

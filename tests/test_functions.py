@@ -1,6 +1,7 @@
 """Scalar functions on boundary fixtures (FIXTURES §2: names, addresses, ages)."""
 
 import ipaddress
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,3 +145,27 @@ def test_prefix48_property(spark):
     for r in df.collect():
         assert r["ok"], r["v"]
         assert r["p"] == ipaddress.IPv6Network(r["v"] + "/48", strict=False).network_address.compressed, r["v"]
+
+
+def test_mixed_notation_matches_ipaddress(spark):
+    """Texts with an embedded dotted quad, right and wrong ones: validity and /48 network as ``ipaddress`` has them."""
+    rng = random.Random(48)
+    texts = ["::1.2.3.4", "::ffff:255.255.255.255", "1:2:3:4:5:6:7.8.9.10", "1:2:3:4:5:6:7:8.9.10.11", "1::6:1.2.3.4", "1.2.3.4", "::1.2.3", "::1.2.3.4.5",
+             "::1.2.3.256", "::01.2.3.4", ":1.2.3.4", "1:2:3:4:5::7.8.9.10", "1:2:3:4:5:6::7.8.9.10", "::1.2.3.4:5", "::g:1.2.3.4", "1.2.3.4::", "", "::0.0.0.0",
+             "2001:DB8:1:2:3:4:0.0.0.1", "::1.2.3.4 ", "::1.2.3.4\n", "64:ff9b::192.0.2.33"]
+    for _ in range(300):
+        n = rng.randrange(0, 8)
+        head = ":".join(rng.choice(["0", "1", "ab", "FFFF", "12345"][: rng.choice([4, 4, 5])]) for _ in range(n))
+        head = rng.choice([head, head.replace("0:", ":", 1), "::" + head, head + ":"])
+        texts.append(head + ":" + ".".join(str(rng.choice([0, 1, 9, 10, 99, 255, rng.choice([256, 7])])) for _ in range(4)))
+    df = one_col(spark, texts).select("v", A.is_ipv6("v").alias("ok"), A.ipv6_prefix48("v").alias("p"))
+    valid = 0
+    for r in df.collect():
+        try:
+            want = ipaddress.IPv6Network(r["v"] + "/48", strict=False).network_address.compressed
+        except ValueError:
+            assert not r["ok"], r["v"]
+            continue
+        assert r["ok"] and r["p"] == want, r
+        valid += 1
+    assert valid > 50
