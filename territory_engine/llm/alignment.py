@@ -34,7 +34,7 @@ from tokenizers import Tokenizer
 
 from territory_engine.llm.common import nullable_longs, table, written
 from territory_engine.llm.minimalhash import MinimalHash, mixed
-from territory_engine.llm.tokens import byte_alphabet, encoder
+from territory_engine.llm.tokens import WordIds, byte_alphabet, encoder, first_characters, of_texts, words_at
 
 #: Pairs of a bucket on average, vectors summed at a time, pairs of the index that a task holds (and a bucket more).
 BUCKET, FAN, PART = 24_000, 16, 4_000_000
@@ -92,43 +92,93 @@ def sides(a_path: str, b_path: str) -> Sides:
     return Sides(a_bytes(a_path), b_bytes(b_path))
 
 
+class PieceEncoder:
+    """B's ids of texts (little-endian unsigned 32-bit).
+
+    Merges never join across the border between a character and a space, as no piece has a space behind another
+    character, so each distinct run of spaces and what follows it is encoded once, and its ids are kept. The model
+    adds a space before what it encodes: that is the run's first one, for a text's first run the one it
+    adds to the text. Texts with U+2581, which the model takes for a space, are encoded as they are.
+    """
+
+    def __init__(self, path: str):
+        self.model, self.words = sentencepiece.SentencePieceProcessor(model_file=path), WordIds()
+        self.space = [self.model.piece_to_id("▁")]
+
+    def _new(self, words: list[bytes]) -> Iterator[list[int]]:
+        for i in range(0, len(words), 512):
+            texts = [w[1:].decode() for w in words[i:i + 512]]
+            for text, ids in zip(texts, self.model.encode(texts, num_threads=1), strict=True):
+                yield ids if text else self.space  # a space alone at the end of a text
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        joined = "".join(texts)
+        if not joined:
+            return [b""] * len(texts)
+        codes = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
+        blank = codes == 32
+        begins = blank.copy()
+        begins[1:] &= ~blank[:-1]
+        starts = np.flatnonzero(begins | first_characters(texts))
+        ids, size = self.words.gather(words_at(joined, codes, starts), self._new)
+        return of_texts(texts, starts, ids, size)
+
+    def _pieces(self, text: str) -> Iterator[str]:
+        """A long text, a space before it, in pieces that begin with a space behind another character."""
+        start = 0
+        while len(text) - start > CUT_CHARS:
+            cut = CUT.search(text, start + CUT_CHARS)
+            if not cut:
+                break
+            yield text[start:cut.start()]
+            start = cut.start()
+        yield text[start:]
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of texts that are not empty."""
+        group, held = [], 0
+        for text in texts:
+            if "▁" in text or len(text) >= CUT_CHARS:
+                yield from self._together(group)
+                group, held = [], 0
+                if "▁" in text:
+                    yield np.array(self.model.encode(text), dtype="<u4").tobytes()
+                else:
+                    yield b"".join(x for p in self._pieces(" " + text) for x in self._together([p]))
+                continue
+            group.append(" " + text)
+            held += len(text)
+            if held >= CUT_CHARS:
+                yield from self._together(group)
+                group, held = [], 0
+        yield from self._together(group)
+
+
 @functools.cache
-def piece_model(path: str) -> sentencepiece.SentencePieceProcessor:
-    return sentencepiece.SentencePieceProcessor(model_file=path)
-
-
-def b_ids(text: str, model: sentencepiece.SentencePieceProcessor) -> list[int]:
-    """B's ids of a text; a long one is encoded in pieces, whose first space is the one that B adds."""
-    if len(text) <= CUT_CHARS:
-        return model.encode(text)
-    out, start = [], 0
-    while start < len(text):
-        cut = CUT.search(text, start + CUT_CHARS)
-        end = cut.start() if cut else len(text)
-        out += model.encode(text[start:end])
-        start = end + 1
-    return out
+def piece_encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
 
 
 def encoded(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """(row, id, known, a, b) of (id, known, text): packed unsigned ids; empty if the bytes are not those of the text."""
 
     def both(texts: list[str | None], s: Sides) -> Iterator[tuple[bytes, bytes]]:
-        model, join = piece_model(b_path), b"".join
-        for text, a in zip(texts, encoder(a_path, True).encode_all(" " + t if t else None for t in texts), strict=True):
+        join = b"".join
+        all_a = encoder(a_path, True).encode_all(" " + t for t in texts if t)
+        all_b = piece_encoder(b_path).encode_all([t for t in texts if t])
+        for text in texts:
             if not text:
                 yield b"", b""
                 continue
-            b = b_ids(text, model)
-            want, a = b" " + text.encode(), np.frombuffer(a, dtype="<u4")
-            same = want == join(map(s.b.__getitem__, b)) and want == join(map(s.a.__getitem__, a.tolist()))
-            yield (a.astype(s.kind).tobytes(), np.array(b, dtype=s.kind).tobytes()) if same else (b"", b"")
+            want, a, b = b" " + text.encode(), np.frombuffer(next(all_a), dtype="<u4"), np.frombuffer(next(all_b), dtype="<u4")
+            same = want == join(map(s.b.__getitem__, b.tolist())) and want == join(map(s.a.__getitem__, a.tolist()))
+            yield (a.astype(s.kind).tobytes(), b.astype(s.kind).tobytes()) if same else (b"", b"")
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         row, s = TaskContext.get().partitionId() << 33, sides(a_path, b_path)
         for batch in batches:
-            for i in range(0, len(batch), 250):
-                part = batch.iloc[i:i + 250]
+            for i in range(0, len(batch), 500):
+                part = batch.iloc[i:i + 500]
                 a, b = zip(*both(part["text"].tolist(), s), strict=True)
                 yield pd.DataFrame({"row": np.arange(row, row + len(part)), "id": part["id"].to_numpy(), "known": part["known"].to_numpy(),
                                     "a": list(a), "b": list(b)})

@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,38 +74,42 @@ def pre_tokens(codes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return starts
 
 
-class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers, without special tokens around them.
+def first_characters(texts: list[str]) -> np.ndarray:
+    """Of all characters of texts one after the other: is it the first of its text?"""
+    out = np.zeros(sum(map(len, texts)) + 1, dtype=bool)
+    out[np.cumsum([0, *map(len, texts)])] = True
+    return out[:-1]
 
-    A byte-level BPE merges inside pre-tokens only, so each distinct pre-token is encoded once, by the
-    library's model, and its ids are kept. Latin texts are cut into pre-tokens as arrays; other texts
-    at single spaces between words, which begin pre-tokens in any script, and their pieces are encoded
-    by the library. When too many are kept, those met least since the last time are dropped.
 
-    A string of a special token in a text gives that token, as the library has it, or ordinary
-    tokens with ``special_as_text``.
-    """
+def words_at(joined: str, codes: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The words that begin at the characters ``starts``, in UTF-8, without a copy each."""
+    raw = joined.encode()
+    if len(raw) != len(codes):
+        width = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+        starts = (np.cumsum(width) - width)[starts]
+    offsets = np.append(starts, len(raw)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
 
-    def __init__(self, path: str, special_as_text: bool = False):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = special_as_text
-        special = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))).search if special else lambda text: None
-        self.not_latin, self.cut = re.compile(NOT_LATIN).search, re.compile(SAFE_CUT)
-        self.model, self.alphabet = self.tokenizer.model.tokenize, byte_alphabet()
-        self.space = self.alphabet[32]
+
+def of_texts(texts: list[str], starts: np.ndarray, ids: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """The ids of all words, dealt to the texts in which the words begin."""
+    ends = np.append(0, np.cumsum(size))[np.searchsorted(starts, np.cumsum([0, *map(len, texts)]))] * ids.itemsize
+    packed = ids.tobytes()
+    return [packed[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+class WordIds:
+    """Ids of words (bytes), encoded when first met. When too many are kept, those met least since the last time are
+    dropped."""
+
+    def __init__(self):
         self._renew({}, array("I"), array("q", [0]))
 
     def _renew(self, slots: dict[bytes, int], flat: array, ends: array) -> None:
         self.slots, self.flat, self.ends = slots, flat, ends
         self.uses, self.bytes = np.zeros(len(slots), dtype=np.int64), sum(map(len, slots))
 
-    def _of_word(self, word: bytes) -> list[int]:
-        if word[:1] == b" " and word[1:].isalpha():
-            return [t.id for t in self.model(self.space + word[1:].decode())]
-        return [t.id for t in self.model(word.decode("latin-1").translate(self.alphabet))]
-
-    def _gather(self, words: pa.Array, encode) -> tuple[np.ndarray, np.ndarray]:
+    def gather(self, words: pa.Array, encode: Callable[[list[bytes]], Iterable[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all ``words`` one after the other, and how many each has; ``encode`` gives those of new words."""
         found = words.dictionary_encode()
         distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()
@@ -140,24 +144,43 @@ class Encoder:
                     ends.append(len(flat))
             self._renew(kept, flat, ends)
 
+
+class Encoder:
+    """Ids of texts as little-endian unsigned 32-bit integers, without special tokens around them.
+
+    A byte-level BPE merges inside pre-tokens only, so each distinct pre-token is encoded once, by the
+    library's model, and its ids are kept. Latin texts are cut into pre-tokens as arrays; other texts
+    at single spaces between words, which begin pre-tokens in any script, and their pieces are encoded
+    by the library.
+
+    A string of a special token in a text gives that token, as the library has it, or ordinary
+    tokens with ``special_as_text``.
+    """
+
+    def __init__(self, path: str, special_as_text: bool = False):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = special_as_text
+        special = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))).search if special else lambda text: None
+        self.not_latin, self.cut = re.compile(NOT_LATIN).search, re.compile(SAFE_CUT)
+        self.model, self.alphabet = self.tokenizer.model.tokenize, byte_alphabet()
+        self.space = self.alphabet[32]
+        self.words = WordIds()
+
+    def _of_word(self, word: bytes) -> list[int]:
+        if word[:1] == b" " and word[1:].isalpha():
+            return [t.id for t in self.model(self.space + word[1:].decode())]
+        return [t.id for t in self.model(word.decode("latin-1").translate(self.alphabet))]
+
     def _latin(self, texts: list[str]) -> list[bytes]:
         joined = "".join(texts)
         if not joined:
             return [b""] * len(texts)
         codes = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
-        limits = np.append(0, np.cumsum([len(t) for t in texts]))
-        firsts = np.zeros(len(codes) + 1, dtype=bool)
-        firsts[limits] = True
-        starts = np.flatnonzero(pre_tokens(codes, firsts[:-1]))
-        raw = joined.encode()
-        width = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000) if len(raw) != len(codes) else None
-        at = starts if width is None else (np.cumsum(width) - width)[starts]
-        offsets = np.append(at, len(raw)).astype(np.int64)
-        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
-        ids, size = self._gather(words, lambda new: map(self._of_word, new))
-        ends = np.append(0, np.cumsum(size))[np.searchsorted(starts, limits)] * 4
-        packed = ids.tobytes()
-        return [packed[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        firsts = first_characters(texts)
+        starts = np.flatnonzero(pre_tokens(codes, firsts))
+        ids, size = self.words.gather(words_at(joined, codes, starts), lambda new: map(self._of_word, new))
+        return of_texts(texts, starts, ids, size)
 
     def _other(self, text: str) -> bytes:
         cuts = [0, *[m.start() for m in self.cut.finditer(text)], len(text)]
@@ -168,7 +191,7 @@ class Encoder:
                 for e in self.tokenizer.encode_batch_fast([w.decode() for w in new[i:i + 256]], add_special_tokens=False):
                     yield e.ids
 
-        return self._gather(pa.array(pieces, pa.large_binary()), encode)[0].tobytes()
+        return self.words.gather(pa.array(pieces, pa.large_binary()), encode)[0].tobytes()
 
     def _pieces(self, text: str) -> Iterator[str]:
         """A long text in pieces of about PORTION characters that begin pre-tokens."""

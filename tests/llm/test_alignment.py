@@ -102,7 +102,7 @@ def test_long_documents_in_pieces():
     text = "the unhappiness of internationalisation, 12345 été " * 40
     t = Tokenizer.from_file(PATHS[0])
     doc = (np.array(t.encode(" " + text, add_special_tokens=False).ids, dtype=s.kind).tobytes(),
-           np.array(A.piece_model(PATHS[1]).encode(text), dtype=s.kind).tobytes())
+           np.array(sentencepiece.SentencePieceProcessor(model_file=PATHS[1]).encode(text), dtype=s.kind).tobytes())
     whole = [x for *_, x, _ in A.portions([doc, doc], s)][0]
     keep, A.PORTION = A.PORTION, 50
     try:
@@ -114,12 +114,14 @@ def test_long_documents_in_pieces():
     assert b"".join(A.written_groups(p[2], s)[0] for p in parts) == A.written_groups(whole, s)[0]
 
 
-def test_long_texts_of_b_in_pieces(monkeypatch):
-    monkeypatch.setattr(A, "CUT_CHARS", 9)
-    model = A.piece_model(PATHS[1])
-    for text in texts():
-        if text and "▁" not in text:
-            assert A.b_ids(text, model) == model.encode(text)
+@pytest.mark.parametrize("cut", [9, 1 << 19])
+def test_b_equals_the_library(monkeypatch, cut):
+    monkeypatch.setattr(A, "CUT_CHARS", cut)
+    model, e = sentencepiece.SentencePieceProcessor(model_file=PATHS[1]), A.PieceEncoder(PATHS[1])
+    rng = random.Random(9)
+    alphabet = ["the", "ing", " ", " ", "  ", "\n", "é", "汉", "🙂", ".", "12", "\t", "A", "▁", "\x00", "\u3000", "\xa0", "<s>", ";\r"]
+    some = [t for t in texts() if t] + ["".join(rng.choices(alphabet, k=rng.randrange(1, 25))) for _ in range(3000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode_all(some)] == [model.encode(t) for t in some]
 
 
 def test_empty_table(spark, docs_of):  # noqa: F811
