@@ -91,7 +91,8 @@ class BucketTable:
     def replace(self, rows: DataFrame, buckets: set[int], version: int, append: bool = False) -> None:
         """Write ``rows`` instead of what ``buckets`` held, or with ``append`` beside it."""
         out = f"{self.store.base}/{self.name}/v={version}"
-        rows.withColumn("b", self.bucket).repartition("b").write.mode("overwrite").partitionBy("b").parquet(out)
+        # rebalanced, so a bucket that holds much is written by several tasks
+        rows.withColumn("b", self.bucket).hint("rebalance", "b").write.mode("overwrite").partitionBy("b").parquet(out)
         self.forget(lambda b: b in buckets and not append)
         self.store.open += [(self.name, int(f[2:]), version) for f in folder_names(self.store.spark, out) if f.startswith("b=")]
 
