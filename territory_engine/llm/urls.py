@@ -2,7 +2,7 @@
 
 A rule is (host, path, action). It fits its host and all subdomains if the url's path starts with
 the rule's path; of the fitting rules the longest wins. Each url is expanded into expressions: a
-suffix of its host (cut at dots) and a prefix of its path (cut after slashes). A rule is filed
+suffix of its host (cut at dots) and a prefix of its path (cut after slashes), no deeper than the rules go. A rule is filed
 under its host and its path up to the last slash. Rules and expressions meet in an equi-join on
 the first four bytes of the expression's SHA-256; the full digests are then compared, and what
 is left of the rule's path is compared with the url's path.
@@ -45,18 +45,21 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and what follows each of its dots; none of an empty host."""
-    labels = F.split(host, r"\.", -1)
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+def occurrences(text: Column, sign: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
 
 
-def path_prefixes(path: Column) -> Column:
-    """The empty prefix and the path up to each of its slashes."""
-    parts = F.split(path, "/", -1)
-    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1),
-                       lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
+def host_suffixes(host: Column, most: Column) -> Column:
+    """What follows a dot of the host, or all of it, as far as it has at most ``most`` labels; none of an empty host."""
+    deepest = F.least(occurrences(host, ".") + 1, most)
+    return F.when((host == "") | (most < 1), F.array().cast("array<string>")).otherwise(
+        F.transform(F.sequence(F.lit(1), deepest), lambda i: F.call_function("substring_index", host, F.lit("."), -i)))
+
+
+def path_prefixes(path: Column, most: Column) -> Column:
+    """The empty prefix and the path up to each of its first ``most`` slashes."""
+    return F.transform(F.sequence(F.lit(0), F.least(occurrences(path, "/"), most)), lambda i: F.when(i == 0, F.lit("")).otherwise(
+        F.concat(F.call_function("substring_index", path, F.lit("/"), i), F.lit("/"))))
 
 
 def digest(host: Column, prefix: Column) -> Column:
@@ -77,7 +80,8 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     rules the one with the longest host and path together wins, then the one with the longest host,
     then ``block`` before ``allow`` (smaller text last). Null urls and urls without ``://`` have
     empty host and path, rule null and the default verdict. Input columns with the added names are
-    replaced; every row gives one row, an empty table an empty result.
+    replaced; every row gives one row, an empty table an empty result. Hosts and paths are expanded no
+    deeper than the deepest rule, so a url of any length gives a bounded number of expressions.
     """
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     parsed = pages.select(*[F.col(f"`{c}`") for c in kept], url_host(F.col(f"`{url_col}`")).alias("host"),
@@ -86,9 +90,12 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
              .filter("rule_host <> ''").distinct()
              .withColumn("rule_digest", digest(F.col("rule_host"), F.regexp_extract("rule_path", r"(?s)^(.*/)?", 0)))
              .withColumn("key", short(F.col("rule_digest"))))
-    addresses = parsed.select("host", "path").filter("host <> ''").distinct()
-    expressions = (addresses.select("host", "path", F.explode(host_suffixes(F.col("host"))).alias("suffix"))
-                   .select("host", "path", "suffix", F.explode(path_prefixes(F.col("path"))).alias("prefix"))
+    deepest = filed.agg(F.struct(F.max(occurrences(F.col("rule_host"), ".") + 1).alias("labels"),
+                                 F.max(occurrences(F.col("rule_path"), "/")).alias("slashes"))).scalar()
+    addresses = (parsed.select("host", "path").filter("host <> ''").distinct().withColumn("deepest", deepest)
+                 .select("host", "path", F.coalesce("deepest.labels", F.lit(0)).alias("labels"), F.coalesce("deepest.slashes", F.lit(0)).alias("slashes")))
+    expressions = (addresses.select("host", "path", "slashes", F.explode(host_suffixes(F.col("host"), F.col("labels"))).alias("suffix"))
+                   .select("host", "path", "suffix", F.explode(path_prefixes(F.col("path"), F.col("slashes"))).alias("prefix"))
                    .select("host", "path", digest(F.col("suffix"), F.col("prefix")).alias("full"))
                    .withColumn("key", short(F.col("full"))))
     confirmed = (expressions.join(filed, "key")

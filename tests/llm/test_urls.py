@@ -40,3 +40,11 @@ def test_empty_tables(spark):
     assert U.judge(none, rules).count() == 0
     one = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
     assert U.judge(one, rules.limit(0)).first()["verdict"] == U.DEFAULT
+
+
+def test_a_url_of_a_megabyte(spark):
+    rows = [(1, "http://a.example.net/en/" + "b/" * 500_000), (2, "http://" + "c." * 500_000 + "net/x"), (3, "http://example.net/en/" + "d" * 1_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    rules = spark.createDataFrame(U.RULES, "host string, path string, action string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in U.judge(pages, rules).select("page_id", "rule", "verdict").collect()}
+    assert got == {1: ("example.net/en/", "allow"), 2: ("net/", "block"), 3: ("example.net/en/", "allow")}
