@@ -134,7 +134,8 @@ def scan_licences(files: DataFrame, templates: list[tuple[str, str]], path_col:
     recognised = written(cosine.groupBy("f1", "f2").agg(smallest.alias("best"))
                          .select("f1", "f2", F.col("best.licence").alias("own_licence"), (-F.col("best.s")).alias("own_score")), "licence-own")
 
-    placed = files.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64(nulls, path, text).alias("f1"),
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")  # whatever the input's columns are called
+    placed = files.select(row, path.alias("path"), F.xxhash64(nulls, path, text).alias("f1"),
                           F.xxhash64(F.lit(1), nulls, path, text).alias("f2"), directory.alias("directory")).join(recognised, ["f1", "f2"], "left")
     licence_files = own.filter("is_licence").select("f1", "f2", "path").distinct().join(recognised, ["f1", "f2"])
     given = (licence_files.withColumn("above", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(""))
@@ -148,11 +149,11 @@ def scan_licences(files: DataFrame, templates: list[tuple[str, str]], path_col:
                .select("directory", "up.dir_licence", "up.dir_score", "up.dir_path"))
     has_own = F.col("own_licence").isNotNull()
     return placed.join(nearest, "directory", "left").select(
-        *[F.col(f"`{c}`") for c in kept],
+        *[F.col(f"row.`{c}`") for c in kept],
         F.coalesce("own_licence", "dir_licence").alias("licence"),
         F.when(has_own, F.col("own_score")).otherwise(F.col("dir_score")).alias("licence_score"),
         F.when(has_own, "own").when(F.col("dir_licence").isNotNull(), "inherited").otherwise("none").alias("licence_origin"),
-        F.when(has_own, path).otherwise(F.col("dir_path")).alias("licence_path"))
+        F.when(has_own, F.col("path")).otherwise(F.col("dir_path")).alias("licence_path"))
 
 
 # -- query ---------------------------------------------------------------------------------------

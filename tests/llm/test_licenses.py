@@ -35,7 +35,8 @@ def plain_best(path, text, files):
 
 
 def test_own_and_inherited_licences(spark):
-    files = spark.createDataFrame([(i, *f) for i, f in enumerate(FILES)], "file_id long, path string, text string").withColumn("licence", F.lit("clash"))
+    files = spark.createDataFrame([(i, *f) for i, f in enumerate(FILES)], "file_id long, path string, text string").withColumns(
+        {c: F.lit("clash") for c in ("licence", "directory", "f1", "own_licence", "dir_path", "row")})
     got = {r["file_id"]: r for r in L.scan_licences(files, L.TEMPLATES).collect()}
     assert len(got) == len(FILES)
     for i, (path, text) in enumerate(FILES):
