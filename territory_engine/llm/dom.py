@@ -42,7 +42,7 @@ ASIDE_NAMES = frozenset(
 # A class that begins or ends so tells of a part elsewhere or of a state: has-sidebar, no-sidebar, comments-open.
 STATE_FIRST = frozenset("has have no not with without hide show enable disable".split())
 STATE_LAST = frozenset("open opened closed enabled disabled on off allowed visible".split())
-#: Levels of the tree; what is nested deeper joins the deepest level.
+#: Levels of the tree; what is nested deeper joins the deepest level, an aside there is a level of its own.
 DEPTH = 100
 
 
@@ -169,7 +169,7 @@ def parse(page: str | None) -> Element:
         aside |= tag in ASIDE_TAGS
         new = Element(tag, name, aside or named, here, named and not aside)
         stack.append((tag, here))
-        if here.depth < DEPTH:
+        if here.depth < DEPTH or here.depth == DEPTH and (new.aside or tag == "header"):
             here.children.append(new)
             here = new
     flush()

@@ -2,6 +2,7 @@
 
 import functools
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ def test_reader_on_awkward_markup():
     deep = "<div>" * 5000 + "deep" + "</div>" * 5000
     assert texts(deep) == ["deep"]
     assert len(texts("<article>" + "<p>word</p>" * 20000 + "</article>")) == 20000
+    for levels in (50, 99, 100, 101, 120, 3000):
+        assert texts("<div>" * levels + "text<nav>no<div>no</div></nav><header>no</header>" + "</div>" * levels) == ["text"], levels
 
 
 def test_attributes_are_read_as_names_and_values():
@@ -74,6 +77,30 @@ def test_tree_matching_equals_brute_force():
         assert len(pairs) == brute_match(a, b) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
 
 
+def test_long_rows_of_children_equal_the_whole_table(monkeypatch):
+    rng = random.Random(3)
+    pairs = [(random_shape(rng), random_shape(rng)) for _ in range(150)]
+    pairs += [(("a", tuple(random_shape(rng, 1) for _ in range(rng.randint(5, 40)))), ("a", tuple(random_shape(rng, 1) for _ in range(40)))) for _ in range(20)]
+    whole = [X.matched(a, b) for a, b in pairs]
+    monkeypatch.setattr(X, "CELLS", 4)
+    X.matched.cache_clear()
+    X.alignment.cache_clear()
+    assert [X.matched(a, b) for a, b in pairs] == whole
+    for (a, b), n in zip(pairs, whole, strict=True):
+        found = X.alignment(a, b)
+        assert len(found) == n and all(i < k and j < m for (i, j), (k, m) in zip(found, found[1:], strict=False))
+    X.matched.cache_clear()
+    X.alignment.cache_clear()
+
+
+def test_a_page_of_many_runs():
+    made = [X.reference("<article>" + "".join(rng.choice(["<p>a</p>", "<ul><li>b</ul>", "<h2>c</h2>", "<p><table><tr><td>d</table>"]) for _ in range(20_000)) + "</article>")["shape"]
+            for rng in map(random.Random, (4, 5))]
+    start = time.monotonic()
+    assert len(X.alignment(*made)) == X.matched(*made)
+    assert time.monotonic() - start < 20
+
+
 def page(rng, plain, n):
     words = lambda k: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(k))
     body = [words(30) for _ in range(n)]
@@ -106,6 +133,31 @@ def test_wrappers_find_the_slot_without_helpful_markup(spark):
     assert got[94][0]["text"] == "other layout" and lone_text in got[93][0]["text"]
 
 
+def test_texts_equal_on_all_pages_are_template(spark):
+    rng = random.Random(6)
+    words = lambda k: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(k))
+    rows, want = [], {}
+    for i in range(30):
+        title, body = words(5), [words(25) for _ in range(rng.randint(1, 4))]
+        story = "".join(f"<p>{b}</p>" for b in body)
+        rows.append((i, f"http://t.org/{i}", f"<div class=x1><div class=x7>Our shop has moved to Main Street.</div><h2>{title}</h2><div class=x8>{story}"
+                     f"<p>Read on in our paper.</p></div><div class=x9>All rights kept.</div></div>"))
+        want[i] = "\n\n".join([title, *body])
+    rows += [(100 + i, "http://t.org/copy", rows[0][2]) for i in range(50)]
+    want.update({100 + i: want[0] for i in range(50)})
+    same, texts = words(60), [words(8) for _ in range(12)]
+    for i, t in enumerate(texts):  # near copies of one article
+        rows.append((200 + i, "http://near.org/", f"<div class=x1><p>{same}</p><p>{t}</p></div>"))
+        want[200 + i] = f"{same}\n\n{t}"
+    for i in range(12):  # exact copies of one article beside one other page
+        rows.append((300 + i, "http://copies.org/", f"<div class=x1><p>{same}</p></div>"))
+        want[300 + i] = same
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("__found", F.lit("clash")).withColumn("wrapper", F.lit("clash"))
+    got = {r["page_id"]: r for r in X.extract(pages, X.learn_wrappers(pages)).collect()}
+    assert {i: r["text"] for i, r in got.items()} == want
+    assert all(got[i]["by_wrapper"] for i in range(30)) and got[0]["wrapper"] == got[0]["__found"] == "clash"
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert X.extract(none, X.learn_wrappers(none)).count() == 0
