@@ -7,7 +7,7 @@ contender table for all territories is the materialised form; a single page is a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import TERRITORY_TYPES
@@ -29,7 +29,10 @@ def contenders(state: DataFrame, window: str, as_of_ms: Column | int, spread: bo
 
 
 def _ranked(counts: DataFrame, as_of_ms: Column | int, spread: bool) -> DataFrame:
-    ranked = rank_contenders(counts.drop("time_window"), ["territory_type"], spread=spread)
+    return _aged(rank_contenders(counts.drop("time_window"), ["territory_type"], spread=spread), as_of_ms)
+
+
+def _aged(ranked: DataFrame, as_of_ms: Column | int) -> DataFrame:
     # the as-of time is projected once, so a scalar subquery is planned (and run) once
     ranked = ranked.withColumn("_now", as_of_ms if isinstance(as_of_ms, Column) else F.lit(int(as_of_ms)))
     unit, value = relative_age("latest", F.col("_now"))
@@ -68,18 +71,58 @@ def user_ranks(contender_table: DataFrame) -> DataFrame:
 def user_view(state: DataFrame, name: str | Column, window: str, as_of_ms: Column | int) -> DataFrame:
     """Q7: one name's ranks, worst rank first, then more IPs, then territory.
 
-    The territories the name holds claims in are found first (the name filter reaches the scan); only
-    claims of those territories are counted and ranked.
+    The name's own counts (its filter reaches the scan) are one threshold a territory; its rank there is
+    one more than the number of contenders that precede the threshold (W2), counted map-side: no
+    territory's contenders are sorted, however many they are.
     """
     n = F.lit(name) if isinstance(name, str) else name
-    held = F.explode(F.array(*[F.struct(F.lit(t).alias("territory_type"), F.col(t).alias("territory")) for t in TERRITORY_TYPES]))
-    own = state.where(F.col("name") == n).select(held.alias("h")).select("h.*").where("territory is not null").distinct()
-    counts = window_counts(state, as_of_ms, inclusive=True, windows=[window]).join(own, ["territory_type", "territory"], "left_semi")
-    return (
-        user_ranks(_ranked(counts, as_of_ms, spread=False))
-        .where(F.col("name") == n)
-        .orderBy(F.desc("rank"), F.desc("ips"), F.asc("territory"))
-    )
+    mine = window_counts(state.where(F.col("name") == n), as_of_ms, inclusive=True, windows=[window])
+    counts = window_counts(state, as_of_ms, inclusive=True, windows=[window])
+    ranked = _thresholds(counts, mine).groupBy("territory_type", "territory", "mark").agg(
+        (F.count_if(_precedes("mark")) + 1).alias("rank")).select("territory_type", "territory", "mark.*", "rank")
+    return user_ranks(_aged(ranked, as_of_ms)).orderBy(F.desc("rank"), F.desc("ips"), F.asc("territory"))
+
+
+def _thresholds(counts: DataFrame, marks: DataFrame) -> DataFrame:
+    """``counts`` of the territories that ``marks`` has a contender of, with that contender as struct ``mark``."""
+    return counts.join(marks.select("territory_type", "territory", F.struct("count", "latest", "name").alias("mark")), ["territory_type", "territory"])
+
+
+def _precedes(mark: str) -> Column:
+    """Whether a contender comes before the marked one: count desc, latest desc, name."""
+    def order(prefix: str = "") -> Column:
+        return F.struct((-F.col(f"{prefix}count")).alias("c"), (-F.col(f"{prefix}latest")).alias("l"), F.col(f"{prefix}name").alias("n"))
+    return order() < order(f"{mark}.")
+
+
+def territory_slice(state: DataFrame, territory_id: str, window: str, as_of_ms: Column | int, size: int,
+                    after: str | Column | None = None) -> DataFrame:
+    """Q6 page by page: the next ``size`` contenders of a territory after the name ``after`` (from the top if None).
+
+    Columns and ranks are those of ``territory_view``. The rows of the page come from a top-k, their
+    ranks from the number of contenders up to ``after``, so the territory is never sorted as a whole. A name that
+    does not contend there gives an empty page, as does an unknown territory (P19).
+    """
+    kind = territory_type_of_text(territory_id)
+    own = state.where(F.col(kind) == F.lit(territory_id)).withColumns(
+        {t: F.lit(None).cast("string") for t in TERRITORY_TYPES if t != kind})
+    counts = window_counts(own, as_of_ms, inclusive=True, windows=[window]).drop("time_window")
+    best = [F.desc("count"), F.desc("latest"), F.asc("name")]
+    keys = ["territory_type", "territory"]
+    if after is None:
+        rest, ahead = counts.withColumn("ahead", F.lit(0)), None
+    else:
+        n = F.lit(after) if isinstance(after, str) else after
+        mark = window_counts(own.where(F.col("name") == n), as_of_ms, inclusive=True, windows=[window])
+        marked = _thresholds(counts, mark)
+        later = ~_precedes("mark") & (F.col("name") != F.col("mark.name"))
+        ahead = marked.groupBy(*keys).agg(F.count_if(~later).alias("ahead"))
+        rest = marked.where(later).drop("mark")
+    page = rest.orderBy(*best).limit(size)
+    page = page.join(ahead, keys) if ahead is not None else page
+    local = F.row_number().over(Window.partitionBy(*keys).orderBy(*best))  # over one page
+    ranked = page.withColumn("rank", (F.col("ahead") + local).cast("long")).drop("ahead")
+    return _aged(ranked, as_of_ms).orderBy("rank")
 
 
 def user_total_ips(contender_table: DataFrame) -> DataFrame:

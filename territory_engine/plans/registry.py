@@ -276,6 +276,15 @@ def territory_page(spark, sf_dir):
     return V.territory_view(state, "C05", "weekly", as_of_latest(claims))
 
 
+@register("territory_slice", O.base() + f"""
+  SELECT c.* FROM ({_CONTENDERS_SQL}) c JOIN ({_CONTENDERS_SQL}) m USING (territory_type, territory)
+  WHERE territory_type = 'colo' AND territory = 'C05' AND m.name = 'click-3' AND c.rank > m.rank AND c.rank <= m.rank + 10""")
+def territory_slice(spark, sf_dir):
+    """Q6 page by page: the ten contenders of one territory that follow a name, ranks counted."""
+    claims, state = _state(spark, sf_dir)
+    return V.territory_slice(state, "C05", "weekly", as_of_latest(claims), 10, "click-3")
+
+
 @register("user_page", O.base() + f"""
   SELECT name, territory_type, territory, rank, count AS ips, latest_unit, latest_value,
          CAST(row_number() OVER (ORDER BY rank DESC, count DESC, territory, territory_type) AS BIGINT) AS position

@@ -26,6 +26,7 @@ from ..constants import BATCH_INTERVAL_MS, BATCH_MAX_CLAIMS, COOLDOWN_MS
 from ..functions.clock import now_ms
 from ..operators.claims import apply_claims, fold_claims, unusable_claims, valid_claims
 from ..plans.broadcast import measured
+from ..plans.observe import with_poll_counts
 from ..operators.rankings import leaderboards, public_claims, recents
 from ..sinks.publish import write_leaderboards, write_public_claims
 from ..sources.batches import BATCH_ORDER, quarantine, stream_batch_files, unwrap
@@ -112,11 +113,12 @@ def run_stream(spark: SparkSession, input_dir: str, state_dir: str, out_dir: str
     """Q12: start the poll job. ``available_now`` processes what is there and stops (one pass).
 
     With ``windowed_buckets`` the state under ``state_dir`` is the tables of ``WindowedRankings``: what a poll reads
-    for the rankings follows the batch and the claims that leave a window.
+    for the rankings follows the batch and the claims that leave a window. Each micro-batch's progress carries its
+    counts (A14, ``plans.observe.PollCounts``).
     """
     job = PollJob(state_dir, out_dir, cooldown_ms, clock, compact_every=compact_every, fail_fast=fail_fast,
                   keep_versions=keep_versions, windowed_buckets=windowed_buckets)
-    stream = stream_batch_files(spark, input_dir, max_files_per_trigger, clean_source, archive_dir, lines)
+    stream = with_poll_counts(stream_batch_files(spark, input_dir, max_files_per_trigger, clean_source, archive_dir, lines))
     writer = stream.writeStream.foreachBatch(job.process).option("checkpointLocation", checkpoint_dir)
     if available_now:
         writer = writer.trigger(availableNow=True)

@@ -78,3 +78,21 @@ def test_one_territory_page_filters_in_the_scan(spark, tmpdir_path):
     assert sorted(map(str, page.collect())) == sorted(map(str, want))
     assert V.territory_view(state, "nowhere", "weekly", 1).count() == 0
     assert sorted(map(str, user.collect())) == sorted(map(str, V.user_ranks(everything).where("name = 'click-3'").collect()))
+
+
+def test_ranks_of_few_rows_are_counted_not_sorted(spark, tmpdir_path):
+    """One name's ranks and one page of a territory equal the ranks of the whole table; no window over a territory."""
+    C.fold_claims(TD.load_claims(spark, SF_SMALL)).write.parquet(f"{tmpdir_path}/state")
+    state = spark.read.parquet(f"{tmpdir_path}/state")
+    as_of = 1_800_000_000_000
+    everything = V.contenders(state, "all-time", as_of, spread=False).where("territory = 'C05' and territory_type = 'colo'")
+    want = sorted(everything.collect(), key=lambda r: r["rank"])
+    assert "Window" not in plan(V.user_view(state, "click-3", "all-time", as_of))
+    names = [r["name"] for r in want]
+    assert len(names) > 4
+    for after, size in [(None, 3), (names[0], 2), (names[2], 1000), (names[-1], 5), ("nobody", 5), (None, 1000)]:
+        page = V.territory_slice(state, "C05", "all-time", as_of, size, after)
+        start = 0 if after is None else names.index(after) + 1 if after in names else len(names)
+        assert list(map(str, page.collect())) == list(map(str, want[start:start + size])), after
+        assert "TakeOrderedAndProject" in plan(page)
+    assert V.territory_slice(state, "nowhere", "all-time", as_of, 5).count() == 0

@@ -1,12 +1,14 @@
 """Streaming forms equal the batch forms: poll job, keyed cooldown state, admission counters."""
 
 import os
+import time
 
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from territory_engine.operators import admission as A
 from territory_engine.operators import claims as C
+from territory_engine.plans.observe import PollCounts
 from territory_engine.sinks import publish as P
 from territory_engine.sources import state as ST
 from territory_engine.sources import testdata as TD
@@ -271,3 +273,32 @@ def test_objects_are_flushed_by_size_or_time(spark, tmpdir_path):
     claims = [c for o in objects() for c in o["batch"]]
     assert sorted(c["time_ms"] for c in claims) == [1000 + i for i in range(325)]
     assert {c.get("asn") for c in claims} == {None, 1 << 40}
+
+
+def test_poll_counts_of_each_batch(spark, tmpdir_path):
+    """Objects and claims read, accepted and set aside, per micro-batch, from the pass that reads the input."""
+    inbox = os.path.join(tmpdir_path, "inbox")
+    os.makedirs(inbox)
+    claim = '{"ip": "1.2.3.4", "name": "a", "time_ms": %d}'
+    files = ['{"batch": [' + ", ".join(claim % i for i in range(3)) + ', {"ip": "1.1.1.1"}]}\n{"batch": [',
+             claim % 7 + "\n" + '{"name": "b"}' + "\n" + '{"batch": []}']
+    for i, text in enumerate(files):
+        with open(os.path.join(inbox, f"{i}.json"), "w") as f:
+            f.write(text)
+        os.utime(os.path.join(inbox, f"{i}.json"), (1_700_000_000 + i, 1_700_000_000 + i))
+    counts = PollCounts()
+    spark.streams.addListener(counts)
+    try:
+        q = ingest.run_stream(spark, inbox, os.path.join(tmpdir_path, "state"), os.path.join(tmpdir_path, "out"),
+                              os.path.join(tmpdir_path, "ckpt"), available_now=True, max_files_per_trigger=1, clock="data")
+        q.awaitTermination()
+        seen = [p.observedMetrics["poll"].asDict() for p in q.recentProgress if p.numInputRows]
+        deadline = time.monotonic() + 20
+        while str(q.runId) not in counts.totals or counts.totals[str(q.runId)]["objects"] < 5:
+            assert time.monotonic() < deadline
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(counts)
+    assert seen == [{"objects": 2, "unreadable": 1, "claims": 4, "accepted": 3, "quarantined": 1},
+                    {"objects": 3, "unreadable": 0, "claims": 2, "accepted": 1, "quarantined": 1}]
+    assert counts.totals[str(q.runId)] == {k: seen[0][k] + seen[1][k] for k in seen[0]}
