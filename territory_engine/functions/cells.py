@@ -63,6 +63,15 @@ class Grid:
                 out.append(F.when((r >= 0) & (r < self.height), self.cell(col + F.lit(dc), r)))
         return F.filter(F.array(*out), lambda x: x.isNotNull())
 
+    def square(self, cell: Column | str, reach: int) -> Column:
+        """Array of (cell, hops): the cells up to ``reach`` hops away, itself left out; wraps and ends as ``neighbours`` does."""
+        col, row = self.col_of(cell), self.row_of(cell)
+        side = F.sequence(F.lit(-reach), F.lit(reach))
+        rows = F.filter(side, lambda dr: (row + dr >= 0) & (row + dr < self.height))
+        steps = F.flatten(F.transform(rows, lambda dr: F.transform(side, lambda dc: F.struct(
+            self.cell(col + dc, row + dr).alias("cell"), F.greatest(F.abs(dr), F.abs(dc)).cast("long").alias("hops")))))
+        return F.filter(steps, lambda x: x["hops"] > 0)
+
     # --- hop distance (what a ring-by-ring flood fill counts) ------------------------------
     def distance(self, a: Column | str, b: Column | str) -> Column:
         dc = F.abs(self.col_of(a) - self.col_of(b))

@@ -137,15 +137,17 @@ def nearest_seed(cells: DataFrame, seeds: DataFrame, grid: Grid, cell: str = "ce
 
 
 def frontier_assign(seeds: DataFrame, grid: Grid, land: DataFrame | None = None, seed_cell: str = "cell",
-                    seed_id: str = "seed_id", tie: str = "id", salt: int = 42) -> DataFrame:
-    """The flood fill: grow every facility one ring per round until no cell is left.
-
-    Each round explodes the ring-1 neighbours of the last ring (F13), drops cells of the last
-    two rings (in a breadth-first fill a neighbour is at most one ring back, so this equals
-    "not yet visited", J4), takes one facility per new cell (A10: smallest id, or with
-    ``tie="hash"`` a repeatable hash of (salt, cell, facility)) and appends the ring (U2).
-    Every ring is checkpointed to the session's checkpoint folder, so lineage stays one round
-    deep and a lost executor recomputes one round at most. With ``land`` the fill stops once
+                    seed_id: str = "seed_id", tie: str = "id", salt: int = 42, rings_per_job: int = 8) -> DataFrame:
+    """The flood fill: grow every facility by some rings per round until no cell is left.
+
+    Each round starts from the last ring alone. A cell ``r`` rings further on has cells of that ring ``r`` hops
+    away and none nearer, and by the smallest-id rule it gets the smallest of their labels, so a
+    round explodes each ring cell's square of ``rings_per_job`` hops (F13), drops the cells of the last two
+    rounds (a breadth-first fill reaches no further back, so this equals "not yet visited", J4), takes the
+    smallest (hops, facility) per new cell (A10) and appends the rings (U2). With ``tie="hash"`` (a
+    repeatable hash of (salt, cell, facility)) a label depends on the labels of the ring before, so a round is
+    one ring. Every round is checkpointed to the session's checkpoint folder, so lineage stays one round
+    deep and a lost executor recomputes one round at most. With ``land`` the fill stops after the round in which
     every land cell is labelled (the labels of land cells are final by then).
     Returns (cell, seed_id, distance) for every cell reached; land that no facility reaches (cells off
     the grid, or no facility at all) is returned with a null facility and distance.
@@ -180,21 +182,25 @@ def frontier_assign(seeds: DataFrame, grid: Grid, land: DataFrame | None = None,
         return ck, obs.get["n"], obs.get["l"]
 
     land_left = land_cells.count() - materialise(ring)[2] if land_cells is not None else None
+    edge, done = ring, 0
     while land_left is None or land_left > 0:
-        cand = ring.select(F.explode(grid.neighbours("cell")).alias("cell"), "seed_id", (F.col("distance") + 1).alias("distance"))
+        reach = 1 if tie == "hash" or done == 0 else rings_per_job  # facilities off the grid enter it in the first ring only
+        cand = edge.select(F.explode(grid.square("cell", reach)).alias("q"), "seed_id").select(
+            "q.cell", "seed_id", (F.lit(done) + F.col("q.hops")).alias("distance"))
         seen = prev.select("cell").unionByName(ring.select("cell"))
         cand = cand.join(bounded(seen), "cell", "left_anti")
         if tie == "hash":
             key = F.xxhash64(F.lit(salt), F.col("cell"), F.col("seed_id"))
-            pick = F.min_by(F.struct("seed_id", "distance"), F.struct(key, F.col("seed_id")))
+            pick = F.min_by(F.struct("distance", "seed_id"), F.struct(key, F.col("seed_id")))
         else:
-            pick = F.min(F.struct("seed_id", "distance"))
+            pick = F.min(F.struct("distance", "seed_id"))
         new, n_new, n_land = materialise(cand.groupBy("cell").agg(pick.alias("_p")).select(
             "cell", F.col("_p.seed_id").alias("seed_id"), F.col("_p.distance").alias("distance")))
         if n_new == 0:
             break  # nothing left to reach (land out of reach of every facility, or the grid is full)
         rings.append(new)
-        prev, ring = ring, new
+        prev, ring, done = ring, new, done + reach
+        edge = new.where(F.col("distance") == done)
         if land_left is not None:
             land_left -= n_land
     out = rings[0]

@@ -138,3 +138,17 @@ def test_hash_tie_break_and_seeded_shuffle(spark):
     a = [r["k"] for r in G.seeded_shuffle(df, ["k"], 42).collect()]
     b = [r["k"] for r in G.seeded_shuffle(df, ["k"], 42).collect()]
     assert a == b and sorted(a) == list(range(50)) and a != list(range(50))
+
+
+def test_rounds_of_many_rings_equal_single_rings(spark):
+    """The rings per job change neither labels nor distances; facilities and land off the grid too."""
+    rng = random.Random(21)
+    cells = range(GRID.width * GRID.height)
+    far = GRID.width * (GRID.height + 3) + 2
+    for seeds in ([(5, 0)], [(i + 1, rng.choice(cells)) for i in range(5)] + [(0, far), (9, GRID.width * GRID.height + 4)], [(1, far)]):
+        seed_df = spark.createDataFrame(seeds, "seed_id bigint, cell bigint")
+        land = spark.createDataFrame([(c,) for c in rng.sample(cells, 60)] + [(far,)], "cell bigint")
+        one, many = ({r["cell"]: (r["seed_id"], r["distance"]) for r in G.frontier_assign(seed_df, GRID, rings_per_job=n).collect()} for n in (1, 3))
+        assert one == many
+        one, many = (sorted(map(str, G.keep_land(G.frontier_assign(seed_df, GRID, land=land, rings_per_job=n), land).collect())) for n in (1, 8))
+        assert one == many
