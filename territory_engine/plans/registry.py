@@ -865,3 +865,68 @@ def leaderboard_document(spark, sf_dir):
     claims, state = _state(spark, sf_dir)
     as_of = as_of_latest(claims)
     return doc(R.leaderboards(state, as_of), R.recents(state, as_of))
+
+
+@register("leaderboard_document_read_back", O.base() + O.all_leaderboards_sql())
+def leaderboard_document_read_back(spark, sf_dir):
+    """The nested document taken apart again: its rows and their places are the fifteen rankings."""
+    from ..sinks.publish import read_leaderboard_document
+    return read_leaderboard_document(leaderboard_document(spark, sf_dir))
+
+
+@register("state_versions_round_trip", O.base() + "SELECT * FROM state")
+def state_versions_round_trip(spark, sf_dir):
+    """The claims in four spans of time, stored as a full version, a delta, a full version and a delta; read back."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.state import read_state, write_delta, write_state
+    path = f"{ensure_checkpoint_dir(spark)}/versions-{uuid.uuid4().hex}"
+    claims = TD.load_claims(spark, sf_dir)
+    cuts = claims.select(F.percentile_approx("time_ms", [0.25, 0.5, 0.75])).first()[0]
+    columns = None
+    for version, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        part = claims.where((F.lit(True) if low is None else F.col("time_ms") >= low) & (F.lit(True) if high is None else F.col("time_ms") < high))
+        stored = read_state(spark, path) if version else None
+        if version % 2:
+            touched = C.fold_claims(part, stored.join(part.select("ip").distinct(), "ip", "left_semi"))
+            write_delta(touched, path, version)
+        else:
+            folded = C.fold_claims(part, stored) if version == 0 else C.apply_claims(stored, part)
+            columns = folded.columns if columns is None else columns
+            write_state(folded, path, version)
+    return read_state(spark, path).select(*columns)
+
+
+@register("area_cells_geojson", O.with_ctes(*O.DIVISIONS_CTES) + O.AREA_CELLS)
+def area_cells_geojson(spark, sf_dir):
+    """S16 + S15 + J9: the division areas written as GeoJSON features, read back and covered."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sinks.publish import geojson_features, write_text
+    from ..sources.geojson import decode_wkb, read_feature_lines
+    path = f"{ensure_checkpoint_dir(spark)}/areas-{uuid.uuid4().hex}"
+    view = TD.divisions_view(spark, sf_dir)
+    areas = decode_wkb(view.where(F.col("type") == "division_area").select(F.col("id").alias("area_id"), "geometry"), "geometry")
+    write_text(geojson_features(areas, "parts", ["area_id"]), "feature", path)
+    read = read_feature_lines(spark, path).select(F.col("properties")["area_id"].cast(view.schema["id"].dataType).alias("area_id"), "parts")
+    return G.cover_cells(read, TD.test_grid(), key="area_id")
+
+
+@register("territory_labels", O.base() + """
+  SELECT *, 'https://www.wikidata.org/wiki/Q' || nullif(regexp_extract(territory, '[0-9]+'), '') AS link
+  FROM (SELECT DISTINCT 'country' AS territory_type, country AS territory, country AS label FROM state WHERE country IS NOT NULL
+        UNION ALL SELECT DISTINCT 'region', region, concat_ws(', ', region, country) FROM state WHERE region IS NOT NULL
+        UNION ALL SELECT DISTINCT 'colo', colo, lower(colo) FROM state WHERE colo IS NOT NULL)""")
+def territory_labels(spark, sf_dir):
+    """label and knowledge-base link of every territory that holds a claim."""
+    from ..functions.labels import display_label, wikidata_link
+    kinds = F.array(*[F.struct(F.lit(t).alias("territory_type"), F.col(t).alias("territory"),
+                               (F.col("country") if t == "region" else F.lit(None).cast("string")).alias("country"))
+                      for t in ("country", "region", "colo")])
+    held = _state(spark, sf_dir)[1].select(F.inline(kinds)).where("territory is not null").distinct()
+    digits = F.nullif(F.regexp_extract("territory", "[0-9]+", 0), F.lit(""))
+    return held.select("territory_type", "territory",
+                       display_label("territory_type", "territory", "country", F.lower("territory")).alias("label"),
+                       wikidata_link(F.concat(F.lit("Q"), digits)).alias("link"))

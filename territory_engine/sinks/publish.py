@@ -41,6 +41,17 @@ def leaderboard_document(board: DataFrame, recents: DataFrame) -> DataFrame:
     )).alias("document"))
 
 
+def read_leaderboard_document(documents: DataFrame) -> DataFrame:
+    """S8 read back: one row per ranking row of documents in column ``document``; its rank is its place in its list."""
+    rows = "array<struct<name:string,territories:string,ip_count:bigint,latest:bigint,score:bigint>>"
+    schema = ", ".join(f"{t} map<string,{rows}>" for t in TERRITORY_TYPES)
+    doc = documents.select(F.from_json("document", schema).alias("d"))
+    kinds = doc.select(F.inline(F.array(*[F.struct(F.lit(t).alias("territory_type"), F.col(f"d.{t}").alias("windows")) for t in TERRITORY_TYPES])))
+    lists = kinds.select("territory_type", F.explode("windows").alias("time_window", "rows"))
+    return lists.select("territory_type", "time_window", F.posexplode("rows").alias("at", "r")).select(
+        "territory_type", "time_window", "r.*", (F.col("at") + 1).cast("long").alias("rank"))
+
+
 def _json_value(c: Column) -> Column:
     """JSON text of one scalar (``null`` for null), via ``to_json`` of a one-element array."""
     return F.coalesce(F.regexp_extract(F.to_json(F.array(c)), r"^\[(.*)\]$", 1), F.lit("null"))
