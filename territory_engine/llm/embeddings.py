@@ -179,8 +179,14 @@ def padded(edges: list[np.ndarray]) -> np.ndarray:
 
 
 def range_search(x: np.ndarray, edges: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, found) with cosine of at least the threshold, reached from the medoid."""
+    """Pairs (query, found) with cosine of at least the threshold, reached from the medoid.
+
+    What lies in range is expanded a round at a time: one product of the vectors in range of each query with the
+    adjacency matrix of the shard gives all that they reach.
+    """
     n = len(x)
+    adjacent = np.zeros((n, n), dtype=np.float32)
+    adjacent[np.arange(n)[:, None], edges] = 1
     start = int((x @ x.mean(axis=0)).argmax())
     out_q, out_f = [], []
     low = threshold - 1e-6
@@ -218,18 +224,16 @@ def range_search(x: np.ndarray, edges: np.ndarray, threshold: float) -> tuple[np
             pick = np.arange(len(live))[:, None]
             sim[live], beam[live], done[live] = all_sim[pick, best], all_id[pick, best], all_done[pick, best]
         while True:  # expand whatever is in range
-            a, node = np.nonzero(in_range & ~expanded)
-            if not len(a):
+            frontier = in_range & ~expanded
+            nodes = np.flatnonzero(frontier.any(axis=0))
+            if not len(nodes):
                 break
-            a, node = a[:1 << 15], node[:1 << 15]
-            expanded[a, node] = True
-            flat_a, flat_b = np.repeat(a, edges.shape[1]), edges[node].ravel()
-            fresh = ~seen[flat_a, flat_b]
-            pairs = np.unique(flat_a[fresh] * np.int64(n) + flat_b[fresh])
-            flat_a, flat_b = pairs // n, pairs % n
-            seen[flat_a, flat_b] = True
-            close = np.einsum("ij,ij->i", x[q[flat_a]], x[flat_b]) >= low
-            in_range[flat_a[close], flat_b[close]] = True
+            expanded |= frontier
+            fresh = (frontier[:, nodes].astype(np.float32) @ adjacent[nodes] > 0) & ~seen
+            seen |= fresh
+            some, reached = np.flatnonzero(fresh.any(axis=1)), np.flatnonzero(fresh.any(axis=0))
+            block = np.ix_(some, reached)
+            in_range[block] |= fresh[block] & (x[q[some]] @ x[reached].T >= low)
         in_range[rows, q] = False
         a, b = np.nonzero(in_range)
         out_q.append(q[a])

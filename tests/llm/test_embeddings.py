@@ -1,5 +1,7 @@
 """Embedding near-duplicates against all pairs: links, groups, odd vectors, shards and dense cells."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -98,3 +100,12 @@ def test_the_audit_grows_until_it_has_seen_links(spark):
     assert not enough and 60 <= true.count() < 150
     true, enough = E.true_links(reps, E.THRESHOLD, audited=100)
     assert enough and true.count() == 300 and true.filter("n > 0").count() == 0
+
+
+def test_a_shard_of_mutual_links_is_expanded_in_rounds():
+    rng = np.random.default_rng(8)
+    x = E.directions(__import__("pandas").Series(list(rng.normal(size=32) + rng.normal(size=(1500, 32)) * 0.01)))
+    edges = E.padded(E.robust_graph(x, 1))
+    start = time.monotonic()
+    a, _ = E.range_search(x, edges, E.THRESHOLD)
+    assert len(a) == 1500 * 1499 and time.monotonic() - start < 15
