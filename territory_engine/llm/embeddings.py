@@ -92,6 +92,7 @@ def sides(x: np.ndarray, c: np.ndarray, margin: float) -> np.ndarray:
 
 def shards(reps: DataFrame, margin: float, shard: int = SHARD) -> DataFrame:
     """(rep, cell, v, dense) for every shard that a representative is a member of."""
+    kind = reps.schema["v"].dataType.simpleString()
     level = written(reps.select("rep", F.xxhash64("label", F.size("v")).alias("cell"), "v", F.lit(1 << 62).alias("parent_n")), "embed-cells")
     done: list[DataFrame] = []
     while True:
@@ -123,7 +124,7 @@ def shards(reps: DataFrame, margin: float, shard: int = SHARD) -> DataFrame:
                                  "v": rows["v"].to_numpy()[i], "parent_n": rows["n"].to_numpy()[i]})
 
         parts = dealt.groupBy("cell", "portion").cogroup(placed.groupBy("cell", "portion")).applyInPandas(
-            cut, "rep long, cell long, part int, v array<float>, parent_n long")
+            cut, f"rep long, cell long, part int, v {kind}, parent_n long")
         level = written(parts.select("rep", F.xxhash64("cell", "part").alias("cell"), "v", "parent_n"), "embed-cells")
     out = done[0]
     for more in done[1:]:
@@ -399,14 +400,17 @@ def audit(true: DataFrame, found: DataFrame) -> float:
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding",
                     label_col: str = "label", shard: int = SHARD) -> DataFrame:
-    """(id, n_links, component_id, kept) for every row.
+    """(id, n_links, component_id, kept, audited_recall) for every row.
 
     Rows link if their labels are equal and not null and their cosine reaches the threshold. Null,
     empty and zero vectors, vectors with null or non-finite components, and vectors of different
     lengths link with nothing. A row that links with nothing is its own component. Rows with a null
     id have a component like any other but are not kept; an empty table gives an empty result.
+    ``audited_recall`` is the share of the audited vectors' links that the graph search found, the same in
+    every row; it is null where shards were compared exactly instead.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<float>").alias("v"))
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast(kind).alias("v"))
     linkable = F.col("label").isNotNull() & usable(F.col("v"))
     rows = written(rows.select("id", "label", "v", F.when(linkable, F.xxhash64("label", "v")).alias("rep")), "embed-rows")
     reps = written(rows.filter("rep is not null").groupBy("rep", "label").agg(
@@ -414,9 +418,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     exact_cover = math.sqrt(2 - 2 * threshold) / 2
     margin = min(MARGIN, exact_cover)
     true, enough = true_links(reps, threshold)
+    recall = None
     while enough:
         found = find_links(reps, margin, threshold, shard)
-        if audit(true, found) >= RECALL:
+        recall = audit(true, found)
+        if recall >= RECALL:
             break
         enough = margin < exact_cover
         margin = min(2 * margin, exact_cover)
@@ -431,7 +437,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     component = F.when(F.col("rep").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return rows.select("id", "rep").join(own, "rep", "left").select(
         "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+        F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"),
+        F.lit(recall if enough else None).cast("double").alias("audited_recall"))
 
 
 # -- query ---------------------------------------------------------------------------------------

@@ -109,3 +109,11 @@ def test_a_shard_of_mutual_links_is_expanded_in_rounds():
     start = time.monotonic()
     a, _ = E.range_search(x, edges, E.THRESHOLD)
     assert len(a) == 1500 * 1499 and time.monotonic() - start < 15
+
+
+def test_doubles_keep_their_precision_and_recall_is_told(spark):
+    at = lambda c: [c, float(np.sqrt(1 - c * c))]
+    rows = [(1, [1.0, 0.0], 1), (2, at(0.98 + 1e-9), 1), (3, [1.0, 0.0], 2), (4, at(0.98 - 1e-9), 2)]
+    out = {r["id"]: r for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()}
+    assert [out[i]["n_links"] for i in (1, 2, 3, 4)] == [1, 1, 0, 0]
+    assert {r["audited_recall"] for r in out.values()} == {1.0}
