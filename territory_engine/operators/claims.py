@@ -75,11 +75,12 @@ def fold_claims(
         return fold_small(claims, state, cooldown_ms, order)
     claims = valid_claims(claims)
     hot = claims.groupBy("ip").count().where(F.col("count") > hot_threshold).select("ip")
-    if hot.isEmpty():
+    hot_keys = measured(hot)
+    if hot_keys.isEmpty():
+        hot_keys.unpersist()
         return fold_small(claims, state, cooldown_ms, order)
     from .hotkeys import hot_fold
 
-    hot_keys = measured(hot)
     normal = fold_small(claims.join(hot_keys, "ip", "left_anti"),
                         None if state is None else state.join(hot_keys, "ip", "left_anti"), cooldown_ms, order)
     hot_claims = claims.join(hot_keys, "ip", "left_semi")

@@ -10,6 +10,11 @@ so ``next(i)`` depends only on (address, ``t_i``, name). The final row is the en
 chain start -> next -> next ..., found by pointer jumping (each round doubles the distance a
 pointer covers, so the rounds grow with log2 of the chain length).
 
+Only claims that the final row can still depend on are linked: those from the last claim on that
+is accepted whatever came before it (``last_changes`` and ``last_gaps``), and of the claims of one
+time the first and the first with another name. A claim's position is (time, 0 or 1), so that
+the links carry no payload.
+
 Every lookup is bounded: claims are grouped in cooldown-wide time buckets per address
 (bounded by the claim rate, not the history), and crossing buckets uses one summary row per
 (address, bucket) or (address, name, bucket) (bounded by the time span). No window, list or
@@ -24,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CLAIM_COLUMNS, COOLDOWN_MS
+from ..plans.broadcast import measured
 from ..session import ensure_checkpoint_dir
 
 PAYLOAD = [c for c in CLAIM_COLUMNS if c not in ("ip", "time_ms")]
@@ -53,6 +59,45 @@ def asof_next(data: DataFrame, probes: DataFrame, keys: Sequence[str], value: st
         F.col("_k") == 0).select("_pid", value)
 
 
+def last_changes(claims: DataFrame, seeds: DataFrame | None) -> DataFrame:
+    """Per address the last time ``z`` at which a claim or stored row has another name than its latest
+    one, ``latest`` -> (ip, latest, z, claimed); ``z`` is null if there is one name only.
+
+    All claims after ``z`` have one name. The first of them is accepted whatever came before, as a
+    different name, unless a claim at ``z`` has that name too.
+    """
+    marks = claims.select("ip", "name", "time_ms", F.lit(True).alias("claimed"))
+    if seeds is not None:
+        marks = marks.unionByName(seeds.select("ip", "name", "time_ms", F.lit(False).alias("claimed")))
+    names = marks.groupBy("ip", "name").agg(F.max("time_ms").alias("last"), F.max("claimed").alias("claimed"))
+    rank = F.row_number().over(Window.partitionBy("ip").orderBy(F.desc("last"), F.desc("name")))
+    return names.withColumn("_r", rank).groupBy("ip").agg(
+        F.max(F.when(F.col("_r") == 1, F.col("name"))).alias("latest"), F.max(F.when(F.col("_r") == 2, F.col("last"))).alias("z"),
+        F.max("claimed").alias("claimed"))
+
+
+def last_gaps(buckets: DataFrame) -> DataFrame:
+    """Per address its last bucket after an empty one, or its first -> (ip, b0).
+
+    Buckets are a cooldown wide, so the first claim of that bucket is accepted whatever came before.
+    """
+    buckets = buckets.distinct()
+    return buckets.join(buckets.select("ip", (F.col("b") + 1).alias("b")), ["ip", "b"], "left_anti").groupBy("ip").agg(F.max("b").alias("b0"))
+
+
+def first_two_names(claims: DataFrame) -> DataFrame:
+    """Of each address's claims of one time the first (``o`` 0) and the first with another name (``o`` 1).
+
+    No other can be accepted: whatever is stored, one of the two is, or none of that time.
+    """
+    w = Window.partitionBy("ip", "time_ms").orderBy("_o")
+    other = F.col("name") != F.first("name").over(w)
+    marked = claims.withColumn("_n", F.row_number().over(w)).withColumn("_other", other).withColumn(
+        "_others", F.sum(F.col("_other").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return marked.where((F.col("_n") == 1) | (F.col("_other") & (F.col("_others") == 1))).withColumn(
+        "o", F.col("_other").cast("int")).drop("_n", "_other", "_others", "_o")
+
+
 def hot_fold(claims: DataFrame, seeds: DataFrame | None = None, cooldown_ms: int = COOLDOWN_MS,
              order: Sequence[str] = ("time_ms", "seq"), max_rounds: int = 64) -> DataFrame:
     """The fold for the addresses in ``claims`` (and their stored rows ``seeds``) -> CLAIM rows.
@@ -64,14 +109,31 @@ def hot_fold(claims: DataFrame, seeds: DataFrame | None = None, cooldown_ms: int
     ensure_checkpoint_dir(spark)
     tie = order[1]
     C = cooldown_ms
-    # claims of one time and tie are ordered by what they say, as in the plain fold, and repeats
-    # are one node: (ip, t, o) then identifies a claim
-    claims = claims.select("ip", "time_ms", *PAYLOAD, F.struct(F.col(tie), *[F.col(c) for c in PAYLOAD]).alias("_o")).distinct()
-    tie = "_o"
-    rows = claims.select(
-        "ip", F.col("time_ms").alias("t"), F.col(tie).alias("o"), "name",
-        F.floor(F.col("time_ms") / F.lit(C)).cast("long").alias("b"),
-    )
+    bucket = F.floor(F.col("time_ms") / F.lit(C)).cast("long")
+    changes = measured(last_changes(claims, seeds))
+
+    def told_apart(some: DataFrame) -> DataFrame:
+        # claims of one time and tie are ordered by what they say, as in the plain fold, and repeats
+        # are one node: (ip, t, o) then identifies a claim
+        one = some.select("ip", "time_ms", *PAYLOAD, F.struct(F.col(tie), *[F.col(c) for c in PAYLOAD]).alias("_o")).distinct()
+        return first_two_names(one).withColumn("b", bucket)
+
+    late = claims.join(changes.select("ip", "z"), "ip").where(F.col("z").isNull() | (F.col("time_ms") >= F.col("z")))
+    kept = told_apart(late).join(changes.select("ip", "latest", "z"), "ip").checkpoint()
+    at_z = F.coalesce(F.col("time_ms") == F.col("z"), F.lit(False))
+    open_z = measured(kept.where(at_z & (F.col("name") == F.col("latest"))).select("ip").distinct())
+    kept = kept.where(~at_z)
+    if not open_z.isEmpty():  # who holds it at z depends on what came before: all claims count
+        kept = kept.join(open_z, "ip", "left_anti").unionByName(
+            told_apart(claims.join(open_z, "ip", "left_semi")).withColumns(
+                {"latest": F.lit(None).cast("string"), "z": F.lit(None).cast("long")})).checkpoint()
+        changes = changes.join(open_z.withColumn("_open", F.lit(True)), "ip", "left").withColumn(
+            "z", F.when(F.col("_open").isNull(), F.col("z"))).drop("_open")
+    buckets = kept.select("ip", "b")
+    if seeds is not None:
+        buckets = buckets.unionByName(seeds.join(changes.where("claimed"), "ip", "left_semi").select("ip", bucket.alias("b")))
+    gaps = measured(last_gaps(buckets))
+    rows = kept.join(gaps, "ip").where(F.col("b") >= F.col("b0")).select("ip", F.col("time_ms").alias("t"), "o", "name", "b")
     pos = _pos()
 
     # ---- within-bucket run structure: next row with a different name (ND_in) ---------------
@@ -164,8 +226,11 @@ def hot_fold(claims: DataFrame, seeds: DataFrame | None = None, cooldown_ms: int
         "ip", "t", "o", "is_seed", F.least(F.col("diff_next"), F.col("same_next")).alias("nxt")).checkpoint()
 
     # ---- start node per address: next(stored row), or the first claim ---------------------
+    # (a stored row from before the claims kept is replaced by the first of these)
     starts = rows.groupBy("ip").agg(F.min(pos).alias("start"))
-    seeded = nxt.where("is_seed").select("ip", F.col("nxt").alias("seed_next"), F.lit(True).alias("has_seed"))
+    since = changes.select("ip", "z").join(gaps, "ip")
+    stale = F.coalesce(F.col("t") < F.col("z"), F.lit(False)) | (F.floor(F.col("t") / F.lit(C)).cast("long") < F.col("b0"))
+    seeded = nxt.where("is_seed").join(since, "ip").select("ip", F.col("nxt").alias("seed_next"), (~stale).alias("has_seed"))
     starts = starts.join(seeded, "ip", "left").select(
         "ip", F.when(F.col("has_seed"), F.col("seed_next")).otherwise(F.col("start")).alias("start"))
 
@@ -187,10 +252,10 @@ def hot_fold(claims: DataFrame, seeds: DataFrame | None = None, cooldown_ms: int
 
     ends = starts.where(F.col("start").isNotNull()).join(
         nodes.select("ip", F.col("id").alias("start"), "end"), ["ip", "start"])
-    full = claims.select("ip", *PAYLOAD, "time_ms", F.struct(F.col("time_ms").alias("t"), F.col(tie).alias("o")).alias("end"))
+    full = kept.select("ip", *PAYLOAD, "time_ms", F.struct(F.col("time_ms").alias("t"), F.col("o")).alias("end"))
     out = ends.join(full, ["ip", "end"]).select(*CLAIM_COLUMNS)
     if seeds is not None:
-        unchanged = seeds.join(rows.select("ip").distinct(), "ip", "left_semi").join(
+        unchanged = seeds.join(changes.where("claimed").select("ip"), "ip", "left_semi").join(
             starts.where(F.col("start").isNotNull()).select("ip"), "ip", "left_anti")
         out = out.unionByName(unchanged.select(*CLAIM_COLUMNS))
     return out

@@ -183,3 +183,39 @@ def test_upsert_with_hot_addresses(spark):
     state = C.fold_claims(rows_df(spark, first), hot_threshold=None)
     got = C.apply_claims(state, rows_df(spark, second), hot_threshold=50)
     assert as_dict(got) == model_dict(fold(second, stored=fold(first)))
+
+
+def test_hot_path_with_ties_and_stored_rows_around_the_last_change(spark):
+    """Few times, two or three names: what is stored at the last change of name depends on what came before."""
+    rng = random.Random(600)
+    start = 1_000_000_000_000
+
+    def some(n, seq0):
+        return [{"ip": f"ip{rng.randrange(60)}", "name": f"n{rng.choice([0, 0, 1, 2])}", "seq": seq0 + i,
+                 "time_ms": start + rng.choice([0, 1, 450_000, 900_000, 900_001]) + 700_000 * rng.randrange(6)} for i in range(n)]
+
+    first, second = some(90, 0), some(600, 1000)
+    stored = C.fold_claims(rows_df(spark, first), hot_threshold=None)
+    fresh = C.fold_claims(rows_df(spark, second), hot_threshold=0)
+    assert as_dict(fresh) == model_dict(fold(second))
+    touched = C.fold_claims(rows_df(spark, second), stored, hot_threshold=0)
+    want = model_dict(fold(second, stored=fold(first)))
+    assert as_dict(touched) == {r["ip"]: want[r["ip"]] for r in second}
+
+
+def test_hot_path_writes_little(spark, tmpdir_path):
+    """Claims that can't show in the final row any more are not linked: little is written for a long history."""
+    import os
+    rows = spark.range(12_000).selectExpr(
+        "concat('ip', id % 4) AS ip", "concat('n', id DIV 4 % 3) AS name", "1L AS asn", "'C00' AS colo", "'AX' AS country",
+        "CAST(NULL AS STRING) AS region", "CAST(NULL AS STRING) AS metro", "CAST(NULL AS STRING) AS city",
+        "1700000000000 + id DIV 4 * 60000 AS time_ms", "id AS seq")
+    sc = spark.sparkContext
+    was = sc.getCheckpointDir()
+    sc.setCheckpointDir(tmpdir_path)
+    try:
+        got = as_dict(C.fold_claims(rows, hot_threshold=100))
+    finally:
+        sc._jsc.setCheckpointDir(was)
+    assert got == {f"ip{k}": ("n2", 1_700_000_000_000 + 2999 * 60_000) for k in range(4)}
+    assert sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(tmpdir_path) for f in names) < 200_000
