@@ -72,10 +72,11 @@ def batch_files_round_trip(spark, sf_dir):
 
     from ..session import ensure_checkpoint_dir
     from ..sinks.publish import claim_envelopes, write_text
-    from ..sources.batches import BATCH_ORDER, quarantine, read_batch_files, unwrap
+    from ..sources.batches import BATCH_ORDER, quarantine, read_batch_files, staged, unwrap
     path = f"{ensure_checkpoint_dir(spark)}/envelopes-{uuid.uuid4().hex}"
     write_text(claim_envelopes(TD.load_claims(spark, sf_dir)), "value", path)
-    return C.fold_claims(unwrap(quarantine(read_batch_files(spark, path))[0]), order=BATCH_ORDER)
+    claims = staged(unwrap(quarantine(read_batch_files(spark, path))[0]), f"{path}-claims")
+    return C.fold_claims(claims, order=BATCH_ORDER)
 
 
 @register("batch_files_deep_keys", O.base() + "SELECT * FROM state")
@@ -86,7 +87,7 @@ def batch_files_deep_keys(spark, sf_dir):
 
     from ..session import ensure_checkpoint_dir
     from ..sinks.publish import claim_envelopes, write_text
-    from ..sources.batches import BATCH_ORDER, quarantine, read_batch_files, unwrap
+    from ..sources.batches import BATCH_ORDER, quarantine, read_batch_files, staged, unwrap
     path = f"{ensure_checkpoint_dir(spark)}/envelopes-{uuid.uuid4().hex}"
     deep = F.lit('{"note": "]}{[ \\\\" \\\\\\\\", "deep": ' + '[{"a": ' * 50 + "0" + "}]" * 50 + ", ")
     objects = claim_envelopes(TD.load_claims(spark, sf_dir)).select(F.regexp_replace("value", r"^\{", deep).alias("value"))
@@ -94,7 +95,7 @@ def batch_files_deep_keys(spark, sf_dir):
     write_text(objects, "value", f"{path}/whole")
     write_text(torn, "value", f"{path}/torn")
     good, bad = quarantine(read_batch_files(spark, f"{path}/*"))
-    return C.fold_claims(unwrap(good), order=BATCH_ORDER)
+    return C.fold_claims(staged(unwrap(good), f"{path}-claims"), order=BATCH_ORDER)
 
 
 @register("stream_fold_from_state", O.base() + "SELECT * FROM state")

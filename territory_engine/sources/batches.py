@@ -14,19 +14,29 @@ _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _INNERMOST = r"[\{\[][^\{\}\[\]]*+[\}\]]"
 # a line break between two root values: inside a JSON value a brace is never followed by a brace
 _BETWEEN = r"(?<=\})\s*[\r\n]\s*(?=\{)"
+# white space and what a line may end with
+_SPACE = " \t\n\x0b\f\r\x85\u2028\u2029"
+# between a run of opening and a run of closing brackets, or the other way round
+_TURN = r"(?<=\()(?=\))|(?<=\))(?=\()"
 
 
 def _one_value(text: Column) -> Column:
     """Is the text exactly one JSON value, nested to any depth? Strings are replaced by a digit, then the
-    innermost brackets, once for each opening bracket there is; anything before, after or between
-    values shows. After as many rounds as the value is deep a single digit is left, so that the
-    other rounds cost nothing.
+    innermost brackets; of the brackets left, runs of one kind are added up to the depth after
+    each run. One value starts and ends with a bracket, and the depth is zero after the last run only.
+    Every step reads the text once, however deep it is. (Which bracket closes which is left to the parser.)
     """
-    rest = F.regexp_replace(text, _STRING, "0")
-    opening = F.length(rest) - F.length(F.translate(rest, "{[", ""))
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(opening, F.lit(1))), rest,
-                         lambda left, _: F.when(F.length(left) == 1, left).otherwise(F.regexp_replace(left, _INNERMOST, "0")))
-    return folded.rlike(r"^\s*0\s*$")
+    rest = F.regexp_replace(F.regexp_replace(text, _STRING, "0"), _INNERMOST, "0")
+    brackets = F.translate(F.regexp_replace(rest, r"[^\{\}\[\]]++", ""), "{[}]", "(())")
+    runs = F.split(brackets, _TURN)
+    depth = F.aggregate(
+        F.slice(runs, 2, F.size(runs)), F.length(F.get(runs, F.lit(0))),
+        lambda depth, run: F.when(depth <= 0, F.lit(-1))  # it was over before this run
+        .otherwise(depth + F.when(run.startswith("("), F.length(run)).otherwise(-F.length(run))))
+    # the end alone tells most unfinished objects
+    last = F.substring(F.rtrim(text, F.lit(_SPACE)), -1, 1).isin("}", "]", "0", '"')
+    nested = rest.rlike(r"^\s*[\{\[]") & rest.rlike(r"[\}\]]\s*$") & (depth == 0)
+    return F.when(last, rest.rlike(r"^\s*0\s*$") | nested).otherwise(F.lit(False))
 
 
 def _parse(text: DataFrame, mode: str, lines: bool) -> DataFrame:
@@ -43,11 +53,12 @@ def _parse(text: DataFrame, mode: str, lines: bool) -> DataFrame:
     else:
         pieces = files.select("_file", F.posexplode(F.split("value", _BETWEEN)).alias("_obj", "_text")).withColumn(
             "_obj", F.col("_obj").cast("long"))
-    whole = _one_value(F.col("_text"))
     unreadable = F.lit("{") if mode == "PERMISSIVE" else F.raise_error(F.concat(F.lit("unreadable object in "), F.col("_file"))).cast("string")
     opts = {"mode": mode, "columnNameOfCorruptRecord": "_corrupt_record"}
-    parsed = pieces.select("_file", "_obj", "_text", whole.alias("_whole"),
-                           F.from_json(F.when(whole, F.col("_text")).otherwise(unreadable), BATCH_FILE, opts).alias("o"))
+    # a filter on what a generator gives is not moved below it: each object is checked and parsed once
+    checked = pieces.select("_file", "_obj", "_text", F.explode(F.array(_one_value(F.col("_text")))).alias("_whole"))
+    parsed = checked.select("_file", "_obj", "_text", "_whole", F.explode(F.array(
+        F.from_json(F.when(F.col("_whole"), F.col("_text")).otherwise(unreadable), BATCH_FILE, opts))).alias("o"))
     fields = [f.name for f in BATCH_FILE.fields if f.name != "_corrupt_record"]
     return parsed.select(*[F.col(f"o.{f}").alias(f) for f in fields],
                          F.when(F.col("_whole"), F.col("o._corrupt_record")).otherwise(F.col("_text")).alias("_corrupt_record"),
@@ -103,5 +114,12 @@ def unwrap(objects: DataFrame) -> DataFrame:
     )
 
 
+def staged(claims: DataFrame, path: str) -> DataFrame:
+    """The claims written as Parquet under ``path`` and read back: for jobs that read them more than once
+    (the fold counts them by address first), so that the files are parsed once."""
+    claims.write.parquet(path)
+    return claims.sparkSession.read.schema(claims.schema).parquet(path)
+
+
 # Claims with equal times are applied in file, object, then position order.
 BATCH_ORDER = ("time_ms", "_file", "_obj", "_offset")

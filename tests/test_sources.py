@@ -263,3 +263,22 @@ def test_large_snapshots_are_read_in_splits(spark, tmpdir_path, split_bytes):
                 assert spark.read.option("lineSep", "}").text(path).rdd.getNumPartitions() > 20
         finally:
             spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_unfinished_objects_are_found_in_one_pass(spark):
+    """Whether a text is one value takes steps that don't grow with its depth or its brackets, and is asked once an object."""
+    import time
+    deep = '{"a": [' * 1500
+    texts = [deep + "0" + "]}" * 1500, deep + "0" + "]}" * 1499 + "]", deep + "0" + "]}" * 1500 + "}", "(" + deep + "0" + "]}" * 1500, "{(}", "{}", "{}{}", "[[]{}]", "[]]["]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 40)], "id int, t string").coalesce(1)
+    began = time.time()
+    got = df.select("id", B._one_value(F.col("t")).alias("w")).collect()
+    assert {r["id"] % len(texts) for r in got if r["w"]} == {0, 4, 5, 7} and time.time() - began < 15
+
+
+def test_objects_are_checked_once(spark, tmpdir_path):
+    with open(os.path.join(tmpdir_path, "a.json"), "w") as f:
+        json.dump(claim("1.1.1.1", "x", 1), f)
+    rows = B.unwrap(B.quarantine(B.read_batch_files(spark, tmpdir_path))[0])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json") == 1 and rows.count() == 1
