@@ -74,22 +74,22 @@ def fold_claims(
     if hot_threshold is None:
         return fold_small(claims, state, cooldown_ms, order)
     claims = valid_claims(claims)
-    hot = claims.groupBy("ip").count().where(F.col("count") > hot_threshold).select("ip")
-    hot_keys = measured(hot)
+    counts = claims.groupBy("ip").count()
+    hot_keys = measured(counts.where(F.col("count") > hot_threshold).select("ip"))
     if hot_keys.isEmpty():
         hot_keys.unpersist()
         return fold_small(claims, state, cooldown_ms, order)
-    from .hotkeys import hot_fold
+    from .hotkeys import hot_fold, in_slots
 
-    normal = fold_small(claims.join(hot_keys, "ip", "left_anti"),
+    others = in_slots(claims, counts.where(F.col("count") <= hot_threshold))
+    normal = fold_small(others.join(hot_keys, "ip", "left_anti"),
                         None if state is None else state.join(hot_keys, "ip", "left_anti"), cooldown_ms, order)
-    hot_claims = claims.join(hot_keys, "ip", "left_semi")
     hot_order = tuple(order)
     if len(order) > 2:  # several tie columns: one struct column orders the same way
-        hot_claims = hot_claims.withColumn("_tie", F.struct(*[F.col(c) for c in order[1:]]))
+        claims = claims.withColumn("_tie", F.struct(*[F.col(c) for c in order[1:]]))
         hot_order = (order[0], "_tie")
-    heavy = hot_fold(hot_claims, None if state is None else state.join(hot_keys, "ip", "left_semi"),
-                     cooldown_ms, hot_order)
+    heavy = hot_fold(claims, None if state is None else state.join(hot_keys, "ip", "left_semi"),
+                     cooldown_ms, hot_order, addresses=hot_keys)
     return normal.unionByName(heavy)
 
 

@@ -34,6 +34,34 @@ from ..session import ensure_checkpoint_dir
 
 PAYLOAD = [c for c in CLAIM_COLUMNS if c not in ("ip", "time_ms")]
 
+#: Slots that addresses are hashed to: a table with one row per slot is small whatever the input.
+SLOTS = 65_536
+
+
+def _slot() -> Column:
+    return F.pmod(F.hash("ip"), F.lit(SLOTS))
+
+
+def in_slots(claims: DataFrame, keys: DataFrame) -> DataFrame:
+    """``claims`` without those whose slot holds none of the addresses in ``keys``.
+
+    All claims of these addresses stay, with few others: what a join with ``keys`` would drop is
+    mostly left out before that join shuffles.
+    """
+    slots = keys.select(_slot().alias("_slot")).distinct()
+    return claims.join(F.broadcast(slots), _slot() == F.col("_slot"), "left_semi")
+
+
+def since_changes(claims: DataFrame, changes: DataFrame) -> DataFrame:
+    """The claims of the addresses in ``changes`` from their ``z`` on, all claims where ``z`` is null.
+
+    The earliest ``z`` of a slot leaves out most claims before the join by address shuffles the others.
+    """
+    cuts = changes.groupBy(_slot().alias("_slot")).agg(F.min("z").alias("_cut"), F.bool_or(F.col("z").isNull()).alias("_whole"))
+    near = claims.join(F.broadcast(cuts), _slot() == F.col("_slot")).where(
+        F.col("_whole") | (F.col("time_ms") >= F.col("_cut"))).drop("_slot", "_cut", "_whole")
+    return near.join(changes.select("ip", "z"), "ip").where(F.col("z").isNull() | (F.col("time_ms") >= F.col("z"))).drop("z")
+
 
 def _pos(t: str = "t", o: str = "o") -> Column:
     return F.struct(F.col(t).alias("t"), F.col(o).alias("o"))
@@ -99,33 +127,39 @@ def first_two_names(claims: DataFrame) -> DataFrame:
 
 
 def hot_fold(claims: DataFrame, seeds: DataFrame | None = None, cooldown_ms: int = COOLDOWN_MS,
-             order: Sequence[str] = ("time_ms", "seq"), max_rounds: int = 64) -> DataFrame:
+             order: Sequence[str] = ("time_ms", "seq"), max_rounds: int = 64,
+             addresses: DataFrame | None = None) -> DataFrame:
     """The fold for the addresses in ``claims`` (and their stored rows ``seeds``) -> CLAIM rows.
 
     ``order`` is ``(time_ms, tie)`` with one tie column. Addresses whose stored row no claim
-    replaces are returned unchanged.
+    replaces are returned unchanged. With ``addresses`` (ip) only these are folded; they meet the
+    claims where these are few, so ``claims`` should not be joined with them before.
     """
     spark = claims.sparkSession
     ensure_checkpoint_dir(spark)
     tie = order[1]
     C = cooldown_ms
     bucket = F.floor(F.col("time_ms") / F.lit(C)).cast("long")
-    changes = measured(last_changes(claims, seeds))
+    if addresses is None:
+        changes = measured(last_changes(claims, seeds))
+    else:
+        changes = measured(last_changes(in_slots(claims, addresses), seeds).join(addresses, "ip", "left_semi"))
 
     def told_apart(some: DataFrame) -> DataFrame:
         # claims of one time and tie are ordered by what they say, as in the plain fold, and repeats
         # are one node: (ip, t, o) then identifies a claim
-        one = some.select("ip", "time_ms", *PAYLOAD, F.struct(F.col(tie), *[F.col(c) for c in PAYLOAD]).alias("_o")).distinct()
-        return first_two_names(one).withColumn("b", bucket)
+        one = some.select("ip", "time_ms", *PAYLOAD, F.col(tie).alias("_t")).distinct()
+        return first_two_names(one.withColumn("_o", F.struct("_t", *PAYLOAD)).drop("_t")).withColumn("b", bucket)
 
-    late = claims.join(changes.select("ip", "z"), "ip").where(F.col("z").isNull() | (F.col("time_ms") >= F.col("z")))
-    kept = told_apart(late).join(changes.select("ip", "latest", "z"), "ip").checkpoint()
+    late = since_changes(claims, changes)
+    # as many partitions as the claims kept fill, not as the input has
+    kept = told_apart(late).join(changes.select("ip", "latest", "z"), "ip").hint("rebalance").checkpoint()
     at_z = F.coalesce(F.col("time_ms") == F.col("z"), F.lit(False))
     open_z = measured(kept.where(at_z & (F.col("name") == F.col("latest"))).select("ip").distinct())
     kept = kept.where(~at_z)
     if not open_z.isEmpty():  # who holds it at z depends on what came before: all claims count
         kept = kept.join(open_z, "ip", "left_anti").unionByName(
-            told_apart(claims.join(open_z, "ip", "left_semi")).withColumns(
+            told_apart(in_slots(claims, open_z).join(open_z, "ip", "left_semi")).withColumns(
                 {"latest": F.lit(None).cast("string"), "z": F.lit(None).cast("long")})).checkpoint()
         changes = changes.join(open_z.withColumn("_open", F.lit(True)), "ip", "left").withColumn(
             "z", F.when(F.col("_open").isNull(), F.col("z"))).drop("_open")
@@ -133,7 +167,9 @@ def hot_fold(claims: DataFrame, seeds: DataFrame | None = None, cooldown_ms: int
     if seeds is not None:
         buckets = buckets.unionByName(seeds.join(changes.where("claimed"), "ip", "left_semi").select("ip", bucket.alias("b")))
     gaps = measured(last_gaps(buckets))
-    rows = kept.join(gaps, "ip").where(F.col("b") >= F.col("b0")).select("ip", F.col("time_ms").alias("t"), "o", "name", "b")
+    # read by all that follows: few partitions, so that its shuffles write few small blocks
+    rows = kept.join(gaps, "ip").where(F.col("b") >= F.col("b0")).select(
+        "ip", F.col("time_ms").alias("t"), "o", "name", "b").hint("rebalance").checkpoint()
     pos = _pos()
 
     # ---- within-bucket run structure: next row with a different name (ND_in) ---------------

@@ -219,3 +219,28 @@ def test_hot_path_writes_little(spark, tmpdir_path):
         sc._jsc.setCheckpointDir(was)
     assert got == {f"ip{k}": ("n2", 1_700_000_000_000 + 2999 * 60_000) for k in range(4)}
     assert sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(tmpdir_path) for f in names) < 200_000
+
+
+def test_hot_path_leaves_out_most_claims_before_shuffles(spark):
+    """With more hot addresses than Spark broadcasts, the claims that can't show any more are not shuffled for the joins."""
+    rows = spark.range(40_000).selectExpr(
+        "concat('ip', id % 400) AS ip", "concat('n', id DIV 400 % 3) AS name", "1L AS asn", "'C00' AS colo", "'AX' AS country",
+        "CAST(NULL AS STRING) AS region", "CAST(NULL AS STRING) AS metro", "sha2(CAST(id AS STRING), 512) AS city",
+        "1700000000000 + id DIV 400 * 60000 AS time_ms", "id AS seq").unionByName(spark.range(2).selectExpr(
+            "'few' AS ip", "'n0' AS name", "1L AS asn", "'C00' AS colo", "'AX' AS country", "CAST(NULL AS STRING) AS region",
+            "CAST(NULL AS STRING) AS metro", "CAST(NULL AS STRING) AS city", "id AS time_ms", "id AS seq"))
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        found = (files.apply(k) for k in range(files.size()))
+        return {f.getName(): f.length() for f in found if f.getName().startswith("shuffle_")}
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        got = as_dict(C.fold_claims(rows, hot_threshold=50))
+        written = sum(size for name, size in shuffled().items() if name not in before)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {f"ip{k}": ("n0", 1_700_000_000_000 + 99 * 60_000) for k in range(400)} | {"few": ("n0", 0)}
+    assert 0 < written < 3_000_000
